@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlspike.llm.common import table
 from marlspike.llm.jaccard_join import near_duplicates
+from marlspike.llm.line_dedup import dedup_lines
+from marlspike.llm.packing import pack_documents
+from marlspike.llm.quality_rules import judge_quality
+from marlspike.llm.secrets import KINDS, find_secrets
+from marlspike.llm.token_counts import token_counts
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of byte-level BPE lengths of all documents, with its suffix sums."""
+    return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,11 +24,62 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, similarity=85)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least one code point in at least ten documents go."""
+    out = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the fixed patterns and all spans."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(text(of(*KINDS[:3])), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict, with cutoffs from ``labels``."""
+    out = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
-        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        f.__name__: f
+        for f in (
+            op2_token_counts,
+            op3_ngram_jaccard_join,
+            op4_line_dedup,
+            op6_secret_scans,
+            op7_quality_rules,
+            op8_best_fit_packing,
+        )
     }
 
 
+_OP4 = """
+with lines as (
+  select doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] as line
+  from (select doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as pos from documents)
+),
+keyed as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from lines
+),
+common as (select k from keyed where k <> '' group by k having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(*) filter (where k in (select k from common)) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where k not in (select k from common)), '')) as kept_sha256
+from keyed group by doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": _OP4}
