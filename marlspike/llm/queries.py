@@ -12,6 +12,7 @@ from marlspike.llm.packing import pack_documents
 from marlspike.llm.quality_rules import judge_quality
 from marlspike.llm.secrets import KINDS, find_secrets
 from marlspike.llm.token_counts import token_counts
+from marlspike.llm.url_filters import Rule, judge_urls, tracking_hosts
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,22 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+#: Fixed rules of the query.
+RULES = [
+    Rule("block", "com", "/en/"),
+    Rule("allow", "example.com", "/en/7"),
+    Rule("allow", "net", "/de/"),
+    Rule("block", "example.net", "/de/8"),
+    Rule("block", "org", "/es/"),
+]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed rules, then hosts with many tracking links."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, RULES, tracking_hosts(pages))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -60,6 +77,7 @@ def queries() -> dict:
             op6_secret_scans,
             op7_quality_rules,
             op8_best_fit_packing,
+            op9_url_filters,
         )
     }
 
@@ -81,5 +99,34 @@ from keyed group by doc_id
 """
 
 
+_OP9 = """
+with cut as (
+  select page_id, url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+),
+parts as (
+  select page_id, url, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path
+  from cut
+),
+listed as (
+  select host from parts where url is not null and host <> '' group by host
+  having 100 * count(*) filter (where contains(url, 'utm_')) >= 25 * count(*)
+),
+rules(verdict, rhost, rpath) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'),
+  ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+found as (
+  select p.page_id, p.host, p.path, arg_max(r.rhost || r.rpath, length(r.rhost || r.rpath)) as rule,
+         arg_max(r.verdict, length(r.rhost || r.rpath)) as verdict
+  from parts p left join rules r
+    on (p.host = r.rhost or ends_with(p.host, '.' || r.rhost)) and starts_with(p.path, r.rpath)
+  group by p.page_id, p.host, p.path
+)
+select page_id, host, path, rule,
+       coalesce(verdict, case when host in (select host from listed) then 'block' else 'allow' end) as verdict
+from found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4}
+    return {"op4_line_dedup": _OP4, "op9_url_filters": _OP9}
