@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.llm import language_id, piece_encoding
 from marlspike.llm.common import table
 from marlspike.llm.jaccard_join import near_duplicates
 from marlspike.llm.line_dedup import dedup_lines
@@ -15,6 +16,14 @@ from marlspike.llm.token_counts import token_counts
 from marlspike.llm.url_filters import Rule, judge_urls, tracking_hosts
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network fitted on documents that are not held out, applied to all."""
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.predict(docs, net)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of byte-level BPE lengths of all documents, with its suffix sums."""
     return token_counts(table(spark, sf_dir, "documents"))
@@ -67,10 +76,19 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES, tracking_hosts(pages))
 
 
+def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge-dropout of a tenth; what the ids decode to is held against the text."""
+    encoded = piece_encoding.encode(table(spark, sf_dir, "documents"), dropout=0.1, seed=1)
+    out = piece_encoding.decode(encoded)
+    ids = [(F.length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32")]
+    return out.select("doc_id", *ids, (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            op1_language_id,
             op2_token_counts,
             op3_ngram_jaccard_join,
             op4_line_dedup,
@@ -78,6 +96,7 @@ def queries() -> dict:
             op7_quality_rules,
             op8_best_fit_packing,
             op9_url_filters,
+            op10_piece_encoding,
         )
     }
 
