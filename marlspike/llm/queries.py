@@ -14,6 +14,7 @@ from marlspike.llm.quality_rules import judge_quality
 from marlspike.llm.secrets import KINDS, find_secrets
 from marlspike.llm.token_counts import token_counts
 from marlspike.llm.url_filters import Rule, judge_urls, tracking_hosts
+from marlspike.llm.vector_dedup import near_duplicate_vectors
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 and more among all embeddings."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9).rows
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the fixed patterns and all spans."""
     found = find_secrets(table(spark, sf_dir, "documents"))
@@ -92,6 +98,7 @@ def queries() -> dict:
             op2_token_counts,
             op3_ngram_jaccard_join,
             op4_line_dedup,
+            op5_vector_dedup,
             op6_secret_scans,
             op7_quality_rules,
             op8_best_fit_packing,
