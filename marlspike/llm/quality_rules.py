@@ -121,7 +121,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """``doc_id``, the counts of ``BASE``, the measures, ``base_failed``, ``failed`` (measures at or over their cutoff) and ``kept``.
+    """``doc_id, stratum, text_hash`` (xxhash64 of the text), the counts of ``BASE``, the measures, ``base_failed``, ``failed`` (measures at or over their cutoff) and ``kept``.
 
     One row for each row of ``docs(doc_id, text, lang)``; without a lang column
     all are one stratum; a null lang is a stratum of its own. Words are runs of
@@ -132,8 +132,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
     """
     scratch = Scratch(docs.sparkSession, "quality")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(lang, F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text"))
-    counted = given.mapInArrow(_counted, "doc_id bigint, stratum string, " + ", ".join(f"{c} bigint" for c in BASE))
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(lang, F.lit("")).alias("stratum"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    counted = given.mapInArrow(_counted, "doc_id bigint, stratum string, text_hash bigint, " + ", ".join(f"{c} bigint" for c in BASE))
     counted = scratch.save(counted)
     measured = counted.select("*", *(F.coalesce(F.expr(e), F.lit(0.0)).alias(m) for m, e in MEASURES.items()))
     chosen = scratch.save(cutoffs(measured, labels, risk, delta))
