@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -14,6 +15,9 @@ class Entry(NamedTuple):
     sql: str | None
 
 
+#: Modules that register queries when they are imported.
+MODULES = ["search_queries", "risk_queries", "chunk_queries", "eval_queries"]
+
 _ENTRIES: dict[str, Entry] = {}
 
 
@@ -28,4 +32,6 @@ def query(sql: str | None = None):
 
 
 def entries() -> list[Entry]:
+    for name in MODULES:
+        importlib.import_module(f"marlspike.plans.{name}")
     return list(_ENTRIES.values())
