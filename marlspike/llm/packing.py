@@ -32,8 +32,8 @@ CAPACITY = 4096
 END = 1
 #: Ranks within a length are dealt over so many parts.
 PARTS = 64
-#: Bytes of ids in a batch that a worker hands on.
-BATCH = 8 << 20
+#: Bytes of text that a worker encodes and hands on together, one text at least.
+BATCH = 4 << 20
 PIECES = "array<struct<piece:int,start:bigint,ids:binary>>"
 _PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("ids", pa.binary())]))
 
@@ -47,7 +47,7 @@ def _encoded(name: str, path: str | None, capacity: int):
             at = 0
             while at < len(texts):  # a few texts at a time, so that long ones do not pile up
                 size, stop = 0, at
-                while stop < len(texts) and (size < BATCH // 16 or stop == at):
+                while stop < len(texts) and (size < BATCH or stop == at):
                     size += len(texts[stop].as_buffer() or b"") if texts[stop].is_valid else 0
                     stop += 1
                 out = []
