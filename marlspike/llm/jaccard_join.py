@@ -43,6 +43,10 @@ RANKS = 1 << 22
 BLOCK = 1 << 21
 #: Longs in a parity sketch.
 LONGS = 8
+#: Ids up to which those of the texts to verify are broadcast, 16 MB of longs; with more, the texts are shuffled to them.
+BROADCAST_IDS = 2_000_000
+#: Sets that a worker keeps while it verifies.
+SETS_KEPT = 64
 #: Star rounds before all pairs of different components are compared.
 ROUNDS = 3
 
@@ -137,23 +141,24 @@ def _features(k: int, similarity: int, ranks):
     return run
 
 
-def _sets(k: int):
+def _verified(k: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shingle_set(t, k).tobytes() for t in b.columns[1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.columns[0], pa.array(got, pa.binary())], ["rid", "hashes"])
-
-    return run
+        kept: dict[tuple, np.ndarray] = {}  # rows come ordered by b, and leaders repeat
 
+        def of(i: int, text: pa.Scalar) -> np.ndarray:
+            key = (i, text.as_py())  # an id may have several texts
+            s = kept.pop(key, None)
+            s = shingle_set(key[1], k) if s is None else s
+            kept[key] = s
+            if len(kept) > SETS_KEPT:
+                kept.pop(next(iter(kept)))
+            return s
 
-def _verified(similarity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c, x, y = b.columns
             keep = []
-            for p, q in zip(x, y, strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                both = np.concatenate((s, t))
+            for i, j, p, q in zip(a.to_pylist(), c.to_pylist(), x, y, strict=True):
+                both = np.concatenate((of(i, p), of(j, q)))
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * common >= similarity * (len(both) - common))
@@ -164,15 +169,15 @@ def _verified(similarity: int):
 
 
 def _verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """The pairs ``(a, b)`` that reach the similarity; only texts that stand in a pair are read again."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(need, "doc_id", "left_semi").mapInArrow(_sets(k), "rid bigint, hashes binary")
-    sets = scratch.save(sets)
-    left = sets.select(F.col("rid").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("rid").alias("b"), F.col("hashes").alias("y"))
+    """The pairs ``(a, b)`` that reach the similarity. Only texts that stand in a pair are read again; texts are half as large as their hashes."""
+    need = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+    texts = scratch.save(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    out = scratch.save(both.mapInArrow(_verified(similarity), "a bigint, b bigint"))
-    scratch.drop(sets)
+    out = scratch.save(both.mapInArrow(_verified(k, similarity), "a bigint, b bigint").distinct())
+    scratch.drop(need, texts)
     return out
 
 
@@ -207,7 +212,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rid"))
     classes = scratch.save(classes)
     reps = rows.alias("r").join(classes.alias("c"), (F.col("r.key") == F.col("c.key")) & (F.col("r.doc_id") == F.col("c.rid")))
-    reps = scratch.save(reps.select("rid", "n", *longs, "prefix").dropDuplicates(["rid", "n", *longs]))
+    reps = scratch.save(reps.select("rid", "n", *longs, "prefix"))
+    if reps.count() > classes.count():  # rows that repeat
+        reps = scratch.save(reps.dropDuplicates(["rid", "n", *longs]))
     sketch = reps.select("rid", "n", *longs)
 
     posting = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "gram"))
@@ -219,14 +226,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     member = scratch.save(member)
     repeated = rows.join(classes, "key").join(member.filter("rid <> other").select("doc_id", F.col("rid").alias("low")), "doc_id").filter("rid <> low")
     same = scratch.save(repeated.select(F.col("rid").alias("a"), F.col("low").alias("b")).distinct())
-    links = None
+    links = tested = None
     comp = sketch.select(F.col("rid").alias("node"), F.col("rid").alias("comp")).limit(0)
 
     def labelled() -> DataFrame:
         c = comp.select(F.col("node").alias("rid"), "comp")
         p = posting.join(c, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         mixed = p.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram")
-        return p.join(mixed, "gram")
+        return scratch.save(p.join(mixed, "gram"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
         a = sketch.select(F.col("rid").alias("a"), "n", *longs)
@@ -235,18 +242,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
 
     for r in range(ROUNDS + 1):
         last = r == ROUNDS
-        p = labelled() if links is not None else posting.withColumn("comp", F.col("rid"))
+        if links is None:
+            p = posting.withColumn("comp", F.col("rid"))
+        else:  # a bucket inside one component stays so: later rounds do without it
+            p = labelled()
+            scratch.drop(posting)
+            posting = p.drop("comp")
+            scratch.paths[id(posting)] = scratch.paths.pop(id(p))
         if last:
             p = scratch.save(p.join(sketch.drop("n"), "rid"))
             q = p.select("gram", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(longs)))
             met = p.withColumnRenamed("rid", "a").join(q, "gram").filter("a < b and comp <> comp2")
             # positional filter: what can still be common from here on must reach the required overlap
             met = met.filter(f"(1 + least(n - pos - 1, m - pos2 - 1)) * {100 + similarity} + {100 + similarity} * least(pos, pos2) >= {similarity} * (n + m)")
-            pairs = scratch.save(met.filter(_possible(similarity)).select("a", "b").distinct())
+            pairs = met.filter(_possible(similarity)).select("a", "b").distinct()
+            pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         else:
-            lead = p.groupBy("gram").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64(F.col("rid"), F.lit(r), F.pmod("gram", F.lit(4)))).alias("lead"))
+            lead = p.groupBy("gram").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64(F.col("rid"), F.lit(r), F.pmod("gram", F.lit(1 << r)))).alias("lead"))
             met = p.join(lead, "gram").filter("comp <> lead.comp")
             pairs = scratch.save(filtered(met.select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b")).distinct()))
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.isEmpty():
             found = _verify(scratch, docs, pairs, k, similarity)
             links = found if links is None else links.unionByName(found)
