@@ -28,7 +28,8 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("agent"), i.cast("string")).alias("agent"), F.get(F.array(*map(F.lit, ["private", "workspace", "shared", "global"])), i).alias("visibility"),
         F.array(*(F.concat(F.lit("t"), (F.col("event_id") % m).cast("string")) for m in (3, 5))).alias("tags"),
         F.when(F.col("event_id") % 2 == 0, F.round(F.col("value") * 3600).cast("bigint")).alias("ttl"),
-    )  # fmt: skip    d = d.withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy("event_id")).cast("bigint"))
+    )
+    d = d.withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy("event_id")).cast("bigint"))
     return d.withColumn("expires_at", kvstore.expires_at(F.col("ts").cast("timestamp"), F.col("ttl")))
 
 
