@@ -43,7 +43,7 @@ private internet computer service secure security love money happy lucky angel t
 banana apple purple yellow green black white blue red star house mother father sister brother the and for you""".split()
 #: Rows of a keyboard, the alphabet and the digits.
 WALKS = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789", "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm"]
-LOOKALIKE = str.maketrans("@4831!0$57", "aaebiiosst")
+LOOKALIKE = str.maketrans("@4381!0$57", "aaebiiosst")
 _RANK = {w: log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
 _LENGTHS = sorted({len(w) for w in WORDS})
 _NEXT = {(a, b) for row in WALKS for a, b in [*zip(row, row[1:]), *zip(row[::-1], row[::-1][1:])]}
