@@ -49,7 +49,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # the tables are held, so that no other gets their ids
+        self.counts: dict[int, tuple[DataFrame, int]] = {}
         atexit.register(self._remove, self.root)
 
     def _remove(self, path: str) -> None:
@@ -65,13 +66,26 @@ class Scratch:
         self.n += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
+    def count(self, saved: DataFrame) -> int:
+        """Rows of a table, counted once."""
+        if id(saved) not in self.counts:
+            self.counts[id(saved)] = (saved, saved.count())
+        return self.counts[id(saved)][1]
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            if path := self.paths.pop(id(t), None):
-                self._remove(path)
+            self.counts.pop(id(t), None)
+            if found := self.paths.pop(id(t), None):
+                self._remove(found[1])
+
+    def rename(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """``new`` stands for the saved table that it only selects from."""
+        if found := self.paths.pop(id(old), None):
+            self.paths[id(new)] = (new, found[1])
+        return new
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

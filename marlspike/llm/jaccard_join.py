@@ -37,8 +37,8 @@ from xxhash import xxh3_64_intdigest
 
 from marlspike.llm.common import Scratch, components
 
-#: Counters of the rarity table: a fixed 16 MB in driver and workers, whatever the input.
-RANKS = 1 << 22
+#: Counters of the rarity table: a fixed 4 MB in driver and workers, whatever the input.
+RANKS = 1 << 20
 #: N-grams that are counted together before only the repeated ones are passed on.
 BLOCK = 1 << 21
 #: Longs in a parity sketch.
@@ -47,8 +47,8 @@ LONGS = 8
 BROADCAST_IDS = 2_000_000
 #: Sets that a worker keeps while it verifies.
 SETS_KEPT = 64
-#: Star rounds before all pairs of different components are compared.
-ROUNDS = 3
+#: Star rounds go on while one confirms at least this share of its pairs, so many at most; then all pairs of different components are compared.
+FRUITFUL, ROUNDS = 0.2, 6
 
 _ODD = [np.uint64(2 * int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") + 1 & (2**64 - 1)) for i in range(64)]
 
@@ -78,6 +78,24 @@ def prefix_length(n, similarity: int):
     return n - (n * similarity + 99) // 100 + 1
 
 
+def parities(s: np.ndarray, bits: int) -> np.ndarray:
+    """Which of so many bits (a power of two) are flipped an odd number of times, one flip for each n-gram, as bytes."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def fine_bits(n: int) -> int:
+    """Bits of the finer sketch of a set: at least twice its size, so the bound stays close for long texts."""
+    return max(64 * LONGS, 1 << (2 * n - 1).bit_length()) if n else 64 * LONGS
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference, from two finer sketches; the larger one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0) ^ y).sum())
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
@@ -120,27 +138,39 @@ def _features(k: int, similarity: int, ranks):
         counts = ranks.value
         for b in batches:
             ids, texts = b.columns
-            n, keys, sketches, prefixes = [], [], [[] for _ in range(LONGS)], []
+            n, keys, sketches, fine, prefixes = [], [], [[] for _ in range(LONGS)], [], []
             for text in texts.to_pylist():
                 s = shingle_set(text, k)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                flips = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * LONGS).astype(np.uint8) & 1
-                for to, v in zip(sketches, np.packbits(flips).view(np.int64), strict=True):
+                for to, v in zip(sketches, parities(s, 64 * LONGS).view(np.int64), strict=True):
                     to.append(v)
+                fine.append(parities(s, fine_bits(len(s))).tobytes())
                 p = prefix_length(len(s), similarity) if len(s) else 0
                 rare = counts[(s % np.uint64(RANKS)).astype(np.int64)]
                 prefixes.append(s[np.lexsort((s, rare))[:p]].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in sketches), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "n", "key", *(f"s{i}" for i in range(LONGS)), "prefix"],
+                [ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in sketches), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["doc_id", "n", "key", *(f"s{i}" for i in range(LONGS)), "fine", "prefix"],
             )
 
     return run
 
 
+def _close(similarity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c, n, m, x, y = b.columns
+            most = [(100 - similarity) * (p + q) // (100 + similarity) for p, q in zip(n.to_pylist(), m.to_pylist(), strict=True)]
+            keep = [least_difference(p, q) <= d for p, q, d in zip(x.to_pylist(), y.to_pylist(), most, strict=True)]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], ["a", "b"])
+
+    return run
+
+
 def _verified(k: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, np.ndarray] = {}  # rows come ordered by b, and leaders repeat
@@ -168,17 +198,28 @@ def _verified(k: int, similarity: int):
     return run
 
 
-def _verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """The pairs ``(a, b)`` that reach the similarity. Only texts that stand in a pair are read again; texts are half as large as their hashes."""
-    need = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    texts = scratch.save(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    out = scratch.save(both.mapInArrow(_verified(k, similarity), "a bigint, b bigint").distinct())
-    scratch.drop(need, texts)
-    return out
+def _few(scratch: Scratch, pairs: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``of``, or the pairs themselves, broadcast if there are few pairs; it holds at most two rows for each."""
+    return F.broadcast(of or pairs) if scratch.count(pairs) <= BROADCAST_IDS // 2 else of or pairs
+
+
+def _verify(scratch: Scratch, docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """The pairs ``(a, b)`` that reach the similarity.
+
+    Finer sketches, an eighth of the texts or less, meet first; then the texts of
+    the pairs that are left. Texts are half as large as their sets of hashes.
+    """
+    def sides(table: DataFrame, among: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        need = among.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        held = scratch.save(table.join(_few(scratch, among, need), "doc_id", "left_semi"))
+        return tuple(held.select(F.col("doc_id").alias(to), *(F.col(c).alias(f"{to}_{c}") for c in columns)) for to in ("a", "b"))
+
+    left, right = sides(rows.select("doc_id", "n", "fine"), pairs, "n", "fine")
+    both = left.join(_few(scratch, pairs), "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_fine", "b_fine")
+    close = scratch.save(both.mapInArrow(_close(similarity), "a bigint, b bigint").distinct())
+    left, right = sides(docs.select("doc_id", "text"), close, "text")
+    both = left.join(_few(scratch, close), "a").join(right, "b").select("a", "b", "a_text", "b_text")
+    return scratch.save(both.mapInArrow(_verified(k, similarity), "a bigint, b bigint").distinct())
 
 
 def _possible(similarity: int) -> str:
@@ -206,13 +247,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = spark.sparkContext.broadcast(rarity(docs, k))
     longs = [f"s{i}" for i in range(LONGS)]
-    schema = "doc_id bigint, n bigint, key binary, " + ", ".join(f"{c} bigint" for c in longs) + ", prefix array<bigint>"
+    schema = "doc_id bigint, n bigint, key binary, " + ", ".join(f"{c} bigint" for c in longs) + ", fine binary, prefix array<bigint>"
     rows = scratch.save(docs.mapInArrow(_features(k, similarity, ranks), schema))
 
+    ranks.destroy()
+
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rid"))
     classes = scratch.save(classes)
-    reps = rows.alias("r").join(classes.alias("c"), (F.col("r.key") == F.col("c.key")) & (F.col("r.doc_id") == F.col("c.rid")))
-    reps = scratch.save(reps.select("rid", "n", *longs, "prefix"))
+    copies = rows.select("doc_id", "key").join(classes, "key").filter("doc_id <> rid").select("doc_id", "key").distinct()
+    copies = scratch.save(copies)
+    reps = rows.filter("n > 0 and doc_id is not null").join(_few(scratch, copies), ["doc_id", "key"], "left_anti")
+    reps = scratch.save(reps.select(F.col("doc_id").alias("rid"), "n", *longs, "prefix"))
     if reps.count() > classes.count():  # rows that repeat
         reps = scratch.save(reps.dropDuplicates(["rid", "n", *longs]))
     sketch = reps.select("rid", "n", *longs)
@@ -240,15 +285,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
         b = sketch.select(F.col("rid").alias("b"), F.col("n").alias("m"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(longs)))
         return pairs.join(a, "a").join(b, "b").filter(_possible(similarity)).select("a", "b").distinct()
 
-    for r in range(ROUNDS + 1):
-        last = r == ROUNDS
+    last, r = False, 0
+    while True:
         if links is None:
             p = posting.withColumn("comp", F.col("rid"))
         else:  # a bucket inside one component stays so: later rounds do without it
             p = labelled()
             scratch.drop(posting)
-            posting = p.drop("comp")
-            scratch.paths[id(posting)] = scratch.paths.pop(id(p))
+            posting = scratch.rename(p, p.drop("comp"))
         if last:
             p = scratch.save(p.join(sketch.drop("n"), "rid"))
             q = p.select("gram", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(longs)))
@@ -262,12 +306,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
             met = p.join(lead, "gram").filter("comp <> lead.comp")
             pairs = scratch.save(filtered(met.select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b")).distinct()))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.isEmpty():
-            found = _verify(scratch, docs, pairs, k, similarity)
+        n, confirmed = scratch.count(pairs), 0
+        if n:
+            found = _verify(scratch, docs, rows, pairs, k, similarity)
+            confirmed = scratch.count(found)
             links = found if links is None else links.unionByName(found)
             comp = components(scratch, links)
         elif links is None:
             links = pairs
+        if last:
+            break
+        r += 1
+        last = r == ROUNDS or confirmed < FRUITFUL * n or not n
     if not same.isEmpty():
         comp = components(scratch, links.unionByName(same))
     return (
