@@ -156,3 +156,39 @@ def test_manifest(spark):
     d = spark.createDataFrame([("a", bytearray(b"")), ("b", bytearray(b"x\0y" * 3))], "path string, content binary")
     m = {r.path: r for r in sync.manifest(d, 4).collect()}
     assert len(m["a"].blocks) == 1 and not m["a"].is_binary and m["b"].is_binary and [x.size for x in m["b"].blocks] == [4, 4, 1]
+
+
+def test_embedding_batches(spark):
+    from marlspike.operators import present
+
+    d = spark.createDataFrame([(i, 1000 if i % 4 else 7000) for i in range(60)], "id bigint, tokens bigint").coalesce(1)
+    by: dict = {}
+    for r in present.batches(d, 5, 7500).collect():
+        by.setdefault((r.part, r.batch), []).append(r.tokens)
+    assert all(len(v) <= 5 and (sum(v) <= 7500 or len(v) == 1) for v in by.values()) and sum(map(len, by.values())) == 60
+
+
+def test_signature_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    from marlspike.operators import present
+
+    key = present.derived_key("s", "salt", "info")
+    want = hmac.new(key, b"n\0text", hashlib.sha256).hexdigest()[:16]
+    assert one(spark, present.signature(key, F.lit("n"), F.lit("text")).alias("x")).x == want
+
+
+def test_entry_without_the_training_data_part(tmp_path):
+    """The rest imports and lists its queries when that part is gone."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(k.startswith('op') and k[2].isdigit() for k in q), q; e.oracle_sql()"
+    env = os.environ | {"PYTHONPATH": str(tmp_path / "r")}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=env, check=True, timeout=120)
