@@ -10,7 +10,7 @@ from marlspike.llm.common import table
 from marlspike.llm.jaccard_join import near_duplicates
 from marlspike.llm.line_dedup import dedup_lines
 from marlspike.llm.packing import pack_documents
-from marlspike.llm.quality_rules import judge_quality
+from marlspike.llm.quality_rules import GRID, MEASURES, judge_quality
 from marlspike.llm.secrets import KINDS, find_secrets
 from marlspike.llm.token_counts import token_counts
 from marlspike.llm.url_filters import Rule, judge_urls, tracking_hosts
@@ -154,5 +154,89 @@ from found
 """
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_OP3 = f"""
+with recursive w as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),
+g as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) as i from w where len(w) > 0)
+),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e2 as (select a, b from e union all select b, a from e),
+r(node, comp) as (select doc_id, doc_id from documents union select e2.b, r.comp from r join e2 on e2.a = r.node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from documents d left join n using (doc_id) join (select node, min(comp) as component_id from r group by node) c on c.node = d.doc_id
+"""
+
+_OP5 = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
+e as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id
+  where list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])) / (a.n * b.n) >= 0.9
+),
+r(node, comp) as (select vec_id, vec_id from embeddings union select e.b, r.comp from r join e on e.a = r.node),
+l as (select a as vec_id, count(*) as n_links from e group by a)
+select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept
+from (select node as vec_id, min(comp) as component_id from r group by node) c left join l using (vec_id)
+"""
+
+_MEASURES_SQL = {
+    "symbol_share": "coalesce(1000 * n_symbols / nullif(word_chars, 0), 0)",
+    "dup_line_share": "coalesce(1000 * n_dup_lines / nullif(n_lines, 0), 0)",
+    "repeat_share": "coalesce(1000 * n_repeat_words / nullif(n_words, 0), 0)",
+    "long_words": "coalesce(1000 * word_chars / nullif(n_words, 0) / 20, 0)",
+    "short_words": "coalesce(1000 - 1000 * word_chars / nullif(n_words, 0) / 20, 0)",
+}
+_FAILED = ", ".join(f"case when {m} >= cut_{m} then '{m}' end" for m in MEASURES)
+_OP7 = rf"""
+with t as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
+w as (select doc_id, stratum, text, {_WORDS.format("text")} as w, string_split(text, chr(10)) as l from t),
+g as (select doc_id, i, w[i:i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1),
+covered as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from again) group by doc_id),
+lines as (select doc_id, line, count(*) as c from (select doc_id, unnest(l) as line from w) where regexp_matches(line, '[^ 	-]') group by all),
+dup as (select doc_id, sum(c - 1)::bigint as n from lines group by doc_id),
+b as (
+  select doc_id, stratum, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words, len(l) as n_lines
+  from w left join dup using (doc_id) left join covered using (doc_id)
+),
+m as (select *, {', '.join(f'{e} as {m}' for m, e in _MEASURES_SQL.items())} from b),
+good as (select m.* from m semi join (select distinct doc_id from labels where quality = 1) q using (doc_id)),
+long as (unpivot (select stratum, {', '.join(f'{m}::double as {m}' for m in MEASURES)} from good) on {', '.join(MEASURES)} into name measure value v),
+tried as (
+  select stratum, measure, i, cutoff, count(*) as n, count(*) filter (where v >= cutoff) as k
+  from long, (select unnest({GRID}) as cutoff, unnest(range(0, {len(GRID)})) as i) group by all
+),
+tested as (
+  select *, k < n * 0.01 and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - (case when j = 0 then 0 else lgamma(j + 1) end) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99))))
+    <= 0.05 / ({len(MEASURES)} * (select count(distinct stratum) from long)) as ok from tried
+),
+head as (select *, sum(case when ok then 0 else 1 end) over (partition by stratum, measure order by i) as failed from tested),
+best as (select stratum, measure, min(cutoff) as cutoff from head where failed = 0 group by all),
+cuts as (select stratum, {', '.join(f"max(cutoff) filter (where measure = '{m}') as cut_{m}" for m in MEASURES)} from best group by stratum),
+v as (
+  select m.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, list_filter([{_FAILED}], lambda x: x is not null) as f
+  from m left join cuts using (stratum)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and len(f) = 0 as kept, coalesce(array_to_string(f, ','), '') as failed from v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4, "op9_url_filters": _OP9}
+    """SQL of the operators that SQL can express; tokenizers, models and guess costs it cannot."""
+    return {
+        "op3_ngram_jaccard_join": _OP3,
+        "op4_line_dedup": _OP4,
+        "op5_vector_dedup": _OP5,
+        "op7_quality_rules": _OP7,
+        "op9_url_filters": _OP9,
+    }
