@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlspike.llm.common import Scratch
+
 #: Characters stripped from both ends of a line before it is compared.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,6 +40,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     each = rows.select("id", "th", F.posexplode("lines").alias("pos", "line")).select("id", "th", "pos", key.alias("key"))
     each = each.filter(F.length("key") >= min_chars).select("id", "th", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"))
     common = each.select("k1", "k2", "id").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    # written, so that both sides of the join below have exchanges of their own and AQE can split a line that is everywhere
+    common = Scratch(docs.sparkSession, "lines").save(common.select("k1", "k2"))
     gone = each.join(common, ["k1", "k2"], "left_semi").groupBy(F.col("id").alias("gid"), F.col("th").alias("gth")).agg(F.collect_set("pos").alias("gone"))
     met = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
