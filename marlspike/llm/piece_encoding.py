@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from marlspike.llm.common import bounded_batches
 from marlspike.llm.tokens import public_path
 
 VARIANTS = 16
 #: Characters up to which a chunk goes side by side with others of its length.
 SIDE_BY_SIDE = 48
+#: Slots of the table of pairs, a power of two.
+SLOTS = 1 << 20
 #: Rows that go side by side at once.
 ROWS = 4096
 #: Characters encoded together.
@@ -74,19 +77,37 @@ class PieceEncoder:
                 if (a := plain.get(p[:k])) is not None and (b := plain.get(p[k:])) is not None:
                     pairs[a * n + b] = i
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        # pairs by hash, with the next free slot where two meet: one or two reads where a search would take seventeen
+        self.keys, self.made = np.full(SLOTS, -1, np.int64), np.full(SLOTS, -1, np.int32)
+        for k, i in pairs.items():
+            at = int(self._slot(np.array([k]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) % SLOTS
+            self.keys[at], self.made[at] = k, i
         self.scores = np.array([sp.get_score(i) for i in range(n)], np.float32)
         self.text = [self.bytes.get(i) or pieces[i].replace(SPACE, " ").encode() if i in self.bytes or pieces[i] in plain else b"" for i in range(n)]
 
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * _K1) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
     def _skipped(self, key, start, middle, end):
         return _mix(_mix(key + start * _K1) + middle * _K2 + end * _K3) < self.skip_below
 
     def _candidates(self, left, right, key, start, middle, end) -> tuple[np.ndarray, np.ndarray]:
         """What each pair makes (-1: nothing, or skipped) and its score."""
         want = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        ok = self.keys[at] == want
+        at = self._slot(want)
+        held = self.keys[at]
+        ok = (held == want) & (want >= 0)
+        open_ = np.nonzero((held >= 0) & ~ok & (want >= 0))
+        while len(open_[0]):
+            step = (at[open_] + 1) % SLOTS
+            at[open_] = step
+            held = self.keys[step]
+            ok[open_] = held == want[open_]
+            more = (held >= 0) & (held != want[open_])
+            open_ = tuple(x[more] for x in open_)
         if self.dropout:
             ok &= ~self._skipped(key, start.astype(np.uint64), middle.astype(np.uint64), end.astype(np.uint64))
         made = np.where(ok, self.made[at], -1)
@@ -259,6 +280,7 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, vocabulary: str
             ids = encoder.encode(texts, b.columns[0].to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return given.mapInArrow(run, "doc_id bigint, text string, ids binary")
 
