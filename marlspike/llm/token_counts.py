@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlspike.llm.common import Scratch
+from marlspike.llm.common import Scratch, bounded_batches
 from marlspike.llm.tokens import ByteCounter, public_path, worker
 
 #: Lengths summed together before suffix sums run over the sums.
@@ -27,6 +27,7 @@ def _counted(name: str, path: str | None):
 
 def token_lengths(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens`` for every row of ``docs(doc_id, text)``; null and empty texts have 0."""
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return given.mapInArrow(_counted(vocabulary, path), "doc_id bigint, n_tokens bigint")
 

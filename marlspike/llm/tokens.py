@@ -15,7 +15,7 @@ import numpy as np
 
 #: Chunks whose ids a worker keeps, and the longest that it keeps; beyond, they are encoded again.
 KEPT, LONGEST = 1_000_000, 48
-_WORKERS: dict[tuple[str, str], object] = {}
+_WORKERS: dict[tuple, object] = {}
 
 
 #: Latin letters, and marks behind them, that the splitter takes as one or two pieces and the normaliser leaves apart (U+0130 lower-cases to two characters).
@@ -30,7 +30,7 @@ class WordEncoder:
     tokens count as such, as the library does unless told otherwise.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,6 +40,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.kept = kept
 
     def _plain(self, chunk: bytes) -> bytes:
         ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
@@ -50,6 +51,8 @@ class WordEncoder:
 
         A chunk of Latin letters is one such piece, and one more if marks follow; of other chunks nothing is foreseen.
         """
+        if not chunks:
+            return []
         texts = b" ".join(chunks).decode("utf-8").split(" ")
         words = [bool(_LATIN(t)) for t in texts]
         out = [b"" if w else self._plain(c) for w, c in zip(words, chunks, strict=True)]
@@ -69,7 +72,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         # A-Z may be lower-cased before the rest where nothing can compose with them
         chunks = [(t.encode("utf-8").lower() if t.isascii() and "<|" not in t else t.encode("utf-8")).split() if t else [] for t in texts]
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.known.clear()
         ids, every = self.known, list(chain.from_iterable(chunks))
         got = list(map(ids.get, every))
@@ -116,11 +119,11 @@ class ByteCounter:
         return n
 
 
-def worker(kind, path: str):
+def worker(kind, path: str, *more):
     """This worker's one encoder of a kind and a file."""
-    key = (kind.__name__, path)
+    key = (kind.__name__, path, *more)
     if key not in _WORKERS:
-        _WORKERS[key] = kind(path)
+        _WORKERS[key] = kind(path, *more)
     return _WORKERS[key]
 
 
