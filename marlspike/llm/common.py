@@ -37,6 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows in a batch that goes to Python: some MB of texts. The session's own setting holds if it is lower.
+BATCH_ROWS = 2500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let fewer rows go to Python at once than Spark would, as rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to be read more than once.
 
@@ -46,6 +57,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
@@ -88,6 +100,10 @@ class Scratch:
         return new
 
 
+#: Edges in a partition while components are sought; small graphs go through few tasks and files.
+EDGES = 250_000
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """``(node, comp)`` for every node of ``edges(a, b)``: comp is the least node of its component.
 
@@ -98,15 +114,16 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """
     ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     now, state = scratch.save(ordered), None
+    parts = scratch.count(now) // EDGES + 4
     while True:
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m"))
-        large = both.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.least("m", "hi").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = both.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(parts)
+        large = both.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.least("m", "hi").alias("lo")).distinct().coalesce(parts)
+        least = large.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(parts)
         small = large.join(least, "hi").select(
             F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")
         )
-        small = small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
+        small = small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct().coalesce(parts)
         following = scratch.save(small)
         scratch.drop(now)
         now = following

@@ -40,7 +40,7 @@ from marlspike.llm.common import Scratch, components
 #: Counters of the rarity table: a fixed 4 MB in driver and workers, whatever the input.
 RANKS = 1 << 20
 #: N-grams that are counted together before only the repeated ones are passed on.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Longs in a parity sketch.
 LONGS = 8
 #: Ids up to which those of the texts to verify are broadcast, 16 MB of longs; with more, the texts are shuffled to them.
@@ -96,11 +96,6 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0) ^ y).sum())
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-
 def _repeated(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -112,13 +107,13 @@ def _repeated(k: int):
             sums = np.bincount(at, weights=counts[more], minlength=len(slots)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(sums)], ["slot", "n"])
 
-        for (text,) in _texts(batches):
-            s = shingle_set(text, k)
-            held.append(s)
-            n += len(s)
-            if n >= BLOCK:
-                yield flush()
-                held, n = [], 0
+        for b in batches:
+            for text in b.columns[0]:
+                held.append(shingle_set(text.as_py(), k))
+                n += len(held[-1])
+                if n >= BLOCK:
+                    yield flush()
+                    held, n = [], 0
         if n:
             yield flush()
 
@@ -139,8 +134,8 @@ def _features(k: int, similarity: int, ranks):
         for b in batches:
             ids, texts = b.columns
             n, keys, sketches, fine, prefixes = [], [], [[] for _ in range(LONGS)], [], []
-            for text in texts.to_pylist():
-                s = shingle_set(text, k)
+            for text in texts:
+                s = shingle_set(text.as_py(), k)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 for to, v in zip(sketches, parities(s, 64 * LONGS).view(np.int64), strict=True):

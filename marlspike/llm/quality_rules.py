@@ -72,7 +72,7 @@ def base_counts(text: str | None) -> tuple[int, ...]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = np.array([base_counts(t) for t in b.columns[-1].to_pylist()], np.int64).reshape(-1, len(BASE))
+        got = np.array([base_counts(t.as_py()) for t in b.columns[-1]], np.int64).reshape(-1, len(BASE))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(got[:, i]) for i in range(len(BASE)))], [*b.schema.names[:-1], *BASE])
 
 

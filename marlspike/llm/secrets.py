@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlspike.llm.common import bounded_batches
+
 KINDS = ["assign", "access", "hex", "guess"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -169,13 +171,13 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 def _scanned(guesses: float, redact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            found = [scan(t, guesses) for t in texts]
+            texts = b.column("text")
+            found = [scan(t.as_py(), guesses) for t in texts]
             spans = pa.array([[dict(zip(("kind", "start", "end", "log10_guesses"), s, strict=True)) for s in f] for f in found], _SPANS)
             names = [n for n in b.schema.names if n != "text" or not redact]
             cols = [b.column(n) for n in names] + [spans]
             if redact:
-                cols.append(pa.array([redacted(t, f) for t, f in zip(texts, found, strict=True)], pa.string()))
+                cols.append(pa.array([redacted(t.as_py(), f) for t, f in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, [*names, "spans", *["text"] * redact])
 
     return run
@@ -189,6 +191,7 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     ignored. Values of a ``guess`` span stand in a credential context, hold a
     digit and something else, meet no other span and cost at least 10**guesses.
     """
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run = _scanned(guesses, False)
     return given.mapInArrow(lambda batches: (b.select(["doc_id", "spans"]) for b in run(batches)), f"doc_id bigint, spans {SPANS}")
@@ -196,6 +199,7 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     """The rows and columns of ``docs`` with every secret in ``text`` replaced by ``[SECRET]``; null texts stay null."""
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.struct(*[c for c in docs.columns if c.lower() != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([given.schema["row"], *T._parse_datatype_string(f"spans {SPANS}, text string").fields])
     out = given.mapInArrow(_scanned(guesses, True), schema)
