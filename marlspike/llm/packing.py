@@ -38,7 +38,7 @@ PIECES = "array<struct<piece:int,start:bigint,ids:binary>>"
 _PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("ids", pa.binary())]))
 
 
-def _encoded(name: str, path: str | None, capacity: int, kept: int):
+def _encoded(name: str, path: str | None, capacity: int, kept: int, batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker(WordEncoder, path or public_path(name), kept)
         end = np.array([END], "<u4").tobytes()
@@ -47,7 +47,7 @@ def _encoded(name: str, path: str | None, capacity: int, kept: int):
             at = 0
             while at < len(texts):  # a few texts at a time, so that long ones do not pile up
                 size, stop = 0, at
-                while stop < len(texts) and (size < BATCH or stop == at):
+                while stop < len(texts) and (size < batch or stop == at):
                     size += len(texts[stop].as_buffer() or b"") if texts[stop].is_valid else 0
                     stop += 1
                 out = []
@@ -60,16 +60,17 @@ def _encoded(name: str, path: str | None, capacity: int, kept: int):
     return run
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", path: str | None = None, kept: int = KEPT) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", path: str | None = None, kept: int = KEPT, batch: int = BATCH) -> DataFrame:
     """``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit) of all of ``docs(doc_id, text)``.
 
     ``path`` names the vocabulary file if workers do not find it by its name;
-    ``kept`` is how many words a worker remembers (some 250 MB for a million).
+    ``kept`` is how many words a worker remembers (some 250 MB for a
+    million), ``batch`` how many bytes of text it encodes together.
     Null and empty texts are the end id alone.
     """
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = given.mapInArrow(_encoded(vocabulary, path, capacity, kept), f"doc_id bigint, pieces {PIECES}")
+    found = given.mapInArrow(_encoded(vocabulary, path, capacity, kept, batch), f"doc_id bigint, pieces {PIECES}")
     each = found.select("doc_id", F.explode("pieces").alias("p"))
     return each.select("doc_id", "p.piece", "p.start", (F.length("p.ids") / 4).cast("bigint").alias("length"), "p.ids")
 
@@ -189,13 +190,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", path: str | None = None, kept: int = KEPT) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", path: str | None = None, kept: int = KEPT, batch: int = BATCH) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every row of ``docs``.
 
     Only documents over the capacity are cut. The ids themselves come from
     :func:`token_pieces`; here their CRC-32 is kept.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = token_pieces(docs, capacity, vocabulary, path, kept)
+    pieces = token_pieces(docs, capacity, vocabulary, path, kept, batch)
     pieces = scratch.save(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return pack(pieces, capacity)
