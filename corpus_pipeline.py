@@ -18,8 +18,8 @@ from marlspike.llm.secrets import redact_secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Words that a worker remembers while it packs; other stages have used its memory too.
-WORDS_KEPT = 200_000
+#: Words that a worker remembers while it packs, and bytes of text that it encodes together; other stages need its memory too.
+WORDS_KEPT, TEXT_TOGETHER = 200_000, 1 << 20
 
 #: Rejects up to which their keys are broadcast: two longs each, 32 MB at most. With more, the join shuffles.
 BROADCAST_KEYS = 1_000_000
@@ -68,7 +68,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of at most 4096 tokens."""
-    return pack_documents(docs, kept=WORDS_KEPT)
+    return pack_documents(docs, kept=WORDS_KEPT, batch=TEXT_TOGETHER)
 
 
 STAGES = [
