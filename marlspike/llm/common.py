@@ -81,6 +81,10 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def path(self, saved: DataFrame) -> str:
+        """Where a saved table lies."""
+        return self.paths[id(saved)][1]
+
     def count(self, saved: DataFrame) -> int:
         """Rows of a table, counted once."""
         if id(saved) not in self.counts:

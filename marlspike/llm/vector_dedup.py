@@ -2,19 +2,24 @@
 
 1. Equal vectors are one *class*; its least id stands for it.
 2. Centroids fitted on a bounded sample deal the classes to cells, each to its
-   two nearest, so cells overlap. Cells over ``MOST`` are dealt anew by
-   centroids of their own until none is, so a cell fits one task at any size
+   nearest. Cells over ``MOST`` are dealt anew by centroids of their own, and
+   cut by hash where nothing separates them, so a cell fits one task at any size
    of input.
 3. Each cell builds a graph: nearest and random candidates, robust-pruned, with
-   edges back. A vector's adjacency lists from all its cells are united.
-4. Each cell searches its united graph: from the nearest medoids greedily with a
+   edges back.
+4. Each cell searches its graph: from the nearest medoids greedily with a
    beam, then, from whatever lies in range, along edges as long as more does.
    The cell audits itself against brute force on a part of its vectors and
-   doubles the beam until the wanted recall is reached.
-5. Pairs are verified in double precision. A pair that two cells share counts in
-   the first of them, so cells return counts and a spanning forest, never pairs.
-
-A cell holds at most ``MOST`` vectors, except where nothing separates them.
+   doubles the beam until the wanted recall is reached. A cell with very many
+   links is compared with itself in blocks instead.
+5. Vectors of different cells are compared in blocks, every pair of cells once,
+   except for vectors that lie too far from a cell's centre to reach any of it
+   (by the triangle inequality). This step is exact: no link between cells is lost.
+6. Pairs are verified in double precision. Tasks return counts and a spanning
+   forest, never pairs.
+
+Step 5 takes time with the square of the number of vectors where they are spread
+so widely that distance from centres excludes nothing.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ SAMPLE, CENTROIDS = 16_384, 512
 DEGREE, NEAREST, RANDOM, ALPHA = 32, 48, 48, 1.2
 #: Beam at first, the share of a cell that is audited, and the recall it must show.
 BEAM, AUDITED, RECALL = 32, 0.02, 0.98
+#: Links (each from both ends) from which on a cell is compared in blocks, pairs in a block, and bytes of vectors sent to all tasks at once.
+DENSE, BLOCK, HELD = 1 << 22, 1 << 21, 1 << 23
 
 
 class NearDuplicates(NamedTuple):
@@ -67,13 +74,6 @@ def centroids(x: np.ndarray, k: int, seed: int = 0, rounds: int = 8) -> np.ndarr
     return c
 
 
-def _nearest_two(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    s = x @ c.T
-    if c.shape[0] <= 2:
-        return np.broadcast_to(np.arange(c.shape[0]), (len(x), c.shape[0]))
-    return np.argpartition(-s, 1, axis=1)[:, :2]
-
-
 def _stack(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
@@ -202,15 +202,69 @@ def _true(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.n
     return np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 50_000]], x[b[i : i + 50_000]]) >= threshold for i in range(0, len(a), 50_000)] or [np.empty(0, bool)])
 
 
+def _hits(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of a block of unit vectors reach the threshold: in single precision, in double where that is unsure."""
+    s = x.astype(np.float32) @ y.astype(np.float32).T
+    hit = s >= np.float32(threshold + 1e-5)
+    a, b = np.nonzero((s >= np.float32(threshold - 1e-5)) & ~hit)
+    for i in range(0, len(a), 50_000):
+        p, q = a[i : i + 50_000], b[i : i + 50_000]
+        hit[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
+    return hit
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least of its component over edges (a, b)."""
+    root = np.arange(n)
+    while True:  # least index over all pairs, with pointers halved, until nothing moves
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+class _Tally:
+    """Links and roots of nodes, which may be added, from one block of hits after another."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.links, self.root = weights, np.zeros(len(weights), np.int64), np.arange(len(weights))
+
+    def grow(self, weights: np.ndarray) -> int:
+        n = len(self.root)
+        self.weights = np.concatenate([self.weights, weights])
+        self.links = np.concatenate([self.links, np.zeros(len(weights), np.int64)])
+        self.root = np.concatenate([self.root, n + np.arange(len(weights))])
+        return n
+
+    def add(self, rows: np.ndarray, cols: np.ndarray, hit: np.ndarray, both: bool = True) -> None:
+        """Count ``hit`` for its rows and, if ``both``, its columns; each is a node in one row or column only."""
+        i, j = np.nonzero(hit)
+        if not len(i):
+            return
+        a, b = rows[i], cols[j]
+        self.links[rows] += np.bincount(i, self.weights[b], len(rows)).astype(np.int64)
+        if both:
+            self.links[cols] += np.bincount(j, self.weights[a], len(cols)).astype(np.int64)
+        p, q = self.root[a], self.root[b]
+        new = p != q
+        if new.any():
+            nodes, at = np.unique(np.concatenate([p[new], q[new]]), return_inverse=True)
+            to = np.arange(len(self.root))
+            to[nodes] = nodes[_roots(len(nodes), *np.split(at, 2))]
+            self.root = to[self.root]
+
+
 def _cells(kind: str, sets):
-    """Deal vectors to the two nearest centroids; ``sets`` gives the centroids for a cell."""
+    """Deal vectors to the nearest centroid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 rid, w, vec = b.columns
-                two = _nearest_two(unit(_stack(vec.to_pylist(), kind)), sets.value)
-                yield pa.RecordBatch.from_arrays([rid, w, vec, pa.array(two.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["rid", "w", "vec", "to"])
+                to = (unit(_stack(vec.to_pylist(), kind)) @ sets.value.T).argmax(1)
+                yield pa.RecordBatch.from_arrays([rid, w, vec, pa.array(to, pa.int64())], ["rid", "w", "vec", "cell"])
 
     return run
 
@@ -227,77 +281,119 @@ def _deal_anew(kind: str):
             rid, w, vec, cell, centers, k = b.columns
             to = []
             for v, c, n in zip(vec.to_pylist(), centers.to_pylist(), k.to_pylist(), strict=True):
-                to.append(_nearest_two(unit(_stack([v], kind)), np.frombuffer(c).reshape(n, -1))[0].tolist())
-            yield pa.RecordBatch.from_arrays([rid, w, vec, cell, pa.array(to, pa.list_(pa.int64()))], ["rid", "w", "vec", "cell", "to"])
+                to.append(int((unit(_stack([v], kind)) @ np.frombuffer(c).reshape(n, -1).T).argmax()))
+            yield pa.RecordBatch.from_arrays([rid, w, vec, cell, pa.array(to, pa.int64())], ["rid", "w", "vec", "cell", "to"])
 
     return train, deal
 
 
-def _built(kind: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid")
-        rid = pdf["rid"].to_numpy(np.int64)
-        a = build(unit(_stack(pdf["vec"], kind)))
-        src = np.repeat(np.arange(len(a)), DEGREE)
-        dst = a.ravel().astype(np.int64)
-        ok = dst >= 0
-        starts, targets = _lists(np.concatenate([src[ok], dst[ok]]), np.concatenate([dst[ok], src[ok]]), len(a))
-        return pd.DataFrame({"rid": rid, "near": [rid[targets[s:e]].tolist() for s, e in zip(starts[:-1], starts[1:], strict=True)]})
-
-    return run
-
-
 def _searched(kind: str, threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid").reset_index(drop=True)
+        pdf = pdf.sort_values("rid")
         rid, w = pdf["rid"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64)
         n, cell = len(rid), int(pdf["cell"].iloc[0])
         x = unit(_stack(pdf["vec"], kind))
-        near = [np.asarray(v, np.int64) for v in pdf["near"]]
-        src, to = np.repeat(np.arange(n), [len(v) for v in near]), np.concatenate(near)
-        at = np.minimum(np.searchsorted(rid, to), n - 1)
-        here = rid[at] == to
-        starts, targets = _lists(src[here], at[here], n)
-        c = centroids(x, max(1, int(4 * np.sqrt(n))), rounds=3)
-        medoids = np.unique((c @ x.T).argmax(1))
         every = np.arange(n)
         audit = np.unique(np.linspace(0, n - 1, max(1, int(np.ceil(AUDITED * n)))).astype(int))
         truth = int(((x[audit] @ x.T) >= threshold).sum()) - len(audit)
-        beam = min(BEAM, max(1, n - 1))
-        while True:  # the widest beam holds the whole cell
-            a, b = search(x, starts, targets, medoids, audit, threshold, beam)
-            found = int((a != b).sum())
-            if found >= RECALL * truth or beam >= n:
-                break
-            beam = min(n, 2 * beam)
-        a, b = search(x, starts, targets, medoids, every, threshold, beam)
-        code = np.unique(np.minimum(a, b)[a != b].astype(np.int64) * n + np.maximum(a, b)[a != b])
-        a, b = code // n, code % n
-        # a pair counts in the least of the cells that both are in
-        cells = [sorted(v) for v in pdf["cells"]]
-        wide = np.full((n, max(map(len, cells))), np.iinfo(np.int64).max)
-        for i, v in enumerate(cells):
-            wide[i, : len(v)] = v
-        own = np.ones(len(a), bool)
-        for i in range(0, len(a), 200_000):
-            p, q = wide[a[i : i + 200_000]], wide[b[i : i + 200_000]]
-            both = (p[:, :, None] == q[:, None, :]).any(2)
-            own[i : i + 200_000] = np.where(both, p, np.iinfo(np.int64).max).min(1) == cell
-        links = np.bincount(a[own], weights=w[b[own]], minlength=n) + np.bincount(b[own], weights=w[a[own]], minlength=n)
-        root = every.copy()
-        while True:  # least index over all pairs, with pointers halved, until nothing moves
-            before = root.copy()
-            np.minimum.at(root, a, root[b])
-            np.minimum.at(root, b, root[a])
-            root = root[root]
-            if (root == before).all():
-                break
+        tally = _Tally(w)
+        if truth * n >= DENSE * len(audit):
+            beam, found, step = n, truth, max(1, BLOCK // n)
+            for i in range(0, n, step):
+                part = every[i : i + step]
+                hit = _hits(x[part], x, threshold)
+                hit[np.arange(len(part)), part] = False
+                tally.add(part, every, hit, both=False)
+            links, root = tally.links, tally.root
+        else:
+            near = build(x)
+            src, dst = np.repeat(every, DEGREE), near.ravel().astype(np.int64)
+            ok = dst >= 0
+            starts, targets = _lists(np.concatenate([src[ok], dst[ok]]), np.concatenate([dst[ok], src[ok]]), n)
+            c = centroids(x, max(1, int(4 * np.sqrt(n))), rounds=3)
+            medoids = np.unique((c @ x.T).argmax(1))
+            beam = min(BEAM, max(1, n - 1))
+            while True:  # the widest beam holds the whole cell
+                a, b = search(x, starts, targets, medoids, audit, threshold, beam)
+                found = int((a != b).sum())
+                if found >= RECALL * truth or beam >= n:
+                    break
+                beam = min(n, 2 * beam)
+            a, b = search(x, starts, targets, medoids, every, threshold, beam)
+            code = np.unique(np.minimum(a, b)[a != b].astype(np.int64) * n + np.maximum(a, b)[a != b])
+            a, b = code // n, code % n
+            links = np.bincount(a, weights=w[b], minlength=n) + np.bincount(b, weights=w[a], minlength=n)
+            root = _roots(n, a, b)
         out = pd.DataFrame({"rid": rid, "links": links.astype(np.int64), "root": rid[root]})
         return out.assign(cell=cell, n=n, beam=beam, audited=len(audit), expected=truth, found=found)
 
     return run
 
 
+def _compared(kind: str, threshold: float, held):
+    """Links between the given vectors and those of other cells in ``held`` (cell, rid, w, vectors, by cell), each pair of cells from one side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rid, w, vec = held.value
+        y = unit(vec)
+        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        end, name = np.append(start[1:], len(cell)), cell[start]
+        center = np.add.reduceat(y, start)
+        size = np.linalg.norm(center, axis=1, keepdims=True)
+        center = np.where(size > 1e-9, center / np.maximum(size, 1e-9), y[start])
+        radius = [np.arccos(np.clip((y[s:e] @ c).min(), -1, 1)) for s, e, c in zip(start, end, center, strict=True)]
+        reach = np.cos(np.minimum(np.pi, np.array(radius) + np.arccos(threshold) + 1e-5))
+        tally, ids = _Tally(w), [rid]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            here, weight, own = (b.column(c).to_numpy() for c in ("rid", "w", "cell"))
+            x = unit(_stack(b.column("vec").to_pylist(), kind))
+            first = tally.grow(weight)
+            ids.append(here)
+            side = (own[:, None] < name) ^ ((own[:, None] ^ name) & 1).astype(bool)  # half of the others, evenly for all cells
+            near = (own[:, None] != name) & side & (x @ center.T >= reach)
+            for k in np.flatnonzero(near.any(0)):
+                rows, cols = np.flatnonzero(near[:, k]), np.arange(start[k], end[k])
+                step = max(1, BLOCK // len(cols))
+                for i in range(0, len(rows), step):
+                    part = rows[i : i + step]
+                    tally.add(first + part, cols, _hits(x[part], y[cols], threshold))
+        ids = np.concatenate(ids)
+        linked = np.flatnonzero(tally.links)
+        for i in range(0, len(linked), 50_000):
+            part = linked[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[part], tally.links[part], ids[tally.root[part]])], ["rid", "links", "root"])
+
+    return run
+
+
+def _across(scratch: Scratch, placed: DataFrame, n: int, kind: str, width: int, threshold: float) -> DataFrame | None:
+    """``rid, links, root`` over pairs of vectors in different cells; None if there is one cell.
+
+    Some cells at a time go to all tasks, in a bounded number of bytes.
+    """
+    spark = placed.sparkSession
+    sizes = sorted((r["cell"], r["n"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row for WANTED vectors or so
+    if len(sizes) < 2:
+        return None
+    room = max(MOST, HELD // (width * int(kind[-1])))
+    parts = max(2 * spark.sparkContext.defaultParallelism, n >> 15)
+    sorted_ = scratch.save(placed.repartitionByRange(parts, "cell").sortWithinPartitions("cell"))
+    at, paths, schema = 0, [], "rid bigint, links bigint, root bigint"
+    while at < len(sizes):
+        total, stop = 0, at
+        while stop < len(sizes) and (stop == at or total + sizes[stop][1] <= room):
+            total += sizes[stop][1]
+            stop += 1
+        t = sorted_.filter(F.col("cell").between(sizes[at][0], sizes[stop - 1][0])).select("cell", "rid", "w", "vec").toArrow().sort_by([("cell", "ascending"), ("rid", "ascending")])
+        held = spark.sparkContext.broadcast((*(t[c].to_numpy() for c in ("cell", "rid", "w")), _stack(t["vec"].to_pylist(), kind)))
+        paths.append(scratch.path(scratch.save(sorted_.mapInArrow(_compared(kind, threshold, held), schema))))
+        held.unpersist()
+        at = stop
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDuplicates:
     """Links of cosine >= ``threshold`` among ``vectors(vec_id, embedding)``: one row for each row.
 
@@ -339,8 +435,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDu
     k = int(min(CENTROIDS, max(1, -(-n // WANTED))))
     first = spark.sparkContext.broadcast(centroids(unit(_stack(drawn["vec"], kind)), k))  # at most CENTROIDS vectors
     vec = "rid bigint, w bigint, vec binary"
-    dealt = reps.mapInArrow(_cells(kind, first), f"{vec}, to array<bigint>").select("rid", "w", "vec", F.explode("to").alias("cell"))
-    dealt = scratch.save(dealt)
+    dealt = scratch.save(reps.mapInArrow(_cells(kind, first), f"{vec}, cell bigint"))
     train, deal = _deal_anew(kind)
     done: list[DataFrame] = []
     largest = None
@@ -348,27 +443,30 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDu
         sizes = dealt.groupBy("cell").agg(F.count("*").alias("size"))
         large = scratch.save(sizes.filter(F.col("size") > MOST))
         most = large.agg(F.max("size")).first()[0]
-        if most is None or (largest is not None and most > 0.9 * largest):  # nothing separates what is left
+        if most is None:
             done.append(dealt)
             break
-        largest = most
         done.append(dealt.join(large, "cell", "left_anti"))
         left = dealt.join(large, "cell")
+        if largest is not None and most > 0.9 * largest:  # nothing separates what is left: cut
+            piece = F.pmod(F.xxhash64("rid", F.lit("piece")), F.ceil(F.col("size") / WANTED))
+            done.append(left.select("rid", "w", "vec", F.xxhash64("cell", piece).alias("cell")))
+            break
+        largest = most
         share = F.pmod(F.xxhash64("rid", "cell"), F.lit(1 << 30)) * F.col("size") < F.lit(2048 * (1 << 30))
         sets = left.filter(share).groupBy("cell").applyInPandas(train, "cell bigint, centers binary, k bigint")
-        anew = left.join(sets, "cell").select("rid", "w", "vec", "cell", "centers", "k").mapInArrow(deal, f"{vec}, cell bigint, to array<bigint>")
-        dealt = scratch.save(anew.select("rid", "w", "vec", F.explode("to").alias("to"), "cell").select("rid", "w", "vec", F.xxhash64("cell", "to").alias("cell")).dropDuplicates(["rid", "cell"]))
-    placed = done[0]
+        anew = left.join(sets, "cell").select("rid", "w", "vec", "cell", "centers", "k").mapInArrow(deal, f"{vec}, cell bigint, to bigint")
+        dealt = scratch.save(anew.select("rid", "w", "vec", F.xxhash64("cell", "to").alias("cell")))
+    placed = done[0].select("rid", "w", "vec", "cell")
     for d in done[1:]:
-        placed = placed.unionByName(d)
+        placed = placed.unionByName(d.select("rid", "w", "vec", "cell"))
     placed = scratch.save(placed) if len(done) > 1 else placed
 
-    graph = placed.groupBy("cell").applyInPandas(_built(kind), "rid bigint, near array<bigint>")
-    united = graph.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a few lists: one for each cell
-    cells = placed.groupBy("rid").agg(F.collect_set("cell").alias("cells"))
-    held = placed.join(scratch.save(united), "rid").join(cells, "rid")
     schema = "rid bigint, links bigint, root bigint, cell bigint, n bigint, beam bigint, audited bigint, expected bigint, found bigint"
-    found = scratch.save(held.groupBy("cell").applyInPandas(_searched(kind, threshold), schema))
+    within = scratch.save(placed.groupBy("cell").applyInPandas(_searched(kind, threshold), schema))
+    found = within.select("rid", "links", "root")
+    if (across := _across(scratch, placed, n, kind, width, threshold)) is not None:
+        found = found.unionByName(across)
     comp = components(scratch, found.select(F.col("rid").alias("a"), F.col("root").alias("b")).filter("a <> b"))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     by = links.join(comp.withColumnRenamed("node", "rid"), "rid", "left")
@@ -377,5 +475,5 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDu
     out = rows.join(ids, ["k1", "k2", "valid"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
-    audit = found.groupBy("cell").agg(*(F.max(c).alias(c) for c in ("n", "beam", "audited", "expected", "found")))
+    audit = within.groupBy("cell").agg(*(F.max(c).alias(c) for c in ("n", "beam", "audited", "expected", "found")))
     return NearDuplicates(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), audit)

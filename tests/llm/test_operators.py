@@ -494,6 +494,21 @@ def test_large_cells_are_dealt_anew(spark, monkeypatch):
     assert max(r.n for r in found.audit.collect()) < 300
 
 
+def test_a_large_cell_loses_no_links(spark, monkeypatch):
+    """All 400 vectors lie in range of each other; cells hold 60."""
+    monkeypatch.setattr(vector_dedup, "WANTED", 40)
+    monkeypatch.setattr(vector_dedup, "MOST", 60)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (u @ u.T).min() >= 0.9
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = vector_dedup.near_duplicate_vectors(d)
+    rows = found.rows.collect()
+    assert len(rows) == 400 and sum(r.n_links for r in rows) >= 0.98 * 400 * 399 and {r.component_id for r in rows} == {0}
+    assert max(r.n for r in found.audit.collect()) <= 60
+
+
 def test_vectors_of_nothing(spark):
     d = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert vector_dedup.near_duplicate_vectors(d).rows.count() == 0
