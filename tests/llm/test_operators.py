@@ -509,6 +509,21 @@ def test_a_large_cell_loses_no_links(spark, monkeypatch):
     assert max(r.n for r in found.audit.collect()) <= 60
 
 
+def test_links_between_many_cells(spark, monkeypatch):
+    """Hundreds of cells against brute force over the whole table."""
+    monkeypatch.setattr(vector_dedup, "WANTED", 4)
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(600, 16))
+    x = np.concatenate([c, c + rng.normal(size=(600, 16)) * np.linalg.norm(c, axis=1, keepdims=True) * 0.105])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = vector_dedup.near_duplicate_vectors(d)
+    assert found.audit.count() >= 200
+    s = u @ u.T >= 0.9
+    comp = find(list(zip(*np.nonzero(s), strict=True)), range(1200))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.rows.collect()} == {i: (s[i].sum() - 1, comp[i]) for i in range(1200)}
+
+
 def test_vectors_of_nothing(spark):
     d = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert vector_dedup.near_duplicate_vectors(d).rows.count() == 0
