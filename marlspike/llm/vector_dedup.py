@@ -1,6 +1,6 @@
 """Embedding near-dedup with a robust-pruned flat graph.
 
-1. Equal vectors are one *class*; its least id stands for it.
+1. Equal vectors are one *class*, with a number of its own in the order of its hash.
 2. Centroids fitted on a bounded sample deal the classes to cells, each to its
    nearest. Cells over ``MOST`` are dealt anew by centroids of their own, and
    cut by hash where nothing separates them, so a cell fits one task at any size
@@ -427,11 +427,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDu
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(raw, pa.binary())], ["rid", "w", "vec"])
 
     classes = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rid"), F.count("*").alias("w"), F.first("embedding").alias("embedding"))
-    member = scratch.save(classes.select("k1", "k2", "rid", "w", "embedding"))
-    reps = scratch.save(member.select("rid", "w", "embedding").dropDuplicates(["rid"]).mapInArrow(packed, "rid bigint, w bigint, vec binary"))
+    # a vec_id may lead several classes, so the number of a class is its own; it grows with the hash in every run
+    numbered = classes.sort("k1", "k2").withColumn("node", F.monotonically_increasing_id())
+    member = scratch.save(numbered.select("k1", "k2", "node", "rid", "w", "embedding"))
+    reps = scratch.save(member.select("node", "w", "embedding").mapInArrow(packed, "rid bigint, w bigint, vec binary"))
     n = reps.count()
     size = min(SAMPLE, max(1, (1 << 23) // width))
-    drawn = reps.select("vec").orderBy(F.xxhash64("rid", F.lit("sample"))).limit(size).toPandas()
+    drawn = reps.select("vec").orderBy(F.xxhash64("vec", F.lit("sample"))).limit(size).toPandas()
     k = int(min(CENTROIDS, max(1, -(-n // WANTED))))
     first = spark.sparkContext.broadcast(centroids(unit(_stack(drawn["vec"], kind)), k))  # at most CENTROIDS vectors
     vec = "rid bigint, w bigint, vec binary"
@@ -449,11 +451,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDu
         done.append(dealt.join(large, "cell", "left_anti"))
         left = dealt.join(large, "cell")
         if largest is not None and most > 0.9 * largest:  # nothing separates what is left: cut
-            piece = F.pmod(F.xxhash64("rid", F.lit("piece")), F.ceil(F.col("size") / WANTED))
+            piece = F.pmod(F.xxhash64("vec", F.lit("piece")), F.ceil(F.col("size") / WANTED))
             done.append(left.select("rid", "w", "vec", F.xxhash64("cell", piece).alias("cell")))
             break
         largest = most
-        share = F.pmod(F.xxhash64("rid", "cell"), F.lit(1 << 30)) * F.col("size") < F.lit(2048 * (1 << 30))
+        share = F.pmod(F.xxhash64("vec", "cell"), F.lit(1 << 30)) * F.col("size") < F.lit(2048 * (1 << 30))
         sets = left.filter(share).groupBy("cell").applyInPandas(train, "cell bigint, centers binary, k bigint")
         anew = left.join(sets, "cell").select("rid", "w", "vec", "cell", "centers", "k").mapInArrow(deal, f"{vec}, cell bigint, to bigint")
         dealt = scratch.save(anew.select("rid", "w", "vec", F.xxhash64("cell", "to").alias("cell")))
@@ -469,9 +471,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDu
         found = found.unionByName(across)
     comp = components(scratch, found.select(F.col("rid").alias("a"), F.col("root").alias("b")).filter("a <> b"))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
-    by = links.join(comp.withColumnRenamed("node", "rid"), "rid", "left")
-    ids = member.select("k1", "k2", "rid", "w").join(by, "rid", "left")
-    ids = ids.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("comp", "rid").alias("component_id"), F.lit(True).alias("valid"))
+    by = links.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumnRenamed("rid", "node")
+    ids = member.select("k1", "k2", "node", "rid", "w").join(by, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ids = scratch.save(ids.select("k1", "k2", "rid", "comp", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.lit(True).alias("valid")))
+    least = ids.groupBy("comp").agg(F.min("rid").alias("component_id"))
+    ids = ids.join(least, "comp").select("k1", "k2", "valid", "n_links", "component_id")
     out = rows.join(ids, ["k1", "k2", "valid"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

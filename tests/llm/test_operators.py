@@ -524,6 +524,14 @@ def test_links_between_many_cells(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found.rows.collect()} == {i: (s[i].sum() - 1, comp[i]) for i in range(1200)}
 
 
+def test_one_id_with_several_vectors(spark):
+    """Each of the vectors with id 1 has links of its own: to 10 and 11, and to 0."""
+    rows = [(1, [1.0, 0.0, 0.0]), (10, [1.0, 0.1, 0.0]), (11, [1.0, 0.0, 0.1]), (1, [0.0, 1.0, 0.0]), (0, [0.0, 1.0, 0.1]), (2, [0.0, 0.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicate_vectors(d).rows.collect())
+    assert got == Counter([(1, 2, 1, True), (10, 2, 1, False), (11, 2, 1, False), (1, 1, 0, False), (0, 1, 0, True), (2, 0, 2, True)])
+
+
 def test_vectors_of_nothing(spark):
     d = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert vector_dedup.near_duplicate_vectors(d).rows.count() == 0
