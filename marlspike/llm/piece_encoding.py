@@ -2,10 +2,11 @@
 
 The vocabulary's merges run as an agenda: of all neighbouring symbols that make
 a piece, the best-scored and leftmost pair merges next. A candidate is skipped
-for good when a keyed hash of (seed, variant, chunk, where the pair starts, meets
-and ends) falls below the dropout rate. Each occurrence of a chunk draws one of
-``VARIANTS`` variants from (seed, document, place), so equal words are cut in
-varied ways, the same ways in every run.
+for good when a keyed hash of (seed, document, place of the chunk, where the pair
+starts, meets and ends) falls below the dropout rate. So each occurrence of a word
+is cut in its own way, the same way in every run. Where no merge of the cut without
+dropout is skipped, that cut stands, and is made once for all such occurrences:
+other skipped candidates would not have merged.
 
 No piece of the vocabulary crosses from other characters to a space, or holds a
 line feed, so text is cut there first (checked when the file is read). Chunks of
@@ -29,13 +30,14 @@ from xxhash import xxh3_64_intdigest
 from marlspike.llm.common import bounded_batches
 from marlspike.llm.tokens import public_path
 
-VARIANTS = 16
 #: Characters up to which a chunk goes side by side with others of its length.
 SIDE_BY_SIDE = 48
 #: Slots of the table of pairs, a power of two.
 SLOTS = 1 << 20
 #: Rows that go side by side at once.
 ROWS = 4096
+#: Occurrences whose skips are looked up at once.
+OCCURRENCES = 1 << 16
 #: Characters encoded together.
 TOGETHER = 4 << 20
 SPACE, LITERAL = "▁", "▁".encode()
@@ -108,13 +110,16 @@ class PieceEncoder:
             ok[open_] = held == want[open_]
             more = (held >= 0) & (held != want[open_])
             open_ = tuple(x[more] for x in open_)
-        if self.dropout:
+        if key is not None:
             ok &= ~self._skipped(key, start.astype(np.uint64), middle.astype(np.uint64), end.astype(np.uint64))
         made = np.where(ok, self.made[at], -1)
         return made, np.where(ok, self.scores[made], -np.inf).astype(np.float32)
 
-    def _side_by_side(self, chars: np.ndarray, keys: np.ndarray) -> list[bytes]:
-        """Ids of chunks of one length (rows of code points). Every row that is still at work merges one pair a round."""
+    def _side_by_side(self, chars: np.ndarray, keys: np.ndarray | None, merges: list | None = None) -> list[bytes]:
+        """Ids of chunks of one length (rows of code points). Every row that is still at work merges one pair a round.
+
+        Without keys nothing is skipped. What merges is added to ``merges`` as (row, start, middle, end).
+        """
         n, width = chars.shape
         ids = self.of_char[chars]
         ids = np.where(ids < 0, -2 - chars.astype(np.int64), ids).astype(np.int32)
@@ -124,7 +129,7 @@ class PieceEncoder:
         made = score = None
         if width > 1:
             starts = np.broadcast_to(np.arange(width - 1, dtype=np.int32), (n, width - 1))
-            made, score = self._candidates(ids[:, :-1], ids[:, 1:], keys[:, None], starts, ends[:, :-1], ends[:, 1:])
+            made, score = self._candidates(ids[:, :-1], ids[:, 1:], None if keys is None else keys[:, None], starts, ends[:, :-1], ends[:, 1:])
         while len(row):
             if width > 1:
                 j = score.argmax(1)
@@ -137,11 +142,13 @@ class PieceEncoder:
                 out[r] = raw[4 * width * i : 4 * width * (i + 1)]
             for i in np.flatnonzero((done < 0).any(1)):
                 out[row[~live][i]] = self._raw(done[i])
-            row, ids, ends, keys = row[live], ids[live], ends[live], keys[live]
+            row, ids, ends, keys = row[live], ids[live], ends[live], None if keys is None else keys[live]
             if not len(row):
                 break
             made, score, j = made[live], score[live], j[live]
             line = np.arange(len(row))
+            if merges is not None:
+                merges.append((row, np.where(j > 0, ends[line, j - 1], 0), ends[line, j], ends[line, j + 1]))
             ids[line, j] = made[line, j]
             # the symbol at j + 1 goes, with the end of the one at j and the pair at j: what is right of them moves up
             width -= 1
@@ -155,10 +162,10 @@ class PieceEncoder:
                 can = (at >= 0) & (at + 1 < width)
                 r, a = line[can], at[can]
                 start = np.where(a > 0, ends[r, a - 1], 0)
-                made[r, a], score[r, a] = self._candidates(ids[r, a], ids[r, a + 1], keys[r], start, ends[r, a], ends[r, a + 1])
+                made[r, a], score[r, a] = self._candidates(ids[r, a], ids[r, a + 1], None if keys is None else keys[r], start, ends[r, a], ends[r, a + 1])
         return out
 
-    def _by_heap(self, chunk: str, key: np.uint64) -> np.ndarray:
+    def _by_heap(self, chunk: str, key: np.uint64 | None) -> np.ndarray:
         """The same for one chunk of any length, in n log n steps."""
         cp = np.frombuffer(chunk.encode("utf-32-le"), np.uint32).astype(np.int64)
         first = self.of_char[cp]
@@ -166,13 +173,13 @@ class PieceEncoder:
         n = len(ids)
         end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list = []
-        k = np.array([key], np.uint64)
+        k = None if key is None else np.array([key], np.uint64)
 
         def offer(i: int) -> None:
             j = after[i]
             if j >= n or ids[i] < 0 or ids[j] < 0 or (m := self.pairs.get(ids[i] * self.size + ids[j])) is None:
                 return
-            if self.dropout and self._skipped(k, np.array([i], np.uint64), np.array([end[i]], np.uint64), np.array([end[j]], np.uint64))[0]:
+            if k is not None and self._skipped(k, np.array([i], np.uint64), np.array([end[i]], np.uint64), np.array([end[j]], np.uint64))[0]:
                 return
             heapq.heappush(agenda, (-float(self.scores[m]), i, end[i], end[j], m))
 
@@ -200,40 +207,66 @@ class PieceEncoder:
             out += [s] if s >= 0 else self.byte_ids[list(chr(-2 - s).encode("utf-8", "surrogatepass"))].tolist()
         return np.array(out, "<u4").tobytes()
 
-    def _cut_up(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
-        """Ids of each chunk under its key."""
+    def _cut_up(self, chunks: list[str], keys: np.ndarray | None, merges: list | None = None) -> list[bytes]:
+        """Ids of each chunk under its key; ``merges`` as in ``_side_by_side``, of chunks that go there."""
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         out: list = [b""] * len(chunks)
         for size in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == size)
             if size > SIDE_BY_SIDE:
                 for i in at.tolist():
-                    out[i] = self._raw(self._by_heap(chunks[i], keys[i]))
+                    out[i] = self._raw(self._by_heap(chunks[i], None if keys is None else keys[i]))
                 continue
             for part in np.array_split(at, -(-len(at) // ROWS)):
                 chars = np.frombuffer("".join([chunks[i] for i in part.tolist()]).encode("utf-32-le"), np.uint32).reshape(-1, size)
-                for i, raw in zip(part.tolist(), self._side_by_side(chars, keys[part]), strict=True):
+                made = None if merges is None else []
+                for i, raw in zip(part.tolist(), self._side_by_side(chars, None if keys is None else keys[part], made), strict=True):
                     out[i] = raw
+                if made:
+                    merges += [(part[row], *where) for row, *where in made]
+        return out
+
+    def _touched(self, which: np.ndarray, keys: np.ndarray, n: int, merges: list) -> np.ndarray:
+        """Which occurrences (of chunks ``which``, of n, under ``keys``) skip one of their chunk's ``merges``."""
+        out = np.zeros(len(which), bool)
+        if not merges:
+            return out
+        of = np.concatenate([m[0] for m in merges])
+        order = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[order], np.arange(n + 1))
+        start, middle, end = (np.concatenate([m[k] for m in merges])[order].astype(np.uint8) for k in (1, 2, 3))
+        for i in range(0, len(which), OCCURRENCES):
+            chunk = which[i : i + OCCURRENCES]
+            size = first[chunk + 1] - first[chunk]
+            row = np.repeat(np.arange(len(chunk)), size)
+            at = np.arange(len(row)) + np.repeat(first[chunk] - np.cumsum(size) + size, size)
+            where = (x[at].astype(np.uint64) for x in (start, middle, end))
+            out[i + row[self._skipped(keys[i : i + OCCURRENCES][row], *where)]] = True
         return out
 
     def encode(self, texts: list[str | None], ids: list) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers; ``ids`` choose the variants."""
+        """Ids of each text as little-endian unsigned 32-bit numbers; ``ids`` and places in the text decide what is skipped."""
         number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         cuts = [_CHUNKS.findall(" " + t) if t else [] for t in texts]
-        drawn = []
-        for doc, chunks in zip(ids, cuts, strict=True):
-            at = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks)) * VARIANTS
-            if self.dropout:
-                base = np.uint64(xxh3_64_intdigest(str(doc).encode(), seed=self.seed % 2**64))
-                at += (_mix(np.arange(len(chunks), dtype=np.uint64) * _K1 + base) % np.uint64(VARIANTS)).astype(np.int64)
-            drawn.append(at)
-        pairs, at = np.unique(np.concatenate(drawn) if drawn else np.empty(0, np.int64), return_inverse=True)
+        ends = np.cumsum([0, *map(len, cuts)])
+        at = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(cuts)), np.int64, ends[-1])
+        del cuts
         chunks = list(number)
-        hashes = np.fromiter((xxh3_64_intdigest(c.encode("utf-8", "surrogatepass"), seed=self.seed % 2**64) for c in chunks), np.uint64, len(chunks))
-        which, variant = pairs // VARIANTS, (pairs % VARIANTS).astype(np.uint64)
-        raws = self._cut_up([chunks[i] for i in which.tolist()], _mix(hashes[which] + variant * _K2))
-        ends = np.cumsum([0, *map(len, drawn)])
-        return [b"".join([raws[i] for i in at[a:b].tolist()]) for a, b in itertools.pairwise(ends)]
+        if not self.dropout:
+            raws = self._cut_up(chunks, None)
+        else:
+            keys = np.empty(len(at), np.uint64)
+            for doc, (a, b) in zip(ids, itertools.pairwise(ends.tolist()), strict=True):
+                base = np.uint64(xxh3_64_intdigest(str(doc).encode(), seed=self.seed % 2**64))
+                keys[a:b] = _mix(np.arange(b - a, dtype=np.uint64) * _K1 + base)
+            long = np.fromiter((len(c) > SIDE_BY_SIDE for c in chunks), bool, len(chunks))
+            merges: list = []
+            # long chunks hardly ever stay whole: they go by themselves below
+            raws = self._cut_up(["\n" if x else c for c, x in zip(chunks, long.tolist(), strict=True)], None, merges)
+            own = np.flatnonzero(long[at] | self._touched(at, keys, len(chunks), merges))
+            raws += self._cut_up([chunks[i] for i in at[own].tolist()], keys[own])
+            at[own] = len(chunks) + np.arange(len(own))
+        return [b"".join([raws[i] for i in at[a:b].tolist()]) for a, b in itertools.pairwise(ends.tolist())]
 
     def decode(self, raw: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, which ids of ``encode`` never need."""

@@ -404,6 +404,14 @@ def test_both_agendas_agree(monkeypatch):
     assert e.encode([text], [3]) == side
 
 
+def test_each_occurrence_of_a_word_is_cut_on_its_own():
+    e = piece_encoding._encoder("piece_bpe_32k.model", None, 0.3, 2)
+    word = "antidisestablishmentarianism"
+    got = e.encode([word] * 2000, list(range(2000)))
+    assert len(set(got)) > 100 and all(e.decode(x) == word for x in got)
+    assert len(set(e.encode([word + "\n"] * 3 + [f"{word}\n" * 500], [1, 1, 2, 1]))) == 3
+
+
 def test_pieces_of_frames(docs, none, sp):
     enc = piece_encoding.encode(docs, dropout=0.2, seed=3)
     rows = piece_encoding.decode(enc).collect()
