@@ -110,6 +110,11 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _assigned(m: re.Match) -> bool:
+    """Whether the value follows ``:`` or ``=``, or stands in an address; else it stands in prose."""
+    return m.re is ADDRESS or m[0][: m.start(1) - m.start()].rstrip(" \"'")[-1] in ":="
+
+
 def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[str, int, int, float]]:
     """Secrets of a text as (kind, start, end, guess cost), by start, then kind as listed."""
     if not text:
@@ -127,7 +132,9 @@ def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[str, int, int
         taken = _Cover(base)
         for m in sorted(more, key=lambda m: m.span(1)):
             value, (start, end) = m[1], m.span(1)
-            if len(value) >= 8 and not value.isalpha() and not taken.meets(start, end) and (cost := guess_cost(value.rstrip(".:!?)"))) >= guesses and any(c.isdigit() for c in value):
+            if not _assigned(m) and not any(c.isdigit() for c in value):
+                continue
+            if len(value) >= 8 and not taken.meets(start, end) and (cost := guess_cost(value.rstrip(".:!?)"))) >= guesses:
                 out.append(("guess", start, end, cost))
                 taken.add(start, end)
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -188,8 +195,10 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
 
     Starts and ends are code points of the whole text, end exclusive. Null and
     empty texts have no spans; ids may be null or repeated; other columns are
-    ignored. Values of a ``guess`` span stand in a credential context, hold a
-    digit and something else, meet no other span and cost at least 10**guesses.
+    ignored. Values of a ``guess`` span stand in a credential context, meet no other
+    span and cost at least 10**guesses; those in prose, as in "pass the ...",
+    also hold a digit, while after a colon or an equals sign and in addresses
+    the cost alone decides.
     """
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

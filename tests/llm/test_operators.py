@@ -242,6 +242,12 @@ def test_method_spans():
     assert [f[0] for f in found] == ["guess", "guess"]
 
 
+@pytest.mark.parametrize("text", ["pwd=hRt-QwZp_LmXcVb", "passphrase: XqLmZvRtWkPdNsGh", 'auth = "kzQvXjwPmTrb"', "https://bob:hRtQwZpLmXcVb@h/"])
+def test_assigned_values_without_digits_are_weighed(text):
+    assert [s[0] for s in secrets.scan(text)] == ["guess"]
+    assert not any(secrets.scan(t) for t in ("pwd=passwordpassword", "pass the documentation", "auth is hRtQwZpLmXcVb"))
+
+
 def test_secret_frames(docs, none):
     got = Counter((r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans if s.kind != "guess")) for r in secrets.find_secrets(docs).collect())
     assert got == Counter((r.doc_id, tuple(base_spans(r.text))) for r in docs.select("doc_id", "text").collect())
