@@ -74,7 +74,7 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.code_chunks(sources(spark))
+    return c.code_chunks(table(spark, sf_dir, "documents"))
 
 
 _SYM = ", ".join(f"{{'name': regexp_extract(t, {sql_string(r)}, 1), 'kind': '{k}'}}" for r, k in c.SYMBOLS)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from conftest import SF
 from marlspike.sources import files, logs
 
 
@@ -64,3 +65,13 @@ def test_corpus(spark):
 def test_save(spark, tmp_path):
     files.save(spark.range(3).withColumn("k", F.col("id") % 2), str(tmp_path / "t"), "k")
     assert spark.read.parquet(str(tmp_path / "t")).filter("k = 1").count() == 1
+
+
+def test_code_chunks_cover_all_documents(spark):
+    from marlspike.operators import chunking
+    from marlspike.plans import chunk_queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("trim(text) <> ''")
+    got = chunk_queries.code_chunks(spark, str(SF))
+    assert docs.select("doc_id").exceptAll(got.select("doc_id").distinct()).count() == 0
+    assert chunking.code_chunks(chunk_queries.sources(spark)).select("doc_id").distinct().count() == 4
