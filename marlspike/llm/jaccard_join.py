@@ -7,26 +7,35 @@ How it stays exact and bounded
 ------------------------------
 * A document's n-grams become a set of 64-bit hashes. Documents with equal sets
   are one *class*; only its least id, the representative, takes part in the join.
-* The global order of n-grams puts rare ones first. It comes from a table of
-  ``RANKS`` counters of a fixed size, fed by the n-grams that occur in more than
-  one document of some block of documents. Any fixed order gives exact
-  results, so counters that several n-grams share only cost time.
+* The global order of n-grams puts rare ones first: after all others stand the
+  ``RANKS`` n-grams that repeat most often inside blocks of documents, by their
+  exact counts. Any fixed order gives exact results, so what the table misses
+  only costs time.
 * Two sets of sizes x <= y can only reach similarity t if x >= t*y and if their
   prefixes (all but the last ceil(t*size)-1 n-grams) have an n-gram in common.
+  They also have two in common among the prefixes that are longer by one; where a
+  prefix n-gram is so frequent that it pays, documents meet under the first two
+  common n-grams and a band of lengths, instead of under the first alone.
+* A pair counts only where it meets under its first common n-grams. The positional
+  filter relies on that, and the last n-grams before show most later meetings.
 * The question is which documents hang together, so a pair inside one component
   needs no check. Star rounds first compare every member of a bucket (the
-  documents with one prefix n-gram) with a leader of that bucket; then all pairs
-  of a bucket that are still in different components are candidates. A large
+  documents that meet) with a leader of that bucket, until all pairs of a bucket
+  that are still in different components are few enough to be candidates. A large
   group of near copies thus costs about its size, not its square, and no
   candidate is left out.
 * The suffix filter bounds the size of the symmetric difference from below by the
   number of bits in which two 512-bit parity sketches differ (each n-gram flips
   one bit). It never removes a pair that reaches the threshold.
+
+Sets are sets of 64-bit hashes throughout, in the verification too: two n-grams
+with one hash would count as equal.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +46,7 @@ from xxhash import xxh3_64_intdigest
 
 from marlspike.llm.common import Scratch, components
 
-#: Counters of the rarity table: a fixed 4 MB in driver and workers, whatever the input.
+#: N-grams in the table of the most repeated ones: 12 MB in driver and workers at most, whatever the input.
 RANKS = 1 << 20
 #: N-grams that are counted together before only the repeated ones are passed on.
 BLOCK = 1 << 20
@@ -47,8 +56,12 @@ LONGS = 8
 BROADCAST_IDS = 2_000_000
 #: Sets that a worker keeps while it verifies.
 SETS_KEPT = 64
-#: Star rounds go on while one confirms at least this share of its pairs, so many at most; then all pairs of different components are compared.
-FRUITFUL, ROUNDS = 0.2, 6
+#: Star rounds go on until the pairs left are at most so many for each row, so many rounds at most.
+PAIRS_A_ROW, ROUNDS = 2, 8
+#: A round that confirms a smaller share of its pairs is the last before frequent n-grams are split; one that then leaves more than this share of the pairs is the last of all.
+FRUITFUL, LEFT = 0.2, 0.8
+#: N-grams before a meeting that are compared, to see that a pair has met before.
+BEFORE = 6
 
 _ODD = [np.uint64(2 * int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") + 1 & (2**64 - 1)) for i in range(64)]
 
@@ -103,9 +116,7 @@ def _repeated(k: int):
         def flush() -> pa.RecordBatch:
             every, counts = np.unique(np.concatenate(held), return_counts=True)
             more = counts > 1
-            slots, at = np.unique((every[more] % np.uint64(RANKS)).astype(np.int32), return_inverse=True)
-            sums = np.bincount(at, weights=counts[more], minlength=len(slots)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(sums)], ["slot", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(every[more].view(np.int64)), pa.array(counts[more], pa.int64())], ["gram", "n"])
 
         for b in batches:
             for text in b.columns[0]:
@@ -120,17 +131,31 @@ def _repeated(k: int):
     return run
 
 
-def rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """The table of ``RANKS`` counters over all texts; its size does not depend on them."""
-    sums = docs.select("text").mapInArrow(_repeated(k), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(RANKS, np.uint32)
-    out[sums["slot"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), 2**32 - 1)
-    return out
+def rarity(scratch: Scratch, docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``RANKS`` most repeated n-grams at most, sorted, and their counts."""
+    counts = scratch.save(docs.select("text").mapInArrow(_repeated(k), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    sizes = counts.groupBy(F.least("n", F.lit(RANKS)).alias("n")).agg(F.count("*").alias("grams"))
+    sizes = sizes.toPandas().sort_values("n", ascending=False)  # a row for each count up to RANKS
+    fitting = sizes["n"][sizes["grams"].cumsum() <= RANKS]
+    found = counts.filter(F.col("n") >= (int(fitting.min()) if len(fitting) else 2**63 - 1)).toPandas()
+    grams = found["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    scratch.drop(counts)
+    return grams[order], np.minimum(found["n"].to_numpy(np.int64), 2**32 - 1).astype(np.uint32)[order]
+
+
+def _counts(s: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The count of each n-gram of a sorted set, 0 for those that the table lacks."""
+    grams, counts = table
+    if not len(grams):
+        return np.zeros(len(s), np.uint32)
+    at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
+    return np.where(grams[at] == s, counts[at], 0)
 
 
 def _features(k: int, similarity: int, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = ranks.value
+        table = ranks.value
         for b in batches:
             ids, texts = b.columns
             n, keys, sketches, fine, prefixes = [], [], [[] for _ in range(LONGS)], [], []
@@ -141,9 +166,8 @@ def _features(k: int, similarity: int, ranks):
                 for to, v in zip(sketches, parities(s, 64 * LONGS).view(np.int64), strict=True):
                     to.append(v)
                 fine.append(parities(s, fine_bits(len(s))).tobytes())
-                p = prefix_length(len(s), similarity) if len(s) else 0
-                rare = counts[(s % np.uint64(RANKS)).astype(np.int64)]
-                prefixes.append(s[np.lexsort((s, rare))[:p]].view(np.int64))
+                p = prefix_length(len(s), similarity) + 1 if len(s) else 0  # one more, for the second common n-gram
+                prefixes.append(s[np.lexsort((s, _counts(s, table)))[:p]].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -240,7 +264,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranks = spark.sparkContext.broadcast(rarity(docs, k))
+    ranks = spark.sparkContext.broadcast(rarity(scratch, docs, k))
     longs = [f"s{i}" for i in range(LONGS)]
     schema = "doc_id bigint, n bigint, key binary, " + ", ".join(f"{c} bigint" for c in longs) + ", fine binary, prefix array<bigint>"
     rows = scratch.save(docs.mapInArrow(_features(k, similarity, ranks), schema))
@@ -257,9 +281,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
         reps = scratch.save(reps.dropDuplicates(["rid", "n", *longs]))
     sketch = reps.select("rid", "n", *longs)
 
-    posting = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = posting.groupBy("gram").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high").select("gram")
-    posting = scratch.save(posting.join(shared, "gram"))
+    own = F.slice("prefix", F.lit(1), F.expr(f"cast(n - (n * {similarity} + 99) div 100 + 1 as int)"))
+    posting = reps.select("rid", "n", F.posexplode(own).alias("pos", "key"))
+    shared = posting.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high").select("key")
+    posting = scratch.save(posting.join(shared, "key").withColumns({"first": F.lit(-1), "up": F.lit(0), "comp": F.col("rid")}))
 
     # a repeated doc_id with several texts is one document: its classes hang together
     member = rows.join(classes, "key").filter("doc_id is not null").groupBy("doc_id").agg(F.min("rid").alias("rid"), F.max("rid").alias("other"))
@@ -267,54 +292,96 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     repeated = rows.join(classes, "key").join(member.filter("rid <> other").select("doc_id", F.col("rid").alias("low")), "doc_id").filter("rid <> low")
     same = scratch.save(repeated.select(F.col("rid").alias("a"), F.col("low").alias("b")).distinct())
     links = tested = None
-    comp = sketch.select(F.col("rid").alias("node"), F.col("rid").alias("comp")).limit(0)
-
-    def labelled() -> DataFrame:
-        c = comp.select(F.col("node").alias("rid"), "comp")
-        p = posting.join(c, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        mixed = p.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram")
-        return scratch.save(p.join(mixed, "gram"))
+    rest = F.expr(f"n - (n * {similarity} + 99) div 100 + 1 - pos")
+    # a little wider than the ratio of lengths that may link, so rounding can't put such lengths two bands apart
+    width = 1.000001 * math.log(100 / similarity) or 1.0
+
+    def kept(p: DataFrame) -> DataFrame:
+        """Without the buckets that lie inside one component: they stay so."""
+        mixed = p.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+        return scratch.save(p.join(mixed, "key"))
+
+    def pairs_of(p: DataFrame, *by: str) -> DataFrame:
+        """Pairs of different components that meet in some bucket, once for each bucket."""
+        sizes = p.groupBy(*by, "key", "comp").agg(F.count("*").alias("c")).groupBy(*by, "key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        return sizes.groupBy(*by).agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"))
+
+    def pairs_left() -> float:
+        return pairs_of(posting).first()[0] or 0
+
+    def split_buckets() -> DataFrame:
+        """Rows under two n-grams, of the buckets where fewer pairs meet so."""
+        large = posting.groupBy("key").agg(F.count("*").alias("c"), F.sum(rest).alias("rows")).filter("c * (c - 1) > 8 * rows + 64").select("key")
+        large = scratch.save(large)
+        second = posting.join(large, "key").join(reps.select("rid", "prefix"), "rid")
+        after = F.posexplode(F.expr("slice(prefix, pos + 2, size(prefix))")).alias("skip", "second")
+        second = second.select("rid", "n", "comp", F.col("pos").alias("first"), (F.col("pos") + 1).alias("from"), F.col("key").alias("origin"), after)
+        band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+        second = second.select("*", F.posexplode(F.array(band, band + 1)).alias("up", "band"))  # its own band, and the next for shorter ones
+        second = second.select("origin", "rid", "n", "first", (F.col("from") + F.col("skip")).cast("int").alias("pos"), "up", F.xxhash64("origin", "second", "band").alias("key"), "comp")
+        second = kept(second)
+        were = pairs_of(posting.join(large, "key").withColumn("origin", F.col("key")), "origin").withColumnRenamed("pairs", "were")
+        worth = were.join(pairs_of(second, "origin"), "origin", "left").join(second.groupBy("origin").agg(F.count("*").alias("rows")), "origin", "left")
+        worth = scratch.save(worth.filter("2 * (coalesce(pairs, 0) + coalesce(rows, 0)) < were").select(F.col("origin").alias("key")))
+        second = second.join(worth.withColumnRenamed("key", "origin"), "origin", "left_semi").select(*posting.columns)
+        alone = posting.join(worth, "key", "left_semi").filter(f"n * {similarity} <= 100")  # one n-gram in common is enough for these
+        return scratch.save(posting.join(worth, "key", "left_anti").unionByName(alone).unionByName(second))
 
     def filtered(pairs: DataFrame) -> DataFrame:
         a = sketch.select(F.col("rid").alias("a"), "n", *longs)
         b = sketch.select(F.col("rid").alias("b"), F.col("n").alias("m"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(longs)))
-        return pairs.join(a, "a").join(b, "b").filter(_possible(similarity)).select("a", "b").distinct()
-
-    last, r = False, 0
+        return pairs.join(a, "a").join(b, "b").filter(_possible(similarity)).select("a", "b", "ca", "cb")
+
+    def every_pair() -> DataFrame:
+        before = F.expr(f"slice(prefix, greatest(1, pos + 1 - {BEFORE}), least(pos, {BEFORE}))")
+        before = F.when(F.col("first") >= 0, F.array_except(before, F.expr("slice(prefix, first + 1, 1)"))).otherwise(before)
+        p = scratch.save(posting.join(reps.select("rid", *longs, "prefix"), "rid").withColumn("before", before).drop("prefix"))
+        q = p.select("key", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("first").alias("first2"), F.col("up").alias("up2"), F.col("comp").alias("cb"), F.col("before").alias("before2"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(longs)))
+        met = p.withColumnRenamed("rid", "a").withColumnRenamed("comp", "ca").join(q, "key").filter("a < b and ca <> cb and least(up, up2) = 0")
+        # positional filter: the n-grams of the key are the first in common, so what can be common is these and the rest
+        so_far = "(case when first >= 0 and first2 >= 0 then 2 else 1 end)"
+        met = met.filter(f"({so_far} + least(n - pos, m - pos2) - 1) * {100 + similarity} >= {similarity} * (n + m)")
+        return met.filter(_possible(similarity)).filter("not arrays_overlap(before, before2)").select("a", "b", "ca", "cb")
+
+    def star_pairs() -> DataFrame:
+        lead = posting.groupBy("key").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64(F.col("rid"), F.lit(r), F.pmod("key", F.lit(1 << r)))).alias("lead"))
+        met = posting.join(lead, "key").filter("comp <> lead.comp")
+        turned = F.col("rid") > F.col("lead.rid")
+        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(to) for x, y, to in (("rid", "lead.rid", "a"), ("lead.rid", "rid", "b"), ("comp", "lead.comp", "ca"), ("lead.comp", "comp", "cb"))]
+        return filtered(met.select(*ends).dropDuplicates(["a", "b"]))
+
+    r, split, left = 0, False, pairs_left()
+    last = left <= PAIRS_A_ROW * scratch.count(posting)
     while True:
-        if links is None:
-            p = posting.withColumn("comp", F.col("rid"))
-        else:  # a bucket inside one component stays so: later rounds do without it
-            p = labelled()
-            scratch.drop(posting)
-            posting = scratch.rename(p, p.drop("comp"))
-        if last:
-            p = scratch.save(p.join(sketch.drop("n"), "rid"))
-            q = p.select("gram", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(longs)))
-            met = p.withColumnRenamed("rid", "a").join(q, "gram").filter("a < b and comp <> comp2")
-            # positional filter: what can still be common from here on must reach the required overlap
-            met = met.filter(f"(1 + least(n - pos - 1, m - pos2 - 1)) * {100 + similarity} + {100 + similarity} * least(pos, pos2) >= {similarity} * (n + m)")
-            pairs = met.filter(_possible(similarity)).select("a", "b").distinct()
-            pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-        else:
-            lead = p.groupBy("gram").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64(F.col("rid"), F.lit(r), F.pmod("gram", F.lit(1 << r)))).alias("lead"))
-            met = p.join(lead, "gram").filter("comp <> lead.comp")
-            pairs = scratch.save(filtered(met.select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b")).distinct()))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = every_pair().dropDuplicates(["a", "b"]) if last else star_pairs()
+        pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         n, confirmed = scratch.count(pairs), 0
         if n:
-            found = _verify(scratch, docs, rows, pairs, k, similarity)
+            found = _verify(scratch, docs, rows, pairs.select("a", "b"), k, similarity)
             confirmed = scratch.count(found)
+        if confirmed:
             links = found if links is None else links.unionByName(found)
-            comp = components(scratch, links)
-        elif links is None:
-            links = pairs
         if last:
             break
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        if confirmed:
+            # only what has been linked now, between the components so far
+            joined = pairs.join(_few(scratch, found), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            moved = scratch.save(components(scratch, joined).filter("node <> comp").select(F.col("node").alias("comp"), F.col("comp").alias("into")))
+            relabelled = posting.join(_few(scratch, moved), "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
+            held, posting = posting, kept(relabelled)
+            scratch.drop(held)
         r += 1
-        last = r == ROUNDS or confirmed < FRUITFUL * n or not n
+        was, left = left, pairs_left()
+        last = left <= PAIRS_A_ROW * scratch.count(posting) or r >= ROUNDS or split and left > LEFT * was
+        if not last and not split and (confirmed <= FRUITFUL * n or r == ROUNDS // 2):
+            held, posting, split = posting, split_buckets(), True
+            scratch.drop(held)
+            left = pairs_left()
+            last = left <= PAIRS_A_ROW * scratch.count(posting)
     if not same.isEmpty():
-        comp = components(scratch, links.unionByName(same))
+        links = same if links is None else links.unionByName(same)
+    comp = components(scratch, links) if links is not None else sketch.select(F.col("rid").alias("node"), F.col("rid").alias("comp")).limit(0)
     return (
         rows.select("doc_id", F.col("n").alias("n_shingles"))
         .join(member.select("doc_id", "rid"), "doc_id", "left")

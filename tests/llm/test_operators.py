@@ -98,6 +98,33 @@ def test_ngram_join(docs, k, similarity):
     assert all(r.component_id == want.get(r.doc_id) for r in got)
 
 
+@pytest.mark.parametrize(("pairs_a_row", "rounds"), [(0, 8), (0, 1), (10**9, 8)])
+@pytest.mark.parametrize("ranked", [True, False])
+def test_hot_ngrams(spark, monkeypatch, pairs_a_row, rounds, ranked):
+    """N-grams that thousands of unlike documents share, met by rounds, by split buckets and by all pairs at once."""
+    rnd = random.Random(8)
+    texts = [f"here stands a common passage {words(rnd, rnd.randrange(4, 16))}" for _ in range(1500)]
+    for t in texts[:150]:
+        w = t.split()
+        w[rnd.randrange(len(w))] = "edit"
+        texts.append(" ".join(w))
+    sets = [grams(t, 2) for t in texts]
+    index: dict = {}
+    for i, g in enumerate(sets):
+        for x in g:
+            index.setdefault(x, []).append(i)
+    common = Counter(p for x, ids in index.items() if x[0] not in ("here", "stands", "a", "common") for p in combinations(ids, 2))
+    hot = {i: sum(x[0] in ("here", "stands", "a", "common") for x in g) for i, g in enumerate(sets)}
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if 2 * min(hot[a], hot[b]) + 2 * common[a, b] >= 0.5 * min(len(sets[a]), len(sets[b]))]
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 50 * len(sets[a] | sets[b])]
+    monkeypatch.setattr(jj, "PAIRS_A_ROW", pairs_a_row)
+    monkeypatch.setattr(jj, "ROUNDS", rounds)
+    if not ranked:  # any order has to give the same result
+        monkeypatch.setattr(jj, "rarity", lambda *_: (np.empty(0, np.uint64), np.empty(0, np.uint32)))
+    got = jj.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 2, 50)
+    assert {r.doc_id: r.component_id for r in got.collect()} == find(links, range(len(texts)))
+
+
 def test_ngram_join_of_nothing(none):
     assert jj.near_duplicates(none).count() == 0
 
