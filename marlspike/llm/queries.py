@@ -10,7 +10,7 @@ from marlspike.llm.common import table
 from marlspike.llm.jaccard_join import near_duplicates
 from marlspike.llm.line_dedup import dedup_lines
 from marlspike.llm.packing import pack_documents
-from marlspike.llm.quality_rules import GRID, MEASURES, judge_quality
+from marlspike.llm.quality_rules import GRID, MEASURES, RARITIES, judge_quality
 from marlspike.llm.secrets import KINDS, find_secrets
 from marlspike.llm.token_counts import token_counts
 from marlspike.llm.url_filters import Rule, judge_urls, tracking_hosts
@@ -56,9 +56,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and the verdict, with cutoffs from ``labels``."""
+    """Base counts and the verdict; the rarity and its stratum's cutoff, with the held-out good documents and how many of them it rejects."""
     out = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+    more = ["rarity", "cutoff", "n_held", "n_false", F.array_join("failed", ",").alias("failed")]
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *more)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,39 +196,59 @@ _MEASURES_SQL = {
     "long_words": "coalesce(1000 * word_chars / nullif(n_words, 0) / 20, 0)",
     "short_words": "coalesce(1000 - 1000 * word_chars / nullif(n_words, 0) / 20, 0)",
 }
-_FAILED = ", ".join(f"case when {m} >= cut_{m} then '{m}' end" for m in MEASURES)
+_STEPS = ", ".join(f"len(list_filter({GRID}, lambda c: c <= {e}))" for e in _MEASURES_SQL.values())
+_NAMES = "[" + ", ".join(f"'{m}'" for m in MEASURES) + "]"
 _OP7 = rf"""
 with t as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
 w as (select doc_id, stratum, text, {_WORDS.format("text")} as w, string_split(text, chr(10)) as l from t),
 g as (select doc_id, i, w[i:i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
 again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1),
 covered as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from again) group by doc_id),
-lines as (select doc_id, line, count(*) as c from (select doc_id, unnest(l) as line from w) where regexp_matches(line, '[^ 	-]') group by all),
+lines as (select doc_id, line, count(*) as c from (select doc_id, unnest(l) as line from w) where regexp_matches(line, '[^ 	-
+]') group by all),
 dup as (select doc_id, sum(c - 1)::bigint as n from lines group by doc_id),
 b as (
   select doc_id, stratum, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words, len(l) as n_lines
   from w left join dup using (doc_id) left join covered using (doc_id)
 ),
-m as (select *, {', '.join(f'{e} as {m}' for m, e in _MEASURES_SQL.items())} from b),
-good as (select m.* from m semi join (select distinct doc_id from labels where quality = 1) q using (doc_id)),
-long as (unpivot (select stratum, {', '.join(f'{m}::double as {m}' for m in MEASURES)} from good) on {', '.join(MEASURES)} into name measure value v),
+m as (select *, [{_STEPS}] as steps from b),
+q as (
+  select doc_id, case when max(quality) = 0 then 'bad' when substr(md5(doc_id::varchar), 1, 1) < '8' then 'fit' else 'held' end as part
+  from labels where quality in (0, 1) group by doc_id
+),
+known as (select m.stratum, m.steps, q.part from m join q using (doc_id)),
+fit as (select i as measure, steps[i] as step from known, (select unnest(range(1, {len(MEASURES) + 1})) as i) where part = 'fit'),
+share as (
+  select measure, k, floor(count(*) filter (where step >= k) * 1000000 / count(*))::bigint as share
+  from fit, (select unnest(range(0, {len(GRID) + 1})) as k) group by all
+),
+shared as (select list(share order by measure) as shares from (select measure, list(share order by k) as share from share group by all)),
+rare as (
+  select stratum, part, list_min(list_transform(range(1, {len(MEASURES) + 1}), lambda i: shares[i][steps[i] + 1])) as rarity
+  from known, shared where part <> 'fit'
+),
 tried as (
-  select stratum, measure, i, cutoff, count(*) as n, count(*) filter (where v >= cutoff) as k
-  from long, (select unnest({GRID}) as cutoff, unnest(range(0, {len(GRID)})) as i) group by all
+  select stratum, cutoff, count(*) filter (where part = 'held') as n_held, count(*) filter (where part = 'held' and rarity <= cutoff) as n_false,
+    count(*) filter (where part = 'bad' and rarity <= cutoff) as n_bad
+  from rare, (select unnest({RARITIES}) as cutoff) group by all
 ),
+testable as (select * from tried where n_held * ln(0.95) <= ln(0.05)),
 tested as (
-  select *, k < n * 0.01 and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - (case when j = 0 then 0 else lgamma(j + 1) end) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99))))
-    <= 0.05 / ({len(MEASURES)} * (select count(distinct stratum) from long)) as ok from tried
+  select *, n_false < n_held * 0.05 and list_sum(list_transform(range(0, n_false + 1), lambda j: exp(lgamma(n_held + 1) - (case when j = 0 then 0 else lgamma(j + 1) end) - lgamma(n_held - j + 1) + j * ln(0.05) + (n_held - j) * ln(0.95))))
+    <= 0.05 / (select count(distinct stratum) from testable) as ok from testable
 ),
-head as (select *, sum(case when ok then 0 else 1 end) over (partition by stratum, measure order by i) as failed from tested),
-best as (select stratum, measure, min(cutoff) as cutoff from head where failed = 0 group by all),
-cuts as (select stratum, {', '.join(f"max(cutoff) filter (where measure = '{m}') as cut_{m}" for m in MEASURES)} from best group by stratum),
+head as (select *, sum(case when ok then 0 else 1 end) over (partition by stratum order by cutoff) as failed from tested),
+best as (select stratum, arg_min(struct_pack(cutoff := cutoff, n_held := n_held, n_false := n_false), struct_pack(a := -n_bad, b := cutoff)) as c from head where failed = 0 group by stratum),
 v as (
-  select m.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, list_filter([{_FAILED}], lambda x: x is not null) as f
-  from m left join cuts using (stratum)
+  select m.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, c.cutoff as cutoff, c.n_held as n_held, c.n_false as n_false,
+    list_transform(range(1, {len(MEASURES) + 1}), lambda i: shares[i][steps[i] + 1]) as share
+  from (select * from m, shared) m left join best using (stratum)
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and len(f) = 0 as kept, coalesce(array_to_string(f, ','), '') as failed from v
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, list_min(share) as rarity, cutoff, n_held, n_false,
+  not base_failed and not coalesce(list_min(share) <= cutoff, false) as kept,
+  coalesce(array_to_string(list_transform(list_filter(range(1, {len(MEASURES) + 1}), lambda i: share[i] <= cutoff), lambda i: ({_NAMES})[i]), ','), '') as failed
+from v
 """
 
 

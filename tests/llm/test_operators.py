@@ -202,11 +202,59 @@ def test_cutoffs_keep_their_promise(spark):
     d = spark.createDataFrame(rows, SCHEMA)
     labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(6000)], "doc_id bigint, quality int")
     out = {r.doc_id: r for r in quality_rules.judge_quality(d, labels).collect()}
+    assert all(r.cutoff is not None and r.n_held > 500 and r.p_value <= 0.025 for r in out.values()), "both strata are certified"
     assert not any(out[i].kept for i in range(0, 6000, 3)), "junk goes"
+    assert all("symbol_share" in out[i].failed and not out[i].base_failed for i in range(0, 6000, 3)), "by the method, not by a base rule"
     good = [i for i in range(6000) if i % 3]
     assert sum(not out[i].kept for i in good) <= 0.05 * len(good)
 
 
+def plain_verdicts(rows, labels, risk=0.05, delta=0.05):
+    """Rarity, cutoff and verdict of each row (doc_id, stratum, counts), by loops."""
+    from hashlib import md5
+    from math import comb
+
+    grid, of = quality_rules.GRID, {}
+    for i, q in labels:
+        of[i] = max(q, of.get(i, 0))
+    part = {i: "bad" if q == 0 else "fit" if md5(str(i).encode()).hexdigest()[0] < "8" else "held" for i, q in of.items()}
+    valued = []
+    for i, s, (n, chars, symbols, dup, repeat, lines) in rows:
+        ms = [symbols / chars if chars else 0, dup / lines, repeat / n if n else 0, chars / n / 20 if n else 0, 1 - chars / n / 20 if n else 0]
+        valued.append((i, s, [sum(1000 * m + 1e-9 >= c for c in grid) for m in ms], n < 50 or 100 * repeat > 50 * n))
+    fit = [v for i, _, v, _ in valued if part.get(i) == "fit"]
+    rarity = [min(sum(x[m] >= v[m] for x in fit) * 10**6 // len(fit) for m in range(5)) for _, _, v, _ in valued]
+    strata = {s for _, s, _, _ in valued}
+    held, bad = ({s: [r for (i, t, _, _), r in zip(valued, rarity, strict=True) if t == s and part.get(i) == kind] for s in strata} for kind in ("held", "bad"))
+    testable = [s for s in strata if (1 - risk) ** len(held[s]) <= delta]
+    cut = {}
+    for s in testable:
+        best = None
+        for c in quality_rules.RARITIES:
+            n, k = len(held[s]), sum(r <= c for r in held[s])
+            if sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) > delta / len(testable):
+                break
+            if best is None or sum(r <= c for r in bad[s]) > best[0]:
+                best = sum(r <= c for r in bad[s]), c
+        cut[s] = best and best[1]
+    return [(i, r, cut.get(s), not base and not (cut.get(s) is not None and r <= cut[s])) for (i, s, _, base), r in zip(valued, rarity, strict=True)]
+
+
+def test_quality_against_loops(spark):
+    rnd = random.Random(6)
+    rows, labels = [], []
+    for i in range(1500):
+        t = words(rnd, rnd.randrange(40, 90)) + " #" * rnd.choice([0, 0, 0, 1, 2, 30]) + "\nsame line" * rnd.choice([0, 0, 3])
+        rows.append((i, t, ["en", "fr", "de", None][min(3, rnd.randrange(12) // 3)] if i < 1450 else "few", "s", 0))
+        if rnd.random() < 0.9:
+            labels.append((i, 0 if t.count("#") > 20 else 1))
+    labels += [(1, 0), (5000, 1)]
+    got = quality_rules.judge_quality(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    want = plain_verdicts([(r[0], r[2] or "", plain_counts(r[1])) for r in rows], labels)
+    assert sorted((r.doc_id, r.rarity, r.cutoff, r.kept) for r in got) == sorted(want)
+    assert len({c for _, _, c, _ in want}) > 1
+
+
 def test_quality_of_odd_rows(docs, none, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id bigint, quality int")
     got = quality_rules.judge_quality(docs, labels).collect()
