@@ -56,10 +56,10 @@ LONGS = 8
 BROADCAST_IDS = 2_000_000
 #: Sets that a worker keeps while it verifies.
 SETS_KEPT = 64
-#: Star rounds go on until the pairs left are at most so many for each row, so many rounds at most.
-PAIRS_A_ROW, ROUNDS = 2, 8
-#: A round that confirms a smaller share of its pairs is the last before frequent n-grams are split; one that then leaves more than this share of the pairs is the last of all.
-FRUITFUL, LEFT = 0.2, 0.8
+#: Star rounds go on until buckets hold at most so many pairs for each row, and begin only above one; from so many on that rounds leave, frequent n-grams are split.
+PAIRS_A_ROW, SPLIT_FROM = 4, 256
+#: At most so many rounds; after the third, those that leave more than this share of the pairs end them.
+ROUNDS, LEFT = 6, 0.9
 #: N-grams before a meeting that are compared, to see that a pair has met before.
 BEFORE = 6
 
@@ -241,6 +241,14 @@ def _verify(scratch: Scratch, docs: DataFrame, rows: DataFrame, pairs: DataFrame
     return scratch.save(both.mapInArrow(_verified(k, similarity), "a bigint, b bigint").distinct())
 
 
+def _nearer(links: DataFrame) -> DataFrame:
+    """``comp, into``: the least node within two of ``links(a, b)``, for nodes that are not it; a star becomes one."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    there = ends.join(least.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("into"))
+    return there.filter("a <> into").select(F.col("a").alias("comp"), "into")
+
+
 def _possible(similarity: int) -> str:
     """Length and suffix filter between sets of n and m n-grams with sketches s* and t*."""
     bits = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(LONGS))
@@ -304,10 +312,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     def pairs_of(p: DataFrame, *by: str) -> DataFrame:
         """Pairs of different components that meet in some bucket, once for each bucket."""
         sizes = p.groupBy(*by, "key", "comp").agg(F.count("*").alias("c")).groupBy(*by, "key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        return sizes.groupBy(*by).agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"))
+        return sizes.groupBy(*by).agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("rows"))
 
-    def pairs_left() -> float:
-        return pairs_of(posting).first()[0] or 0
+    def pairs_left() -> tuple[float, int]:
+        found = pairs_of(posting).first()
+        return found["pairs"] or 0, found["rows"] or 0
 
     def split_buckets() -> DataFrame:
         """Rows under two n-grams, of the buckets where fewer pairs meet so."""
@@ -320,8 +329,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
         second = second.select("*", F.posexplode(F.array(band, band + 1)).alias("up", "band"))  # its own band, and the next for shorter ones
         second = second.select("origin", "rid", "n", "first", (F.col("from") + F.col("skip")).cast("int").alias("pos"), "up", F.xxhash64("origin", "second", "band").alias("key"), "comp")
         second = kept(second)
-        were = pairs_of(posting.join(large, "key").withColumn("origin", F.col("key")), "origin").withColumnRenamed("pairs", "were")
-        worth = were.join(pairs_of(second, "origin"), "origin", "left").join(second.groupBy("origin").agg(F.count("*").alias("rows")), "origin", "left")
+        were = pairs_of(posting.join(large, "key").withColumn("origin", F.col("key")), "origin").select("origin", F.col("pairs").alias("were"))
+        worth = were.join(pairs_of(second, "origin"), "origin", "left")
         worth = scratch.save(worth.filter("2 * (coalesce(pairs, 0) + coalesce(rows, 0)) < were").select(F.col("origin").alias("key")))
         second = second.join(worth.withColumnRenamed("key", "origin"), "origin", "left_semi").select(*posting.columns)
         alone = posting.join(worth, "key", "left_semi").filter(f"n * {similarity} <= 100")  # one n-gram in common is enough for these
@@ -350,8 +359,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
         ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(to) for x, y, to in (("rid", "lead.rid", "a"), ("lead.rid", "rid", "b"), ("comp", "lead.comp", "ca"), ("lead.comp", "comp", "cb"))]
         return filtered(met.select(*ends).dropDuplicates(["a", "b"]))
 
-    r, split, left = 0, False, pairs_left()
-    last = left <= PAIRS_A_ROW * scratch.count(posting)
+    r, split, (left, size) = 0, False, pairs_left()
+    last = left <= min(1, PAIRS_A_ROW) * size
     while True:
         pairs = every_pair().dropDuplicates(["a", "b"]) if last else star_pairs()
         pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
@@ -365,20 +374,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
             break
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if confirmed:
-            # only what has been linked now, between the components so far
+            # only what has been linked now, between the components so far; whole components are sought at the end
             joined = pairs.join(_few(scratch, found), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            moved = scratch.save(components(scratch, joined).filter("node <> comp").select(F.col("node").alias("comp"), F.col("comp").alias("into")))
+            moved = scratch.save(_nearer(joined))
             relabelled = posting.join(_few(scratch, moved), "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
             held, posting = posting, kept(relabelled)
             scratch.drop(held)
         r += 1
-        was, left = left, pairs_left()
-        last = left <= PAIRS_A_ROW * scratch.count(posting) or r >= ROUNDS or split and left > LEFT * was
-        if not last and not split and (confirmed <= FRUITFUL * n or r == ROUNDS // 2):
+        was, (left, size) = left, pairs_left()
+        over = r >= ROUNDS or r >= 3 and left > LEFT * was
+        if over and not split and left > SPLIT_FROM * size:
             held, posting, split = posting, split_buckets(), True
             scratch.drop(held)
-            left = pairs_left()
-            last = left <= PAIRS_A_ROW * scratch.count(posting)
+            left, size = pairs_left()
+            r, over = 0, False
+        last = over or left <= PAIRS_A_ROW * size
     if not same.isEmpty():
         links = same if links is None else links.unionByName(same)
     comp = components(scratch, links) if links is not None else sketch.select(F.col("rid").alias("node"), F.col("rid").alias("comp")).limit(0)
