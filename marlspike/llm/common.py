@@ -24,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where that is unset, as in tests on one machine, a temporary folder is made
-    and set as the checkpoint folder of the session's context.
+    and set as the checkpoint folder of the session's context. Elsewhere that is
+    an error, since executors would not see the folder.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         kept = sc._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="marlspike-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -73,10 +76,11 @@ class Scratch:
         except Exception:  # noqa: BLE001  the session may be gone when the driver ends
             return
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df`` as a written table, in folders by a column if one is named."""
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from marlspike.llm.tokens import KEPT, WordEncoder, public_path, worker
 CAPACITY = 4096
 #: The id after each document.
 END = 1
-#: Ranks within a length are dealt over so many parts.
-PARTS = 64
+#: Pieces of one length that are ranked together, at least; with more than its square in all, the root of their number.
+PART = 500
 #: Bytes of text that a worker encodes and hands on together, one text at least.
 BATCH = 4 << 20
 PIECES = "array<struct<piece:int,start:bigint,ids:binary>>"
@@ -166,35 +167,42 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """All columns of ``pieces(doc_id, piece, length, ...)`` with ``sequence_id`` and ``offset``.
+    """All columns of ``pieces(doc_id, piece, length, ...)`` with ``sequence_id`` and ``offset``, in place of any so named.
 
     Every piece gets a place; lengths are from 1 to ``capacity``. Equal rows get
-    places of their own. An empty table gives an empty result. ``pieces`` is
-    read twice and must give the same rows both times, as a written table does.
+    places of their own. Names of other columns are free. An empty table gives an
+    empty result. ``pieces`` is read three times and must give the same rows each
+    time, as a written table does.
     """
     spark = pieces.sparkSession
-    order = [F.col(c) for c, t in pieces.dtypes if not t.startswith("map")]
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
-    counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
-    sums = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    order = [F.col("row")[c] for c, t in pieces.dtypes if c in names and "map<" not in t]
+    row = F.struct(*(pieces[f"`{c}`"].alias(c) for c in names)).alias("row")
     # at most `capacity` rows and O(capacity log capacity) rows: bounded by the length of a sequence, not by the documents
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    together = max(PART, isqrt(sum(histogram.values())))
+    parts = spark.createDataFrame([(k, v // together + 1) for k, v in histogram.items()], "length bigint, parts bigint")
     rows = plan_bins(histogram, capacity)
     plan = spark.createDataFrame(rows, "length bigint, r0 bigint, r1 bigint, per bigint, first bigint, off bigint")
+    dealt = pieces.select(row, pieces["length"].cast("bigint").alias("length"), F.xxhash64("doc_id", "piece").alias("hash")).join(F.broadcast(parts), "length")
+    dealt = dealt.withColumn("part", F.pmod("hash", "parts")).drop("hash", "parts")
+    counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    # a row for each part: `capacity` and the root of the number of pieces at most
+    sums = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(sums.select("length", "part", "before")), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.join(F.broadcast(sums), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     met = ranked.join(F.broadcast(plan), "length").filter("rank >= r0 and rank < r1")
     k = F.col("rank") - F.col("r0")
-    return met.select(
-        *pieces.columns, (F.col("first") + F.floor(k / F.col("per"))).cast("bigint").alias("sequence_id"), (F.col("off") + k % F.col("per") * F.col("length")).alias("offset")
-    )
+    sequence = (F.col("first") + F.floor(k / F.col("per"))).cast("bigint").alias("sequence_id")
+    return met.select(*(F.col("row")[c].alias(c) for c in names), sequence, (F.col("off") + k % F.col("per") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", path: str | None = None, kept: int = KEPT, batch: int = BATCH) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every row of ``docs``.
 
     Only documents over the capacity are cut. The ids themselves come from
-    :func:`token_pieces`; here their CRC-32 is kept.
+    :func:`token_pieces`; here their CRC-32 is kept. Null ids and repeated rows
+    keep their rows; other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = token_pieces(docs, capacity, vocabulary, path, kept, batch)

@@ -9,7 +9,9 @@ filters are arrays of longs in one-row tables, read as scalar subqueries.
 
 A filter takes ``BITS`` bits for each host it encodes, in whole longs. That array is
 all that reaches the driver or is sent to tasks: 1.5 MB for a million hosts
-listed; later filters are some hundredths of that.
+listed; later filters are some hundredths of that. Where it would take more than
+``LONGS`` longs (8 MB, some 5.6 million hosts listed), hosts are dealt by hash over
+shards with a cascade each, and pages are judged shard by shard.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from marlspike.llm.common import Scratch
 
 #: Bits for each key of a filter, and bits set for it.
 BITS, HASHES = 12, 8
+#: Longs in the array of a filter.
+LONGS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -117,9 +121,22 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFr
     seen = pages.select(host.alias("host"), F.lit(True).alias("here"), F.lit(False).alias("listed"))
     named = listed.select(F.translate(F.col("host"), UPPER, LOWER).alias("host"), F.lit(False).alias("here"), F.lit(True).alias("listed"))
     universe = seen.unionByName(named).groupBy("host").agg(F.bool_or("here").alias("here"), F.bool_or("listed").alias("listed"))
-    universe = scratch.save(universe.filter("here and host <> ''").select("host", "listed"))
-    filters = cascade(scratch, universe)
+    universe = universe.filter("here and host <> ''").select("host", "listed")
     out = pages.select("page_id", host.alias("host"), path.alias("path"))
+    universe = scratch.save(universe)
+    shards = -(-universe.filter("listed").count() * BITS // (64 * LONGS)) or 1
+    if shards == 1:
+        return _judged(out, rules, cascade(scratch, universe))
+    shard = F.pmod(F.xxhash64(F.lit(-1), "host"), F.lit(shards)).alias("shard")
+    universe, out = (scratch.save(t.select("*", shard), by="shard") for t in (universe, out))
+    done = None
+    for i in range(shards):
+        part = _judged(out.filter(F.col("shard") == i), rules, cascade(scratch, universe.filter(F.col("shard") == i).drop("shard")))
+        done = part if done is None else done.unionByName(part)
+    return done
+
+
+def _judged(out: DataFrame, rules: list[Rule], filters: list[Filter]) -> DataFrame:
     out = out.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     block = (F.col("host") != "") & is_listed(F.col("host"), filters)
     verdict = F.coalesce("found.verdict", F.when(block, F.lit("block")).otherwise(F.lit("allow")))
