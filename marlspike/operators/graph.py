@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.operators.iterate import closure, cut
+from marlspike.operators.iterate import cut
 
 #: What may follow a specifier to make a file, in order of preference.
 CANDIDATES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -56,9 +56,28 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     """``node`` for every node that reaches itself.
 
     Nodes without an edge in or out cannot be on a cycle and are trimmed, round
-    by round; reachability is computed on the rest alone.
+    by round. The rest is coloured: each node takes the greatest node that
+    reaches it, and the nodes of a colour that reach that node are one strong
+    component; what is left is trimmed and coloured again. Rows stay in
+    proportion to the edges: no pairs of nodes that reach each other are made.
     """
     core = cut(edges.select("source", "target").distinct())
+    found = cut(core.filter("source = target").select(F.col("source").alias("node")).distinct())
+    core = cut(core.filter("source <> target"))
+    while not (core := _trimmed(core)).isEmpty():
+        nodes = core.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+        colour = _settled(nodes.withColumn("mark", F.col("node")), core)
+        inside = cut(_within(core, colour))
+        back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        # from each root, which has the colour's own name, against the edges
+        reached = _settled(colour.withColumn("mark", F.when(F.col("node") == F.col("mark"), F.col("mark"))), back).filter("mark is not null").select("node")
+        found = cut(found.unionByName(reached.join(inside.select(F.col("target").alias("node")).distinct(), "node", "left_semi")))
+        gone = reached
+        core = cut(core.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"))
+    return found.distinct()
+
+
+def _trimmed(core: DataFrame) -> DataFrame:
     n = core.count()
     while n:
         kept = core.join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
@@ -67,5 +86,21 @@ def cycle_members(edges: DataFrame) -> DataFrame:
         if (m := core.count()) == n:
             break
         n = m
-    reach = closure(core, core.select(F.col("source").alias("start")).distinct())
-    return reach.join(core, (F.col("node") == F.col("source")) & (F.col("start") == F.col("target"))).select(F.col("start").alias("node")).distinct()
+    return core
+
+
+def _within(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """Edges between nodes of one colour."""
+    d = edges.join(colour.select(F.col("node").alias("source"), F.col("mark").alias("c1")), "source")
+    return d.join(colour.select(F.col("node").alias("target"), F.col("mark").alias("c2")), "target").filter("c1 = c2").select("source", "target")
+
+
+def _settled(marks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, mark`` when each node's mark is the greatest of its own and of those that reach it along the edges."""
+    now = cut(marks.select("node", "mark"))
+    while True:
+        sent = edges.join(now.filter("mark is not null").withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.max("mark").alias("got"))
+        following = cut(now.join(sent, "node", "left").select("node", F.greatest("mark", "got").alias("mark"), F.coalesce(F.col("got") > F.col("mark"), F.col("got").isNotNull()).alias("moved")))
+        if following.filter("moved").isEmpty():
+            return now
+        now = following.drop("moved")

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder becomes the checkpoint folder."""
+    """``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a temporary folder becomes the checkpoint folder. Elsewhere that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     kept = sc._jsc.sc().getCheckpointDir()
+    if not found and kept.isDefined():
+        found = kept.get()
     if not found:
-        found = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="marlspike-core-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="marlspike-core-")
     if not kept.isDefined():
         sc.setCheckpointDir(found)
     return found.rstrip("/")

@@ -11,20 +11,30 @@ from marlspike.operators import sync
 from marlspike.plans.registry import query
 from marlspike.sources.tables import table
 
-# Source texts as rows: what the documents, being prose, do not hold.
-SOURCES = [
-    "import { a, b } from './util'\nimport React from 'react'\nexport function run(x) {\n  return new Worker(x)\n}\n",
-    "export class Store extends Base {\n  get(k) { return cache.read(k) }\n}\nexport const load = async () => 1\n",
-    "// only a comment\n\nconst helper = function () { return JSON.parse('1') }\nexport interface Shape { area: number }\n",
-    "import * as fs from 'fs'\nexport default class Reader implements Source {\n  open(p: Path) { return fs.open(p) }\n}\ntype Id = string\nexport type Key = Id\n",
-    "",
-]
-_ROWS = ", ".join(f"({i}, {sql_string(t)})" for i, t in enumerate(SOURCES)).replace("\n", "' || chr(10) || '")
-_SRC = f"src as (select * from (values {_ROWS}) v(doc_id, text))"
+# A source file for each part, as text and as a place: what the documents, being prose, do not hold.
+LINES = [
+    "import {{ util{z} }} from './f{more}'", "import React from 'react'", "", "// part {k}", "export function run{k}(x) {{", "  return new Worker{z}(x)", "}}", "",
+    "export class Store{k} extends Base{z} {{", "  size = {z}", "  get(k) {{ return cache.read(k) }}", "}}", "const helper{k} = function () {{ return JSON.parse('1') }}",
+    "export interface Shape{k} {{ area: number }}", "export type Base{base} = Id",
+]
+_HOLES = {"k": "p_partkey", "z": "p_size", "more": "p_partkey + 20", "base": "p_partkey % 40"}
 
 
-def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SOURCES)), "doc_id bigint, text string")
+def _filled(line: str) -> str:
+    """A line with its holes filled from a row of part, in SQL of both engines."""
+    out = sql_string(line.replace("{{", "\1").replace("}}", "\2"))
+    for h, e in _HOLES.items():
+        out = out.replace("{" + h + "}", f"' || cast({e} as varchar(20)) || '")
+    return "(" + out.replace("\1", "{").replace("\2", "}") + ")"
+
+
+_TEXT = " || chr(10) || ".join(map(_filled, LINES))
+_PATH = "'src/m' || cast(p_partkey % 20 as varchar(20)) || '/f' || cast(p_partkey as varchar(20)) || case p_partkey % 3 when 0 then '.ts' when 1 then '.md' else '.py' end"
+_SRC = f"src as (select p_partkey as doc_id, {_PATH} as path, {_TEXT} as text from part)"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) as doc_id", f"{_PATH} as path", f"{_TEXT} as text")
 
 
 _SIZE, _STEP = c.window_sizes(512, 50)
@@ -77,6 +87,17 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.code_chunks(table(spark, sf_dir, "documents"))
 
 
+_CUT = lambda lines: " || chr(10) || ".join(_filled(LINES[i]) for i in lines)
+_MEMBERS = [f"{_CUT([0, 1])} || chr(10) || chr(10) || {_CUT([4, 5, 6])}", _CUT([9]), f"{_CUT([8, 9])} || chr(10) || '  // ...' || chr(10) || {_CUT([10])}", " || chr(10) || chr(10) || ".join(_CUT([i]) for i in (12, 13, 14))]
+
+
+@query(f"""select p_partkey as doc_id, 'code' as strategy, i as ordinal, [{', '.join(_MEMBERS)}][i + 1] as content from part, (select unnest(range(0, 4)) as i) where p_partkey % 3 = 0
+union all select p_partkey, case p_partkey % 3 when 1 then 'recursive' else 'fixed' end, 0, {_TEXT} from part where p_partkey % 3 <> 0""")
+def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files cut as their language asks; the SQL says what the lines of each file have to become."""
+    return c.chunk_files(sources(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
 _SYM = ", ".join(f"{{'name': regexp_extract(t, {sql_string(r)}, 1), 'kind': '{k}'}}" for r, k in c.SYMBOLS)
 _LINES = "ln as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, string_split(text, chr(10)) as l from src), tl as (select doc_id, line, trim(l[line]) as t from ln)"
 
@@ -84,19 +105,20 @@ _LINES = "ln as (select doc_id, unnest(range(1, len(string_split(text, chr(10)))
 @query(f"""with {_SRC}, {_LINES}, x as (select doc_id, line, starts_with(t, 'export') as exported, unnest([{_SYM}]) as s from tl)
 select doc_id, line, s.name as name, s.kind as kind, exported from x where s.name <> ''""")
 def symbol_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.symbols(sources(spark)).withColumn("line", F.col("line").cast("bigint"))
+    return c.symbols(sources(spark, sf_dir)).withColumn("line", F.col("line").cast("bigint"))
 
 
 @query(f"""with {_SRC} select doc_id, array_to_string(regexp_extract_all(text, {sql_string(c.IMPORT)}, 1), ',') as imports,
   array_to_string(regexp_extract_all(text, {sql_string(c.EXPORT)}, 1), ',') as exports from src""")
 def import_export_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources(spark).select("doc_id", F.array_join(c.imports(F.col("text")), ",").alias("imports"), F.array_join(c.exports(F.col("text")), ",").alias("exports"))
+    return sources(spark, sf_dir).select("doc_id", F.array_join(c.imports(F.col("text")), ",").alias("imports"), F.array_join(c.exports(F.col("text")), ",").alias("exports"))
 
 
 # Names that are never taken for symbols of the code itself.
 BUILT_IN = """Array Object String Number Boolean Function Symbol Map Set WeakMap WeakSet Promise Date RegExp Error JSON Math console
 setTimeout setInterval clearTimeout clearInterval parseInt parseFloat isNaN isFinite this super null undefined true false process
 Buffer global require module exports __dirname __filename any unknown never void""".split()
+# How a name is used.
 USES = [r"new\s+(\w+)\s*\(", r"extends\s+(\w+)", r"implements\s+(\w+)", r":\s*(\w+)(?:\s*[,;)\]=])", r"(\w+)\s*\.\s*\w+\s*\("]
 _USES = " || ".join(f"regexp_extract_all(t, {sql_string(r)}, 1)" for r in USES)
 
@@ -107,7 +129,7 @@ known as (select unnest(regexp_extract_all(text, {sql_string(c.EXPORT)}, 1)) as
 select doc_id, line, name from used where name not in ({', '.join(map(sql_string, BUILT_IN))}) and name not in (select name from known)""")
 def verify_missing_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Used names that no source defines or exports."""
-    src = sources(spark)
+    src = sources(spark, sf_dir)
     lines = src.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l")).select("doc_id", (F.col("i") + 1).cast("bigint").alias("line"), F.trim("l").alias("t"))
     used = lines.select("doc_id", "line", F.explode(F.concat(*(F.regexp_extract_all("t", F.lit(r), F.lit(1)) for r in USES))).alias("name")).distinct()
     known = src.select(F.explode(c.exports(F.col("text"))).alias("name")).union(c.symbols(src).select("name")).distinct()

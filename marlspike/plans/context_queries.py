@@ -51,18 +51,17 @@ def changes_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.in_range(changes(spark, sf_dir), at("2024-01-05"), at("2024-01-06"), "PURCH").select("id", "file", "reason")
 
 
-_DEP = "dep as (select distinct json_extract_string(props, '$.k')::int as file, user_id % 100 as depends_on from events where event_type = 'purchase' and json_extract_string(props, '$.k')::int % 9 = 0 and user_id % 2 = 1)"
+_DEP = "dep as (select distinct json_extract_string(props, '$.k')::int as file, user_id % 100 as depends_on from events where event_type = 'purchase')"
 
 
 @query(f"""with recursive {_DEP},
-r(start, node, depth, path) as (select s, s, 0, [s] from (values (9), (27), (45)) v(s)
-  union all select r.start, d.file, r.depth + 1, list_append(r.path, d.file) from r join dep d on d.depends_on = r.node where not list_contains(r.path, d.file) and r.depth < 6)
+r(start, node, depth) as (select s, s, 0 from (values (9), (27), (45)) v(s) union select r.start, d.file, r.depth + 1 from r join dep d on d.depends_on = r.node where r.depth < 100)
 select start, node, min(depth) as depth from r group by start, node having min(depth) > 1""")
 def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files at second hand and beyond that depend on three changed ones."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    d = e.filter((F.col("event_type") == "purchase") & (k % 9 == 0) & (F.col("user_id") % 2 == 1)).select(k.alias("file"), (F.col("user_id") % 100).cast("int").alias("depends_on")).distinct()
+    d = e.filter("event_type = 'purchase'").select(k.alias("file"), (F.col("user_id") % 100).cast("int").alias("depends_on")).distinct()
     return context.impact(d, spark.createDataFrame([(9,), (27,), (45,)], "start int"))
 
 
@@ -119,19 +118,20 @@ def infer_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.inferred(u.select(F.concat(F.lit("src/"), F.get(names, (F.col("user_id") % 6).cast("int")), F.col("user_id").cast("string")).alias("file")))
 
 
-_SNAP = lambda half: f"select 'pkg-' || (l_partkey % 300) as package, max(l_suppkey % 9)::varchar as version from lineitem where l_orderkey % 10 = {half} group by 1"
-_DIFF = f"""o as ({_SNAP(1)}), n as ({_SNAP(2)}), d as (select coalesce(o.package, n.package) as package, case when o.package is null then 'added' when n.package is null then 'removed' when o.version <> n.version then 'updated' end as change,
+# Orders of even and odd numbers as snapshots before and after; the later one knows more packages.
+_SNAP = lambda half: f"select 'pkg-' || (l_partkey % {300 + 10 * half}) as package, (sum(l_suppkey) % 9)::bigint::varchar as version from lineitem where l_orderkey % 2 = {half} group by 1"
+_DIFF = f"""o as ({_SNAP(0)}), n as ({_SNAP(1)}), d as (select coalesce(o.package, n.package) as package, case when o.package is null then 'added' when n.package is null then 'removed' when o.version <> n.version then 'updated' end as change,
   o.version as old_version, n.version as new_version from o full outer join n on o.package = n.package)"""
 
 
 def _snapshot(spark: SparkSession, sf_dir: str, half: int) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 10 == half)
-    return d.groupBy(F.concat(F.lit("pkg-"), (F.col("l_partkey") % 300).cast("string")).alias("package")).agg(F.max(F.col("l_suppkey") % 9).cast("string").alias("version"))
+    d = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 2 == half)
+    return d.groupBy(F.concat(F.lit("pkg-"), (F.col("l_partkey") % (300 + 10 * half)).cast("string")).alias("package")).agg((F.sum("l_suppkey") % 9).cast("string").alias("version"))
 
 
 @query(f"with {_DIFF} select * from d where change is not null")
 def dependency_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.dependency_diff(_snapshot(spark, sf_dir, 1), _snapshot(spark, sf_dir, 2))
+    return context.dependency_diff(_snapshot(spark, sf_dir, 0), _snapshot(spark, sf_dir, 1))
 
 
 @query(f"with {_AS}, {_DIFF} select id, description from rules where type = 'dependency' and valid and exists (select 1 from d where change is not null and contains(lower(description), lower(package)))")
@@ -139,11 +139,11 @@ def dependency_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.affected(assumptions(spark), dependency_diff(spark, sf_dir)).select("id", "description")
 
 
-@query("""with s as (select user_id % 7 as repo, ts as taken_at, md5((value > 10)::varchar) as manifest_hash, case when event_type = 'view' then null else md5(event_type) end as lock_hash from events where event_id % 20 = 0),
+@query("""with s as (select user_id % 7 as repo, ts as taken_at, md5((value > 10)::varchar) as manifest_hash, case when event_type = 'view' then null else md5(event_type) end as lock_hash from events),
 w as (select *, lag(manifest_hash) over (partition by repo order by taken_at) as m0, lag(lock_hash) over (partition by repo order by taken_at) as l0, row_number() over (partition by repo order by taken_at) as k from s)
 select repo, taken_at, manifest_hash is distinct from m0 as manifest_changed, lock_hash is not null and lock_hash is distinct from l0 as lock_changed from w where k > 1""")
 def snapshot_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 20 = 0")
+    e = table(spark, sf_dir, "events")
     s = e.select((F.col("user_id") % 7).alias("repo"), F.col("ts").alias("taken_at"), F.md5((F.col("value") > 10).cast("string")).alias("manifest_hash"), F.when(F.col("event_type") != "view", F.md5("event_type")).alias("lock_hash"))
     return context.drift(s)
 
@@ -165,48 +165,53 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.fillna(0)
 
 
-# An import table as rows: which file imports what.
-FILES = ["src/a.ts", "src/b.ts", "src/lib/index.ts", "src/lib/util.tsx", "app/main.js", "app/view/page.jsx", "app/view/index.js"]
-IMPORTS = [
-    ("src/a.ts", "./b"), ("src/b.ts", "./lib"), ("src/lib/index.ts", "./util"), ("src/lib/util.tsx", "../a"), ("app/main.js", "./view"), ("app/main.js", "../src/a"),
-    ("app/view/index.js", "./page"), ("app/view/page.jsx", "@/lib"), ("src/a.ts", "react"), ("src/b.ts", "@scope/pkg/deep"), ("src/b.ts", "lodash/get"), ("src/a.ts", "./missing"), ("app/main.js", "./view/page.jsx"),
-]
-#: What each resolves to, worked out by hand: the SQL twin of the resolver.
-RESOLVED = [
-    ("src/a.ts", "src/b.ts", False), ("src/b.ts", "src/lib/index.ts", False), ("src/lib/index.ts", "src/lib/util.tsx", False), ("src/lib/util.tsx", "src/a.ts", False),
-    ("app/main.js", "app/view/index.js", False), ("app/main.js", "src/a.ts", False), ("app/view/index.js", "app/view/page.jsx", False), ("app/view/page.jsx", "src/lib/index.ts", False),
-    ("src/a.ts", "react", True), ("src/b.ts", "@scope/pkg", True), ("src/b.ts", "lodash", True), ("app/main.js", "app/view/page.jsx", False),
-]
-_EDGES = "e as (select * from (values " + ", ".join(f"('{s}', '{t}', {str(x).lower()})" for s, t, x in RESOLVED) + ") v(source, target, is_external))"
+# A file for each part, twenty folders with an index each, and six imports of each file: of two files nearby, one by an
+# alias, a folder's index, a package, and a file that is not there.
+_FILE_OF = lambda k: f"'src/m' || cast(({k}) % 20 as varchar(20)) || '/f' || cast({k} as varchar(20)) || '.ts'"
+_SPECIFIERS = [
+    "'./f' || cast(p_partkey + 20 as varchar(20))",
+    "'../m' || cast((p_partkey + 1) % 20 as varchar(20)) || '/f' || cast(p_partkey + 1 as varchar(20)) || '.ts'",
+    "'@/m' || cast(p_partkey * 7 % 20 as varchar(20)) || '/f' || cast(p_partkey * 7 as varchar(20))",
+    "'./../m' || cast(p_size % 20 as varchar(20))",
+    "case p_size % 3 when 0 then 'lib' || cast(p_size as varchar(20)) || '/deep/part' when 1 then '@scope/pkg' || cast(p_size as varchar(20)) || '/deep' else 'react' end",
+    "'./missing'",
+]
+#: What each resolves to, as SQL says it of the same rows.
+_FOUND = lambda k: f"select {_FILE_OF('p_partkey')}, {_FILE_OF(k)}, false from part where {k} in (select p_partkey from part)"
+_EDGES = f"""e(source, target, is_external) as ({_FOUND('p_partkey + 20')} union {_FOUND('p_partkey + 1')} union {_FOUND('p_partkey * 7')}
+  union select {_FILE_OF('p_partkey')}, 'src/m' || (p_size % 20) || '/index.ts', false from part
+  union select {_FILE_OF('p_partkey')}, case p_size % 3 when 0 then 'lib' || p_size when 1 then '@scope/pkg' || p_size else 'react' end, true from part)"""
 
 
-def import_edges(spark: SparkSession) -> DataFrame:
-    files = spark.createDataFrame([(f,) for f in FILES], "path string")
-    return graph.resolve(spark.createDataFrame(IMPORTS, "source string, specifier string"), files, {"@/": "src/"})
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    files = part.selectExpr(f"{_FILE_OF('p_partkey')} as path").unionByName(spark.range(20).selectExpr("concat('src/m', id, '/index.ts') as path"))
+    imports = part.selectExpr(f"{_FILE_OF('p_partkey')} as source", f"explode(array({', '.join(_SPECIFIERS)})) as specifier")
+    return graph.resolve(imports, files, {"@/": "src/"})
 
 
 @query(f"with {_EDGES} select * from e")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return import_edges(spark)
+    return import_edges(spark, sf_dir)
 
 
 @query(f"with {_EDGES} select distinct target as package from e where is_external")
 def external_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return import_edges(spark).filter("is_external").select(F.col("target").alias("package")).distinct()
+    return import_edges(spark, sf_dir).filter("is_external").select(F.col("target").alias("package")).distinct()
 
 
 @query(f"""with {_EDGES}, d as (select regexp_extract(source, '^(.*)/[^/]*$', 1) as source_dir, regexp_extract(target, '^(.*)/[^/]*$', 1) as target_dir from e where not is_external)
 select distinct * from d where source_dir <> target_dir""")
 def dir_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.folder_edges(import_edges(spark))
+    return graph.folder_edges(import_edges(spark, sf_dir))
 
 
-@query("""with recursive e as (select distinct json_extract_string(props, '$.k')::int as source, (user_id % 100)::int as target from events where event_type = 'error' and event_id % 7 = 0 and json_extract_string(props, '$.k')::int <> user_id % 100),
+@query("""with recursive e as (select distinct json_extract_string(props, '$.k')::int as source, (user_id % 100)::int as target from events where event_type = 'error' and json_extract_string(props, '$.k')::int <> user_id % 100),
 r(start, node) as (select source, target from e union select r.start, e.target from r join e on e.source = r.node)
 select distinct start as node from r where start = node""")
 def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that reach themselves, over links drawn from the events."""
-    e = table(spark, sf_dir, "events").filter("event_type = 'error' and event_id % 7 = 0")
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
     d = e.select(F.get_json_object("props", "$.k").cast("int").alias("source"), (F.col("user_id") % 100).cast("int").alias("target")).filter("source <> target")
     return graph.cycle_members(d)
 
@@ -216,7 +221,7 @@ o as (select name, 'component' as kind, regexp_extract(name, '^(.*)/[^/]*$', 1)
   union all select distinct target, 'external', '' from e where is_external) select * from o""")
 def architecture_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of three levels: files, their folders, and external packages."""
-    e = import_edges(spark)
+    e = import_edges(spark, sf_dir)
     inside = e.select(F.col("source").alias("name")).union(e.filter("not is_external").select("target")).distinct()
     files = inside.select("name", F.lit("component").alias("kind"), graph.folder(F.col("name")).alias("parent"))
     folders = inside.select(graph.folder(F.col("name")).alias("name"), F.lit("container").alias("kind"), F.regexp_extract("name", "^([^/]*)", 1).alias("parent")).distinct()
