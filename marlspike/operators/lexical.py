@@ -1,9 +1,10 @@
 """Inverted index, BM25 ranking, prefix and fuzzy terms.
 
 The index is two kinds of postings over the same terms: ``raw`` (lower-cased) and
-``stem``. Documents' lengths count stems. At scale, postings are written
-partitioned by kind and bucketed by term; ranking reads the few terms of a
-query, so its shuffle holds hits, not the corpus.
+``stem``. Documents' lengths count stems. It is written once: postings in a folder
+for each kind, sorted by term, so that the few terms of a query, which are pushed
+down to the files, read little beside their own rows; a row for each term with its
+document frequency; a row of totals. A search reads these and never a text.
 """
 
 from __future__ import annotations
@@ -20,17 +21,22 @@ K1, B = 1.5, 0.75
 RAW_BOOST, SYMBOL_BOOST = 1.5, 2.0
 
 
-class Term(NamedTuple):
-    kind: str
-    term: str
+class Index(NamedTuple):
+    """``postings(kind, term, doc_id, tf, dl)``, ``vocabulary(kind, term, df, cf)`` and ``totals(n_docs, avgdl)``, of one row."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    totals: DataFrame
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """``kind, term, doc_id, tf`` of ``docs(doc_id, text)``; counts are combined before their shuffle."""
-    words = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
-    raw = words.select(F.lit("raw").alias("kind"), "term", "doc_id")
-    stemmed = words.select(F.lit("stem").alias("kind"), stem(F.col("term")).alias("term"), "doc_id")
-    return raw.unionByName(stemmed).groupBy("kind", "term", "doc_id").agg(F.count("*").alias("tf"))
+    """``kind, term, doc_id, tf, dl`` of ``docs(doc_id, text)``; counts are combined before their shuffle."""
+    words = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term"))
+    raw = words.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    # stems of a document's distinct terms, counted where its rows already are
+    stems = raw.groupBy("doc_id", "dl", stem(F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
+    columns = ["kind", "term", "doc_id", "tf", "dl"]
+    return raw.withColumn("kind", F.lit("raw")).select(*columns).unionByName(stems.withColumn("kind", F.lit("stem")).select(*columns))
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
@@ -38,12 +44,32 @@ def doc_stats(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(terms(F.col("text"))).cast("bigint").alias("dl"))
 
 
-def index_stats(docs: DataFrame) -> DataFrame:
+def write_index(docs: DataFrame, folder: str) -> Index:
+    """The index of ``docs(doc_id, text)`` under a folder; an index that is there is replaced.
+
+    A term that is in very many documents is dealt over several files, as files
+    are cut by term and document.
+    """
+    found = postings(docs).repartitionByRange("kind", "term", "doc_id").sortWithinPartitions("kind", "term", "doc_id")
+    found.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/postings")
+    spark = docs.sparkSession
+    written = spark.read.parquet(f"{folder}/postings")
+    counts = written.groupBy("kind", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    counts.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/vocabulary")
+    doc_stats(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+    return read_index(spark, folder)
+
+
+def read_index(spark, folder: str) -> Index:
+    """An index as it was written; documents that changed since are not in it."""
+    schemas = ["term string, doc_id bigint, tf bigint, dl bigint, kind string", "term string, df bigint, cf bigint, kind string", "n_docs bigint, avgdl double"]
+    return Index(*(spark.read.schema(x).parquet(f"{folder}/{t}") for t, x in zip(Index._fields, schemas, strict=True)))
+
+
+def index_stats(index: Index) -> DataFrame:
     """One row: documents, distinct terms of both kinds, mean length."""
-    words = docs.select(F.explode(terms(F.col("text"))).alias("term")).distinct()
-    counts = words.agg(F.count("*").alias("raw_terms"), F.count_distinct(stem(F.col("term"))).alias("stem_terms"))
-    lengths = doc_stats(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return lengths.crossJoin(counts)  # one row each
+    counts = index.vocabulary.agg(F.count_if(F.col("kind") == "raw").alias("raw_terms"), F.count_if(F.col("kind") == "stem").alias("stem_terms"))
+    return index.totals.crossJoin(counts)  # one row each
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -61,42 +87,39 @@ def query_terms(spark, query: str) -> DataFrame:
     return raw.unionByName(row.select(F.lit("stem").alias("kind"), F.explode(F.array_distinct(F.transform("t", stem))).alias("term")))
 
 
-def hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``kind, term, doc_id, dl, tf`` for postings of ``wanted(kind, term, ...)``, a query's few rows, which are broadcast."""
-    words = docs.select("doc_id", terms(F.col("text")).alias("t"))
-    words = words.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("w"))
-    both = words.select("doc_id", "dl", F.explode(F.array(F.struct(F.lit("raw").alias("kind"), F.col("w").alias("term")), F.struct(F.lit("stem").alias("kind"), stem(F.col("w")).alias("term")))).alias("p"))
-    both = both.select("doc_id", "dl", "p.kind", "p.term")
-    met = both.join(F.broadcast(wanted.select("kind", "term").distinct()), ["kind", "term"])
-    return met.groupBy("kind", "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+def asked(wanted: DataFrame) -> Column:
+    """A filter for the rows of ``wanted(kind, term)``, the few terms of a query, that can be pushed down to files."""
+    by: dict[str, list[str]] = {}
+    for r in wanted.select("kind", "term").distinct().collect():
+        by.setdefault(r["kind"], []).append(r["term"])
+    out = F.lit(False)
+    for kind, ts in by.items():
+        out = out | ((F.col("kind") == kind) & F.col("term").isin(ts))
+    return out
 
 
-def search(docs: DataFrame, wanted: DataFrame, limit: int, symbols: DataFrame | None = None) -> DataFrame:
-    """Best ``limit`` documents for ``wanted(kind, term[, weight])``: ``doc_id, score, highlights``, ties by doc_id.
+def scored(index: Index, wanted: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """``doc_id, score, highlights`` of every document with a term of ``wanted(kind, term)``.
 
-    A score is the sum over the matched terms of both kinds. ``symbols(doc_id,
-    symbols)`` doubles terms that stand anywhere in a document's symbols.
+    A score is the sum over the matched terms of both kinds; a term that is asked
+    for twice counts twice. ``symbols(doc_id, symbols)`` doubles terms that stand
+    anywhere in a document's symbols.
     """
-    found = hits(docs, wanted)
-    stats = doc_stats(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = found.groupBy("kind", "term").agg(F.count("*").alias("df"))
-    scored = found.join(F.broadcast(df), ["kind", "term"]).crossJoin(F.broadcast(stats))  # a query's terms; one row
+    these = asked(wanted)
+    times = wanted.groupBy("kind", "term").agg(F.count("*").alias("times"))
+    df = index.vocabulary.filter(these).select("kind", "term", "df")
+    hit = index.postings.filter(these).join(F.broadcast(df), ["kind", "term"]).join(F.broadcast(times), ["kind", "term"]).crossJoin(F.broadcast(index.totals))  # a query's terms; one row
     boost = F.when(F.col("kind") == "raw", RAW_BOOST).otherwise(1.0)
     if symbols is not None:
-        scored = scored.join(symbols, "doc_id", "left")
+        hit = hit.join(symbols, "doc_id", "left")
         boost = boost * F.when(F.contains(F.lower("symbols"), F.col("term")), SYMBOL_BOOST).otherwise(1.0)
-    value = bm25(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl")) * boost
-    times = wanted.groupBy("kind", "term").agg(F.count("*").alias("times"))
-    scored = scored.join(F.broadcast(times), ["kind", "term"]).withColumn("value", value * F.col("times"))
-    ranked = scored.groupBy("doc_id").agg(F.sum("value").alias("score"), F.array_sort(F.collect_set("term")).alias("highlights"))
-    return ranked.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(limit)
+    value = bm25(idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl")) * boost * F.col("times")
+    return hit.withColumn("value", value).groupBy("doc_id").agg(F.sum("value").alias("score"), F.array_sort(F.collect_set("term")).alias("highlights"))
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """Distinct ``kind, term`` of the index."""
-    words = docs.select(F.explode(terms(F.col("text"))).alias("w")).distinct()
-    raw = words.select(F.lit("raw").alias("kind"), F.col("w").alias("term"))
-    return raw.unionByName(words.select(F.lit("stem").alias("kind"), stem(F.col("w")).alias("term")).distinct())
+def search(index: Index, wanted: DataFrame, limit: int, symbols: DataFrame | None = None) -> DataFrame:
+    """The best ``limit`` rows of :func:`scored`, ties by doc_id."""
+    return scored(index, wanted, symbols).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(limit)
 
 
 def prefix_matches(vocab: DataFrame, wanted: DataFrame) -> DataFrame:

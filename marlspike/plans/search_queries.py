@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.porter import porter_udf
-from marlspike.functions.text import stem, stem_sql, terms, terms_sql
+from marlspike.functions.text import stem, stem_sql, terms_sql
 from marlspike.operators import fusion, lexical, vector
+from marlspike.operators.iterate import shared_folder
 from marlspike.plans.registry import query
 from marlspike.sources.tables import table
 
@@ -47,8 +50,21 @@ _FUSED = """
     from semr s full outer join lexr l on s.doc_id = l.doc_id)"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The index of the documents, written on first use in a session to the folder that executors share, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        lexical.write_index(table(spark, sf_dir, "documents"), folder)
+        _INDEXES[key] = folder
+    return lexical.read_index(spark, _INDEXES[key])
+
+
 def _lexical(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
-    found = lexical.search(table(spark, sf_dir, "documents"), lexical.query_terms(spark, QUERY), limit)
+    found = lexical.search(index(spark, sf_dir), lexical.query_terms(spark, QUERY), limit)
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")) - 1)
 
 
@@ -65,7 +81,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_BM25} select doc_id, round(score, 6) as score, array_to_string(highlights, ' ') as highlights from lex order by round(lex.score, 9) desc, doc_id limit 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents for the query over both kinds of postings."""
-    found = lexical.search(table(spark, sf_dir, "documents"), lexical.query_terms(spark, QUERY), 20)
+    found = lexical.search(index(spark, sf_dir), lexical.query_terms(spark, QUERY), 20)
     return found.select("doc_id", F.round("score", 6).alias("score"), F.array_join("highlights", " ").alias("highlights"))
 
 
@@ -73,7 +89,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 select (select count(*) from lens) as n_docs, (select round(avg(dl), 6) from lens) as avgdl,
   (select count(distinct w) from words) as raw_terms, (select count(distinct {stem_sql('w')}) from words) as stem_terms""")
 def bm25_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.index_stats(table(spark, sf_dir, "documents")).withColumn("avgdl", F.round("avgdl", 6))
+    return lexical.index_stats(index(spark, sf_dir)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(f"""with words as ({_TERMS}), n as (select count(*) as n from documents)
@@ -81,18 +97,27 @@ select w as term, count(distinct doc_id) as df, count(*) as cf,
   round(ln((any_value(n) - count(distinct doc_id) + 0.5) / (count(distinct doc_id) + 0.5) + 1), 6) as idf
 from words, n group by w having count(distinct doc_id) >= 5""")
 def term_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    post = lexical.postings(docs).filter("kind = 'raw'")
-    by = post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
-    n = docs.agg(F.count("*").alias("n"))
-    return by.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # n is one row
+    x = index(spark, sf_dir)
+    by = x.vocabulary.filter("kind = 'raw' and df >= 5").crossJoin(F.broadcast(x.totals))  # one row
+    return by.select("term", "df", "cf", F.round(lexical.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"""with {_BM25}, sy as (select doc_id, lower(array_to_string(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda x: length(x) > 5), ' ')) as symbols from documents),
+b as (select h.doc_id, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * case when kind = 'raw' then 1.5 else 1 end * case when contains(symbols, term) then 2 else 1 end as v
+      from hit h join sy using (doc_id), stats)
+select doc_id, round(sum(v), 6) as score from b group by doc_id order by round(sum(v), 9) desc, doc_id limit 20""")
+def bm25_symbol_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query with long words of first lines as symbols, in which a term counts twice."""
+    words = F.filter(F.split(F.substring_index("text", "\n", 1), " "), lambda x: F.length(x) > 5)
+    symbols = table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("symbols"))
+    return lexical.search(index(spark, sf_dir), lexical.query_terms(spark, QUERY), 20, symbols).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""with words as (select distinct w from ({_TERMS})), v as (select 'raw' as kind, w as term from words union select 'stem', {stem_sql('w')} from words),
 q as ({_QUERY_TERMS})
 select q.kind, q.term as asked, v.term from q join v on v.kind = q.kind and starts_with(v.term, q.term) and v.term <> q.term""")
 def bm25_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.prefix_matches(lexical.vocabulary(table(spark, sf_dir, "documents")), lexical.query_terms(spark, QUERY))
+    return lexical.prefix_matches(index(spark, sf_dir).vocabulary, lexical.query_terms(spark, QUERY))
 
 
 _NEAR_TERMS = _QUERY_TERMS.replace(repr(QUERY), repr(NEAR_QUERY))
@@ -110,21 +135,20 @@ select kind, asked, term, round(1 - levenshtein(one, asked) / greatest(length(te
 from near where 1 - levenshtein(one, asked) / greatest(length(term), length(asked)) >= 0.8""")
 def bm25_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index terms near those that the index lacks."""
-    vocab = lexical.vocabulary(table(spark, sf_dir, "documents"))
-    found = lexical.fuzzy_matches(vocab, lexical.query_terms(spark, NEAR_QUERY))
+    found = lexical.fuzzy_matches(index(spark, sf_dir).vocabulary, lexical.query_terms(spark, NEAR_QUERY))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"select distinct w as term, {stem_sql('w')} as stem from ({_TERMS})")
 def stem_fallback_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(terms(F.col("text"))).alias("term")).distinct()
+    words = index(spark, sf_dir).vocabulary.filter("kind = 'raw'").select("term")
     return words.select("term", stem(F.col("term")).alias("stem"))
 
 
 @query()
 def porter_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary under Porter's stemmer; tests hold it against published pairs."""
-    words = table(spark, sf_dir, "documents").select(F.explode(terms(F.col("text"))).alias("term")).distinct()
+    words = index(spark, sf_dir).vocabulary.filter("kind = 'raw'").select("term")
     return words.select("term", porter_udf("term").alias("stem"))
 
 
@@ -221,7 +245,7 @@ select doc_id, round(score, 6) as score, branch from u order by round(u.score, 9
 def overlay_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An overlay's results (two sources) before the parent's, without what the overlay covers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    r = lexical.search(table(spark, sf_dir, "documents"), lexical.query_terms(spark, QUERY), 1_000_000).join(docs, "doc_id")
+    r = lexical.scored(index(spark, sf_dir), lexical.query_terms(spark, QUERY)).join(docs, "doc_id")
     over = r.filter(F.col("source").isin("src1", "src2"))
     parent = r.join(over.select("source").distinct(), "source", "left_anti").withColumn("branch", F.lit("parent"))
     both = over.withColumn("branch", F.lit("overlay")).unionByName(parent)
@@ -233,7 +257,7 @@ select workspace, doc_id, round(score, 6) as score, round(max(score) over (parti
 def multi_workspace_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each workspace's three best, with the best score by which workspaces are ordered."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("workspace"))
-    r = lexical.search(table(spark, sf_dir, "documents"), lexical.query_terms(spark, QUERY), 1_000_000).join(docs, "doc_id")
+    r = lexical.scored(index(spark, sf_dir), lexical.query_terms(spark, QUERY)).join(docs, "doc_id")
     k = F.row_number().over(Window.partitionBy("workspace").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     top = r.withColumn("k", k).filter("k <= 3").withColumn("best_score", F.max("score").over(Window.partitionBy("workspace")))
     return _six(top.select("workspace", "doc_id", "score", "best_score"))
