@@ -51,6 +51,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Cuts:
+    """Ids of many chunks, as they come: blocks of rows of one length, laid end to end at last."""
+
+    def __init__(self, n: int):
+        self.sizes = np.zeros(n, np.int64)
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        self.sizes[rows] = ids.shape[1]
+        self.blocks.append((rows, ids))
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each chunk's ids start, and all ids."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        out = np.empty(int(self.sizes.sum()), "<u4")
+        for rows, ids in self.blocks:
+            out[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return starts, out
+
+
+def _without(x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Rows without their element j."""
+    n, width = x.shape
+    keep = np.ones(x.shape, bool)
+    keep[np.arange(n), j] = False
+    return x[keep].reshape(n, width - 1)
+
+
 class PieceEncoder:
     """Encoder and decoder for one vocabulary, dropout rate and seed."""
 
@@ -115,55 +143,53 @@ class PieceEncoder:
         made = np.where(ok, self.made[at], -1)
         return made, np.where(ok, self.scores[made], -np.inf).astype(np.float32)
 
-    def _side_by_side(self, chars: np.ndarray, keys: np.ndarray | None, merges: list | None = None) -> list[bytes]:
-        """Ids of chunks of one length (rows of code points). Every row that is still at work merges one pair a round.
+    def _side_by_side(self, chars: np.ndarray, keys: np.ndarray | None, rows: np.ndarray, cuts: _Cuts, merges: list | None = None) -> None:
+        """Adds the ids of chunks of one length (lines of code points) to ``cuts`` as ``rows``. Every line that is still at work merges one pair a round.
 
         Without keys nothing is skipped. What merges is added to ``merges`` as (row, start, middle, end).
         """
         n, width = chars.shape
         ids = self.of_char[chars]
-        ids = np.where(ids < 0, -2 - chars.astype(np.int64), ids).astype(np.int32)
-        out: list = [b""] * n
-        row = np.arange(n)
-        ends = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width))
+        ids = np.where(ids < 0, -2 - chars.astype(np.int32), ids)
+        ends = np.broadcast_to(np.arange(1, width + 1, dtype=np.int8), (n, width))
         made = score = None
         if width > 1:
-            starts = np.broadcast_to(np.arange(width - 1, dtype=np.int32), (n, width - 1))
+            starts = np.broadcast_to(np.arange(width - 1, dtype=np.int8), (n, width - 1))
             made, score = self._candidates(ids[:, :-1], ids[:, 1:], None if keys is None else keys[:, None], starts, ends[:, :-1], ends[:, 1:])
-        while len(row):
+        while len(rows):
+            line = np.arange(len(rows))
             if width > 1:
                 j = score.argmax(1)
-                live = score[np.arange(len(row)), j] > -np.inf
+                live = score[line, j] > -np.inf
             else:
-                live = np.zeros(len(row), bool)
-            done = ids[~live]
-            raw = done.astype("<u4").tobytes()
-            for i, r in enumerate(row[~live].tolist()):
-                out[r] = raw[4 * width * i : 4 * width * (i + 1)]
-            for i in np.flatnonzero((done < 0).any(1)):
-                out[row[~live][i]] = self._raw(done[i])
-            row, ids, ends, keys = row[live], ids[live], ends[live], None if keys is None else keys[live]
-            if not len(row):
-                break
-            made, score, j = made[live], score[live], j[live]
-            line = np.arange(len(row))
+                live = np.zeros(len(rows), bool)
+            if not live.all():
+                self._finished(rows[~live], ids[~live], cuts)
+                rows, ids, ends, keys = rows[live], ids[live], ends[live], None if keys is None else keys[live]
+                if not len(rows):
+                    break
+                made, score, j = made[live], score[live], j[live]
+                line = np.arange(len(rows))
             if merges is not None:
-                merges.append((row, np.where(j > 0, ends[line, j - 1], 0), ends[line, j], ends[line, j + 1]))
+                merges.append((rows, np.where(j > 0, ends[line, j - 1], 0), ends[line, j], ends[line, j + 1]))
             ids[line, j] = made[line, j]
             # the symbol at j + 1 goes, with the end of the one at j and the pair at j: what is right of them moves up
             width -= 1
-            col = np.arange(width)[None]
-            ids = np.take_along_axis(ids, col + (col > j[:, None]), 1)
-            ends = np.take_along_axis(ends, col + (col >= j[:, None]), 1)
-            col = col[:, :-1]
-            source = col + (col >= j[:, None])
-            made, score = np.take_along_axis(made, source, 1), np.take_along_axis(score, source, 1)
+            ids, ends = _without(ids, j + 1), _without(ends, j)
+            made, score = _without(made, j), _without(score, j)
             for at in (j - 1, j):
                 can = (at >= 0) & (at + 1 < width)
                 r, a = line[can], at[can]
                 start = np.where(a > 0, ends[r, a - 1], 0)
                 made[r, a], score[r, a] = self._candidates(ids[r, a], ids[r, a + 1], None if keys is None else keys[r], start, ends[r, a], ends[r, a + 1])
-        return out
+
+    def _finished(self, rows: np.ndarray, ids: np.ndarray, cuts: _Cuts) -> None:
+        odd = (ids < 0).any(1)
+        if odd.any():
+            for row, symbols in zip(rows[odd], ids[odd], strict=True):
+                cuts.add(row[None], self._raw(symbols)[None])
+            rows, ids = rows[~odd], ids[~odd]
+        cuts.add(rows, ids)
 
     def _by_heap(self, chunk: str, key: np.uint64 | None) -> np.ndarray:
         """The same for one chunk of any length, in n log n steps."""
@@ -199,32 +225,28 @@ class PieceEncoder:
                 offer(before[i])
         return np.array([x for i, x in enumerate(ids) if not gone[i]], np.int64)
 
-    def _raw(self, symbols: np.ndarray) -> bytes:
+    def _raw(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of symbols, those that are no piece in bytes."""
         if symbols.min() >= 0:
-            return symbols.astype("<u4").tobytes()
+            return symbols
         out: list = []
         for s in symbols.tolist():
             out += [s] if s >= 0 else self.byte_ids[list(chr(-2 - s).encode("utf-8", "surrogatepass"))].tolist()
-        return np.array(out, "<u4").tobytes()
+        return np.array(out, np.int64)
 
-    def _cut_up(self, chunks: list[str], keys: np.ndarray | None, merges: list | None = None) -> list[bytes]:
-        """Ids of each chunk under its key; ``merges`` as in ``_side_by_side``, of chunks that go there."""
+    def _cut_up(self, chunks: list[str], keys: np.ndarray | None, rows: np.ndarray, cuts: _Cuts, merges: list | None = None) -> None:
+        """Adds the ids of each chunk under its key to ``cuts`` as ``rows``; ``merges`` as in ``_side_by_side``, of chunks that go there."""
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        out: list = [b""] * len(chunks)
-        for size in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == size)
+        order = np.argsort(sizes, kind="stable")
+        counts = np.bincount(sizes)
+        for size, at in zip(np.flatnonzero(counts).tolist(), np.split(order, np.cumsum(counts[counts > 0])[:-1]), strict=True):
             if size > SIDE_BY_SIDE:
                 for i in at.tolist():
-                    out[i] = self._raw(self._by_heap(chunks[i], None if keys is None else keys[i]))
+                    cuts.add(rows[i : i + 1], self._raw(self._by_heap(chunks[i], None if keys is None else keys[i]))[None])
                 continue
             for part in np.array_split(at, -(-len(at) // ROWS)):
-                chars = np.frombuffer("".join([chunks[i] for i in part.tolist()]).encode("utf-32-le"), np.uint32).reshape(-1, size)
-                made = None if merges is None else []
-                for i, raw in zip(part.tolist(), self._side_by_side(chars, None if keys is None else keys[part], made), strict=True):
-                    out[i] = raw
-                if made:
-                    merges += [(part[row], *where) for row, *where in made]
-        return out
+                chars = np.frombuffer("".join([chunks[i] for i in part.tolist()]).encode("utf-32-le"), np.int32).reshape(-1, size)
+                self._side_by_side(chars, None if keys is None else keys[part], rows[part], cuts, merges)
 
     def _touched(self, which: np.ndarray, keys: np.ndarray, n: int, merges: list) -> np.ndarray:
         """Which occurrences (of chunks ``which``, of n, under ``keys``) skip one of their chunk's ``merges``."""
@@ -253,7 +275,8 @@ class PieceEncoder:
         del cuts
         chunks = list(number)
         if not self.dropout:
-            raws = self._cut_up(chunks, None)
+            cuts = _Cuts(len(chunks))
+            self._cut_up(chunks, None, np.arange(len(chunks)), cuts)
         else:
             keys = np.empty(len(at), np.uint64)
             for doc, (a, b) in zip(ids, itertools.pairwise(ends.tolist()), strict=True):
@@ -262,11 +285,21 @@ class PieceEncoder:
             long = np.fromiter((len(c) > SIDE_BY_SIDE for c in chunks), bool, len(chunks))
             merges: list = []
             # long chunks hardly ever stay whole: they go by themselves below
-            raws = self._cut_up(["\n" if x else c for c, x in zip(chunks, long.tolist(), strict=True)], None, merges)
+            whole = _Cuts(len(chunks))
+            short = np.flatnonzero(~long)
+            self._cut_up([chunks[i] for i in short.tolist()], None, short, whole, merges)
             own = np.flatnonzero(long[at] | self._touched(at, keys, len(chunks), merges))
-            raws += self._cut_up([chunks[i] for i in at[own].tolist()], keys[own])
+            cuts = _Cuts(len(chunks) + len(own))
+            cuts.sizes[: len(chunks)], cuts.blocks = whole.sizes, whole.blocks
+            self._cut_up([chunks[i] for i in at[own].tolist()], keys[own], len(chunks) + np.arange(len(own)), cuts)
             at[own] = len(chunks) + np.arange(len(own))
-        return [b"".join([raws[i] for i in at[a:b].tolist()]) for a, b in itertools.pairwise(ends.tolist())]
+        starts, flat = cuts.flat()
+        out = []
+        for a, b in itertools.pairwise(ends.tolist()):  # a text at a time, so that indexes stay small
+            size = cuts.sizes[at[a:b]]
+            after = np.cumsum(size)
+            out.append(flat[np.arange(after[-1] if len(after) else 0) + np.repeat(starts[at[a:b]] - after + size, size)].tobytes())
+        return out
 
     def decode(self, raw: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, which ids of ``encode`` never need."""
