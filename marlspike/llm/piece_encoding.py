@@ -236,6 +236,8 @@ class PieceEncoder:
 
     def _cut_up(self, chunks: list[str], keys: np.ndarray | None, rows: np.ndarray, cuts: _Cuts, merges: list | None = None) -> None:
         """Adds the ids of each chunk under its key to ``cuts`` as ``rows``; ``merges`` as in ``_side_by_side``, of chunks that go there."""
+        if not chunks:
+            return
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(sizes, kind="stable")
         counts = np.bincount(sizes)
