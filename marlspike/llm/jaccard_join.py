@@ -46,8 +46,8 @@ from xxhash import xxh3_64_intdigest
 
 from marlspike.llm.common import Scratch, components
 
-#: N-grams in the table of the most repeated ones: 12 MB in driver and workers at most, whatever the input.
-RANKS = 1 << 20
+#: N-grams in the table of the most repeated ones: 3 MB in driver and workers at most, whatever the input.
+RANKS = 1 << 18
 #: N-grams that are counted together before only the repeated ones are passed on.
 BLOCK = 1 << 20
 #: Longs in a parity sketch.
