@@ -1,18 +1,25 @@
 """Secret scans: fixed patterns, and a guess-cost estimate for values in credential contexts.
 
 Guess cost is the least sum, over all ways to cut a value into pieces, of the
-decimal logarithm of the guesses each piece takes: a listed word (with case and
-look-alike letters), a date, a repeated unit, a keyboard walk, or a brute-force
-span over the smallest alphabet that holds it. Every kind of piece adds a number
-of steps in proportion to the value's length, so long values cost no more than
-their length.
+decimal logarithm of the guesses each piece takes: a word by its rank (with case
+and look-alike letters), a date, a repeated unit, a keyboard walk, or a
+brute-force span over the smallest alphabet that holds it. The cost alone decides;
+where a value stands in prose, as in "pass the ...", it has to be higher than
+behind a colon or an equals sign, as few of these are values at all.
+
+Words are common passwords first, then the whole words of a public vocabulary in
+its own order, which is by how often they were met. Every kind of piece adds a
+number of steps in proportion to the value's length, and what is kept while
+a value is read does not grow with it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
+from heapq import merge
 from math import log10
 
 import pyarrow as pa
@@ -21,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlspike.llm.common import bounded_batches
+from marlspike.llm.tokens import public_path
 
 KINDS = ["assign", "access", "hex", "guess"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -46,68 +54,94 @@ banana apple purple yellow green black white blue red star house mother father s
 #: Rows of a keyboard, the alphabet and the digits.
 WALKS = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789", "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm"]
 LOOKALIKE = str.maketrans("@4381!0$57", "aaebiiosst")
-_RANK = {w: log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
-_LENGTHS = sorted({len(w) for w in WORDS})
 _NEXT = {(a, b) for row in WALKS for a, b in [*zip(row, row[1:]), *zip(row[::-1], row[::-1][1:])]}
 #: Alphabets of brute force: what they hold, their size.
 ALPHABETS = [(lambda c: c.isdigit() and c < "\x80", 10), (lambda c: c in "0123456789abcdef", 16), (lambda c: "a" <= c <= "z", 26), (lambda c: c < "\x80" and c.isalnum(), 62), (lambda c: c < "\x80", 95), (lambda c: True, 10_000)]
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)?\d\d", re.A)
 #: Each piece also costs the choice of where it starts and what kind it is.
 PIECE = log10(6)
-#: A value in a credential context is a secret from so many guesses on, as a power of ten.
-GUESSES = 10.0
+#: A value in a credential context is a secret from so many guesses on, as a power of ten: behind a sign or in an address, and in prose.
+GUESSES, PROSE_GUESSES = 10.0, 18.0
+#: Values up to this length are remembered, and so many of them.
+SHORT, KEPT = 64, 4096
+#: The vocabulary whose whole words are guessed, shortest first three letters.
+VOCABULARY, LEAST = "word_bpe_49k.json", 3
+
+
+@cache
+def ranks(path: str | None = None) -> tuple[dict[str, float], list[int]]:
+    """Decimal logarithms of words' ranks, and the words' lengths; read once in each worker."""
+    with open(path or public_path(VOCABULARY), encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    whole = (t.removesuffix("</w>") for t in sorted(ids, key=ids.get) if t.endswith("</w>"))
+    words = dict.fromkeys([*WORDS, *(w for w in whole if len(w) >= LEAST and w.isascii() and w.isalpha())])
+    return {w: log10(i + 2) for i, w in enumerate(words)}, sorted({len(w) for w in words})
+
+
+def _repeats(value: str, unit: int) -> Iterator[tuple[int, int, float]]:
+    """Runs of a repeated unit, each from where it starts."""
+    i, n = 0, len(value)
+    while i + 2 * unit <= n:
+        j = i + unit
+        while j < n and value[j] == value[j - unit]:
+            j += 1
+        times = (j - i) // unit
+        if times * unit - unit >= 2:
+            yield i, i + times * unit, unit * log10(62) + log10(times)
+            i = j - unit + 1
+        else:
+            i += 1
+
+
+def _walks(low: str) -> Iterator[tuple[int, int, float]]:
+    """Steps along a row of keys, the alphabet or the digits, of three at least."""
+    i, n = 0, len(low)
+    while i < n - 1:
+        j = i + 1
+        while j < n and (low[j - 1], low[j]) in _NEXT:
+            j += 1
+        if j - i >= 3:
+            yield i, j, log10(47 * (j - i) * 2)
+        i = max(j - 1, i + 1) if j - i >= 3 else i + 1
 
 
-@lru_cache(maxsize=4096)
 def guess_cost(value: str) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes."""
-    n = len(value)
+    return _short_cost(value) if len(value) <= SHORT else _cost(value)
+
+
+def _cost(value: str) -> float:
+    n, (rank, lengths) = len(value), ranks()
     low = value.lower()
     low = low if len(low) == n else value
     plain = low.translate(LOOKALIKE)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    runs = merge(*(_repeats(value, unit) for unit in range(1, 5)), _walks(low))
+    run = next(runs, None)
+    far = float("inf")
+    ahead = {0: 0.0}  # the cheapest cut of the first so many characters, where a piece ends there
+    spans = [far] * len(ALPHABETS)  # the cheapest cut up to here whose last piece is a brute-force span in that alphabet
     for i in range(n):
-        for size in _LENGTHS:
+        here = min(ahead.pop(i, far), *spans)
+        offers = []
+        for size in lengths:
             if i + size > n:
                 break
-            if (cost := _RANK.get(plain[i : i + size])) is not None:
+            if (cost := rank.get(plain[i : i + size])) is not None:
                 part = value[i : i + size]
                 cost += 0 if part == part.lower() else log10(2) if part.istitle() or part.isupper() else log10(2**size)
-                ends[i].append((i + size, cost + (log10(2 * size) if plain[i : i + size] != low[i : i + size] else 0)))
+                offers.append((i + size, cost + (log10(2 * size) if plain[i : i + size] != low[i : i + size] else 0)))
         if m := DATE.match(value, i):
-            ends[i].append((m.end(), log10(120 * (366 if m.end() - i > 4 else 1) * 4)))
-    for unit in range(1, 5):  # runs of a repeated unit, each from where it starts
-        i = 0
-        while i + 2 * unit <= n:
-            j = i + unit
-            while j < n and value[j] == value[j - unit]:
-                j += 1
-            times = (j - i) // unit
-            if times * unit - unit >= 2:
-                ends[i].append((i + times * unit, unit * log10(62) + log10(times)))
-                i = j - unit + 1
-            else:
-                i += 1
-    i = 0
-    while i < n - 1:
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-        if j - i >= 3:
-            ends[i].append((j, log10(47 * (j - i) * 2)))
-        i = max(j - 1, i + 1) if j - i >= 3 else i + 1
-    far = float("inf")
-    best = [0.0] + [far] * n
-    spans = [[far] * (n + 1) for _ in ALPHABETS]  # cheapest cut whose last piece is a brute-force span in that alphabet
-    for i in range(n):
-        here = best[i]
-        for end, cost in ends[i]:
-            best[end] = min(best[end], here + cost + PIECE)
-        for state, (holds, size) in zip(spans, ALPHABETS, strict=True):
-            if holds(value[i]):
-                state[i + 1] = min(state[i], here + PIECE) + log10(size)
-                best[i + 1] = min(best[i + 1], state[i + 1])
-    return best[n]
+            offers.append((m.end(), log10(120 * (366 if m.end() - i > 4 else 1) * 4)))
+        while run and run[0] == i:
+            offers.append(run[1:])
+            run = next(runs, None)
+        for end, cost in offers:
+            ahead[end] = min(ahead.get(end, far), here + cost + PIECE)
+        spans = [min(x, here + PIECE) + log10(size) if holds(value[i]) else far for x, (holds, size) in zip(spans, ALPHABETS, strict=True)]
+    return min(ahead.get(n, far), *spans) if n else 0.0
+
+
+_short_cost = lru_cache(maxsize=KEPT)(_cost)
 
 
 def _assigned(m: re.Match) -> bool:
@@ -132,9 +166,8 @@ def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[str, int, int
         taken = _Cover(base)
         for m in sorted(more, key=lambda m: m.span(1)):
             value, (start, end) = m[1], m.span(1)
-            if not _assigned(m) and not any(c.isdigit() for c in value):
-                continue
-            if len(value) >= 8 and not taken.meets(start, end) and (cost := guess_cost(value.rstrip(".:!?)"))) >= guesses:
+            least = guesses if _assigned(m) else max(guesses, PROSE_GUESSES)
+            if len(value) >= 8 and not taken.meets(start, end) and (cost := guess_cost(value.rstrip(".:!?)"))) >= least:
                 out.append(("guess", start, end, cost))
                 taken.add(start, end)
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -196,9 +229,7 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     Starts and ends are code points of the whole text, end exclusive. Null and
     empty texts have no spans; ids may be null or repeated; other columns are
     ignored. Values of a ``guess`` span stand in a credential context, meet no other
-    span and cost at least 10**guesses; those in prose, as in "pass the ...",
-    also hold a digit, while after a colon or an equals sign and in addresses
-    the cost alone decides.
+    span and cost at least 10**guesses, and 10**PROSE_GUESSES in prose.
     """
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -209,7 +240,8 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
 def redact_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     """The rows and columns of ``docs`` with every secret in ``text`` replaced by ``[SECRET]``; null texts stay null."""
     bounded_batches(docs.sparkSession)
-    given = docs.select(F.struct(*[c for c in docs.columns if c.lower() != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    others = [c for c in docs.columns if c.lower() != "text"] or [F.lit(None).cast("int").alias("none")]
+    given = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([given.schema["row"], *T._parse_datatype_string(f"spans {SPANS}, text string").fields])
     out = given.mapInArrow(_scanned(guesses, True), schema)
     return out.select(*(F.col("text") if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -295,21 +295,54 @@ def test_guess_costs_order():
     assert cost("ab" * 50_000) < 12
 
 
-def test_guess_cost_is_the_least_segmentation():
-    """Against a search over all cuts, pieces costed one by one."""
+def least_cost(value):
+    """Over all cuts of a value, pieces costed one by one from their definitions."""
+    from functools import cache
     from math import log10
 
-    def piece(s):
-        best = min(len(s) * log10(n) for holds, n in secrets.ALPHABETS if all(map(holds, s)))
-        if s in secrets._RANK:
-            best = min(best, secrets._RANK[s])
-        return best + secrets.PIECE
+    rank, n = secrets.ranks()[0], len(value)
+    low = value.lower()
+    swap = {"@": "a", "4": "a", "3": "e", "8": "b", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"}
+    plain = "".join(swap.get(c, c) for c in low)
+
+    def piece(i, j):
+        s = value[i:j]
+        found = [(j - i) * log10(size) for holds, size in secrets.ALPHABETS if all(map(holds, s))]
+        if plain[i:j] in rank:
+            case = 1 if s == s.lower() else 2 if s == s.capitalize() or s == s.upper() else 2 ** (j - i)
+            found.append(rank[plain[i:j]] + log10(case) + (log10(2 * (j - i)) if plain[i:j] != low[i:j] else 0))
+        if (m := secrets.DATE.match(value, i)) and m.end() == j:
+            found.append(log10(480 * (366 if j - i > 4 else 1)))
+        for u in range(1, 5):
+            end = next((k for k in range(i + u, n) if value[k] != value[k - u]), n)
+            begins = i == 0 or i - 1 + u >= n or value[i - 1] != value[i - 1 + u]
+            times = (end - i) // u
+            if begins and times * u - u >= 2 and j == i + times * u:
+                found.append(u * log10(62) + log10(times))
+        steps = [any(low[k : k + 2] in w or low[k : k + 2][::-1] in w for w in secrets.WALKS) for k in range(n - 1)]
+        if j - i >= 3 and all(steps[i : j - 1]) and not (i and steps[i - 1]) and not (j < n and steps[j - 1]):
+            found.append(log10(94 * (j - i)))
+        return min(found) + secrets.PIECE
+
+    @cache
+    def best(i):
+        return 0.0 if i == n else min(piece(i, j) + best(j) for j in range(i + 1, n + 1))
+
+    return best(0)
 
-    def least(s):
-        return min([piece(s)] + [least(s[:i]) + piece(s[i:]) for i in range(1, len(s))])
 
-    for s in ("mango", "sunxq", "bluegx9", "kzblue"):
-        assert secrets.guess_cost(s) == pytest.approx(least(s))
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.sampled_from(["mango", "Blue", "dR4g0n", "PASS", "kitchen", "2019-03-04", "1999", "31121999", "aaa", "ababab", "xyzxyz", "qwer", "rewq", "abc", "98765", "1qaz", "zk", "Q", "7", "#", "-", "é", "日", "f3a9"]), max_size=6))
+def test_guess_cost_is_the_least_segmentation(parts):
+    value = "".join(parts)[:28]
+    assert secrets.guess_cost(value) == pytest.approx(least_cost(value))
+
+
+def test_words_of_the_vocabulary_are_cheap_and_long_values_bounded():
+    cost = secrets.guess_cost
+    assert cost("elephantmountain77") < 14 and cost("kitchen-window") < 14 < cost("qjxv-kzpw-mbtr-hgfd")
+    assert cost("zq7K" * 50_000) < 20
+    assert cost("".join(random.Random(1).choices("abcXYZ019#", k=20_000))) > 10_000
 
 
 def test_method_spans():
@@ -320,7 +353,18 @@ def test_method_spans():
 @pytest.mark.parametrize("text", ["pwd=hRt-QwZp_LmXcVb", "passphrase: XqLmZvRtWkPdNsGh", 'auth = "kzQvXjwPmTrb"', "https://bob:hRtQwZpLmXcVb@h/"])
 def test_assigned_values_without_digits_are_weighed(text):
     assert [s[0] for s in secrets.scan(text)] == ["guess"]
-    assert not any(secrets.scan(t) for t in ("pwd=passwordpassword", "pass the documentation", "auth is hRtQwZpLmXcVb"))
+    assert not any(secrets.scan(t) for t in ("pwd=passwordpassword", "pass the documentation", "the secret is important", "auth Benutzerkonto"))
+
+
+def test_the_cost_decides_in_prose_too():
+    for text in ("auth is hRtQwZpLmXcVb", "pass qjxv-kzpw-mbtr-hgfd on", "credentials Xk39fjQpz81w"):
+        assert [s[0] for s in secrets.scan(text)] == ["guess"]
+    assert not secrets.scan("pass hunter2019 on"), "cheap, though it has digits"
+
+
+def test_only_a_text_column(spark):
+    got = secrets.redact_secrets(spark.createDataFrame([("pwd=hRt-QwZp_LmXcVb",), (None,)], "text string")).collect()
+    assert [r.text for r in got] == ["pwd=[SECRET]", None]
 
 
 def test_secret_frames(docs, none):
@@ -537,6 +581,41 @@ def test_windows_cover_all_bytes(raw):
         assert w[0].tobytes() == raw[: language_id.WINDOW] and w[-1].tobytes() == raw[-language_id.WINDOW :]
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = [(i % 40, i // 40, [5, 5, 5, 9][i % 4], f"x{i}", "s", i, i, i, i, i, i, "m") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint, part string, rank string, before int, per int, first int, r0 int, r1 int, off int, offset string")
+    got = packing.pack(d.withColumn("a.b", F.lit(1)), 16).collect()
+    assert sorted(tuple(r)[:-3] for r in got) == sorted(r[:-1] for r in rows)
+    used: dict = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    for places in used.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a[1] == b[0] for a, b in zip(places, places[1:])) and places[-1][1] <= 16
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000
+
+
+def test_shards_of_filters(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 300}.{['com', 'net'][i % 2]}/en/{i}" + ("?utm_x=1" if i % 300 < 90 else "")) for i in range(1500)] + [(None, None), (7, "x")], "page_id bigint, url string")
+    rules = [url_filters.Rule("block", "com", "/en/1"), url_filters.Rule("allow", "h3.net", "/")]
+    want = Counter(map(tuple, url_filters.judge_urls(pages, rules, url_filters.tracking_hosts(pages)).collect()))
+    monkeypatch.setattr(url_filters, "LONGS", 5)
+    got = Counter(map(tuple, url_filters.judge_urls(pages, rules, url_filters.tracking_hosts(pages)).collect()))
+    assert got == want and sum(got.values()) == 1502
+    assert {r[4] for r in got} == {"allow", "block"}
+
+
+def test_foreign_chunks_are_encoded_plainly(spark, monkeypatch):
+    """Where the splitter does not do what is foreseen, ids are still the library's."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "_LATIN", re.compile(r"[A-Za-z'\u00e9-]+[.,;:!?]*").fullmatch)
+    texts = ["it's don't x-y-z hello", "plain words, only", "l'été déjà-vu."]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.WordEncoder(path).encode(texts)] == want
+
+
 # --- vectors ---
 
 
