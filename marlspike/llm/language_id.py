@@ -29,6 +29,8 @@ EMBEDDING = 6
 #: Bound of the sample that the network is fitted on: documents, and windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 12_000, 4
 EPOCHS, STEP, BATCH = 12, 0.02, 256
+#: Mean cross entropy of an epoch from which on training is done.
+ENOUGH = 0.01
 #: Windows that go through the tables together.
 TOGETHER = 64
 UNDETERMINED = "und"
@@ -94,7 +96,7 @@ def fit(windows: np.ndarray, labels: list[str], seed: int = 7) -> Network:
     m, v, t = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
-        step = STEP * (1 - epoch / EPOCHS)
+        step, loss = STEP * (1 - epoch / EPOCHS), 0.0
         for i in range(0, len(y), BATCH):
             b = order[i : i + BATCH]
             start = int(rng.integers(0, WINDOW // 2))
@@ -105,6 +107,7 @@ def fit(windows: np.ndarray, labels: list[str], seed: int = 7) -> Network:
             z = h @ p[3] + p[4]
             e = np.exp(z - z.max(1, keepdims=True))
             e /= e.sum(1, keepdims=True)
+            loss -= float(np.log(e[np.arange(len(b)), y[b]] + 1e-12).sum())
             e[np.arange(len(b)), y[b]] -= 1
             e *= weight[b, None] / len(b)
             dh = (e @ p[3].T) * (r > 0)
@@ -118,6 +121,8 @@ def fit(windows: np.ndarray, labels: list[str], seed: int = 7) -> Network:
                 m[j] += 0.1 * (g[j] - m[j])
                 v[j] += 0.001 * (g[j] ** 2 - v[j])
                 p[j] = p[j] - step * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
+        if loss < ENOUGH * len(y):
+            break
     return Network(langs, *p)
 
 
@@ -149,13 +154,17 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
     """A network fitted on windows of at most ``sample_docs`` rows of ``docs(doc_id, text, lang)``; None without labelled letters.
 
     The rows are those of the least hashes of doc_id, so they depend on the ids
-    alone; windows are spread over each whole text.
+    alone; windows are spread over each whole text. Where an id has several rows,
+    windows are taken in the order of the ids' hashes, places, languages and
+    bytes until there are enough, so repeated rows give the same network in
+    every run. Other columns are ignored, whatever their names.
     """
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     given = given.filter("lang is not null and doc_id is not null and length(text) > 0")
     ids = given.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
     chosen = given.join(F.broadcast(ids), "doc_id", "left_semi")  # at most sample_docs longs
-    rows = chosen.mapInArrow(_samples, "doc_id bigint, lang string, i int, window binary").limit(sample_docs * SAMPLE_WINDOWS).toPandas()
+    rows = chosen.mapInArrow(_samples, "doc_id bigint, lang string, i int, window binary")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "i", "lang", "window").limit(sample_docs * SAMPLE_WINDOWS).toPandas()
     rows = rows.sort_values(["doc_id", "i", "lang", "window"])
     if rows.empty:
         return None
@@ -193,7 +202,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row of ``docs(doc_id, text)``, from the whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every
-    text where nothing could be learned. Other columns are ignored.
+    text where nothing could be learned. Of languages that tie, the first by name
+    is taken. Rows may repeat; other columns are ignored, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(net)

@@ -546,9 +546,97 @@ def test_pieces_of_frames(docs, none, sp):
     assert piece_encoding.encode(none).count() == 0
 
 
+def plain_cut(e, chunk, key):
+    """The agenda for one chunk by looking at all pairs again after each merge, with the skip rule in whole numbers."""
+    top = 2**64
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % top
+        return x ^ (x >> 31)
+
+    def skipped(start, middle, end):
+        return mix((mix((key + start * 0x9E3779B97F4A7C15) % top) + middle * 0xBF58476D1CE4E5B9 + end * 0x94D049BB133111EB) % top) < e.dropout * top
+
+    parts = [(int(e.of_char[ord(c)]), i, i + 1) for i, c in enumerate(chunk)]
+    while True:
+        found = []
+        for a, b in zip(parts, parts[1:]):
+            m = e.pairs.get(a[0] * e.size + b[0]) if a[0] >= 0 and b[0] >= 0 else None
+            if m is not None and not skipped(a[1], a[2], b[2]):
+                found.append((-float(e.scores[m]), a[1], m, b[2]))
+        if not found:
+            out = []
+            for p, i, _ in parts:
+                out += [p] if p >= 0 else [int(e.byte_ids[b]) for b in chunk[i].encode()]
+            return out
+        _, start, m, end = min(found)
+        parts = [p for p in parts if p[1] < start] + [(m, start, end)] + [p for p in parts if p[1] >= end]
+
+
+def test_dropout_by_plain_agenda():
+    from xxhash import xxh3_64_intdigest
+
+    e = piece_encoding.PieceEncoder(tokens.public_path("piece_bpe_32k.model"), 0.3, 9)
+    texts = ["The quick brown foxes jumped over internationalization.\n\nNew  lines, 日本 ▁ and 𐍈", "a" * 70 + " tail " + "abc" * 30, "", "same same same same"]
+    for doc, (text, got) in enumerate(zip(texts, e.encode(texts, list(range(len(texts)))), strict=True)):
+        base, want = xxh3_64_intdigest(str(doc).encode(), seed=9), []
+        for place, chunk in enumerate(re.findall(" *[^ \n]+|\n| +", " " + text) if text else []):
+            x = (place * 0x9E3779B97F4A7C15 + base) % 2**64
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+            want += plain_cut(e, chunk, x ^ (x >> 31))
+        assert np.frombuffer(got, "<u4").tolist() == want
+
+
+def test_occurrences_are_cut_on_their_own():
+    e = piece_encoding.PieceEncoder(tokens.public_path("piece_bpe_32k.model"), 0.3, 1)
+    n, ways = 3000, set()
+    raw = e.encode(["internationalization"] * n, list(range(n)))
+    ways = {r for r in raw}
+    assert len(ways) > 50 and {e.decode(r) for r in raw} == {"internationalization"}
+
+
 # --- language ---
 
 
+def plain_softmax(net, window):
+    """One window through the network, a byte and a filter at a time."""
+    x = [net.embed[b] for b in window.tolist()]
+    pooled = []
+    for f in range(net.filters.shape[2]):
+        pooled.append(max(sum(float(x[i + k] @ net.filters[k, :, f]) for k in range(4)) for i in range(len(x) - 3)) + net.bias[f])
+    z = np.maximum(pooled, 0) @ net.dense + net.shift
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_tables_say_what_the_convolution_says():
+    rng = np.random.default_rng(3)
+    windows = rng.integers(0, 256, (40, language_id.WINDOW), dtype=np.uint8)
+    net = language_id.fit(windows, [["aa", "bb", "cc"][i % 3] for i in range(40)])
+    assert np.allclose(net.softmax(windows[:4]), [plain_softmax(net, w) for w in windows[:4]], atol=1e-4)
+    narrow = np.concatenate([np.full(n, w) for w, n in language_id.WIDTHS.items()])
+    assert not any(net.filters[k, :, f].any() for f, w in enumerate(narrow) for k in range(w, 4)), "narrow filters stay narrow"
+
+
+def test_language_of_odd_rows(docs):
+    """Columns with names that are used inside, repeated rows, a null id; ties go to the first language by name."""
+    net = language_id.learn(docs)
+    assert language_id.fit(*(lambda d: (np.frombuffer(b"".join([w for _, w in d]), np.uint8).reshape(-1, language_id.WINDOW), [x for x, _ in d]))([("en", b"x" * 512), ("de", b"y" * 512)])).langs == ["de", "en"]
+    got = language_id.predict(docs.withColumns({"lang_pred": F.lit(1), "score": F.lit(2), "window": F.lit(3), "i": F.lit(4)}), net).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+    by = {}
+    for r, t in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.score)), range(10**6)):
+        by.setdefault(r.doc_id, set()).add((r.lang_pred, r.score))
+    assert len(by[5]) == 1, "repeated rows have one answer"
+    assert by[1000] == {("und", 0.0)}
+    again = language_id.learn(docs.withColumns({"window": F.lit(1), "i": F.lit("x")}).repartition(3))
+    assert all(np.array_equal(a, b) for a, b in ((net.embed, again.embed), (net.dense, again.dense)))
+    flat = language_id.Network(["de", "en"], net.embed, net.filters, net.bias, np.zeros((len(net.bias), 2)), np.zeros(2))
+    assert language_id.predict_text(flat, "some words") == ("de", 0.5)
+
+
 def test_language(spark, none):
     rnd = random.Random(8)
     alphabets = {"aa": "abcdefg", "bb": "uvwxyzß", "cc": "mnopqé"}
