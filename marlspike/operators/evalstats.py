@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import exp, factorial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,17 +73,41 @@ def bootstrap(samples: DataFrame, key: str, value: str, iterations: int = 2000,
     """Percentile interval of a mean by Poisson resampling.
 
     Each row draws its weight in each of the resamples from a hash of the seed,
-    the row and the resample, so rows need not meet: sums are combined in each
-    task before they are shuffled, and results are the same in every run.
+    the row and the resample, so rows need not meet: a task adds up its own rows'
+    weights and values, and one row for each key, task and resample is shuffled.
+    Results are the same in every run.
     """
-    u = (F.xxhash64(F.lit(seed), F.col(key), F.col("id"), F.col("i")).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
     # quantiles of Poisson(1); beyond 7 there are 10 in a million
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    drawn = samples.select(key, "id", value, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i")).withColumn("w", weight)
-    means = drawn.groupBy(key, "i").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    bounds = means.groupBy(key).agg(F.expr(f"percentile_disc({alpha / 2}) within group (order by m)").alias("lower"), F.expr(f"percentile_disc({1 - alpha / 2}) within group (order by m)").alias("upper"))
-    return samples.groupBy(key).agg(F.avg(value).alias("point")).join(bounds, key)
+    edges = np.cumsum([exp(-1) / factorial(k) for k in range(8)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            keys, h, x = b.columns[0].to_pylist(), b.columns[1].to_numpy().view(np.uint64), b.columns[2].to_numpy()
+            at: dict = {}
+            for i, k in enumerate(keys):
+                at.setdefault(k, []).append(i)
+            for k, rows in at.items():
+                total = held.setdefault(k, np.zeros((2, iterations)))
+                for part in np.array_split(np.array(rows), -(-len(rows) // 256)):
+                    w = np.searchsorted(edges, _uniform(h[part, None], np.arange(iterations, dtype=np.uint64)), side="right")
+                    total += np.stack([w.sum(0), x[part] @ w])
+        for k, (w, wx) in held.items():  # a row for each key and resample: keys are strata of an evaluation
+            yield pa.RecordBatch.from_arrays([pa.array([k] * iterations, pa.string()), pa.array(np.arange(iterations)), pa.array(w), pa.array(wx)], ["key", "i", "w", "wx"])
+
+    given = samples.filter(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.xxhash64(F.lit(seed), F.col(key), F.col("id")).alias("h"), F.col(value).cast("double").alias("x"))
+    means = given.mapInArrow(sums, "key string, i bigint, w double, wx double").groupBy("key", "i").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    bounds = means.groupBy("key").agg(F.expr(f"percentile_disc({alpha / 2}) within group (order by m)").alias("lower"), F.expr(f"percentile_disc({1 - alpha / 2}) within group (order by m)").alias("upper"))
+    points = samples.groupBy(F.col(key).cast("string").alias("key")).agg(F.avg(value).alias("point"))
+    return points.join(bounds, "key").select(F.col("key").cast(dict(samples.dtypes)[key]).alias(key), "point", "lower", "upper")
+
+
+def _uniform(h: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 for each row's hash and each resample."""
+    x = h + (i + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
 
 
 def retrieval_quality(results: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:

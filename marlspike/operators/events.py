@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlspike.operators.iterate import folded
+
 #: Limits by default, and windows in milliseconds.
 LIMITS = {"minute": 60, "hour": 1000, "day": 10_000}
 WINDOWS = {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
@@ -53,17 +54,18 @@ def cache_replay(calls: DataFrame, ttl: float) -> DataFrame:
     changed = F.max(F.when(F.col("mutating"), F.col("id"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     d = calls.withColumn("change", F.coalesce(changed, F.lit(-1))).filter("not mutating")
     # calls of one key between two changes, in order: a miss opens a period of ttl seconds
-    each = d.groupBy("session", "key", "change").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "id"))).alias("c"))
     micros = int(ttl * 1e6)
-    step = F.aggregate(
-        "c",
-        F.struct(F.lit(-(1 << 62)).alias("since"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out")),
-        lambda a, x: F.struct(
-            F.when(x["us"] - a["since"] < micros, a["since"]).otherwise(x["us"]).alias("since"),
-            F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), (x["us"] - a["since"] < micros).alias("hit")))).alias("out"),
-        ),
-    )
-    return each.select("session", "key", F.explode(step["out"]).alias("x")).select("session", "key", "x.id", "x.hit")
+
+    def step(state: dict, row: tuple) -> tuple:
+        session, key, _, us, i = row
+        hit = "since" in state and us - state["since"] < micros
+        if not hit:
+            state["since"] = us
+        return session, key, i, hit
+
+    kinds = dict(calls.dtypes)
+    d = d.select("session", "key", "change", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "id")
+    return folded(d, ["session", "key", "change"], ["us", "id"], step, f"session {kinds['session']}, key {kinds['key']}, id {kinds['id']}, hit boolean")
 
 
 def is_transient(message: Column) -> Column:
@@ -125,15 +127,9 @@ def bucket(state: dict, now: int, size: float, rate: float, need: float = 1.0) -
 
 
 def _in_order(requests: DataFrame, one) -> DataFrame:
-    """Each entity's requests through a state machine in time order. The state depends on all before, so an entity is one group."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "id"])
-        state: dict = {}
-        out = [one(state, int(ms)) for ms in pdf["ms"]]
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "entity": pdf["entity"].to_numpy(), "limit_hit": out})
-
+    """Each entity's requests through a state machine in time order."""
     d = requests.select("id", "entity", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return d.groupBy("entity").applyInPandas(run, "id bigint, entity bigint, limit_hit string")
+    return folded(d, ["entity"], ["ms", "id"], lambda state, row: (row[0], row[1], one(state, row[2])), "id bigint, entity bigint, limit_hit string")
 
 
 def rate_limited(requests: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +47,29 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
         frontier = cut(following.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], step, out: str) -> DataFrame:
+    """``df`` through a state machine: each key's rows in order, one after another.
+
+    ``step(state, row)`` gets a dict that starts empty for each key and gives a
+    tuple of the columns ``out``. Partitions are sorted and read as they come, so
+    a key of any number of rows takes the memory of a batch and of its state.
+    """
+    names = df.columns
+    sorted_ = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    where = [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = {}, None
+        for b in batches:
+            got = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key = [row[i] for i in where]
+                if key != last:
+                    state, last = {}, key
+                got.append(step(state, row))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True) if got else [[]] * len(schema), schema.types, strict=True)], schema.names)
+
+    schema = to_arrow_schema(T._parse_datatype_string(out))
+    return sorted_.mapInArrow(run, out)

@@ -71,13 +71,34 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_records(c.fixed_chunks(d), F.col("doc_id")).drop("doc_id", "content")
 
 
-@query()
+_VISIBLE = lambda x: f"length(trim({x}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0"
+
+
+@query(f"""with recursive s as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: {_VISIBLE('x')}) as l from documents),
+p as materialized (select doc_id, unnest(range(1, len(l) + 1)) as k, unnest(l) as p from s),
+r(doc_id, k, g, held) as (
+  select doc_id, k, 1, case when ceil(length(p) / 3) >= 307 then -1 else length(p) end from p where k = 1
+  union all
+  select p.doc_id, p.k,
+    case when r.held >= 0 and ceil(length(p.p) / 3) < 307 and ceil(r.held / 3) + ceil(length(p.p) / 3) <= 512 then r.g else r.g + 1 end,
+    case when ceil(length(p.p) / 3) >= 307 then -1 when r.held >= 0 and ceil(r.held / 3) + ceil(length(p.p) / 3) <= 512 then r.held + 2 + length(p.p) else length(p.p) end
+  from r join p on p.doc_id = r.doc_id and p.k = r.k + 1)
+select r.doc_id, g - 1 as ordinal, string_agg(p, chr(10) || chr(10) order by r.k) as content from r join p on p.doc_id = r.doc_id and p.k = r.k group by r.doc_id, g""")
 def merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order-dependent fold for each document; tests hold it against examples."""
+    """An order-dependent fold for each document, in SQL by recursion over its paragraphs."""
     return c.merged_chunks(table(spark, sf_dir, "documents"))
 
 
-@query()
+_PARTS = lambda x, mark: f"list_filter(string_split({x}, {mark}), lambda x: {_VISIBLE('x')})"
+_NL = "chr(10)"
+
+
+@query(f"""with a as (select doc_id, unnest(range(len(l))) as i, unnest(l) as p from (select doc_id, {_PARTS("coalesce(text, '')", f"{_NL} || {_NL} || {_NL}")} as l from documents)),
+b as (select doc_id, i, -1 as j, p from a where ceil(length(p) / 3) <= 512
+  union all select doc_id, i, unnest(range(len(l))), unnest(l) from (select doc_id, i, {_PARTS('p', f"{_NL} || {_NL}")} as l from a where ceil(length(p) / 3) > 512)),
+c as (select doc_id, i, j, -1 as k, p from b where j < 0 or ceil(length(p) / 3) <= 512
+  union all select doc_id, i, j, unnest(range(len(l))), unnest(l) from (select doc_id, i, j, {_PARTS('p', _NL)} as l from b where j >= 0 and ceil(length(p) / 3) > 512))
+select doc_id, row_number() over (partition by doc_id order by i, j, k) - 1 as ordinal, p as content from c""")
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.recursive_chunks(table(spark, sf_dir, "documents"))
 

@@ -110,13 +110,36 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("entity"), "ts")
 
 
-@query()
+def limiter_sql(entity: str, limits: dict[str, int]) -> str:
+    """Windows that start with a request, folded by recursion over each entity's requests."""
+    start = lambda w: f"case when e.ms - r.s_{w} >= {ev.WINDOWS[w]} then e.ms else r.s_{w} end"
+    count = lambda w: f"case when e.ms - r.s_{w} >= {ev.WINDOWS[w]} then 0 else r.c_{w} end"
+    hit = "case " + " ".join(f"when n_{w} >= {limits[w]} then '{w}'" for w in ev.WINDOWS) + " end"
+    return f"""with recursive e as (select event_id as id, {entity} as entity, epoch_ms(ts) as ms, row_number() over (partition by {entity} order by epoch_ms(ts), event_id) as k from events),
+r(entity, k, id, limit_hit, {', '.join(f's_{w}, c_{w}' for w in ev.WINDOWS)}) as (
+  select entity, k, id, null::varchar, {', '.join('ms, 1::bigint' for _ in ev.WINDOWS)} from e where k = 1
+  union all
+  select entity, k, id, hit, {', '.join(f'm_{w}, n_{w} + case when hit is null then 1 else 0 end' for w in ev.WINDOWS)} from (select *, {hit} as hit from (
+    select e.entity, e.k, e.id, {', '.join(f'{start(w)} as m_{w}, {count(w)} as n_{w}' for w in ev.WINDOWS)} from r join e on e.entity = r.entity and e.k = r.k + 1)))
+select id, entity, limit_hit from r"""
+
+
+_LIMITS = {"minute": 1, "hour": 2, "day": 7}
+
+
+@query(limiter_sql("user_id % 40", _LIMITS))
 def rate_limit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that start with a request: a state machine, which tests hold against a plain replay."""
-    return ev.rate_limited(requests(spark, sf_dir), {"minute": 1, "hour": 2, "day": 7})
+    """Windows that start with a request."""
+    return ev.rate_limited(requests(spark, sf_dir), _LIMITS)
 
 
-@query()
+@query("""with recursive e as (select event_id as id, user_id % 40 as entity, epoch_ms(ts) as ms, row_number() over (partition by user_id % 40 order by epoch_ms(ts), event_id) as k from events),
+r(entity, k, id, ms, tokens, ok) as (
+  select entity, k, id, ms, 2.0::double, true from e where k = 1
+  union all
+  select entity, k, id, ms, case when had >= 1 then had - 1 else had end, had >= 1 from (
+    select e.entity, e.k, e.id, greatest(r.ms, e.ms) as ms, least(3.0::double, r.tokens + greatest(0, e.ms - r.ms) / 1000::double * (1 / 14400::double)) as had from r join e on e.entity = r.entity and e.k = r.k + 1))
+select id, entity, case when not ok then 'bucket' end as limit_hit from r""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.token_bucket(requests(spark, sf_dir), 3.0, 1 / 14400)
 

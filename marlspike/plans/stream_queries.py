@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.plans.event_queries import limiter_sql
 from marlspike.plans.registry import query
 from marlspike.streaming import events as stream
 
@@ -41,6 +42,6 @@ def stream_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.drain(stream.presence(_source(spark, sf_dir)), "update")
 
 
-@query()
+@query(limiter_sql("user_id", {"minute": 1, "hour": 2, "day": 7}))
 def stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.drain(stream.rate_limited(_source(spark, sf_dir), {"minute": 1, "hour": 2, "day": 7}))
