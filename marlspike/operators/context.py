@@ -77,6 +77,20 @@ def inferred(changes: DataFrame) -> DataFrame:
     return changes.select(f.alias("file"), F.explode(found).alias("type"))
 
 
+def preflight(planned: DataFrame, depends: DataFrame, assumptions: DataFrame, drift: DataFrame) -> DataFrame:
+    """``file, errors, warnings, dependents, drift`` of ``planned(start, file)``.
+
+    Conflicts with valid assumptions by severity, how many files depend on each planned one at any
+    hand, of ``depends(file, depends_on)`` by ``start``, and whether ``drift`` has any row.
+    """
+    c = conflicts(assumptions, planned).groupBy(F.col("planned_file").alias("file"))
+    c = c.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    edges = depends.select(F.col("depends_on").alias("source"), F.col("file").alias("target"))
+    reached = closure(edges, planned.select("start").distinct()).filter("node <> start").groupBy("start").agg(F.count("*").alias("dependents"))
+    d = planned.join(c, "file", "left").join(reached, "start", "left").fillna(0, ["errors", "warnings", "dependents"])
+    return d.select("file", "errors", "warnings", "dependents", F.lit(not drift.isEmpty()).alias("drift"))
+
+
 def dependency_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """``package, change, old_version, new_version`` between snapshots ``(package, version)``; only versions count as updates."""
     d = old.select("package", F.col("version").alias("old_version")).join(new.select("package", F.col("version").alias("new_version")), "package", "full_outer")

@@ -11,6 +11,10 @@ from marlspike.operators.iterate import cut
 CANDIDATES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
 
+#: Steps that marks take between two looks at whether any still moves.
+STEPS = 3
+
+
 def package(specifier: Column) -> Column:
     """The package of an import: two parts if scoped, else one."""
     parts = F.split(specifier, "/")
@@ -52,8 +56,8 @@ def folder_edges(edges: DataFrame) -> DataFrame:
     return d.filter("source_dir <> target_dir").distinct()
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """``node`` for every node that reaches itself.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` for every node that reaches itself; component is one node of its strong component.
 
     Nodes without an edge in or out cannot be on a cycle and are trimmed, round
     by round. The rest is coloured: each node takes the greatest node that
@@ -61,20 +65,53 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     component; what is left is trimmed and coloured again. Rows stay in
     proportion to the edges: no pairs of nodes that reach each other are made.
     """
-    core = cut(edges.select("source", "target").distinct())
-    found = cut(core.filter("source = target").select(F.col("source").alias("node")).distinct())
-    core = cut(core.filter("source <> target"))
+    every = cut(edges.select("source", "target").distinct())
+    core = cut(every.filter("source <> target"))
+    found = cut(every.limit(0).select(F.col("source").alias("node"), F.col("source").alias("component")))
     while not (core := _trimmed(core)).isEmpty():
         nodes = core.select(F.explode(F.array("source", "target")).alias("node")).distinct()
         colour = _settled(nodes.withColumn("mark", F.col("node")), core)
         inside = cut(_within(core, colour))
         back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
         # from each root, which has the colour's own name, against the edges
-        reached = _settled(colour.withColumn("mark", F.when(F.col("node") == F.col("mark"), F.col("mark"))), back).filter("mark is not null").select("node")
-        found = cut(found.unionByName(reached.join(inside.select(F.col("target").alias("node")).distinct(), "node", "left_semi")))
-        gone = reached
-        core = cut(core.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"))
-    return found.distinct()
+        reached = cut(_settled(colour.withColumn("mark", F.when(F.col("node") == F.col("mark"), F.col("mark"))), back).filter("mark is not null"))
+        cyclic = reached.join(inside.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
+        found = cut(found.unionByName(cyclic.select("node", F.col("mark").alias("component"))))
+        gone = reached.select("node")
+        core = cut(core.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+    loops = every.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
+    return found.unionByName(loops.join(found, "node", "left_anti"))
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """``node`` for every node that reaches itself."""
+    return strong_components(edges).select("node")
+
+
+def circular(edges: DataFrame) -> DataFrame:
+    """``source, target, circular``: whether a way leads back, that is, whether both ends are in one strong component."""
+    of = strong_components(edges)
+    d = edges.select("source", "target").distinct().join(of.select(F.col("node").alias("source"), F.col("component").alias("c1")), "source", "left")
+    d = d.join(of.select(F.col("node").alias("target"), F.col("component").alias("c2")), "target", "left")
+    return d.select("source", "target", F.coalesce(F.col("c1") == F.col("c2"), F.lit(False)).alias("circular"))
+
+
+def short_cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
+    """``path, size`` of every closed path of two to ``longest`` different nodes, once, from its least node.
+
+    Paths grow only over greater nodes than their first, a step at a time.
+    """
+    inside = cut(edges.select("source", "target").filter("source <> target").distinct())
+    paths = cut(inside.filter("source < target").select(F.array(F.col("source").cast("string"), F.col("target").cast("string")).alias("p"), F.col("source").alias("first"), F.col("target").alias("last")))
+    out, step = None, inside.select(F.col("source").alias("last"), F.col("target").alias("next"))
+    for size in range(2, longest + 1):
+        grown = paths.join(step, "last")
+        closed = grown.filter("next = first").select(F.concat_ws(" > ", "p", F.col("next").cast("string")).alias("path"), F.lit(size).cast("bigint").alias("size"))
+        out = closed if out is None else out.unionByName(closed)
+        if size < longest:
+            more = grown.withColumn("name", F.col("next").cast("string")).filter((F.col("next") > F.col("first")) & ~F.array_contains("p", F.col("name")))
+            paths = cut(more.select(F.concat("p", F.array("name")).alias("p"), "first", F.col("next").alias("last")))
+    return out
 
 
 def _trimmed(core: DataFrame) -> DataFrame:
@@ -99,8 +136,11 @@ def _settled(marks: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, mark`` when each node's mark is the greatest of its own and of those that reach it along the edges."""
     now = cut(marks.select("node", "mark"))
     while True:
-        sent = edges.join(now.filter("mark is not null").withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.max("mark").alias("got"))
-        following = cut(now.join(sent, "node", "left").select("node", F.greatest("mark", "got").alias("mark"), F.coalesce(F.col("got") > F.col("mark"), F.col("got").isNotNull()).alias("moved")))
-        if following.filter("moved").isEmpty():
+        following = now.withColumn("was", F.col("mark"))
+        for _ in range(STEPS):
+            sent = edges.join(following.filter("mark is not null").select(F.col("node").alias("source"), "mark"), "source").groupBy(F.col("target").alias("node")).agg(F.max("mark").alias("got"))
+            following = following.join(sent, "node", "left").select("node", F.greatest("mark", "got").alias("mark"), "was")
+        following = cut(following)
+        if following.filter("not (mark <=> was)").isEmpty():
             return now
-        now = following.drop("moved")
+        now = following.drop("was")
