@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.globs import glob_regex
+from marlspike.operators.iterate import cut
 
 # What is indexed and what is not, unless asked otherwise.
 INCLUDE = ["**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.py", "**/*.java", "**/*.go", "**/*.rs", "**/*.md", "**/*.json"]
@@ -44,6 +45,54 @@ def save(df: DataFrame, path: str, *by: str) -> None:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def _there(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, where, fs.exists(where)
+
+
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A saved table, or the JSON lines that an earlier version left at ``<path>.json``; an empty one where neither is."""
+    if _there(spark, path)[2]:
+        return spark.read.schema(schema).parquet(path)
+    if _there(spark, f"{path}.json")[2]:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{path}.json")
+    return spark.createDataFrame([], schema)
+
+
+def save_over(df: DataFrame, path: str, *by: str) -> None:
+    """:func:`save`, then without the JSON of an earlier version."""
+    save(df, path, *by)
+    fs, where, there = _there(df.sparkSession, f"{path}.json")
+    if there:
+        fs.delete(where, True)
+
+
+def write_files(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Chunks in folders by a hash of their file, which :func:`rewrite_files` can replace one by one."""
+    save(chunks.withColumn("bucket", _bucket(buckets)).repartition("bucket"), path, "bucket")
+
+
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("file_path"), F.lit(n)).cast("int")
+
+
+def rewrite_files(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame | None = None, buckets: int = 64) -> None:
+    """Replace the chunks of files in ``fresh`` or ``gone``; only the folders that hold such files are read and written.
+
+    A folder that is left without chunks keeps none.
+    """
+    old = spark.read.parquet(path)
+    touched = fresh.select("file_path").union(gone.select("file_path")) if gone is not None else fresh.select("file_path")
+    which = [r[0] for r in touched.select(_bucket(buckets).alias("b")).distinct().collect()]  # `buckets` numbers at most
+    now = cut(replaced(old.filter(F.col("bucket").isin(which)).drop("bucket"), fresh, gone).withColumn("bucket", _bucket(buckets)))
+    left = {r[0] for r in now.select("bucket").distinct().collect()}
+    now.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path)
+    for b in set(which) - left:
+        fs, where, _ = _there(spark, f"{path}/bucket={b}")
+        fs.delete(where, True)
+
+
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the last by order: an upsert of batches that were only appended."""
     w = Window.partitionBy(*key).orderBy(*(F.desc(o) for o in order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,39 @@ def results(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Dat
     return d.filter("_corrupt is null").drop("_corrupt"), bad.select("file", F.col("value").alias("line"))
 
 
+#: An object over several lines, in a file that is neither JSON lines nor one JSON value.
+_OBJECTS = r"(?s)\{.*?\n\}"
+
+
+def collected_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """``run, ordinal, result`` (JSON text) of every ``<folder>/<run>/results.jsonl``, whatever its shape.
+
+    JSON lines if the first line is an object, else one JSON value or array, else
+    the objects that can be cut out; what is no JSON is left out. Runs are
+    files of results, so each fits a row.
+    """
+    d = spark.read.text(f"{folder}/*/results.jsonl", wholetext=True).withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/results\.jsonl$", 1))
+    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x)) > 0)
+    whole = F.try_parse_json(text)
+    array = F.from_json(text, "array<string>")
+    found = (
+        F.when(F.rlike(F.get(lines, F.lit(0)), F.lit(r"^\s*\{.*\}\s*$")), lines)
+        .when(whole.isNotNull() & text.startswith("["), array)
+        .when(whole.isNotNull(), F.array(text))
+        .otherwise(F.regexp_extract_all(text, F.lit(_OBJECTS), F.lit(0)))
+    )
+    sound = F.filter(found, lambda x: F.try_parse_json(x).isNotNull())
+    return d.select("run", F.posexplode(sound).alias("ordinal", "result"))
+
+
+def newest_runs(runs: DataFrame) -> DataFrame:
+    """``run, timestamp, n`` of collected runs, newest first by their first result's timestamp or else their name."""
+    first = F.min_by(F.get_json_object("result", "$.timestamp"), "ordinal")
+    d = runs.groupBy("run").agg(F.coalesce(first, F.col("run")).alias("timestamp"), F.count("*").alias("n"))
+    return d.orderBy(F.desc("timestamp"), "run")
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -79,3 +114,23 @@ def report_markdown(rows: DataFrame, title: str, limit: int = 500) -> str:
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(limit).collect()]
     return "\n".join(lines) + "\n"
+
+
+def report_csv(rows: DataFrame, path: str) -> None:
+    """Rows of a report as one CSV file with a header; reports are small."""
+    rows.coalesce(1).write.mode("overwrite").option("header", "true").option("quoteAll", "true").csv(path)
+
+
+def by_category(samples: DataFrame) -> DataFrame:
+    """``category, n, detected, rate`` of ``samples(category, detected)``, for a report."""
+    d = samples.groupBy("category").agg(F.count("*").alias("n"), F.count_if("detected").alias("detected"))
+    return d.withColumn("rate", F.col("detected") / F.col("n")).orderBy("category")
+
+
+def report_html(tables: dict[str, DataFrame], title: str, limit: int = 500) -> str:
+    """A page with one table for each small result; values are escaped."""
+    out = [f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
+    for name, rows in tables.items():
+        cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{'' if v is None else escape(str(v))}</{tag}>" for v in values) + "</tr>"
+        out += [f"<h2>{escape(name)}</h2><table>", cells("th", rows.columns), *(cells("td", r) for r in rows.limit(limit).collect()), "</table>"]
+    return "".join([*out, "</body></html>"])

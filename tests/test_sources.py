@@ -74,4 +74,92 @@ def test_code_chunks_cover_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("trim(text) <> ''")
     got = chunk_queries.code_chunks(spark, str(SF))
     assert docs.select("doc_id").exceptAll(got.select("doc_id").distinct()).count() == 0
-    assert chunking.code_chunks(chunk_queries.sources(spark)).select("doc_id").distinct().count() == 4
+    src = chunk_queries.sources(spark, str(SF))
+    assert chunking.code_chunks(src).select("doc_id").distinct().count() == src.count()
+
+
+def test_files_are_rewritten_in_place(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    rows = [(f"f{i}", i, f"old {i}") for i in range(200)]
+    files.write_files(spark.createDataFrame(rows, "file_path string, n int, content string"), path, 8)
+    fresh = spark.createDataFrame([("f7", 0, "new"), ("g", 1, "more")], "file_path string, n int, content string")
+    gone = spark.createDataFrame([("f9",)], "file_path string")
+    files.rewrite_files(spark, path, fresh, gone, 8)
+    got = {r.file_path: r.content for r in spark.read.parquet(path).collect()}
+    assert got == {f: c for f, _, c in rows if f not in ("f7", "f9")} | {"f7": "new", "g": "more"}
+    files.rewrite_files(spark, path, fresh.limit(0), spark.read.parquet(path).select("file_path"), 8)
+    assert not any(p.name.startswith("bucket=") for p in (tmp_path / "chunks").iterdir())
+
+
+def test_load_falls_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert files.load(spark, path, "a int").count() == 0
+    (tmp_path / "t.json").write_text('{"a": 1}\n{"a": 2}\n')
+    assert sorted(r.a for r in files.load(spark, path, "a int").collect()) == [1, 2]
+    files.save_over(spark.createDataFrame([(3,)], "a int"), path)
+    assert [r.a for r in files.load(spark, path, "a int").collect()] == [3] and not (tmp_path / "t.json").exists()
+
+
+def test_collected_runs(spark, tmp_path):
+    for name, text in {
+        "r1": '{"timestamp": "2024-01-02", "n": 1}\n{broken}\n{"n": 2}\n',
+        "r2": '[{"timestamp": "2024-03-01", "a": {"b": [1]}}, {"n": 4}]',
+        "r3": '{\n  "n": 5\n}',
+        "r4": 'log line\n{\n "n": 6\n}\nand\n{\n "n": 7\n}\n',
+        "r5": "",
+    }.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "results.jsonl").write_text(text)
+    runs = logs.collected_runs(spark, str(tmp_path))
+    n = {(r.run, r.n) for r in runs.select("run", F.get_json_object("result", "$.n").alias("n")).collect()}
+    assert n == {("r1", "1"), ("r1", "2"), ("r2", None), ("r2", "4"), ("r3", "5"), ("r4", "6"), ("r4", "7")}
+    assert [r.run for r in logs.newest_runs(runs).collect()] == ["r4", "r3", "r2", "r1"]
+
+
+def test_reports(spark, tmp_path):
+    d = spark.createDataFrame([("a", True), ("a", False), ("<b>", True)], "category string, detected boolean")
+    by = logs.by_category(d)
+    logs.report_csv(by, str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "csv")).select("category", "n").collect()) == [("<b>", "1"), ("a", "2")]
+    page = logs.report_html({"By category": by}, "Runs & results")
+    assert "<td>&lt;b&gt;</td>" in page and "<h1>Runs &amp; results</h1>" in page and page.count("<tr>") == 3
+
+
+def test_approximate_neighbours(spark):
+    from marlspike.operators import services
+
+    v = services.checked_vectors(spark.read.parquet(f"{SF}/embeddings.parquet"), 64)
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = {(r.query_id, r.vec_id) for r in services.neighbours(v, q, 5).collect()}
+    got = {(r.query_id, r.vec_id) for r in services.neighbours(v, q, 5, "lsh", bits=3, tables=12).collect()}
+    assert len(got & want) >= 0.6 * len(want)
+    assert services.checked_vectors(v, 63).count() == 0
+
+
+def test_strong_components(spark):
+    import random
+
+    from marlspike.operators import graph
+
+    rnd = random.Random(4)
+    edges = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(55)} | {(i, i + 1) for i in range(50, 70)} | {(70, 50), (99, 99)}
+    reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
+    for _ in range(80):
+        reach = {a: bs | {c for b in bs for c in reach.get(b, ())} for a, bs in reach.items()}
+    got = {r.node: r.component for r in graph.strong_components(spark.createDataFrame(list(edges), "source int, target int")).collect()}
+    assert set(got) == {a for a in reach if a in reach[a]}
+    assert all((got[a] == got[b]) == (b in reach[a] and a in reach[b]) for a in got for b in got)
+
+
+def test_class_members_and_dispatch(spark):
+    from marlspike.operators import chunking
+
+    source = "import a from 'b'\n\nexport class Foo extends Bar {\n  x: number = 1;\n  /** Makes it. */\n  constructor(a) {\n    if (a) { this.x = a; }\n  }\n\n  async run() { }\n}\nconst f = (a) => {\n  return a\n}\n"
+    parts = chunking.source_chunks(source)
+    assert parts[0].strip() == "import a from 'b'" and parts[-1].startswith("const f")
+    members = chunking.class_members(source.split("\n\n", 1)[1].split("\nconst")[0])
+    assert [(k, n) for k, n, _ in members] == [("property", "Foo.x"), ("method", "Foo.constructor"), ("method", "Foo.run")]
+    assert members[1][2].startswith("export class Foo extends Bar {\n  x: number = 1;\n  // ...\n  /** Makes it. */\n  constructor(a) {")
+    assert chunking.class_members("class Empty {\n}")[0][0] == "class"
+    d = spark.createDataFrame([(1, "a.ts", source), (2, "b.md", "# T\n\ntext"), (3, "c.py", "x = 1"), (4, "d.js", None)], "doc_id bigint, path string, text string")
+    assert {(r.doc_id, r.strategy) for r in chunking.chunk_files(d).collect()} == {(1, "code"), (2, "recursive"), (3, "fixed")}
