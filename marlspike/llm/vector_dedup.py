@@ -5,8 +5,9 @@
    nearest. Cells over ``MOST`` are dealt anew by centroids of their own, and
    cut by hash where nothing separates them, so a cell fits one task at any size
    of input.
-3. Each cell builds a graph: nearest and random candidates, robust-pruned, with
-   edges back.
+3. Each cell builds a graph by insertion, in batches that never exceed what the
+   graph holds: the graph so far is searched for a vector's candidates; these, the
+   nearest of its batch and some at random are robust-pruned; edges lead back too.
 4. Each cell searches its graph: from the nearest medoids greedily with a
    beam, then, from whatever lies in range, along edges as long as more does.
    The cell audits itself against brute force on a part of its vectors and
@@ -39,8 +40,10 @@ from marlspike.llm.common import Scratch, components
 WANTED, MOST = 2048, 8192
 #: Bound of the sample on which a set of centroids is fitted, in vectors, and the most centroids in a set.
 SAMPLE, CENTROIDS = 16_384, 512
-#: Edges kept by pruning, candidates (nearest and random), and how much shorter a detour must be to prune.
-DEGREE, NEAREST, RANDOM, ALPHA = 32, 48, 48, 1.2
+#: Edges kept by pruning, candidates (found, of the same batch, random), and how much shorter a detour must be to prune.
+DEGREE, NEAREST, MATES, RANDOM, ALPHA = 32, 48, 16, 16, 1.2
+#: Vectors that a graph begins with, and that are inserted or searched for together.
+BEGIN, TOGETHER = 64, 512
 #: Beam at first, the share of a cell that is audited, and the recall it must show.
 BEAM, AUDITED, RECALL = 32, 0.02, 0.98
 #: Links (each from both ends) from which on a cell is compared in blocks, pairs in a block, and bytes of vectors sent to all tasks at once.
@@ -78,39 +81,49 @@ def _stack(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
-def build(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Adjacency (n x DEGREE, -1 for none) of unit vectors, before edges back."""
-    n = len(x)
-    f = x.astype(np.float32)
-    out = np.full((n, DEGREE), -1, np.int32)
-    rng = np.random.default_rng(seed)
-    near = min(NEAREST, n - 1)
-    for i in range(0, n, 512):
-        b = np.arange(i, min(i + 512, n))
-        s = f[b] @ f.T
-        s[np.arange(len(b)), b] = -2
-        close = np.argpartition(-s, near - 1, axis=1)[:, :near] if near else np.empty((len(b), 0), int)
-        c = np.concatenate([close, rng.integers(0, n, (len(b), RANDOM))], 1)
-        d = 1 - np.take_along_axis(s, c, 1)
-        d[c == b[:, None]] = np.inf
-        order = np.argsort(d, 1, kind="stable")
-        c, d = np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1)
-        v = f[c]
-        between = 1 - v @ v.transpose(0, 2, 1)
-        alive = np.isfinite(d)
-        row = np.arange(len(b))
-        for r in range(DEGREE):
-            j = alive.argmax(1)
-            ok = alive[row, j]
-            if not ok.any():
-                break
-            out[b[ok], r] = c[row[ok], j[ok]]
-            alive[row, j] = False
-            # squared distances of unit vectors are 2 - 2 cos: alpha applies to distances
-            alive &= ~((ALPHA**2 * between[row, j] <= d) & ok[:, None])
+def _pruned(f: np.ndarray, nodes: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """At most DEGREE of each node's candidates (-1 for none), nearest first, without those that one taken before leads to more shortly."""
+    out = np.full((len(nodes), DEGREE), -1, np.int32)
+    d = 1 - np.einsum("ij,ikj->ik", f[nodes], f[c])
+    d[(c == nodes[:, None]) | (c < 0)] = np.inf
+    order = np.argsort(d, 1, kind="stable")
+    c, d = np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1)
+    v = f[c]
+    between = 1 - v @ v.transpose(0, 2, 1)
+    alive, row = np.isfinite(d), np.arange(len(nodes))
+    for r in range(DEGREE):
+        j = alive.argmax(1)
+        ok = alive[row, j]
+        if not ok.any():
+            break
+        out[ok, r] = c[row[ok], j[ok]]
+        alive[row, j] = False
+        # squared distances of unit vectors are 2 - 2 cos: alpha applies to distances
+        alive &= ~((ALPHA**2 * between[row, j] <= d) & ok[:, None])
     return out
 
 
+def build(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The graph of unit vectors as offsets and targets, with edges both ways."""
+    n, f, rng = len(x), x.astype(np.float32), np.random.default_rng(seed)
+    near = np.full((n, DEGREE), -1, np.int32)
+    order = rng.permutation(n)
+    done = min(n, BEGIN)
+    near[order[:done]] = _pruned(f, order[:done], np.broadcast_to(order[:done], (done, done)))
+    while True:
+        src, dst = np.repeat(np.arange(n), DEGREE), near.ravel().astype(np.int64)
+        starts, targets = _lists(np.concatenate([src, dst]), np.concatenate([dst, src]), n)
+        if done == n:
+            return starts, targets
+        batch = order[done : done + min(done, TOGETHER)]
+        found = _beam(f, starts, targets, order[:BEGIN], f[batch], NEAREST)[0]
+        mates = f[batch] @ f[batch].T
+        mates = batch[np.argpartition(-mates, min(MATES, len(batch) - 1), axis=1)[:, :MATES]]
+        drawn = order[rng.integers(0, done, (len(batch), RANDOM))]
+        near[batch] = _pruned(f, batch, np.concatenate([found, mates, drawn], 1))
+        done += len(batch)
+
+
 def _lists(pairs_from: np.ndarray, pairs_to: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct edges of n nodes as offsets and targets."""
     keep = (pairs_from != pairs_to) & (pairs_from >= 0) & (pairs_to >= 0)
@@ -126,55 +139,57 @@ def _expand(starts: np.ndarray, targets: np.ndarray, nodes: np.ndarray) -> tuple
     return of, targets[at]
 
 
+def _beam(f: np.ndarray, starts: np.ndarray, targets: np.ndarray, entry: np.ndarray, fq: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Greedy search for each row of ``fq``: the ``beam`` nearest nodes found (-1 for none), which nodes were seen, and all that was met as (query, node, cosine)."""
+    m, row = len(fq), np.arange(len(fq))
+    seen = np.zeros((m, len(f)), bool)
+    s = fq @ f[entry].T
+    width = min(beam, len(entry))
+    top = np.argpartition(-s, width - 1, axis=1)[:, :width]
+    seen[row[:, None], entry[top]] = True
+    ids = np.full((m, beam), -1, np.int64)
+    sims = np.full((m, beam), -np.inf, np.float32)
+    ids[:, :width], sims[:, :width] = entry[top], np.take_along_axis(s, top, 1)
+    opened = np.zeros((m, beam), bool)
+    met = [(np.repeat(row, width), ids[:, :width].ravel(), sims[:, :width].ravel())]
+    while True:
+        best = np.where(opened | (ids < 0), -np.inf, sims)
+        j = best.argmax(1)
+        go = row[best[row, j] > -np.inf]
+        if not len(go):
+            return ids, seen, met
+        opened[go, j[go]] = True
+        of, to = _expand(starts, targets, ids[go, j[go]])
+        who = go[of]
+        new = ~seen[who, to]
+        who, to = who[new], to[new]
+        seen[who, to] = True
+        sim = np.einsum("ij,ij->i", fq[who], f[to])
+        met.append((who, to, sim))
+        if not len(who):
+            continue
+        count = np.bincount(who, minlength=m)
+        place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        wide = int(count.max())
+        more_ids, more = np.full((m, wide), -1, np.int64), np.full((m, wide), -np.inf, np.float32)
+        more_ids[who, place], more[who, place] = to, sim
+        all_ids, all_sims = np.concatenate([ids, more_ids], 1), np.concatenate([sims, more], 1)
+        all_open = np.concatenate([opened, np.zeros((m, wide), bool)], 1)
+        keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        ids, sims, opened = (np.take_along_axis(a, keep, 1) for a in (all_ids, all_sims, all_open))
+
+
 def search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoids: np.ndarray, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) of a cell with cosine >= threshold that the graph search finds."""
     n, f = len(x), x.astype(np.float32)
     low = np.float32(threshold - 1e-5)
     outs: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(0, len(queries), 512):
-        q = queries[i : i + 512]
-        m, row = len(q), np.arange(len(q))
-        seen = np.zeros((m, n), bool)
-        s = f[q] @ f[medoids].T
-        width = min(beam, len(medoids))
-        top = np.argpartition(-s, width - 1, axis=1)[:, :width]
-        seen[row[:, None], medoids[top]] = True
-        ids = np.full((m, beam), -1, np.int64)
-        sims = np.full((m, beam), -np.inf, np.float32)
-        ids[:, :width], sims[:, :width] = medoids[top], np.take_along_axis(s, top, 1)
-        opened = np.zeros((m, beam), bool)
-        hits_q, hits_n = [], []
-        hit = (sims >= low).nonzero()
-        hits_q.append(hit[0])
-        hits_n.append(ids[hit])
-        while True:
-            best = np.where(opened | (ids < 0), -np.inf, sims)
-            j = best.argmax(1)
-            go = row[best[row, j] > -np.inf]
-            if not len(go):
-                break
-            opened[go, j[go]] = True
-            of, to = _expand(starts, targets, ids[go, j[go]])
-            who = go[of]
-            new = ~seen[who, to]
-            who, to = who[new], to[new]
-            seen[who, to] = True
-            sim = np.einsum("ij,ij->i", f[q[who]], f[to])
-            inside = sim >= low
-            hits_q.append(who[inside])
-            hits_n.append(to[inside])
-            if not len(who):
-                continue
-            count = np.bincount(who, minlength=m)
-            place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-            wide = int(count.max())
-            more_ids, more = np.full((m, wide), -1, np.int64), np.full((m, wide), -np.inf, np.float32)
-            more_ids[who, place], more[who, place] = to, sim
-            all_ids, all_sims = np.concatenate([ids, more_ids], 1), np.concatenate([sims, more], 1)
-            all_open = np.concatenate([opened, np.zeros((m, wide), bool)], 1)
-            keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            ids, sims, opened = (np.take_along_axis(a, keep, 1) for a in (all_ids, all_sims, all_open))
-        fq, fn = np.concatenate(hits_q), np.concatenate(hits_n)
+    for i in range(0, len(queries), TOGETHER):
+        q = queries[i : i + TOGETHER]
+        _, seen, met = _beam(f, starts, targets, medoids, f[q], beam)
+        inside = [s >= low for _, _, s in met]
+        fq, fn = (np.concatenate([x[k][ok] for x, ok in zip(met, inside, strict=True)]) for k in (0, 1))
+        del met
         got_q, got_n = [fq], [fn]
         while len(fq):  # range expansion: what lies in range leads on to what else does
             next_q, next_n = [], []
@@ -306,10 +321,7 @@ def _searched(kind: str, threshold: float):
                 tally.add(part, every, hit, both=False)
             links, root = tally.links, tally.root
         else:
-            near = build(x)
-            src, dst = np.repeat(every, DEGREE), near.ravel().astype(np.int64)
-            ok = dst >= 0
-            starts, targets = _lists(np.concatenate([src[ok], dst[ok]]), np.concatenate([dst[ok], src[ok]]), n)
+            starts, targets = build(x)
             c = centroids(x, max(1, int(4 * np.sqrt(n))), rounds=3)
             medoids = np.unique((c @ x.T).argmax(1))
             beam = min(BEAM, max(1, n - 1))
@@ -481,3 +493,43 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDu
     )
     audit = within.groupBy("cell").agg(*(F.max(c).alias(c) for c in ("n", "beam", "audited", "expected", "found")))
     return NearDuplicates(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), audit)
+
+
+def recall(vectors: DataFrame, rows: DataFrame, threshold: float = 0.9, every: int = 50) -> DataFrame:
+    """One row ``queries, expected, found``: links of the vectors whose id is divisible by ``every``, by brute force over all of ``vectors`` and in ``rows``.
+
+    For vectors with an id each. Queries go to all tasks in blocks of a bounded
+    number of bytes.
+    """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "recall")
+    given = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
+    given = given.filter(sound & F.col("vec_id").isNotNull())
+    width = given.agg(F.max(F.size("embedding"))).first()[0] or 1
+    asked = given.filter(F.col("vec_id") % every == 0)
+    blocks = asked.count() * width * 8 // HELD + 1
+    asked = scratch.save(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
+    pad = lambda rows: unit(np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in rows]))
+
+    def counted(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = held.value
+            for b in batches:
+                if b.num_rows:
+                    hit = _hits(q, pad(b.column(1).to_pylist()), threshold) & (ids[:, None] != b.column(0).to_numpy()[None])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(1).astype(np.int64))], ["vec_id", "expected"])
+
+        return run
+
+    out = None
+    for i in range(blocks):
+        t = asked.filter(F.col("block") == i).toPandas()
+        if len(t):
+            held = spark.sparkContext.broadcast((t["vec_id"].to_numpy(np.int64), pad(t["embedding"])))
+            part = scratch.save(given.mapInArrow(counted(held), "vec_id bigint, expected bigint").groupBy("vec_id").agg(F.sum("expected").alias("expected")))
+            held.destroy()
+            out = part if out is None else out.unionByName(part)
+    out = out if out is not None else spark.createDataFrame([], "vec_id bigint, expected bigint")
+    met = out.join(rows.select("vec_id", "n_links"), "vec_id", "left")
+    return met.agg(F.count("*").alias("queries"), F.coalesce(F.sum("expected"), F.lit(0)).alias("expected"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"))

@@ -780,6 +780,34 @@ def test_links_between_many_cells(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found.rows.collect()} == {i: (s[i].sum() - 1, comp[i]) for i in range(1200)}
 
 
+def test_the_graph_of_a_cell_finds_its_links():
+    """A graph built by insertion, searched from a few entries, against all pairs."""
+    rng = np.random.default_rng(2)
+    x = vector_dedup.unit(np.repeat(rng.normal(size=(250, 32)), 8, 0) + rng.normal(size=(2000, 32)) * rng.uniform(0.05, 0.5, (2000, 1)))
+    starts, targets = vector_dedup.build(x)
+    a, b = vector_dedup.search(x, starts, targets, np.arange(0, 2000, 11), np.arange(2000), 0.9, 32)
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if i != j}
+    got = {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j}
+    assert got <= want and len(got) >= 0.99 * len(want) > 5000
+    degree = np.diff(starts)
+    assert degree.min() > 0 and degree.mean() <= 2 * vector_dedup.DEGREE
+
+
+def test_recall_over_the_whole_table(spark, monkeypatch):
+    """At least eight cells; vectors whose id is divisible by 50 against all rows, in several blocks."""
+    monkeypatch.setattr(vector_dedup, "WANTED", 300)
+    monkeypatch.setattr(vector_dedup, "HELD", 1 << 13)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(800, 24)), 5, 0) + rng.normal(size=(4000, 24)) * rng.uniform(0.05, 0.45, (4000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.permutation(x))] + [(4000, None), (4050, [0.0] * 24)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = vector_dedup.near_duplicate_vectors(d)
+    assert found.audit.count() >= 8
+    r = vector_dedup.recall(d, found.rows).first()
+    assert r.queries == 80 and r.expected > 100 and r.found >= 0.99 * r.expected
+    assert vector_dedup.recall(d.limit(0), found.rows).first().expected == 0
+
+
 def test_one_id_with_several_vectors(spark):
     """Each of the vectors with id 1 has links of its own: to 10 and 11, and to 0."""
     rows = [(1, [1.0, 0.0, 0.0]), (10, [1.0, 0.1, 0.0]), (11, [1.0, 0.0, 0.1]), (1, [0.0, 1.0, 0.0]), (0, [0.0, 1.0, 0.1]), (2, [0.0, 0.0, 1.0])]
