@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.globs import glob_column, normal
-from marlspike.operators.iterate import closure
+from marlspike.operators.iterate import closure, in_blocks
 
 
 def hotspots(changes: DataFrame, k: int = 10) -> DataFrame:
@@ -41,11 +41,23 @@ def in_range(changes: DataFrame, since: Column, until: Column, text: str | None
     return d if text is None else d.filter(F.contains(F.lower("reason"), F.lit(text.lower())))
 
 
+#: Rules that are broadcast at once.
+RULES = 10_000
+
+
 def _met(assumptions: DataFrame, files: DataFrame) -> DataFrame:
-    """Valid assumptions beside the files that any of their globs fits. Rules are a bounded table and are broadcast; exact paths meet by equality inside the same expression."""
-    rules = assumptions.filter("valid").withColumn("glob", F.explode("related_files"))
-    rules = rules.withColumn("regex", glob_column(normal(F.col("glob"))))
-    return files.select(normal(F.col("file")).alias("file")).distinct().join(F.broadcast(rules), F.expr("file rlike regex") | (F.lower("file") == F.lower("glob")))
+    """Valid assumptions beside the files that any of their globs fits.
+
+    Globs without a wildcard meet paths by equality; the others are counted and
+    broadcast in blocks of ``RULES``.
+    """
+    rules = assumptions.filter("valid").withColumn("glob", F.explode("related_files")).withColumn("glob", normal(F.col("glob")))
+    paths = files.select(normal(F.col("file")).alias("file")).distinct()
+    wild = F.rlike("glob", F.lit(r"[*?\[\]{}!]"))
+    out = paths.withColumn("_low", F.lower("file")).join(rules.withColumn("_low", F.lower("glob")), "_low").select("file", *rules.columns)
+    for block in in_blocks(rules.filter(wild).withColumn("regex", glob_column(F.col("glob"))), "glob", RULES):
+        out = out.unionByName(paths.join(F.broadcast(block), F.expr("file rlike regex")).select("file", *rules.columns))
+    return out
 
 
 def invalidated(assumptions: DataFrame, modified: DataFrame) -> DataFrame:
@@ -99,9 +111,13 @@ def dependency_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def affected(assumptions: DataFrame, changed: DataFrame) -> DataFrame:
-    """Dependency assumptions whose description names a changed package; both are small tables, the packages are broadcast."""
+    """Dependency assumptions whose description names a changed package; the descriptions are counted and broadcast in blocks, the packages stay where they are."""
     d = assumptions.filter("type = 'dependency' and valid")
-    return d.join(F.broadcast(changed.select("package").distinct()), F.expr("contains(lower(description), lower(package))"), "left_semi")
+    packages, named = changed.select("package").distinct(), None
+    for block in in_blocks(d.select("id", "description"), "id", RULES):
+        part = packages.join(F.broadcast(block), F.expr("contains(lower(description), lower(package))")).select("id").distinct()
+        named = part if named is None else named.unionByName(part)
+    return d.join(named, "id", "left_semi")
 
 
 def drift(snapshots: DataFrame) -> DataFrame:

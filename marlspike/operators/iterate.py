@@ -73,3 +73,11 @@ def folded(df: DataFrame, keys: list[str], order: list[str], step, out: str) ->
 
     schema = to_arrow_schema(T._parse_datatype_string(out))
     return sorted_.mapInArrow(run, out)
+
+
+def in_blocks(small: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """``small`` in blocks of some ``rows`` rows, dealt by a hash of ``key``, for broadcasts of a bounded size."""
+    n = small.count() // rows + 1
+    if n == 1:
+        return [small]
+    return [small.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]

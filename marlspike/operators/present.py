@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlspike.operators.iterate import folded, in_blocks
+
 # How a language writes a comment; others as C does.
 COMMENTS = {"python": ("# ", ""), "ruby": ("# ", ""), "yaml": ("# ", ""), "toml": ("# ", ""), "shell": ("# ", ""), "bash": ("# ", ""), "html": ("<!-- ", " -->"), "markdown": ("<!-- ", " -->")}
 REDACTED = "[REDACTED]"
 
 
+#: Names that are broadcast at once, and ids that are packed one after another.
+NAMES, IDS = 10_000, 10_000
+
+
 def compact(results: DataFrame) -> Column:
     """One line for a result: place, type, distinct symbols, score."""
     names = F.array_join(F.array_distinct("symbols"), ", ")
@@ -70,9 +74,12 @@ def decrypted(value: Column, key: Column) -> Column:
 def similar_names(unknown: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
     """``name, place, suggestion``: known names that hold, are held by, or are within two edits of an unknown one; the nearest first.
 
-    The unknown names of one verification are few and are broadcast.
+    The unknown names of one verification are counted and broadcast in blocks of ``NAMES``.
     """
-    met = known.select(F.col("name").alias("suggestion")).distinct().join(F.broadcast(unknown.select("name").distinct()))
+    have, met = known.select(F.col("name").alias("suggestion")).distinct(), None
+    for block in in_blocks(unknown.select("name").distinct(), "name", NAMES):
+        part = have.join(F.broadcast(block))
+        met = part if met is None else met.unionByName(part)
     a, b = F.lower("name"), F.lower("suggestion")
     d = met.withColumn("d", F.levenshtein(a, b)).filter(F.contains(a, b) | F.contains(b, a) | (F.col("d") <= 2))
     k = F.row_number().over(Window.partitionBy("name").orderBy("d", "suggestion"))
@@ -80,23 +87,21 @@ def similar_names(unknown: DataFrame, known: DataFrame, least: int = 3) -> DataF
 
 
 def batches(chunks: DataFrame, most: int = 50, tokens: int = 7500) -> DataFrame:
-    """``id, batch``: rows packed in order into batches of bounded number and tokens, partition by partition.
+    """``id, batch`` of ``chunks(id, tokens)``: rows packed in order of id into batches of bounded number and tokens.
 
-    Batches serve calls to a service; partitions pack on their own.
+    Batches serve calls to a service. Ids pack in blocks of ``IDS``, each on its
+    own, so batches have the same numbers in every run.
     """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, n, size = 0, 0, 0
-        for pdf in parts:
-            out = []
-            for t in pdf["tokens"]:
-                if n and (n >= most or size + t > tokens):
-                    batch, n, size = batch + 1, 0, 0
-                n, size = n + 1, size + t
-                out.append(batch)
-            yield pd.DataFrame({"id": pdf["id"], "tokens": pdf["tokens"], "batch": out})
-
-    return chunks.select("id", "tokens").mapInPandas(run, "id bigint, tokens bigint, batch int").withColumn("part", F.spark_partition_id())
+    def step(state: dict, row: tuple) -> tuple:
+        block, i, size = row
+        if "n" not in state or state["n"] == most or state["tokens"] + size > tokens:
+            state["batch"], state["n"], state["tokens"] = state.get("batch", block * IDS - 1) + 1, 0, 0
+        state["n"] += 1
+        state["tokens"] += size
+        return i, state["batch"]
+
+    d = chunks.select(F.floor(F.col("id") / IDS).alias("block"), "id", "tokens")
+    return folded(d, ["block"], ["id"], step, "id bigint, batch bigint")
 
 
 def invalid(entries: DataFrame, validators: dict[str, Column]) -> DataFrame:

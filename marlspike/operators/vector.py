@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlspike.operators.iterate import in_blocks
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -31,6 +33,8 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x))
 
 
+#: Queries that are broadcast at once: some MB of vectors.
+QUERIES = 4096
 SCORES = {
     "cosine": cosine,
     "ip": dot,
@@ -41,10 +45,12 @@ SCORES = {
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """``query_id, vec_id, score, rank`` of the k best rows for each of ``queries(query_id, query)``; rank from 0, ties by vec_id.
 
-    ``queries`` is a stated block of at most a few thousand rows: it is
-    broadcast. Window group limits keep k rows for each query in each task.
+    ``queries`` are counted and broadcast in blocks of ``QUERIES`` rows. Window
+    group limits keep k rows for each query in each task.
     """
-    met = vectors.join(F.broadcast(queries))
-    scored = met.select("query_id", "vec_id", SCORES[metric](F.col("embedding"), F.col("query")).alias("score"))
+    scored = None
+    for block in in_blocks(queries, "query_id", QUERIES):
+        part = vectors.join(F.broadcast(block)).select("query_id", "vec_id", SCORES[metric](F.col("embedding"), F.col("query")).alias("score"))
+        scored = part if scored is None else scored.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)

@@ -78,17 +78,19 @@ def encrypted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", present.decrypted(F.col("c"), key).alias("value"), (F.col("c") != F.col("props")).alias("ok"))
 
 
-_KNOWN = ["readFile", "writeFile", "Reader", "Store", "StoreBase", "parse", "parser", "render"]
-_UNKNOWN = ["readfil", "Stroe", "pars", "zzz"]
+_TYPO = "replace(p_name, 'a', 'e')"
 
 
-@query(f"""with k as (select unnest([{', '.join(map(sql_string, _KNOWN))}]) as suggestion), u as (select unnest([{', '.join(map(sql_string, _UNKNOWN))}]) as name),
+@query(f"""with k as (select distinct p_name as suggestion from part), u as (select distinct {_TYPO} as name from part where {_TYPO} not in (select p_name from part)),
 d as (select name, suggestion, levenshtein(lower(name), lower(suggestion)) as d from u, k),
 m as (select *, row_number() over (partition by name order by d, suggestion) as place from d where contains(lower(name), lower(suggestion)) or contains(lower(suggestion), lower(name)) or d <= 2)
 select name, place, suggestion from m where place <= 3""")
 def similar_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
-    return present.similar_names(one(_UNKNOWN), one(_KNOWN)).withColumn("place", F.col("place").cast("bigint"))
+    """Names of parts for names that are none, being written with other letters."""
+    part = table(spark, sf_dir, "part")
+    known = part.select(F.col("p_name").alias("name")).distinct()
+    unknown = part.select(F.expr(_TYPO).alias("name")).distinct().join(known, "name", "left_anti")
+    return present.similar_names(unknown, known).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query(f"with {sq._V} select key from e where list_has_all(tags, ['t0', 't1'])")
@@ -112,9 +114,14 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.join(c, "file", "left").fillna(0)
 
 
-@query()
+@query("""with recursive d as (select doc_id as id, ceil(length(text) / 3)::bigint as tokens, doc_id // 10000 as block, row_number() over (partition by doc_id // 10000 order by doc_id) as k from documents),
+r(block, k, id, batch, n, total) as (select block, k, id, block * 10000, 1, tokens from d where k = 1
+  union all select d.block, d.k, d.id, case when r.n = 50 or r.total + d.tokens > 7500 then r.batch + 1 else r.batch end,
+    case when r.n = 50 or r.total + d.tokens > 7500 then 1 else r.n + 1 end, case when r.n = 50 or r.total + d.tokens > 7500 then d.tokens else r.total + d.tokens end
+  from r join d on d.block = r.block and d.k = r.k + 1)
+select id, batch from r""")
 def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of documents for an embedding service; tests hold the bounds."""
+    """Batches of documents for an embedding service."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.ceil(F.length("text") / 3).cast("bigint").alias("tokens"))
     return present.batches(d)
 

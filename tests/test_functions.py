@@ -161,11 +161,14 @@ def test_manifest(spark):
 def test_embedding_batches(spark):
     from marlspike.operators import present
 
-    d = spark.createDataFrame([(i, 1000 if i % 4 else 7000) for i in range(60)], "id bigint, tokens bigint").coalesce(1)
+    size = {i: 1000 if i % 4 else 7000 for i in range(60)} | {i: 9000 for i in range(20_000, 20_003)}
+    d = spark.createDataFrame(list(size.items()), "id bigint, tokens bigint")
     by: dict = {}
-    for r in present.batches(d, 5, 7500).collect():
-        by.setdefault((r.part, r.batch), []).append(r.tokens)
-    assert all(len(v) <= 5 and (sum(v) <= 7500 or len(v) == 1) for v in by.values()) and sum(map(len, by.values())) == 60
+    for r in present.batches(d.repartition(3), 5, 7500).collect():
+        by.setdefault(r.batch, []).append(r.id)
+    assert all(len(v) <= 5 and (sum(size[i] for i in v) <= 7500 or len(v) == 1) for v in by.values()) and sorted(sum(by.values(), [])) == sorted(size)
+    again = {(r.id, r.batch) for r in present.batches(d.coalesce(1), 5, 7500).collect()}
+    assert again == {(i, b) for b, v in by.items() for i in v}, "the same in every run"
 
 
 def test_signature_is_hmac(spark):
