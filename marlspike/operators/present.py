@@ -55,6 +55,11 @@ def signature(key: bytes, *parts: Column, size: int = 16) -> Column:
     return F.substring(F.sha2(F.concat(outer, digest), 256), 1, size)
 
 
+def verified(given: Column, key: bytes, *parts: Column) -> Column:
+    """Whether a signature belongs to its parts; both are hashed once more, so how far they agree does not show in the time."""
+    return F.sha2(F.coalesce(given, F.lit("")), 256) == F.sha2(signature(key, *parts), 256)
+
+
 def wrapped(content: Column, label: Column, trust: Column, place: Column, total: Column, nonce: Column, warning: Column, key: bytes | None = None) -> Column:
     """A result between lines that carry a nonce, and a signature where there is a key."""
     sign = F.concat(F.lit("|hmac:"), signature(key, nonce, content)) if key else F.lit("")
