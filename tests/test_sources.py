@@ -163,3 +163,54 @@ def test_class_members_and_dispatch(spark):
     assert chunking.class_members("class Empty {\n}")[0][0] == "class"
     d = spark.createDataFrame([(1, "a.ts", source), (2, "b.md", "# T\n\ntext"), (3, "c.py", "x = 1"), (4, "d.js", None)], "doc_id bigint, path string, text string")
     assert {(r.doc_id, r.strategy) for r in chunking.chunk_files(d).collect()} == {(1, "code"), (2, "recursive"), (3, "fixed")}
+
+
+def test_json_table(spark, tmp_path):
+    from marlspike.sources.store import JsonTable
+
+    t = JsonTable(spark, str(tmp_path / "t"), "name string")
+    row = "name string, id string, version bigint"
+    assert t.rows().count() == 0
+    t.upsert(spark.createDataFrame([("a", "1", 1), ("b", "2", 1)], row))
+    t.upsert(spark.createDataFrame([("A", "1", 2)], row))
+    t.delete(spark.createDataFrame([("2", 3)], "id string, version bigint"))
+    assert [(r.id, r.name) for r in t.rows().collect()] == [("1", "A")]
+    t.compact()
+    assert [(r.id, r.name) for r in t.rows().collect()] == [("1", "A")] and spark.read.json(t.path).count() == 1
+
+
+def test_versions_locks_and_migration(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from marlspike.sources import store
+
+    root = str(tmp_path / "v")
+    names = [store.back_up(spark.range(i), root, keep=2) for i in (1, 2, 3)]
+    assert store.versions(spark, root) == names[1:]
+    assert store.restored(spark, root).count() == 3 and store.restored(spark, root, names[1]).count() == 2
+    with pytest.raises(ValueError):
+        store.restored(spark, root, names[0])
+    d = store.migrated(spark.range(1), {"k": "0", "n": "1"}, {"id": "n"})
+    assert d.columns == ["n", "k"]
+    lock = str(tmp_path / "lock")
+    with store.locked(spark, lock):
+        with pytest.raises(TimeoutError), store.locked(spark, lock, wait=0.1):
+            pass
+        os.utime(lock, (1, 1))
+        with store.locked(spark, lock, wait=0.1):
+            pass
+    assert not os.path.exists(lock)
+
+
+def test_telemetry_keeps_what_it_cannot_write(spark, tmp_path):
+    from marlspike.sources.store import Telemetry
+
+    (tmp_path / "file").write_text("x")
+    t = Telemetry(spark, str(tmp_path / "file" / "x"), "n int", size=2, most=3)
+    for i in range(5):
+        t.record((i,))
+    assert [n for (n,) in t.held] == [2, 3, 4]
+    t.path = str(tmp_path / "out")
+    assert t.flush() and not t.held and spark.read.json(t.path).count() == 3
