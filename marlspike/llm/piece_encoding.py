@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from marlspike.llm.common import bounded_batches
@@ -354,16 +355,19 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, vocabulary: str
 
 
 def decode(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model", path: str | None = None) -> DataFrame:
-    """The rows of ``encoded(..., ids)`` with ``decoded``, the text of their ids; null ids decode to null. ``ids`` is the last column."""
+    """The rows and columns of ``encoded(ids, ...)`` with ``decoded``, the text of their ids, in place of a column so named; null ids decode to null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, path, 0.0, 0)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = [None if x is None else encoder.decode(x) for x in part.columns[-1].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
-
-    from pyspark.sql import types as T
-
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+                texts = [None if x is None else encoder.decode(x) for x in part.columns[1].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["row", "ids", "decoded"])
+
+    names = [c for c in encoded.columns if c.lower() not in ("ids", "decoded")]
+    row = F.struct(*(encoded[f"`{c}`"] for c in names)) if names else F.struct(F.lit(None).cast("int").alias("none"))
+    given = encoded.select(row.alias("row"), encoded["ids"].cast("binary").alias("ids"))
+    out = given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField("decoded", T.StringType())]))
+    kept = [F.col("ids") if c.lower() == "ids" else F.col("row")[c].alias(c) for c in encoded.columns if c.lower() != "decoded"]
+    return out.select(*kept, "decoded")

@@ -26,7 +26,7 @@ def _counted(name: str, path: str | None):
 
 
 def token_lengths(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens`` for every row of ``docs(doc_id, text)``; null and empty texts have 0."""
+    """``doc_id, n_tokens`` for every row of ``docs(doc_id, text)``; null and empty texts have 0, null ids keep their rows, other columns are ignored, whatever their names."""
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return given.mapInArrow(_counted(vocabulary, path), "doc_id bigint, n_tokens bigint")

@@ -57,6 +57,46 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+# --- very long texts ---
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """Ten million characters, a near copy of them, and a text without a space."""
+    rnd = random.Random(11)
+    vocabulary = [w + str(i) for i in range(400) for w in WORDS]
+    text = " ".join(rnd.choices(vocabulary, k=1_250_000))
+    text = text[:5_000_000] + "\npassword=abcdef123 \n" + text[5_000_000:]
+    solid = "".join(rnd.choices("abcdefghijkmnopqrstuvwxyz0123456789", k=300_000))
+    rows = [(1, text, "en"), (2, solid, "de"), (3, text + " tail", "en")]
+    return rows, spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3).cache()
+
+
+def test_long_texts(spark, long_texts):
+    rows, d = long_texts
+    got = {r.doc_id: r for r in jj.near_duplicates(d, 5, 80).collect()}
+    assert [got[i].component_id for i in (1, 2, 3)] == [1, 2, 1] and got[2].n_shingles == 1
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    judged = {r.doc_id: r.n_words for r in quality_rules.judge_quality(d, labels).collect()}
+    assert judged == {i: len(t.split()) for i, t, _ in rows}
+    lines = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(d, min_docs=2).collect()}
+    assert lines == {1: (3, 2), 2: (1, 0), 3: (3, 2)}
+    spans = {r.doc_id: [(s.kind, s.start) for s in r.spans if s.kind == "assign"] for r in secrets.find_secrets(d).collect()}
+    assert spans == {1: [("assign", 5_000_001)], 2: [], 3: [("assign", 5_000_001)]}
+    net = language_id.learn(d)
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(d, net).collect()} == {1: "en", 2: "de", 3: "en"}
+
+
+def test_long_texts_in_tokens(long_texts):
+    rows, d = long_texts
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_lengths(d).collect()}
+    assert counts[1] < counts[3] <= counts[1] + 3 and counts[2] > 100_000
+    pieces = packing.pack_documents(d).collect()
+    assert all(r.length == 4096 for r in pieces if r.start + r.length < max(x.start + x.length for x in pieces if x.doc_id == r.doc_id))
+    out = piece_encoding.decode(piece_encoding.encode(d, dropout=0.1, seed=1).withColumn("decoded", F.lit(1))).select("doc_id", (F.col("decoded") == F.col("text")).alias("same"))
+    assert {r.doc_id: r.same for r in out.collect()} == {1: True, 2: True, 3: True}
+
+
 # --- components, n-gram join ---
 
 
