@@ -94,3 +94,15 @@ def test_empty_tables(spark, sf, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_certified_cutoff_takes_effect(spark, tmp_path):
+    """Rejects by the method, not by base rules; columns with names that the stage uses inside."""
+    rnd = random.Random(12)
+    rows = [(i, words(rnd, 60) + (" ###" * 30 if i % 4 == 0 else ""), ["en", "fr"][i % 2], "s", 0, "x", 1, 2, "y") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, rarity int, cutoff int, steps string")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 1200)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r.doc_id for r in cp.quality_rules(spark, docs, str(tmp_path)).collect()]
+    assert not any(i % 8 == 0 for i in got if i % 2 == 0 and i % 4 == 0), "junk goes where its language is certified"
+    assert len([i for i in got if i % 4]) >= 0.95 * 900
+    assert all(rows[i][1].count("#") == 0 for i in got if rows[i][2] == "en")
