@@ -152,3 +152,24 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, backend: str = "e
     scored = met.select("query_id", "vec_id", "embedding", "query").dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
+
+
+def mutated(texts: DataFrame, alternatives: dict[str, list[str]], seed: int) -> DataFrame:
+    """``texts(id, text)`` with each phrase replaced by one of its alternatives, drawn by a hash of seed, id and phrase: the same in every run."""
+    text = F.col("text")
+    for phrase, others in alternatives.items():
+        code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.lit(phrase))), 1, 7), 16, 10).cast("bigint")
+        text = F.replace(text, F.lit(phrase), F.get(F.lit(others), (code % len(others)).cast("int")))
+    return texts.withColumn("text", text)
+
+
+def version_key(version: Column) -> Column:
+    """A version of numbers with points as what it sorts by."""
+    return F.transform(F.split(version, r"\."), lambda x: x.try_cast("bigint"))
+
+
+def current_tools(tools: DataFrame) -> DataFrame:
+    """``tool, version, n_versions, deprecated`` of ``tools(tool, version, deprecated)``: the newest version that is not deprecated, or the newest of all."""
+    best = F.max_by("version", F.struct((~F.col("deprecated")).alias("live"), version_key(F.col("version")).alias("key"), "version"))
+    d = tools.groupBy("tool").agg(best.alias("version"), F.count_distinct("version").alias("n_versions"), F.bool_and("deprecated").alias("deprecated"))
+    return d.select("tool", "version", "n_versions", "deprecated")

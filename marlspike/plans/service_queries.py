@@ -170,3 +170,26 @@ def chunks_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = latest(docs.select("doc_id", "source", "lang", F.lit(2).alias("version")).unionByName(docs.select("doc_id", F.lit("old").alias("source"), "lang", F.lit(1).alias("version"))), ["doc_id"], ["version"])
     c = chunking.fixed_chunks(docs).select("doc_id", "end_line").join(files.drop("version"), "doc_id")
     return c.groupBy("source", "lang").agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_files"), F.max("end_line").alias("longest"))
+
+
+_ALTERNATIVES = {" the ": [" that ", " this ", " one "], "ing": ["ed", "s"], ".": ["!", "...", ";"]}
+_MUTATED = "text"
+for _p, _a in _ALTERNATIVES.items():
+    _pick = f"('0x' || substr(md5('7:' || conv_id || '-' || turn || ':{_p}'), 1, 7))::bigint % {len(_a)}"
+    _MUTATED = f"replace({_MUTATED}, '{_p}', {_a}[{_pick} + 1])"
+
+
+@query(f"select conv_id || '-' || turn as id, md5({_MUTATED}) as digest from conversations where text is not null")
+def mutated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations under seeded replacements."""
+    c = table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return services.mutated(c, _ALTERNATIVES, 7).select("id", F.md5("text").alias("digest"))
+
+
+@query("""with t as (select p_brand as tool, (p_size % 12) || '.' || (p_partkey % 15) || '.' || (p_size % 4) as version, p_partkey % 3 = 0 or p_brand like '%3' as deprecated from part),
+k as (select *, list_transform(string_split(version, '.'), lambda x: x::bigint) as key from t)
+select tool, arg_max(version, struct_pack(a := not deprecated, b := key, c := version)) as version, count(distinct version) as n_versions, bool_and(deprecated) as deprecated from k group by tool""")
+def tool_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as tools of many versions."""
+    t = table(spark, sf_dir, "part").selectExpr("p_brand as tool", "concat_ws('.', p_size % 12, p_partkey % 15, p_size % 4) as version", "p_partkey % 3 = 0 or p_brand like '%3' as deprecated")
+    return services.current_tools(t)

@@ -214,3 +214,21 @@ def test_telemetry_keeps_what_it_cannot_write(spark, tmp_path):
     assert [n for (n,) in t.held] == [2, 3, 4]
     t.path = str(tmp_path / "out")
     assert t.flush() and not t.held and spark.read.json(t.path).count() == 3
+
+
+def test_listeners(spark):
+    from marlspike.plans.stream_queries import stream_rate
+    from marlspike.streaming.listeners import Handlers
+
+    seen: dict = {"started": [], "progress": [], "ended": []}
+    h = Handlers().on("progress", lambda e: 1 / 0)
+    for kind, held in seen.items():
+        h.on(kind, held.append)
+    h.attached(spark)
+    try:
+        assert stream_rate(spark, str(SF)).count() > 0
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(h)
+    assert len(seen["started"]) == 1 and seen["progress"] and seen["progress"][0]["numInputRows"] > 0
+    assert len(seen["ended"]) <= 1 and all(isinstance(e, ZeroDivisionError) for e in h.failed) and h.failed
