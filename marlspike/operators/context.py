@@ -36,6 +36,20 @@ def impact(depends: DataFrame, changed: DataFrame) -> DataFrame:
     return closure(edges, changed).filter("depth > 1")
 
 
+#: Lock files in the order in which the first that is there counts.
+LOCK_FILES = ["pnpm-lock.yaml", "yarn.lock", "package-lock.json"]
+
+
+def lock_file(present: Column) -> Column:
+    """The lock file that counts among an array of file names; null if there is none."""
+    return F.get(F.filter(F.array(*map(F.lit, LOCK_FILES)), lambda x: F.array_contains(present, x)), F.lit(0))
+
+
+def dependents(depends: DataFrame, changed: DataFrame) -> DataFrame:
+    """``start, file``: files that depend on ``changed(start)`` themselves, of ``depends(file, depends_on)``."""
+    return depends.join(changed.select("start").distinct(), F.col("depends_on") == F.col("start")).select("start", "file").distinct()
+
+
 def in_range(changes: DataFrame, since: Column, until: Column, text: str | None = None) -> DataFrame:
     d = changes.filter((F.col("ts") >= since) & (F.col("ts") <= until))
     return d if text is None else d.filter(F.contains(F.lower("reason"), F.lit(text.lower())))

@@ -88,6 +88,11 @@ def calendar_counts(requests: DataFrame, limit: int = 60) -> DataFrame:
     return d.withColumns({"blocked": F.greatest(F.lit(0), F.col("n") - limit), "warned": F.col("n") >= 0.8 * limit})
 
 
+def usage_level(used: Column, limit: Column, soft: float = 0.8) -> Column:
+    """``ok``, ``warning`` from a share of the limit on, ``exceeded`` from the limit on; without a limit always ``ok``."""
+    return F.when(limit.isNull(), "ok").when(used >= limit, "exceeded").when(used >= soft * limit, "warning").otherwise("ok")
+
+
 def effective_limit(base: Column, priority: Column) -> Column:
     """A limit under a priority; null for no limit."""
     out = F.lit(None).cast("double")

@@ -21,6 +21,11 @@ def package(specifier: Column) -> Column:
     return F.when(specifier.startswith("@"), F.array_join(F.slice(parts, 1, 2), "/")).otherwise(F.get(parts, F.lit(0)))
 
 
+def safe_id(name: Column) -> Column:
+    """A name as part of an identifier, in lower case: what lies between runs of letters, digits and underscores becomes one minus."""
+    return F.lower(F.btrim(F.regexp_replace(name, "[^a-zA-Z0-9_]+", "-"), F.lit("-")))
+
+
 def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

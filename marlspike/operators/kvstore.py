@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +37,27 @@ def query(entries: DataFrame, now: Column, key=None, types=None, agent=None, vis
     return numbered.filter(F.col("k") <= limit).withColumn("has_more", F.col("n") > limit).drop("k", "n")
 
 
+def encode_cursor(offset: int) -> str:
+    """An offset as an opaque string."""
+    return base64.urlsafe_b64encode(str(offset).encode()).decode().rstrip("=")
+
+
+def decode_cursor(cursor: str | None) -> int:
+    """The offset of a cursor; 0 for none, or one that is none of ours."""
+    try:
+        return max(0, int(base64.urlsafe_b64decode((cursor or "") + "=" * (-len(cursor or "") % 4)).decode()))
+    except (ValueError, UnicodeDecodeError):
+        return 0
+
+
+def page(rows: DataFrame, order: list[str], cursor: str | None = None, limit: int = 20) -> DataFrame:
+    """Rows behind a cursor with ``has_more`` and ``cursor``, which leads to the next page; limits are from 1 to 100. A full page counts as having more."""
+    offset, limit = decode_cursor(cursor), max(1, min(100, limit))
+    cut = rows.orderBy(*order).offset(offset).limit(limit)
+    more = F.count("*").over(Window.partitionBy()) == limit  # a page
+    return cut.withColumn("has_more", more).withColumn("cursor", F.when(F.col("has_more"), encode_cursor(offset + limit)))
+
+
 def search(entries: DataFrame, text: str, how: str = "substring", least: float = 0.8) -> DataFrame:
     """Entries whose value holds a text (case aside), fits a regular expression, or is like the text by Jaro-Winkler."""
     if how == "substring":
