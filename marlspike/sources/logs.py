@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Bytes at which a log starts anew, and how many old ones stay.
 ROTATE, KEEP = 10 * 1024 * 1024, 5
+#: Ids whose sizes are summed together.
+BLOCK = 100_000
 
 AUDIT_DDL = "id string, timestamp timestamp, category string, action string, actor struct<type:string,id:string>, target struct<type:string,id:string>, outcome string, details map<string,string>"
 
@@ -69,12 +71,17 @@ def append(df: DataFrame, path: str) -> None:
 def rotation(sizes: DataFrame, limit: int = ROTATE, keep: int = KEEP) -> DataFrame:
     """``id, file_no, kept`` of ``sizes(id, size)`` written in order of id: a file is closed before it would pass the limit.
 
-    A log is one stream, so the running sum runs over one ordered list.
+    The running sum runs within blocks of ``BLOCK`` ids and over the blocks, so
+    no task gets more than a block or the blocks.
     """
-    total = F.sum("size").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    d = sizes.withColumn("file_no", F.floor(F.coalesce(total, F.lit(0)) / limit))
-    last = F.max("file_no").over(Window.partitionBy())
-    return d.withColumn("kept", F.col("file_no") >= last - keep).select("id", "file_no", "kept")
+    d = sizes.withColumn("_b", F.floor(F.col("id") / BLOCK))
+    blocks = d.groupBy("_b").agg(F.sum("size").alias("_s"))
+    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_b", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_ahead"))
+    within = F.coalesce(F.sum("size").over(Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(blocks, "_b").select("id", F.floor((F.col("_ahead") + within) / limit).alias("file_no"))
+    last = d.agg(F.max("file_no").alias("last"))
+    return d.crossJoin(F.broadcast(last)).select("id", "file_no", (F.col("file_no") >= F.col("last") - keep).alias("kept"))  # one row
 
 
 LEVELS = ["easy", "medium", "hard"]
