@@ -49,19 +49,25 @@ NEEDS = [
 ]
 
 
+#: What a match of a pattern can't stand behind: a long run is then tried once, and not again from each of its characters.
+BEGINS = {"[A-Za-z0-9+/]{60,}": "(?<![A-Za-z0-9+/])"}
+
+
+def _where(p: Pattern, needs: tuple[str, ...], low: Column, found: Column, none: Column) -> Column:
+    """``found`` for texts that hold what a match of the pattern needs, else ``none``."""
+    if not needs:
+        return found
+    some = F.contains(low, F.lit(needs[0]))
+    for x in needs[1:]:
+        some = some | F.contains(low, F.lit(x))
+    return F.when(some, found).otherwise(none)
+
+
 def counts(text: Column, low: Column | None = None) -> list[Column]:
     """Number of matches of each pattern, in order; ``low`` is the text in lower case."""
     low = F.lower(text) if low is None else low
-    out = []
-    for p, needs in zip(PATTERNS, NEEDS, strict=True):
-        n = F.regexp_count(text, F.lit(p.regex))
-        if needs:
-            some = F.contains(low, F.lit(needs[0]))
-            for x in needs[1:]:
-                some = some | F.contains(low, F.lit(x))
-            n = F.when(some, n).otherwise(0)
-        out.append(n)
-    return out
+    begins = lambda p: "".join(v for k, v in BEGINS.items() if k in p.regex)
+    return [_where(p, needs, low, F.regexp_count(text, F.lit(begins(p) + p.regex)), F.lit(0)) for p, needs in zip(PATTERNS, NEEDS, strict=True)]
 
 
 def _once(docs: DataFrame, **values: Column) -> DataFrame:
@@ -110,7 +116,8 @@ def n_tokens(text: Column) -> Column:
 
 def prose_density(text: Column, n: Column) -> Column:
     """Share of the text's n tokens that hold no sign of code anywhere in them."""
-    code = F.regexp_count(text, F.lit(rf"(?<!\S)\S*?{_any_of(CODE)}\S*"))
+    # a match goes on to the end of its token, so it is one for each token
+    code = F.regexp_count(text, F.lit(rf"{_any_of(CODE)}\S*"))
     return F.when(n == 0, 0.0).otherwise((n - code) / n)
 
 
@@ -166,19 +173,20 @@ def trust_level(origin: Column, score: Column, declared: Column) -> Column:
     )
 
 
-def spans(text: Column) -> Column:
+def spans(text: Column, low: Column | None = None) -> Column:
     """``array<struct<start, end>>`` of matches above low severity, end exclusive, touching ones merged, in order.
 
     A match's place is the length of what stands between matches and of the
     matches before it, as the pattern itself cuts the text. A fold over sorted
     spans merges them.
     """
-    every = []
-    for p in PATTERNS:
+    low = F.lower(text) if low is None else low
+    every, none = [], F.array().cast(SPANS)
+    for p, needs in zip(PATTERNS, NEEDS, strict=True):
         if p.severity != "low":
             pieces = F.arrays_zip(F.split(text, p.regex, -1).alias("between"), F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)).alias("match"))
             at = F.aggregate(F.filter(pieces, lambda x: x["match"].isNotNull()), F.struct(F.lit(0).alias("pos"), F.lit(None).cast(SPANS).alias("out")), _placed)
-            every.append(F.coalesce(at["out"], F.array().cast(SPANS)))
+            every.append(_where(p, needs, low, F.coalesce(at["out"], none), none))
     return F.aggregate(
         F.array_sort(F.concat(*every)),
         F.array().cast(SPANS),
@@ -186,6 +194,12 @@ def spans(text: Column) -> Column:
     )
 
 
+def with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``spans`` of ``text``."""
+    d = _once(docs, _low=F.lower("text"))
+    return d.withColumn("spans", spans(F.col("text"), F.col("_low"))).drop("_low")
+
+
 SPANS = "array<struct<start:int,end:int>>"
 
 

@@ -123,7 +123,7 @@ spans as (select doc_id, min(s) as start, max(t) as stop from h group by doc_id,
 @query(f"with {_INPUT}, {_SPANS} select doc_id, start, stop from spans")
 def redact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans above low severity, overlapping and touching ones as one."""
-    d = planted(spark, sf_dir).select("doc_id", F.explode(risk.spans(F.col("text"))).alias("s"))
+    d = risk.with_spans(planted(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s"))
     return d.select("doc_id", F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("stop"))
 
 
