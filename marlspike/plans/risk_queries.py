@@ -13,7 +13,7 @@ from marlspike.functions.text import sql_string
 from marlspike.operators import risk
 from marlspike.operators.chunking import TYPES, chunk_type
 from marlspike.plans.registry import query
-from marlspike.sources.tables import table
+from marlspike.sources.tables import spread, table
 
 ZW = "​"
 PLANTED = [
@@ -73,7 +73,7 @@ _SCORE = f"{_BASE}, {_SCORED}"
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(PLANTED)], "doc_id bigint, text string")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(rows)
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text").unionByName(rows)
     return d.withColumn("origin", F.get(F.array(*map(F.lit, ORIGINS)), (F.abs("doc_id") % 4).cast("int"))).withColumn("type", chunk_type(F.col("text")))
 
 

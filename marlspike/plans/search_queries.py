@@ -13,7 +13,7 @@ from marlspike.functions.text import stem, stem_sql, terms_sql
 from marlspike.operators import fusion, lexical, vector
 from marlspike.operators.iterate import shared_folder
 from marlspike.plans.registry import query
-from marlspike.sources.tables import table
+from marlspike.sources.tables import spread, table
 
 #: The query of the search entries, and one whose terms the index lacks.
 QUERY = "thanea oninging oning the eriner"
@@ -58,7 +58,7 @@ def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
         folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        lexical.write_index(table(spark, sf_dir, "documents"), folder)
+        lexical.write_index(spread(table(spark, sf_dir, "documents")), folder)
         _INDEXES[key] = folder
     return lexical.read_index(spark, _INDEXES[key])
 

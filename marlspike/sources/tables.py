@@ -1,4 +1,4 @@
-"""Tables of a data folder, by whatever path Spark can read."""
+"""The tables of a folder."""
 
 from __future__ import annotations
 
@@ -7,3 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A table as read from files, over all cores if it is small: its files may be a single block that one task would read.
+
+    Small is less than half a split for each core, which bounds the shuffle;
+    larger tables stay as they are.
+    """
+    spark = files.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return files.repartition(cores) if 2 * size < cores * split else files
