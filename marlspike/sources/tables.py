@@ -1,4 +1,4 @@
-"""The tables of a folder."""
+"""Tables of a data folder, by whatever path Spark can read."""
 
 from __future__ import annotations
 
@@ -17,5 +17,5 @@ def spread(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return files.repartition(cores) if 2 * size < cores * split else files
