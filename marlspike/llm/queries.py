@@ -15,11 +15,12 @@ from marlspike.llm.secrets import KINDS, find_secrets
 from marlspike.llm.token_counts import token_counts
 from marlspike.llm.url_filters import Rule, judge_urls, tracking_hosts
 from marlspike.llm.vector_dedup import near_duplicate_vectors
+from marlspike.sources.tables import spread
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A network fitted on documents that are not held out, applied to all."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     net = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id"))))
     out = language_id.predict(docs, net)
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -27,12 +28,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of byte-level BPE lengths of all documents, with its suffix sums."""
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, links from 85 hundredths on."""
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4, similarity=85)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), k=4, similarity=85)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the fixed patterns and all spans."""
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    found = find_secrets(spread(table(spark, sf_dir, "documents")))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
@@ -57,14 +58,14 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict; the rarity and its stratum's cutoff, with the held-out good documents and how many of them it rejects."""
-    out = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = judge_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     more = ["rarity", "cutoff", "n_held", "n_false", F.array_join("failed", ",").alias("failed")]
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *more)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(spread(table(spark, sf_dir, "documents")))
 
 
 #: Fixed rules of the query.
@@ -85,7 +86,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge-dropout of a tenth; what the ids decode to is held against the text."""
-    encoded = piece_encoding.encode(table(spark, sf_dir, "documents"), dropout=0.1, seed=1)
+    encoded = piece_encoding.encode(spread(table(spark, sf_dir, "documents")), dropout=0.1, seed=1)
     out = piece_encoding.decode(encoded)
     ids = [(F.length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32")]
     return out.select("doc_id", *ids, (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
