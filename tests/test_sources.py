@@ -232,3 +232,16 @@ def test_listeners(spark):
         spark.streams.removeListener(h)
     assert len(seen["started"]) == 1 and seen["progress"] and seen["progress"][0]["numInputRows"] > 0
     assert len(seen["ended"]) <= 1 and all(isinstance(e, ZeroDivisionError) for e in h.failed) and h.failed
+
+
+def test_only_small_tables_are_spread(spark):
+    from marlspike.sources.tables import spread, table
+
+    d = table(spark, str(SF), "documents")
+    assert spread(d).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(d).count() == d.count()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        large = table(spark, str(SF), "documents")
+        assert spread(large) is large
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
