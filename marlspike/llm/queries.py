@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from marlspike.llm import language_id, piece_encoding
 from marlspike.llm.common import table
+from marlspike.llm.conversations import damage, repair_conversations
 from marlspike.llm.jaccard_join import near_duplicates
 from marlspike.llm.line_dedup import dedup_lines
 from marlspike.llm.packing import pack_documents
 from marlspike.llm.quality_rules import GRID, MEASURES, RARITIES, judge_quality
 from marlspike.llm.secrets import KINDS, find_secrets
+from marlspike.llm.source_audit import divergence
 from marlspike.llm.token_counts import token_counts
 from marlspike.llm.url_filters import Rule, judge_urls, tracking_hosts
 from marlspike.llm.vector_dedup import near_duplicate_vectors
@@ -92,6 +94,16 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *ids, (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set a source apart."""
+    return divergence(spread(table(spark, sf_dir, "documents")), min_docs=10, top=10)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with faults put in, and the cheapest edits that repair them."""
+    return repair_conversations(damage(table(spark, sf_dir, "conversations"))).audits
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -106,6 +118,8 @@ def queries() -> dict:
             op8_best_fit_packing,
             op9_url_filters,
             op10_piece_encoding,
+            op11_source_divergence,
+            op12_conversation_repair,
         )
     }
 
@@ -205,8 +219,7 @@ w as (select doc_id, stratum, text, {_WORDS.format("text")} as w, string_split(t
 g as (select doc_id, i, w[i:i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
 again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1),
 covered as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from again) group by doc_id),
-lines as (select doc_id, line, count(*) as c from (select doc_id, unnest(l) as line from w) where regexp_matches(line, '[^ 	-
-]') group by all),
+lines as (select doc_id, line, count(*) as c from (select doc_id, unnest(l) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by all),
 dup as (select doc_id, sum(c - 1)::bigint as n from lines group by doc_id),
 b as (
   select doc_id, stratum, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
@@ -253,6 +266,113 @@ from v
 """
 
 
+_OP11 = rf"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LOWER.format("coalesce(text, '')")} as t from documents
+),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as total from w group by all having count(distinct r) >= 10),
+c as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+sizes as (select lang, count(*) as v, sum(total) as m from kept group by lang),
+g as (
+  select lang, source, coalesce(c.n, 0) as n, coalesce(v, 0) as v, m
+  from (select distinct lang, source from d) left join (select lang, source, sum(n) as n from c group by all) c using (lang, source) left join sizes using (lang)
+),
+s as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v)::hugeint as p,
+    1 + (1000000000::hugeint * (k.total + 2)) // (g.m + 2 * g.v)::hugeint as q
+  from g join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+),
+far as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source
+),
+items as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from s where n > 0 and p > q)
+select lang, source, part, item, value, row_number() over (partition by lang, source order by value desc, item)::integer as rank from pairs
+union all
+select * from (select *, row_number() over (partition by lang, source order by value desc, item)::integer as rank from items) where rank <= 10
+"""
+
+
+def _op12() -> str:
+    """Forward over the rows of all conversations at once: for each state the cheapest edits so far as text, nine digits of cost before the audit."""
+    add = lambda x, cost, letters: f"printf('%09d', {x}[:9]::bigint + {cost}) || {x}[10:] || '{letters}'"
+    entered = {
+        "e0": "s0",
+        "e1": "s1",
+        "e2": f"least(s2, {add('s0', 3, 'I')}, {add('s1', 3, 'I')}, {add('s3', 3, 'I')})",
+        "e3": f"least(s3, {add('s2', 3, 'I')}, {add('s0', 6, 'II')}, {add('s1', 6, 'II')})",
+    }
+    closed = ", ".join(f"{e} as {k}" for k, e in entered.items())
+    cut = "(case when fault = 'truncated' then 3 else 0 end)"
+    alive = lambda when, x: f"case when fault not in ('blank', 'duplicate') and {when} then {x} end"
+    keep = lambda initial, *states: [alive(f"initial = '{initial}'", add(e, cut, "K")) for e in states]
+    give = lambda *states: [alive("true", add(e, f"3 + {cut}", "R")) for e in states]
+    ways = {
+        "s0": [add("e0", 4, "D")],
+        "s1": [add("e1", 4, "D"), *keep("s", "e0")],
+        "s2": [add("e2", 4, "D"), *keep("u", "e0", "e1", "e3"), *give("e0", "e1", "e3")],
+        "s3": [add("e3", 4, "D"), *keep("a", "e2"), *give("e2")],
+    }
+    return f"""
+with recursive src as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations
+),
+drawn as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length(k) + 1), lambda i: [ord(k[i])::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)))) % 20 as draw from src
+),
+damaged as (
+  select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+    case when draw = 1 then '' when draw = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when draw = 3 then 2 else 1 end)) as copy
+  from drawn where draw <> 0
+),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    substr(role, 1, 1) as initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from damaged
+),
+judged as (
+  select *, case when body = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    coalesce(lag(initial) over (partition by conv_id order by i) || initial not in ('su', 'ua', 'au'), false) as illegal from placed
+),
+facts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+    count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where illegal) as illegal
+  from judged group by conv_id
+),
+dp(conv_id, i, s0, s1, s2, s3) as (
+  select conv_id, 0::bigint, '000000000', null::varchar, null::varchar, null::varchar from facts
+  union all
+  select conv_id, i, {", ".join(f"least({', '.join(v)})" for v in ways.values())}
+  from (select d.conv_id, j.i, j.initial, j.fault, {closed} from dp d join judged j on j.conv_id is not distinct from d.conv_id and j.i = d.i + 1)
+),
+done as (
+  select conv_id, least(e0, e3) as best from (select d.conv_id, {closed} from dp d join facts f on f.conv_id is not distinct from d.conv_id and f.n = d.i)
+),
+letters as (select conv_id, pos, best[9 + pos] as a, best from (select *, unnest(range(1, length(best) - 8)) as pos from done)),
+read as (select *, count(*) filter (where a <> 'I') over (partition by conv_id order by pos) as i from letters),
+met as (
+  select l.conv_id, l.pos, l.a, j.role, j.text, row_number() over (partition by l.conv_id order by l.pos) as made, first_value(l.a = 'K' and j.initial = 's') over (partition by l.conv_id order by l.pos) as system
+  from read l left join judged j on j.conv_id is not distinct from l.conv_id and j.i = l.i and l.a <> 'I' where l.a <> 'D'
+),
+repaired as (
+  select conv_id, string_agg(case when a = 'K' then role when (made - system::int) % 2 = 1 then 'user' else 'assistant' end || ':' || case when a = 'I' then '' else text end, chr(10) order by pos) as text
+  from met group by conv_id
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best[:9]::bigint, 0) as cost, coalesce(best[10:], '') as audit, sha256(coalesce(r.text, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join facts f on f.conv_id is not distinct from c.conv_id
+left join done d on d.conv_id is not distinct from c.conv_id left join repaired r on r.conv_id is not distinct from c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; tokenizers, models and guess costs it cannot."""
     return {
@@ -261,4 +381,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_vector_dedup": _OP5,
         "op7_quality_rules": _OP7,
         "op9_url_filters": _OP9,
+        "op11_source_divergence": _OP11,
+        "op12_conversation_repair": _op12(),
     }
