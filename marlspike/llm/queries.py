@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm import language_id, piece_encoding
+from marlspike.llm import language_id, lattice_lm, piece_encoding
 from marlspike.llm.common import table
 from marlspike.llm.conversations import damage, repair_conversations
 from marlspike.llm.jaccard_join import near_duplicates
@@ -104,6 +104,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(table(spark, sf_dir, "conversations"))).audits
 
 
+def op13_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all texts by words and by pieces, learned from those that are not held out."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    out = lattice_lm.score_texts(docs, docs.filter(lattice_lm.learned(F.col("doc_id"))))
+    return out.withColumn("held_out", ~lattice_lm.learned(F.col("doc_id")))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -120,6 +127,7 @@ def queries() -> dict:
             op10_piece_encoding,
             op11_source_divergence,
             op12_conversation_repair,
+            op13_lattice_scoring,
         )
     }
 
