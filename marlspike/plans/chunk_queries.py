@@ -119,6 +119,40 @@ def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.chunk_files(sources(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
+# Shapes of source text that brackets alone would cut wrongly: lines, and the units (kind, name, exported, lines) that they are.
+_FIELDS, _HEAD = ["  open: string = '{{'", "  static all = {{ k: {z} }}"], "export default class Pool{k}<T extends {{ id: {z} }}> extends Base {{"
+SHAPES = [
+    (["/** Reads {{ and {z}.", " */", "export async function load{k}(p: {{ q: number }} = {{}}): Promise<void> {{", "  return p.q / {z} / 2 // }}", "}}"], [("function", "load{k}", True, range(5))]),
+    (["const re{k} = /[}}/]{{1,{z}}}/g"], [("variable", "re{k}", False, [0])]),
+    (["const text{k} = `a ${{ f(`}}${{ '}}' }}`) }} {{`", "  + '{z}'"], [("variable", "text{k}", False, [0, 1])]),
+    (["const make{k} = async (x) => {{", "  if (x) {{ return '}}' }} else {{ return {z} }}", "}}"], [("function", "make{k}", False, range(3))]),
+    (["export type Kind{k} =", "  | 'open{{'", "  | {z}"], [("type", "Kind{k}", True, range(3))]),
+    (["if (a{k} < {z}) {{", "  go('{{')", "}}", "else {{", "  stop(/}}/)", "}}"], [("other", "", False, range(6))]),
+    ([_HEAD, *_FIELDS, "", "  // kept apart {{", "  /** Runs }}. */", "  async *run(a = {{}}) {{ yield `${{ a }}}}` }}", "  get size() {{ return {z} }}", "}}"],
+     [("property", "Pool{k}.open", True, [1]), ("property", "Pool{k}.all", True, [2]), ("method", "Pool{k}.run", True, [0, 1, 2, None, 5, 6]), ("method", "Pool{k}.size", True, [0, 1, 2, None, 7])]),
+    (["@Named('{{{z}')", "export class Bare{k} {{ }}"], [("class", "Bare{k}", True, [0, 1])]),
+    (["/* one */ export interface Shape{k} {{ area: {{ of: number }} }}"], [("interface", "Shape{k}", True, [0])]),
+    (["export {{ a{k} as b{z} }}", "export * from './x'"], [("other", "", True, [0]), ("other", "", True, [1])]),
+]
+BROUGHT = ["import a, {{ b{k} }} from './{{{z}'", "import {{", "  c", "}} from './y'"]
+_N = len(SHAPES)
+_JOINED = lambda lines: " || chr(10) || ".join(map(_filled, lines))
+_SHAPE = f"[{', '.join(_JOINED(lines) for lines, _ in SHAPES)}]"
+_PICKS = [f"(p_partkey * 7 + p_size * {j} + {j * j}) % {_N}" for j in range(5)]
+_UNIT = lambda kind, name, exported, lines: f"{{'kind': '{kind}', 'name': {_filled(name)}, 'exported': {str(exported).lower()}, 'content': {_JOINED(lines)}}}"
+_UNITS = ", ".join("[" + ", ".join(_UNIT(k, n, e, ["  // ..." if i is None else lines[i] for i in at]) for k, n, e, at in units) + "]" for lines, units in SHAPES)
+
+
+@query(f"""with u as (select p_partkey as doc_id, [{_UNIT('module', '', False, BROUGHT)}] || flatten([{', '.join(f'[{_UNITS}][{p} + 1]' for p in _PICKS)}]) as u from part)
+select doc_id, i as ordinal, u[i + 1].kind as kind, u[i + 1].name as name, u[i + 1].exported as exported, u[i + 1].content as content from (select doc_id, u, unnest(range(0, len(u))) as i from u)""")
+def syntax_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five shapes of source text for each part, with brackets in strings, templates, patterns and comments; the SQL says what each shape is."""
+    picked = " || chr(10) || chr(10) || ".join(f"element_at(shapes, cast({p} as int) + 1)" for p in _PICKS)
+    parts = table(spark, sf_dir, "part").selectExpr("*", f"array{_SHAPE[0].replace('[', '(')}{_SHAPE[1:-1]}) as shapes")
+    files = parts.selectExpr("cast(p_partkey as bigint) as doc_id", f"{_JOINED(BROUGHT)} || chr(10) || {picked} as text")
+    return c.syntax_units(files).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
 _SYM = ", ".join(f"{{'name': regexp_extract(t, {sql_string(r)}, 1), 'kind': '{k}'}}" for r, k in c.SYMBOLS)
 _LINES = "ln as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, string_split(text, chr(10)) as l from src), tl as (select doc_id, line, trim(l[line]) as t from ln)"
 

@@ -152,15 +152,15 @@ def test_strong_components(spark):
 
 
 def test_class_members_and_dispatch(spark):
-    from marlspike.operators import chunking
+    from marlspike.operators import chunking, syntax
 
     source = "import a from 'b'\n\nexport class Foo extends Bar {\n  x: number = 1;\n  /** Makes it. */\n  constructor(a) {\n    if (a) { this.x = a; }\n  }\n\n  async run() { }\n}\nconst f = (a) => {\n  return a\n}\n"
     parts = chunking.source_chunks(source)
     assert parts[0].strip() == "import a from 'b'" and parts[-1].startswith("const f")
-    members = chunking.class_members(source.split("\n\n", 1)[1].split("\nconst")[0])
-    assert [(k, n) for k, n, _ in members] == [("property", "Foo.x"), ("method", "Foo.constructor"), ("method", "Foo.run")]
-    assert members[1][2].startswith("export class Foo extends Bar {\n  x: number = 1;\n  // ...\n  /** Makes it. */\n  constructor(a) {")
-    assert chunking.class_members("class Empty {\n}")[0][0] == "class"
+    members = [u for u in syntax.units(source) if u[0] in ("method", "property")]
+    assert [u[:3] for u in members] == [("property", "Foo.x", True), ("method", "Foo.constructor", True), ("method", "Foo.run", True)]
+    assert members[1][3].startswith("export class Foo extends Bar {\n  x: number = 1;\n  // ...\n  /** Makes it. */\n  constructor(a) {")
+    assert syntax.units("class Empty {\n}")[0][0] == "class"
     d = spark.createDataFrame([(1, "a.ts", source), (2, "b.md", "# T\n\ntext"), (3, "c.py", "x = 1"), (4, "d.js", None)], "doc_id bigint, path string, text string")
     assert {(r.doc_id, r.strategy) for r in chunking.chunk_files(d).collect()} == {(1, "code"), (2, "recursive"), (3, "fixed")}
 
