@@ -1,57 +1,45 @@
-"""Tables kept in folders: JSON tables with upserts, versions to go back to, locks, buffered telemetry."""
+"""Tables kept in folders: JSON tables with upserts, versions to go back to, buffered telemetry."""
 
 from __future__ import annotations
 
 import time
-import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.operators.iterate import cut
+from marlspike.sources.commits import State, Table, file_system
 from marlspike.sources.files import latest
 
-#: A lock that was not refreshed for so many seconds belongs to a process that has died.
-STALE = 30.0
-
-
-def _fs(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
 
 class JsonTable:
-    """Rows with an ``id`` and a ``version`` as JSON lines in a folder; writers append, readers take the newest of each id."""
+    """Rows with an ``id`` and a ``version`` as JSON lines; writers append by commits, readers take the newest of each id from a snapshot."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, f"{schema}, id string, version bigint, gone boolean"
-
-    def _log(self) -> DataFrame:
-        fs, where = _fs(self.spark, self.path)
-        if not fs.exists(where):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).json(self.path)
+        self.table = Table(spark, path, f"{schema}, id string, version bigint, gone boolean", "json")
 
     def rows(self) -> DataFrame:
-        return latest(self._log(), ["id"], ["version"]).filter("not gone").drop("gone")
+        return self._newest(self.table.state()).filter("not gone").drop("gone")
+
+    def _newest(self, state: State) -> DataFrame:
+        return latest(self.table.read(state), ["id"], ["version"])
 
     def upsert(self, rows: DataFrame) -> None:
-        rows.withColumn("gone", F.lit(False)).write.mode("append").json(self.path)
+        self.table.append(rows.withColumn("gone", F.lit(False)))
 
     def delete(self, ids: DataFrame) -> None:
         """Ids whose rows go, at ``version``."""
-        ids.select("id", "version", F.lit(True).alias("gone")).write.mode("append").json(self.path)
+        self.table.append(ids.select("id", "version", F.lit(True).alias("gone")))
 
     def compact(self) -> None:
-        """Only the newest rows; hold a lock meanwhile, as the old files go before the new ones are in place."""
-        now = cut(self.rows().withColumn("gone", F.lit(False)))
-        now.write.mode("overwrite").json(self.path)
+        """Only the newest rows, in one folder. What others append meanwhile stays beside it; deletions stay, as an older row may still come."""
+        state = self.table.state()
+        if len(state.folders) > 1:
+            self.table.replace(list(state.folders), self._newest(state))
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Names of the versions of a table, oldest first; names sort by time."""
-    fs, where = _fs(spark, root)
+    fs, where = file_system(spark, root)
     if not fs.exists(where):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
@@ -63,7 +51,7 @@ def back_up(df: DataFrame, root: str, keep: int = 5) -> str:
     name = f"v{time.time_ns():020d}"
     df.write.option("compression", "zstd").parquet(f"{root}/{name}")
     for old in versions(spark, root)[:-keep]:
-        fs, where = _fs(spark, f"{root}/{old}")
+        fs, where = file_system(spark, f"{root}/{old}")
         fs.delete(where, True)
     return name
 
@@ -83,26 +71,6 @@ def migrated(df: DataFrame, added: dict[str, str], renamed: dict[str, str] | Non
     return df.withColumns({c: F.expr(e) for c, e in added.items() if c not in df.columns})
 
 
-@contextmanager
-def locked(spark: SparkSession, path: str, wait: float = 10.0, stale: float = STALE):
-    """A lock by a file that only one can create; one that is stale is taken over, by whoever moves it away first."""
-    fs, where = _fs(spark, path)
-    until = time.time() + wait
-    while not fs.createNewFile(where):
-        if fs.exists(where) and time.time() - fs.getFileStatus(where).getModificationTime() / 1000 > stale:
-            _, aside = _fs(spark, f"{path}.{uuid.uuid4().hex}")
-            if fs.rename(where, aside):
-                fs.delete(aside, False)
-            continue
-        if time.time() > until:
-            raise TimeoutError(f"{path} is locked")
-        time.sleep(0.05)
-    try:
-        yield
-    finally:
-        fs.delete(where, False)
-
-
 class Telemetry:
     """Events held back until there are enough, then appended in one batch; a batch that can't be written stays for the next try."""
 
