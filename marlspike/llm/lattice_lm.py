@@ -28,6 +28,8 @@ KEPT, LONGEST, HELD = 300_000, 48, 400_000
 ROUNDS, PRIOR = 1, 32_000.0
 #: Words that a task takes through the lattice.
 WORDS_DEALT = 20_000
+#: Bytes of words that go through the lattice side by side, and distinct words of documents that are looked up together.
+STACKED, WORDS_TOGETHER = 1 << 16, 400_000
 #: Expected counts are summed in these fractions, as whole numbers, so that sums do not depend on their order.
 FRACTION = 1 << 16
 #: The mark that pieces have before a word.
@@ -64,76 +66,90 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], int, np.ndarr
 
 
 class Lattice:
-    """All segmentations of a word into pieces with natural logarithms of their probabilities.
+    """All segmentations of words into pieces with natural logarithms of their probabilities.
 
-    Pieces that start at a place are met along a tree of their bytes: ``follow``
-    leads from (node, byte) to a node, and a node that ends a piece has its logarithm.
+    Pieces that start at a place are met along a tree of their bytes, a row of next nodes
+    for each node that has any. Words of one length go through it side by side.
     """
 
     def __init__(self, pieces: dict[bytes, int], logs: list[float]):
-        self.follow: dict[int, int] = {}
-        self.logs: list[float | None] = [None]
-        self.ids = [-1]
+        follow: list[dict[int, int]] = [{}]
+        ids = [-1]
         for p, i in pieces.items():
             at = 0
             for c in p:
-                at = self.follow.setdefault(at << 8 | c, len(self.logs))
-                if at == len(self.logs):
-                    self.logs.append(None)
-                    self.ids.append(-1)
+                if c not in follow[at]:
+                    follow[at][c] = len(follow)
+                    follow.append({})
+                    ids.append(-1)
+                at = follow[at][c]
             if logs[i] > -math.inf:
-                self.logs[at], self.ids[at] = logs[i], i
-
-    def forward(self, word: bytes, arcs: list | None = None) -> list[float]:
-        """Logarithms of the probability of all segmentations of each prefix; arcs ``(from, to, node)`` go into a list if one is given."""
-        s = MARK + word
-        n = len(s)
-        out = [-math.inf] * (n + 1)
-        out[0], follow, logs, none, exp, log1p = 0.0, self.follow.get, self.logs, -math.inf, math.exp, math.log1p
+                ids[at] = i
+        # nodes with next ones first, so that only these have rows; the last number is that of no node
+        order = sorted(range(len(follow)), key=lambda n: not follow[n])
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.inner, self.none = sum(bool(f) for f in follow), len(follow)
+        self.next = np.full((self.inner, 256), self.none, np.int32)
+        for n in order[: self.inner]:
+            self.next[place[n], list(follow[n])] = place[list(follow[n].values())]
+        self.ids = np.array([ids[n] for n in order] + [-1])
+        self.logs = np.where(self.ids >= 0, np.append(logs, 0.0)[self.ids], -np.inf)
+
+    def _forward(self, s: np.ndarray, arcs: list | None = None) -> np.ndarray:
+        """For rows of bytes the logarithms of the probability of all segmentations of each prefix; arcs ``(from, to, rows, node)`` go into a list if one is given."""
+        n, every = s.shape[1], np.arange(len(s))
+        out = np.full((n + 1, len(s)), -np.inf)
+        out[0] = 0.0
         for i in range(n):
-            a, node = out[i], 0
-            if a == none:
-                continue
+            rows = every[out[i] > -np.inf]
+            node = np.zeros(len(rows), np.int32)
             for j in range(i, n):
-                node = follow(node << 8 | s[j])
-                if node is None:
-                    break
-                x = logs[node]
-                if x is not None:
-                    x += a
-                    had = out[j + 1]
-                    if had < x:
-                        had, x = x, had
-                    out[j + 1] = had + log1p(exp(x - had))
+                node = self.next[node, s[rows, j]]
+                x = self.logs[node] if len(node) else node
+                at = np.flatnonzero(x > -np.inf) if len(node) else at[:0]
+                if len(at):
+                    to = rows[at]
+                    out[j + 1, to] = np.logaddexp(out[j + 1, to], out[i, to] + x[at])
                     if arcs is not None:
-                        arcs.append((i, j + 1, node))
+                        arcs.append((i, j + 1, to, node[at]))
+                more = node < self.inner
+                if not more.any():
+                    break
+                rows, node = rows[more], node[more]
         return out
 
-    def score(self, word: bytes) -> float:
-        """Logarithm of the probability of a word, whatever its segmentation."""
-        return self.forward(word)[-1]
-
-    def expected(self, word: bytes) -> dict[int, int]:
-        """How often each piece stands in a segmentation, on average, in fractions."""
-        arcs: list[tuple[int, int, int]] = []
-        ahead = self.forward(word, arcs)
-        back = [-math.inf] * len(ahead)
-        back[-1] = 0.0
-        total, out, exp, log1p = ahead[-1], {}, math.exp, math.log1p
-        for i, j, node in reversed(arcs):  # arcs come by their start, so what follows a place is known before it is met
-            x = back[j]
-            if x == -math.inf:
-                continue
-            x += self.logs[node]
-            share = round(FRACTION * exp(ahead[i] + x - total))
-            if share:
-                piece = self.ids[node]
-                out[piece] = out.get(piece, 0) + share
-            had = back[i]
-            if had < x:
-                had, x = x, had
-            back[i] = had + log1p(exp(x - had))
-        return out
+    def scores(self, words: list[bytes]) -> list[float]:
+        """Logarithms of the probabilities of words, whatever their segmentation."""
+        out = np.empty(len(words))
+        for at, s in self._stacks(words):
+            out[at] = self._forward(s)[-1]
+        return out.tolist()
+
+    def expected(self, words: list[bytes], counts: list[int]) -> np.ndarray:
+        """How often each piece stands in the segmentations of words that occur so often, on average, in fractions: whole numbers, so that sums do not depend on their order."""
+        sums, c = np.zeros(int(self.ids.max()) + 1, np.int64), np.array(counts, np.int64)
+        for at, s in self._stacks(words):
+            arcs: list = []
+            ahead = self._forward(s, arcs)
+            back = np.full(ahead.shape, -np.inf)
+            back[-1] = 0.0
+            for i, j, rows, node in reversed(arcs):  # arcs come by their start, so what follows a place is known before it is met
+                x = self.logs[node] + back[j, rows]
+                share = np.rint(FRACTION * np.exp(ahead[i, rows] + x - ahead[-1, rows])).astype(np.int64)
+                np.add.at(sums, self.ids[node], share * c[at[rows]])
+                back[i, rows] = np.logaddexp(back[i, rows], x)
+        return sums
+
+    def _stacks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of one length, with the mark before them, as rows of bytes, ``STACKED`` bytes at a time."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            step = max(1, STACKED // (int(size) + len(MARK)))
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                yield part, np.frombuffer(b"".join(MARK + words[i] for i in part), np.uint8).reshape(len(part), -1)
 
 
 def _words(raw: bytes | None) -> Counter:
@@ -168,17 +184,27 @@ class Model:
         return Model.made[self.key]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Words and counts of several batches, so that many words of one length are met together."""
+    words: list[bytes] = []
+    counts: list[int] = []
+    for b in batches:
+        words += b.columns[0].to_pylist()
+        counts += b.columns[1].to_pylist()
+        if len(words) > 2 * WORDS_DEALT:
+            yield words, counts
+            words, counts = [], []
+    if words:
+        yield words, counts
+
+
 def _expected(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, sums = sent.value.lattice(), Counter()
-        for b in batches:
-            for word, c in zip(b.columns[0].to_pylist(), b.columns[1].to_pylist(), strict=True):
-                for i, x in lattice.expected(word).items():
-                    sums[i] += x * c
-        # two parts, as a sum may pass a long
-        big = 1 << 40
-        rows = [(i, x // big, x % big) for i, x in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["piece", "high", "low"])
+        lattice = sent.value.lattice()
+        for words, counts in _gathered(batches):
+            sums = lattice.expected(words, counts)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["piece", "n"])
 
     return run
 
@@ -186,8 +212,8 @@ def _expected(sent):
 def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = sent.value.lattice()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.columns[0], b.columns[1], pa.array([lattice.score(w) for w in b.columns[0].to_pylist()], pa.float64())], ["word", "c", "log"])
+        for words, counts in _gathered(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(lattice.scores(words), pa.float64())], ["word", "c", "log"])
 
     return run
 
@@ -221,31 +247,41 @@ def _documents(model, held, whole: bool):
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
         names = ["row_id", "doc_id", "n_words", "n_held", "base", "log", "rare"]
-        for b in batches:
-            rows = []
-            for doc, raw in zip(b.columns[0].to_pylist(), b.columns[1], strict=True):
-                base, logs, n_words, n_held, rare = [], [], 0, 0, []
-                for w, n in _words(raw.as_py()).items():
-                    n_words += n
+        def rows(docs: list, texts: list[Counter]) -> Iterator[tuple]:
+            nonlocal row, fresh
+            new = list({w for t in texts for w in t if w not in known and w not in fresh})
+            if len(fresh) > KEPT:
+                fresh = {}
+                new = list({w for t in texts for w in t if w not in known})
+            met = dict(zip(new, lattice.scores(new), strict=True))
+            for doc, t in zip(docs, texts, strict=True):
+                base, logs, n_held, rare = [], [], 0, []
+                for w, n in t.items():
                     have = known.get(w)
                     if have is not None:
                         base.append(n * have[0])
                         logs.append(n * have[1])
                         n_held += n
                         continue
-                    x = fresh.get(w)
-                    if x is None:
-                        x = lattice.score(w)
-                        if len(w) <= LONGEST:
-                            if len(fresh) > KEPT:
-                                fresh.clear()
-                            fresh[w] = x
-                    logs.append(n * x)
+                    x = met.get(w)
+                    logs.append(n * (fresh[w] if x is None else x))
                     if not whole:
                         rare.append({"word": w, "n": n})
-                rows.append((row, doc, n_words, n_held, math.fsum(base), math.fsum(logs), rare))
+                yield row, doc, t.total(), n_held, math.fsum(base), math.fsum(logs), rare
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+            fresh.update((w, x) for w, x in met.items() if len(w) <= LONGEST)
+
+        for b in batches:
+            found, docs, texts, size = [], [], [], 0
+            for doc, raw in zip(b.columns[0].to_pylist(), b.columns[1], strict=True):
+                docs.append(doc)
+                texts.append(_words(raw.as_py()))
+                size += len(texts[-1])
+                if size > WORDS_TOGETHER:
+                    found += rows(docs, texts)
+                    docs, texts, size = [], [], 0
+            found += rows(docs, texts)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
 
     return run
 
@@ -289,10 +325,10 @@ def score_texts(
     dealt = counts.repartition(distinct // WORDS_DEALT + 1)  # few bytes, much work
     for _ in range(rounds):
         sent = sc.broadcast(Model(path, logs, end))
-        sums = dealt.mapInArrow(_expected(sent), "piece bigint, high bigint, low bigint").groupBy("piece")
-        sums = sums.agg(F.sum(F.col("high").cast("decimal(38,0)")).alias("high"), F.sum(F.col("low").cast("decimal(38,0)")).alias("low")).collect()  # a row for each piece at most
+        sums = dealt.mapInArrow(_expected(sent), "piece bigint, n bigint").groupBy("piece")
+        sums = sums.agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()  # a row for each piece at most
         sent.destroy()
-        exact = {r["piece"]: int(r["high"]) * (1 << 40) + int(r["low"]) for r in sums}
+        exact = {r["piece"]: int(r["n"]) for r in sums}
         expected = np.array([exact.get(i, 0) / FRACTION for i in range(len(share))])
         expected[end] = n_docs
         with np.errstate(divide="ignore"):

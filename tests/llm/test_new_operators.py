@@ -247,20 +247,23 @@ def test_lattice_sums_all_segmentations(lattice):
         raw = word.encode()
         every = list(segmentations(lattice_lm.MARK + raw, pieces))
         chance = [math.prod(share[pieces[p]] for p in s) for s in every]
-        assert len(every) > 1 and abs(net.score(raw) - math.log(math.fsum(chance))) < 1e-9
+        assert len(every) > 1 and abs(net.scores([raw])[0] - math.log(math.fsum(chance))) < 1e-9
         want = Counter()
         for s, c in zip(every, chance, strict=True):
             for p in s:
                 want[pieces[p]] += c / math.fsum(chance)
-        got = net.expected(raw)
-        assert all(abs(want[i] - got.get(i, 0) / lattice_lm.FRACTION) < 1e-3 for i in want)
-    assert net.score(b"x" * 200_000) < -1000  # a word of any length
+        got = net.expected([raw, raw], [2, 1])
+        assert all(abs(3 * want[i] - got[i] / lattice_lm.FRACTION) < 1e-3 for i in want)
+    assert net.scores([b"x" * 200_000])[0] < -1000  # a word of any length
+    mixed = [b"the", b"a", b"", b"the", "über".encode(), b"cat"]
+    assert net.scores(mixed) == [net.scores([w])[0] for w in mixed] and net.scores([]) == []
 
 
 def plain_scores(rows, net, end_log):
     lower = lambda t: t.encode().lower().split() if t else []
     training = [lower(t) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
     c = Counter(w for t in training for w in t)
+    log = lambda w: net.scores([w])[0]
     ends = len(training)
     total, kinds = sum(c.values()) + ends, len(c) + (ends > 0)
     out = []
@@ -268,7 +271,7 @@ def plain_scores(rows, net, end_log):
         ws = lower(t)
         counts = [c[w] for w in ws] + [ends]
         base = math.fsum(math.log10((x + 1) / (total + kinds + 1)) for x in counts)
-        score = (math.fsum(net.score(w) for w in ws) + end_log) / math.log(10)
+        score = (math.fsum(log(w) for w in ws) + end_log) / math.log(10)
         out.append((d, len(counts), sum(x > 0 for x in counts), total, base, score))
     return out
 
