@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from hashlib import shake_128
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.text import terms
 from marlspike.operators.iterate import folded
-from marlspike.operators.vector import cosine, knn
 
 #: Longest wait before a queued change is tried again, in seconds.
 LONGEST_WAIT = 300
@@ -126,34 +123,6 @@ def checked_vectors(vectors: DataFrame, dimensions: int) -> DataFrame:
     return vectors.filter(F.size("embedding") == dimensions)
 
 
-def hash_bits(embedding: Column, dimensions: int, bits: int, seed: int = 1) -> Column:
-    """The sides of ``bits`` hyperplanes that a vector lies on, as a number; normals are drawn by hash from -1 and 1."""
-    def side(i: int) -> Column:
-        drawn = shake_128(f"{seed}:{i}".encode()).digest(dimensions)
-        signs = F.lit([1.0 if x & 1 else -1.0 for x in drawn])
-        total = F.aggregate(F.zip_with(embedding, signs, lambda x, s: x.cast("double") * s), F.lit(0.0), lambda a, x: a + x)
-        return F.when(total >= 0, F.lit(1 << i)).otherwise(F.lit(0))
-
-    return sum((side(i) for i in range(1, bits)), side(0)).cast("bigint")
-
-
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int, backend: str = "exact", dimensions: int = 64, bits: int = 6, tables: int = 8) -> DataFrame:
-    """``query_id, vec_id, score, rank`` by a named backend: ``exact`` over all vectors, or ``lsh`` among those that share a bucket in one of the tables.
-
-    Buckets meet by equality, so nothing is compared with everything; what they
-    miss is the price, which :func:`knn` measures.
-    """
-    if backend == "exact":
-        return knn(vectors, queries, k)
-    if backend != "lsh":
-        raise ValueError(f"no backend {backend}: exact or lsh")
-    buckets = lambda c: F.posexplode(F.array(*(hash_bits(F.col(c), dimensions, bits, seed=t) for t in range(tables)))).alias("t", "bucket")
-    met = vectors.select("vec_id", "embedding", buckets("embedding")).join(queries.select("query_id", "query", buckets("query")), ["t", "bucket"])
-    scored = met.select("query_id", "vec_id", "embedding", "query").dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
-
-
 def mutated(texts: DataFrame, alternatives: dict[str, list[str]], seed: int) -> DataFrame:
     """``texts(id, text)`` with each phrase replaced by one of its alternatives, drawn by a hash of seed, id and phrase: the same in every run."""
     text = F.col("text")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.porter import porter_udf
 from marlspike.functions.text import stem, stem_sql, terms_sql
-from marlspike.operators import fusion, lexical, vector
-from marlspike.operators.iterate import shared_folder
+from marlspike.operators import fusion, lexical, segments, vector
+from marlspike.plans import stored
 from marlspike.plans.registry import query
 from marlspike.sources.tables import spread, table
 
@@ -50,17 +48,11 @@ _FUSED = """
     from semr s full outer join lexr l on s.doc_id = l.doc_id)"""
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
 def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    """The index of the documents, written on first use in a session to the folder that executors share, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        lexical.write_index(spread(table(spark, sf_dir, "documents")), folder)
-        _INDEXES[key] = folder
-    return lexical.read_index(spark, _INDEXES[key])
+    """The index of the documents, written to the folder that executors share on first use in a session and whenever the table's files have changed, then read."""
+    docs = table(spark, sf_dir, "documents")
+    folder = stored.folder_of(spark, f"{sf_dir}/documents.parquet", "index", lambda f: lexical.write_index(spread(docs), f))
+    return lexical.read_index(spark, folder)
 
 
 def _lexical(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
@@ -279,3 +271,59 @@ def local_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors.join(F.broadcast(one)).select(F.col("vec_id").alias("doc_id"), vector.cosine(F.col("embedding"), F.col("query")).alias("vector_score"))
     best = t.orderBy(F.desc(F.round("text_score", 9)), "doc_id").limit(20)
     return _six(best.join(v, "doc_id", "left").select("doc_id", "text_score", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score")))
+
+
+# A table that changes: what is indexed at first, then added, changed and removed.
+_CHANGED = """docs2 as (select doc_id, case when doc_id % 10 = 4 then text || ' oning thanea' else text end as text from documents where doc_id % 7 <> 2 or doc_id % 35 = 2)"""
+_BM25_CHANGED = _BM25.replace("from documents", "from docs2")
+
+
+def _changing(spark: SparkSession, sf_dir: str) -> segments.SegmentedIndex:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def make(folder: str) -> None:
+        x = segments.SegmentedIndex(spark, folder)
+        x.add(docs.filter("doc_id % 3 <> 0"))
+        for k in range(3):
+            x.add(docs.filter(f"doc_id % 9 = {3 * k}"))
+        x.add(docs.filter("doc_id % 10 = 4").withColumn("text", F.concat("text", F.lit(" oning thanea"))))
+        x.remove(docs.filter("doc_id % 7 = 2"))
+        x.merge()
+        # some of those that were removed come back as they were, or as they were changed
+        back = F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit(" oning thanea"))).otherwise(F.col("text"))
+        x.add(docs.filter("doc_id % 35 = 2").withColumn("text", back))
+
+    return segments.SegmentedIndex(spark, stored.folder_of(spark, f"{sf_dir}/documents.parquet", "segments", make))
+
+
+@query(f"with {_CHANGED}, {_BM25_CHANGED} select doc_id, round(score, 6) as score, array_to_string(highlights, ' ') as highlights from lex order by round(lex.score, 9) desc, doc_id limit 20")
+def changing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search over an index whose documents were added in parts, changed, removed and merged: as over a fresh one."""
+    found = lexical.search(_changing(spark, sf_dir).index(), lexical.query_terms(spark, QUERY), 20)
+    return found.select("doc_id", F.round("score", 6).alias("score"), F.array_join("highlights", " ").alias("highlights"))
+
+
+@query(f"""with {_CHANGED}, words as (select doc_id, unnest({terms_sql('text')}) as w from docs2)
+select (select count(*) from docs2) as n_docs, (select round(avg(len({terms_sql('text')})), 6) from docs2) as avgdl,
+  (select count(distinct w) from words) as raw_terms, (select count(distinct {stem_sql('w')}) from words) as stem_terms""")
+def changing_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics that follow what was changed and removed."""
+    return lexical.index_stats(_changing(spark, sf_dir).index()).withColumn("avgdl", F.round("avgdl", 6))
+
+
+_PLACES = f"""words as (select doc_id, unnest(w) as w, unnest(range(len(w))) as place from (select doc_id, {terms_sql('text')} as w from docs2)),
+placed as (select doc_id, {stem_sql('w')} as term, place from words)"""
+
+
+@query(f"""with {_CHANGED}, {_PLACES},
+q as (select distinct {stem_sql('w')} as term from (select unnest(['eriner', 'oning', 'er']) as w)),
+hit as (select placed.* from placed join q using (term)),
+whole as (select doc_id from hit group by doc_id having count(distinct term) = (select count(*) from q)),
+pairs as (select a.doc_id, abs(a.place - b.place) as d from hit a join hit b on a.doc_id = b.doc_id and a.term < b.term and abs(a.place - b.place) <= 100),
+s as (select doc_id, 1 - exp(sum(ln(1 - 0.1 / sqrt(1.005 + 0.05 * exp(d / 1.5 - 2))))) as score from pairs group by doc_id)
+select doc_id, round(coalesce(score, 0), 6) as score from whole left join s using (doc_id)""")
+def place_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all of three terms by how near these stand to each other, from postings with places."""
+    wanted = spark.range(1).select(F.explode(F.array(*(stem(F.lit(w)) for w in ("eriner", "oning", "er")))).alias("t"))
+    found = segments.by_place(_changing(spark, sf_dir).index(), [r["t"] for r in wanted.collect()])
+    return found.select("doc_id", F.round("score", 6).alias("score"))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions.text import terms_sql
-from marlspike.operators import chunking, context, graph, kvstore, risk, services
+from marlspike.operators import chunking, context, graph, kvstore, risk, services, vector
 from marlspike.operators import events as ev
+from marlspike.operators.vector_index import VectorIndex, recall
 from marlspike.plans import context_queries as cq
 from marlspike.plans import risk_queries as rq
+from marlspike.plans import stored
 from marlspike.plans.registry import query
 from marlspike.sources.tables import table
 
@@ -110,12 +112,49 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode("embedding").alias("place", "value")).filter("value <> 0").select("doc_id", F.col("place").cast("bigint").alias("place"), F.round("value", 6).alias("value"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return services.checked_vectors(table(spark, sf_dir, "embeddings"), 64).select("vec_id", "embedding")
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    make = lambda folder: VectorIndex(spark, folder).build(_vectors(spark, sf_dir), 64)
+    return VectorIndex(spark, stored.folder_of(spark, f"{sf_dir}/embeddings.parquet", "vectors", make))
+
+
+def _asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 @query()
-def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five neighbours for each vector whose id is divisible by 50, by the approximate backend; tests measure its recall."""
-    v = services.checked_vectors(table(spark, sf_dir, "embeddings"), 64)
-    block = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return services.neighbours(v, block, 5, "lsh").withColumn("score", F.round("score", 6))
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours for each vector whose id is divisible by 50, from the stored index; ``knn_index_recall`` measures them."""
+    return _vector_index(spark, sf_dir).search(_asking(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@query("""select count(*) as queries, count(*) * least(10, (select count(*) from embeddings)) as expected, count(*) > 0 as enough
+from embeddings where vec_id % 50 = 0""")
+def knn_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index against all vectors: whether at least nine tenths of the exact neighbours are found."""
+    found = _vector_index(spark, sf_dir).search(_asking(spark, sf_dir), 10)
+    r = recall(found, vector.knn(_vectors(spark, sf_dir), _asking(spark, sf_dir), 10))
+    return r.select("queries", "expected", (F.col("found") >= 0.9 * F.col("expected")).alias("enough"))
+
+
+@query("""select vec_id, round(case when vec_id % 5 = 1 then -embedding[1] else embedding[1] end, 5) as first from embeddings where vec_id % 4 <> 3 or vec_id % 12 = 3""")
+def vector_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index holds after vectors were added, changed and removed, and some of these added again."""
+    v = _vectors(spark, sf_dir)
+    turned = v.withColumn("embedding", F.when(F.col("vec_id") % 5 == 1, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+
+    def make(folder: str) -> None:
+        x = VectorIndex(spark, folder).build(v.filter("vec_id % 2 = 0"), 64)
+        x.add(v.filter("vec_id % 2 = 1"))
+        x.add(turned.filter("vec_id % 5 = 1"))
+        x.remove(v.filter("vec_id % 4 = 3"))
+        x.add(turned.filter("vec_id % 12 = 3"))
+
+    x = VectorIndex(spark, stored.folder_of(spark, f"{sf_dir}/embeddings.parquet", "changed-vectors", make))
+    return x.rows().select("vec_id", F.round(F.get("embedding", F.lit(0)), 5).alias("first"))
 
 
 @query(f"""with x as (select distinct {_K}::int as source, (user_id % 100)::int as target from events where event_type = 'error' and {_K}::int <> user_id % 100),

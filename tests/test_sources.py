@@ -125,17 +125,6 @@ def test_reports(spark, tmp_path):
     assert "<td>&lt;b&gt;</td>" in page and "<h1>Runs &amp; results</h1>" in page and page.count("<tr>") == 3
 
 
-def test_approximate_neighbours(spark):
-    from marlspike.operators import services
-
-    v = services.checked_vectors(spark.read.parquet(f"{SF}/embeddings.parquet"), 64)
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    want = {(r.query_id, r.vec_id) for r in services.neighbours(v, q, 5).collect()}
-    got = {(r.query_id, r.vec_id) for r in services.neighbours(v, q, 5, "lsh", bits=3, tables=12).collect()}
-    assert len(got & want) >= 0.6 * len(want)
-    assert services.checked_vectors(v, 63).count() == 0
-
-
 def test_strong_components(spark):
     import random
 
