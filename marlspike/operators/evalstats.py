@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import exp, factorial
+from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +104,54 @@ def bootstrap(samples: DataFrame, key: str, value: str, iterations: int = 2000,
     return points.join(bounds, "key").select(F.col("key").cast(dict(samples.dtypes)[key]).alias(key), "point", "lower", "upper")
 
 
+def bootstrap_metric(samples: DataFrame, key: str, sums: dict[str, Column], metric, iterations: int = 1000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
+    """``key, point, lower, upper`` of a metric of sums, such as F1 or precision at k, with bias-corrected bounds.
+
+    ``sums`` names what is added up of each row of ``samples(id, key, ...)``, and ``metric``
+    makes a column of the summed columns, the same for the sample and its
+    resamples (null, where it is undefined, counts as 0). Rows draw Poisson weights from
+    hashes, as in :func:`bootstrap`, and never meet: tasks add up weighted sums, and a row
+    for each key, task and resample is shuffled. Bounds are percentiles
+    shifted by the bias, that is, by the share of resamples below the point.
+    """
+    names = list(sums)
+    edges = np.cumsum([exp(-1) / factorial(k) for k in range(8)])
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            keys = np.array(b.columns[0].to_pylist(), object)
+            h = b.columns[1].to_numpy().view(np.uint64)
+            x = np.stack([c.to_numpy() for c in b.columns[2:]])
+            for k in set(keys.tolist()):
+                rows = np.flatnonzero(keys == k)
+                total = held.setdefault(k, np.zeros((len(names), iterations)))
+                for part in np.array_split(rows, -(-len(rows) // 256)):
+                    total += x[:, part] @ np.searchsorted(edges, _uniform(h[part, None], np.arange(iterations, dtype=np.uint64)), side="right")
+        for k, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * iterations, pa.string()), pa.array(np.arange(iterations)), *(pa.array(t) for t in total)], ["key", "i", *names])
+
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    given = samples.select(F.col(key).cast("string").alias("key"), F.xxhash64(F.lit(seed), F.col(key), F.col("id")).alias("h"), *(zero(c).alias(n) for n, c in sums.items()))
+    resampled = given.mapInArrow(weighted, "key string, i bigint, " + ", ".join(f"{n} double" for n in names)).groupBy("key", "i").agg(*(F.sum(n).alias(n) for n in names))
+    value = zero(metric(**{n: F.col(n) for n in names}))
+    points = given.groupBy("key").agg(*(F.sum(n).alias(n) for n in names)).select("key", value.alias("point"))
+    each = resampled.select("key", value.alias("m")).join(points, "key")
+    by = each.groupBy("key", "point").agg(F.array_sort(F.collect_list("m")).alias("ms"), (F.count_if(F.col("m") < F.col("point")) + F.count_if(F.col("m") == F.col("point")) / 2).alias("below"))  # a row for each resample
+
+    @F.pandas_udf("lower double, upper double")
+    def bounds(ms: pd.Series, below: pd.Series) -> pd.DataFrame:
+        out = []
+        for m, b in zip(ms, below, strict=True):
+            share = min(max(b / len(m), 0.5 / len(m)), 1 - 0.5 / len(m))
+            bias, z = NormalDist().inv_cdf(share), NormalDist().inv_cdf(1 - alpha / 2)
+            at = [NormalDist().cdf(2 * bias + s * z) for s in (-1, 1)]
+            out.append([m[min(len(m) - 1, int(p * len(m)))] for p in at])
+        return pd.DataFrame(out, columns=["lower", "upper"])
+
+    return by.select("key", "point", bounds("ms", "below").alias("b")).select(F.col("key").cast(dict(samples.dtypes)[key]).alias(key), "point", "b.lower", "b.upper")
+
+
 def _uniform(h: np.ndarray, i: np.ndarray) -> np.ndarray:
     """Numbers from 0 to 1 for each row's hash and each resample."""
     x = h + (i + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -115,12 +165,16 @@ def retrieval_quality(results: DataFrame, relevant: DataFrame, k: int = 5) -> Da
 
     An item counts at its best rank; precision divides by the items returned, not by k.
     """
-    first = results.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
+    marked = results.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "item"], "left")
+    return marked_quality(marked, relevant.groupBy("query_id").agg(F.count("*").alias("wanted")), k)
+
+
+def marked_quality(results: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
+    """:func:`retrieval_quality` where ``results`` has ``rel`` (1, or null if not relevant) and ``wanted(query_id, wanted)`` says how many items are relevant."""
+    first = results.groupBy("query_id", "item").agg(F.min("rank").alias("rank"), F.max("rel").alias("rel"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item"))
     top = first.withColumn("place", place).filter(F.col("place") <= k)
-    met = top.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "item"], "left")
-    by = met.groupBy("query_id").agg(F.count("*").alias("returned"), F.count("rel").alias("found"), F.min(F.when(F.col("rel") == 1, F.col("place"))).alias("first"))
-    wanted = relevant.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    by = top.groupBy("query_id").agg(F.count("*").alias("returned"), F.count("rel").alias("found"), F.min(F.when(F.col("rel") == 1, F.col("place"))).alias("first"))
     d = wanted.join(by, "query_id", "left")
     found = F.coalesce("found", F.lit(0))
     return d.select(

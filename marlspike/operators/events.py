@@ -14,8 +14,10 @@ WINDOWS = {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 MULTIPLIERS = {"critical": None, "high": 2.0, "normal": 1.0, "low": 0.5}
 
 # Parts of messages by which an error counts as transient.
-TRANSIENT = """econnreset|econnrefused|epipe|etimedout|enotfound|fetch failed|network|500|502|503|504|internal server error|
-service unavailable|gateway timeout|429|too many requests|timeout|timed out""".replace("\n", "").split("|")
+TRANSIENT = [
+    "econnreset", "econnrefused", "epipe", "etimedout", "enotfound", "fetch failed", "network", "500", "502", "503", "504", "internal server error",
+    "service unavailable", "gateway timeout", "429", "too many requests", "timeout", "timed out",
+]
 # Prices by model, for a million tokens in and out.
 PRICES = [
     ("claude-sonnet-4-20250514", 3.0, 15.0), ("claude-opus-4-20250514", 15.0, 75.0), ("claude-3-5-sonnet-20241022", 3.0, 15.0),
@@ -68,6 +70,50 @@ def cache_replay(calls: DataFrame, ttl: float) -> DataFrame:
     return folded(d, ["session", "key", "change"], ["us", "id"], step, f"session {kinds['session']}, key {kinds['key']}, id {kinds['id']}, hit boolean")
 
 
+def reuse_distances(calls: DataFrame, most: int = 1000) -> DataFrame:
+    """``session, key, id, distance`` of ``calls(id, session, ts, key)``: how many other keys a session used since it last used this one.
+
+    Null where it never did, or ``most`` others came between. A cache of c keys that
+    drops the least recently used hits where distance < c, so one pass answers
+    for every size up to ``most``. A session's state is its ``most`` last keys.
+    """
+
+    def step(state: dict, row: tuple) -> tuple:
+        session, key, _, i = row
+        recent = state.setdefault("keys", [])  # the last used at the end
+        at = None
+        for k in range(len(recent) - 1, -1, -1):
+            if recent[k] == key:
+                at = k
+                break
+        distance = None if at is None else len(recent) - 1 - at
+        if at is not None:
+            del recent[at]
+        elif len(recent) == most:
+            del recent[0]
+        recent.append(key)
+        return session, key, i, distance
+
+    kinds = dict(calls.dtypes)
+    d = calls.select("session", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "id")
+    return folded(d, ["session"], ["us", "id"], step, f"session {kinds['session']}, key {kinds['key']}, id {kinds['id']}, distance bigint")
+
+
+def lru_hits(calls: DataFrame, capacities: list[int]) -> DataFrame:
+    """``capacity, calls, hits, evictions`` of caches of several sizes over the same calls; a cache is a session's own.
+
+    What a cache drops is what it has stored less what it holds at the end.
+    """
+    by = reuse_distances(calls, max(capacities)).groupBy("session", "key", "distance").agg(F.count("*").alias("n"))
+    sizes = F.explode(F.array(*(F.lit(c).cast("bigint") for c in capacities))).alias("capacity")  # a few sizes
+    hit = F.coalesce(F.col("distance") < F.col("capacity"), F.lit(False))
+    each = by.select("session", "key", "distance", "n", sizes).groupBy("session", "capacity").agg(
+        F.sum("n").alias("calls"), F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("hits"), F.count_distinct("key").alias("keys")
+    )
+    misses = F.col("calls") - F.col("hits")
+    return each.groupBy("capacity").agg(F.sum("calls").alias("calls"), F.sum("hits").alias("hits"), F.sum(misses - F.least("keys", "capacity")).alias("evictions"))
+
+
 def is_transient(message: Column) -> Column:
     return F.rlike(F.lower(message), F.lit("|".join(TRANSIENT)))
 
@@ -122,6 +168,46 @@ def fixed_windows(state: dict, now: int, limits: dict[str, int]) -> str | None:
     return None
 
 
+def admitted(state: dict, now: int, lasts: int, tokens: int, limits: dict[str, int]) -> tuple[str | None, int]:
+    """One request at ``now`` (ms) that runs for ``lasts`` ms: what refuses it, and seconds after which to try again.
+
+    Asked in this order: requests in flight, the windows of a minute, an hour and a
+    day, tokens of one request. State holds the windows as [start, requests,
+    tokens] and the ends of what is in flight, as many as may be.
+    """
+    for k, size in WINDOWS.items():
+        if k not in state or now - state[k][0] >= size:
+            state[k] = [now, 0, 0]
+    running = state["running"] = [e for e in state.get("running", ()) if e > now]
+    if len(running) >= limits["concurrent"]:
+        return "concurrent", 1
+    for k, size in WINDOWS.items():
+        if state[k][1] >= limits[k]:
+            return k, -(-(size - (now - state[k][0])) // 1000)
+    if tokens > limits["tokens"]:
+        return "tokens", 0
+    for k in WINDOWS:
+        state[k][1] += 1
+        state[k][2] += tokens
+    running.append(now + lasts)
+    return None, 0
+
+
+def limited(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """``id, entity, limit_hit, retry_after, in_flight, hour_tokens`` of ``requests(id, entity, ts, lasts, tokens)``, ``lasts`` in milliseconds.
+
+    ``in_flight`` and ``hour_tokens`` are as the request finds or, if it is allowed, makes them.
+    """
+
+    def step(state: dict, row: tuple) -> tuple:
+        entity, ms, i, lasts, tokens = row
+        hit, again = admitted(state, ms, lasts, tokens, limits)
+        return i, entity, hit, again, len(state["running"]), state["hour"][2]
+
+    d = requests.select("entity", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "id", F.col("lasts").cast("bigint"), F.col("tokens").cast("bigint"))
+    return folded(d, ["entity"], ["ms", "id"], step, "id bigint, entity bigint, limit_hit string, retry_after bigint, in_flight bigint, hour_tokens bigint")
+
+
 def bucket(state: dict, now: int, size: float, rate: float, need: float = 1.0) -> bool:
     """Takes tokens from a bucket refilled at ``rate`` a second since it was last looked at."""
     tokens, at = state.get("bucket", (size, now))

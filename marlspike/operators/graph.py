@@ -119,6 +119,46 @@ def short_cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     return out
 
 
+def cycle_cover(edges: DataFrame) -> DataFrame:
+    """``source, target, path``: for every edge that lies on a cycle a closed path over it, of any length, without a node twice.
+
+    In each strong component a tree of shortest ways leads from its root to all nodes
+    and another from all nodes to it, grown level by level. An edge (u, v) is
+    closed by the way from v toward the root up to the first node that is on the way from the
+    root to u. Paths are as long as the trees are deep. The path begins with its
+    least node; a loop is a path of one node.
+    """
+    every = edges.select("source", "target").distinct()
+    of = cut(strong_components(every))
+    d = every.join(of.select(F.col("node").alias("source"), F.col("component").alias("c1")), "source")
+    d = d.join(of.select(F.col("node").alias("target"), F.col("component").alias("c2")), "target")
+    inside = cut(d.filter((F.col("c1") == F.col("c2")) & (F.col("source") != F.col("target"))).select("source", "target"))
+    ahead = _ways(of, inside.select("source", "target"))
+    back = _ways(of, inside.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    met = inside.join(ahead.select(F.col("node").alias("source"), F.col("way").alias("down")), "source").join(back.select(F.col("node").alias("target"), F.reverse("way").alias("up")), "target")
+    first = F.array_position("up", F.get(F.filter("up", lambda x: F.array_contains("down", x)), F.lit(0)))
+    met = met.withColumn("tail", F.slice("up", F.lit(1), first.cast("int")))  # from v to where it meets the way to u
+    met = met.withColumn("head", F.slice("down", F.array_position("down", F.element_at("tail", -1)).cast("int") + 1, F.size("down")))
+    ring = F.concat("tail", "head")  # v ... meeting node ... u, and back to v
+    least = F.array_position(ring, F.array_min(ring)).cast("int")
+    turned = F.concat(F.slice(ring, least, F.size(ring)), F.slice(ring, F.lit(1), least - 1))
+    loops = every.filter("source = target").select("source", "target", F.array("source").alias("path"))
+    return met.select("source", "target", turned.alias("path")).unionByName(loops)
+
+
+def _ways(of: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, way``: a shortest way from the root of each strong component, which its name is, to each of its nodes; of equally short ones the least."""
+    roots = of.filter("node = component").select("node", F.array("node").alias("way"))
+    seen = cut(roots)
+    frontier = seen
+    while not frontier.isEmpty():
+        grown = frontier.join(edges.withColumnRenamed("source", "node"), "node").groupBy("target").agg(F.min("way").alias("way"))
+        new = grown.join(seen.select(F.col("node").alias("target")), "target", "left_anti")
+        frontier = cut(new.select(F.col("target").alias("node"), F.concat("way", F.array("target")).alias("way")))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def _trimmed(core: DataFrame) -> DataFrame:
     n = core.count()
     while n:

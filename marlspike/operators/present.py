@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlspike.operators.iterate import folded, in_blocks
+from marlspike.operators.iterate import folded
 
 # How a language writes a comment; others as C does.
 COMMENTS = {"python": ("# ", ""), "ruby": ("# ", ""), "yaml": ("# ", ""), "toml": ("# ", ""), "shell": ("# ", ""), "bash": ("# ", ""), "html": ("<!-- ", " -->"), "markdown": ("<!-- ", " -->")}
 REDACTED = "[REDACTED]"
 
 
-#: Names that are broadcast at once, and ids that are packed one after another.
-NAMES, IDS = 10_000, 10_000
+#: Characters of the pieces by which names that hold each other meet, and ids that are packed one after another.
+GRAM, IDS = 4, 10_000
 
 
 def compact(results: DataFrame) -> Column:
@@ -76,17 +76,46 @@ def decrypted(value: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unbase64(value), key, F.lit("GCM")).cast("string")
 
 
+def _shorter(texts: Column) -> Column:
+    """Each of some texts, and each with one character left out."""
+    cut_ = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    return F.array_distinct(F.concat(texts, F.flatten(F.transform(texts, cut_))))
+
+
+def _grams(text: Column, size: int = GRAM) -> Column:
+    """All pieces of ``size`` characters of a text, and all shorter ones."""
+    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n))) for n in range(1, size + 1)]
+    return F.array_distinct(F.flatten(F.array(*pieces)))
+
+
+def _holding(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """``o, i``: texts of ``outer(o)`` that hold a text of ``inner(i)``, met by the piece of the inner text that the fewest outer ones have."""
+    of = outer.select("o", F.explode(_grams(F.col("o"))).alias("piece"))
+    counts = of.groupBy("piece").agg(F.count("*").alias("n"))
+    whole = F.length("i") <= GRAM
+    own = inner.select("i", F.explode(F.when(whole, F.array("i")).otherwise(F.filter(_grams(F.col("i")), lambda p: F.length(p) == GRAM))).alias("piece"))
+    rarest = own.join(counts, "piece").groupBy("i").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))  # a piece that no outer text has rules it out, if it is the least
+    return of.join(rarest, "piece").filter(F.contains("o", "i")).select("o", "i")
+
+
 def similar_names(unknown: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
     """``name, place, suggestion``: known names that hold, are held by, or are within two edits of an unknown one; the nearest first.
 
-    The unknown names of one verification are counted and broadcast in blocks of ``NAMES``.
+    Names within two edits share what is left of them when two characters at most
+    are left out of each, and a name that holds another has its rarest piece of
+    ``GRAM`` characters: both meet by equality, and only then are compared.
+    Null and empty names have and are no suggestions.
     """
-    have, met = known.select(F.col("name").alias("suggestion")).distinct(), None
-    for block in in_blocks(unknown.select("name").distinct(), "name", NAMES):
-        part = have.join(F.broadcast(block))
-        met = part if met is None else met.unionByName(part)
-    a, b = F.lower("name"), F.lower("suggestion")
-    d = met.withColumn("d", F.levenshtein(a, b)).filter(F.contains(a, b) | F.contains(b, a) | (F.col("d") <= 2))
+    lower = lambda d, n, low: d.select(F.col("name").alias(n)).filter(F.length("name") > 0).distinct().withColumn(low, F.lower(n))
+    a, b = lower(unknown, "name", "a"), lower(known, "suggestion", "b")
+    left = a.select("a").distinct()
+    right = b.select("b").distinct()
+    variants = lambda d, c: d.select(c, F.explode(_shorter(_shorter(F.array(c)))).alias("v")).select(c, F.xxhash64("v").alias("v"))
+    near = variants(left, "a").join(variants(right, "b"), "v").select("a", "b").distinct().filter(F.levenshtein("a", "b") <= 2)
+    held = _holding(left.select(F.col("a").alias("o")), right.select(F.col("b").alias("i"))).select(F.col("o").alias("a"), F.col("i").alias("b"))
+    holds = _holding(right.select(F.col("b").alias("o")), left.select(F.col("a").alias("i"))).select(F.col("i").alias("a"), F.col("o").alias("b"))
+    met = near.unionByName(held).unionByName(holds).distinct()
+    d = met.join(a, "a").join(b, "b").withColumn("d", F.levenshtein("a", "b"))
     k = F.row_number().over(Window.partitionBy("name").orderBy("d", "suggestion"))
     return d.withColumn("place", k).filter(F.col("place") <= least).select("name", "place", "suggestion")
 

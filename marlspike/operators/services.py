@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.text import terms
-from marlspike.operators.iterate import folded
+from marlspike.operators.iterate import folded, in_blocks
 
+#: Subscribers of everything that are broadcast together.
+STARS = 10_000
 #: Longest wait before a queued change is tried again, in seconds.
 LONGEST_WAIT = 300
 
@@ -89,12 +91,14 @@ def window_counts(requests: DataFrame, size_ms: int) -> DataFrame:
 def delivered(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """``id, channel, subscriber``: each message once for each subscriber of its channel or of ``*``, but not for its sender.
 
-    ``messages(id, channel, sender)`` meet ``subscriptions(channel, subscriber)`` by equality.
+    ``messages(id, channel, sender)`` meet ``subscriptions(channel, subscriber)`` by equality, those of everything by broadcast.
     """
     exact = messages.join(subscriptions, "channel").select("id", "channel", "sender", "subscriber")
-    # a subscriber of everything meets every message: both sides of the key are the star
-    star = messages.withColumn("star", F.lit("*")).join(subscriptions.select(F.col("channel").alias("star"), "subscriber"), "star").select("id", "channel", "sender", "subscriber")
-    return exact.unionByName(star).filter("subscriber <> sender").select("id", "channel", "subscriber").distinct()
+    # a subscriber of everything meets every message: these are counted and broadcast in blocks, so no key holds all messages
+    out = exact
+    for block in in_blocks(subscriptions.filter("channel = '*'").select("subscriber").distinct(), "subscriber", STARS):
+        out = out.unionByName(messages.join(F.broadcast(block)).select("id", "channel", "sender", "subscriber"))
+    return out.filter("subscriber <> sender").select("id", "channel", "subscriber").distinct()
 
 
 def recent(rows: DataFrame, at: str, key: str, limit: int = 10) -> DataFrame:

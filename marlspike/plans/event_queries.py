@@ -69,6 +69,47 @@ def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.cache_replay(c, 6 * 3600).groupBy("session", "key").agg(F.count("*").alias("calls"), F.count_if("hit").alias("hits"))
 
 
+@query("""with c as (select user_id % 50 as session, event_id % 17 as key, event_id as id, row_number() over (partition by user_id % 50 order by ts, event_id) as k from events),
+p as (select *, lag(k) over (partition by session, key order by k) as before from c),
+d as (select a.session, a.key, a.k, case when a.before is null then null else (select count(distinct b.key) from c b where b.session = a.session and b.k > a.before and b.k < a.k) end as distance from p a),
+s as (select session, capacity, count(*) as calls, count(*) filter (where distance < capacity) as hits, count(distinct key) as keys from d, (select unnest([1, 2, 4, 8, 16]) as capacity) group by all)
+select capacity::bigint as capacity, sum(calls)::bigint as calls, sum(hits)::bigint as hits, sum(calls - hits - least(keys, capacity))::bigint as evictions from s group by capacity""")
+def lru_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and evictions of caches of five sizes, from one pass over the calls."""
+    e = table(spark, sf_dir, "events")
+    return ev.lru_hits(e.select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("session"), "ts", (F.col("event_id") % 17).alias("key")), [1, 2, 4, 8, 16])
+
+
+_WHOLE = {"concurrent": 2, "minute": 1, "hour": 3, "day": 9, "tokens": 100}
+
+
+def whole_limiter_sql() -> str:
+    """The windows of :func:`limiter_sql` with requests in flight and tokens, by recursion."""
+    m, l = list(ev.WINDOWS), _WHOLE  # noqa: E741
+    new = lambda w, then, old: f"case when e.ms - r.s_{w} >= {ev.WINDOWS[w]} then {then} else {old} end"
+    hit = f"case when len(live) >= {l['concurrent']} then 'concurrent' " + " ".join(f"when n_{w} >= {l[w]} then '{w}'" for w in m) + f" when tokens > {l['tokens']} then 'tokens' end"
+    again = "case hit when 'concurrent' then 1 " + " ".join(f"when '{w}' then ceil(({ev.WINDOWS[w]} - (ms - m_{w})) / 1000)" for w in m) + " else 0 end"
+    return f"""with recursive e as (select event_id as id, user_id % 40 as entity, epoch_ms(ts) as ms, (event_id % 5) * 2700000 as lasts, event_id % 120 as tokens,
+  row_number() over (partition by user_id % 40 order by epoch_ms(ts), event_id) as k from events),
+r(entity, k, id, limit_hit, retry_after, running, {', '.join(f's_{w}, c_{w}' for w in m)}, hour_tokens) as (
+  select entity, 0::bigint, 0::bigint, null::varchar, 0::bigint, []::bigint[], {', '.join('-1000000000000000::bigint, 0::bigint' for _ in m)}, 0::bigint from (select distinct entity from e)
+  union all
+  select entity, k, id, hit, {again}::bigint, case when hit is null then live || [ms + lasts] else live end,
+    {', '.join(f'm_{w}, n_{w} + case when hit is null then 1 else 0 end' for w in m)}, t + case when hit is null then tokens else 0 end
+  from (select *, {hit} as hit from (select e.*, list_filter(r.running, lambda x: x > e.ms) as live,
+    {', '.join(f"{new(w, 'e.ms', f'r.s_{w}')} as m_{w}, {new(w, '0', f'r.c_{w}')} as n_{w}" for w in m)}, {new('hour', '0', 'r.hour_tokens')} as t
+    from r join e on e.entity = r.entity and e.k = r.k + 1)))
+select id, entity, limit_hit, retry_after, len(running)::bigint as in_flight, hour_tokens from r where k > 0"""
+
+
+@query(whole_limiter_sql())
+def rate_limit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in flight, windows and tokens, with the time after which to try again."""
+    e = table(spark, sf_dir, "events")
+    r = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("entity"), "ts", (F.col("event_id") % 5 * 2_700_000).alias("lasts"), (F.col("event_id") % 120).alias("tokens"))
+    return ev.limited(r, _WHOLE)
+
+
 _MSG = "['ok', 'ETIMEDOUT while fetching', 'Error 503', 'Too Many Requests', 'bad input', 'request timed out', 'Network down'][(event_id % 7 + 1)::int]"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlspike.functions.text import terms_sql
 from marlspike.operators import chunking, context, graph, kvstore, risk, services, vector
 from marlspike.operators import events as ev
+from marlspike.operators.iterate import cut
 from marlspike.operators.vector_index import VectorIndex, recall
 from marlspike.plans import context_queries as cq
 from marlspike.plans import risk_queries as rq
@@ -84,8 +85,7 @@ _SUBS = "select distinct 'ch' || (n_nationkey % 5) as channel, n_regionkey::bigi
 select distinct m.id, m.channel, s.subscriber from m join s on s.channel = m.channel or s.channel = '*' where s.subscriber <> m.sender""")
 def channel_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages to the subscribers of their channels, and to one of all."""
-    table(spark, sf_dir, "nation").createOrReplaceTempView("nation_rows")
-    subs = spark.table("nation_rows").selectExpr("concat('ch', n_nationkey % 5) as channel", "cast(n_regionkey as bigint) as subscriber").distinct()
+    subs = table(spark, sf_dir, "nation").selectExpr("concat('ch', n_nationkey % 5) as channel", "cast(n_regionkey as bigint) as subscriber").distinct()
     subs = subs.unionByName(spark.createDataFrame([("*", 99)], "channel string, subscriber bigint"))
     m = table(spark, sf_dir, "events").selectExpr("event_id as id", "concat('ch', user_id % 7) as channel", "user_id % 5 as sender")
     return services.delivered(m, subs)
@@ -167,6 +167,22 @@ def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.short_cycles(e.select(F.get_json_object("props", "$.k").cast("int").alias("source"), (F.col("user_id") % 100).cast("int").alias("target")), 3)
 
 
+@query(f"""with recursive x as (select distinct {_K}::int as source, (user_id % 100)::int as target from events where event_type = 'error'),
+r(a, b) as (select source, target from x union select r.a, x.target from r join x on x.source = r.b)
+select source, target, true as closed, true as simple, true as over_it from x where exists (select 1 from r where r.a = x.target and r.b = x.source)""")
+def cycle_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed path over each edge that lies on a cycle: whether all its steps are edges, no node comes twice, and the edge is one of its steps."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    edges = e.select(F.get_json_object("props", "$.k").cast("int").alias("source"), (F.col("user_id") % 100).cast("int").alias("target")).distinct()
+    cover = cut(graph.cycle_cover(edges))
+    following = F.concat(F.slice("path", F.lit(2), F.size("path")), F.slice("path", F.lit(1), F.lit(1)))
+    steps = cover.select("source", "target", F.size("path").alias("n"), F.size(F.array_distinct("path")).alias("different"), F.explode(F.arrays_zip(F.col("path").alias("a"), following.alias("b"))).alias("s"))
+    met = steps.join(edges.select(F.col("source").alias("x"), F.col("target").alias("y"), F.lit(1).alias("is_edge")), (F.col("s.a") == F.col("x")) & (F.col("s.b") == F.col("y")), "left")
+    over = (F.col("s.a") == F.col("source")) & (F.col("s.b") == F.col("target"))
+    by = met.groupBy("source", "target").agg((F.count("is_edge") == F.max("n")).alias("closed"), (F.max("different") == F.max("n")).alias("simple"), F.bool_or(over).alias("over_it"))
+    return by
+
+
 @query(f"""with recursive {cq._EDGES}, d as (select distinct regexp_extract(source, '^(.*)/[^/]*$', 1) as source_dir, regexp_extract(target, '^(.*)/[^/]*$', 1) as target_dir from e where not is_external),
 x as (select * from d where source_dir <> target_dir),
 r(a, b) as (select source_dir, target_dir from x union select r.a, x.target_dir from r join x on x.source_dir = r.b)
