@@ -202,7 +202,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
 
     Only documents over the capacity are cut. The ids themselves come from
     :func:`token_pieces`; here their CRC-32 is kept. Null ids and repeated rows
-    keep their rows; other columns are ignored, whatever their names.
+    keep their rows; other columns are ignored, whatever their names. Null and empty
+    texts are the end token alone; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = token_pieces(docs, capacity, vocabulary, path, kept, batch)

@@ -340,7 +340,8 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, vocabulary: str
 
     Null and empty texts have no ids. A character U+2581 of the text itself is
     spelt in bytes, so that it does not decode to a space. Rows with one doc_id
-    and one text have the same ids. Other columns are ignored.
+    and one text have the same ids. Other columns are ignored. A text of any
+    length is encoded a stretch at a time; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +356,11 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, vocabulary: str
 
 
 def decode(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model", path: str | None = None) -> DataFrame:
-    """The rows and columns of ``encoded(ids, ...)`` with ``decoded``, the text of their ids, in place of a column so named; null ids decode to null."""
+    """The rows and columns of ``encoded(ids, ...)`` with ``decoded``, the text of their ids, in place of a column so named.
+
+    Null ids decode to null and empty ones to an empty text; ids of any length are
+    decoded whole; repeated rows each stay; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, path, 0.0, 0)

@@ -167,7 +167,7 @@ def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[str, int, int
         for m in sorted(more, key=lambda m: m.span(1)):
             value, (start, end) = m[1], m.span(1)
             least = guesses if _assigned(m) else max(guesses, PROSE_GUESSES)
-            if len(value) >= 8 and not taken.meets(start, end) and (cost := guess_cost(value.rstrip(".:!?)"))) >= least:
+            if not taken.meets(start, end) and (cost := guess_cost(value.rstrip(".:!?)"))) >= least:
                 out.append(("guess", start, end, cost))
                 taken.add(start, end)
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -227,8 +227,9 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     """``doc_id, spans`` for each row of ``docs(doc_id, text)``; spans of kinds assign, access, hex (fixed patterns) and guess.
 
     Starts and ends are code points of the whole text, end exclusive. Null and
-    empty texts have no spans; ids may be null or repeated; other columns are
-    ignored. Values of a ``guess`` span stand in a credential context, meet no other
+    empty texts have no spans; ids may be null, and repeated rows each keep their own;
+    other columns are ignored, whatever their names. An empty table gives an
+    empty result. Values of a ``guess`` span stand in a credential context, meet no other
     span and cost at least 10**guesses, and 10**PROSE_GUESSES in prose.
     """
     bounded_batches(docs.sparkSession)
@@ -238,7 +239,11 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
-    """The rows and columns of ``docs`` with every secret in ``text`` replaced by ``[SECRET]``; null texts stay null."""
+    """The rows and columns of ``docs`` with every secret in ``text`` replaced by ``[SECRET]``.
+
+    Null and empty texts stay as they are, repeated rows each stay, columns of any
+    name stay, and an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
     others = [c for c in docs.columns if c.lower() != "text"] or [F.lit(None).cast("int").alias("none")]
     given = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))

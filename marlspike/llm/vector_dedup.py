@@ -401,7 +401,7 @@ def _across(scratch: Scratch, placed: DataFrame, n: int, kind: str, width: int,
         t = sorted_.filter(F.col("cell").between(sizes[at][0], sizes[stop - 1][0])).select("cell", "rid", "w", "vec").toArrow().sort_by([("cell", "ascending"), ("rid", "ascending")])
         held = spark.sparkContext.broadcast((*(t[c].to_numpy() for c in ("cell", "rid", "w")), _stack(t["vec"].to_pylist(), kind)))
         paths.append(scratch.path(scratch.save(sorted_.mapInArrow(_compared(kind, threshold, held), schema))))
-        held.unpersist()
+        held.destroy()
         at = stop
     return spark.read.schema(schema).parquet(*paths)
 
@@ -413,7 +413,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> NearDu
     least vec_id reachable, ``kept`` says they are equal. Vectors that are null,
     empty, zero, or hold null or non-finite components link with nothing and
     keep their rows, as do rows with a null vec_id (component_id null, kept
-    false). A shorter vector counts as followed by zeros. Rows may repeat; an
+    false). A shorter vector counts as followed by zeros. Of equally near centres
+    the first takes a vector, which changes no link. Rows may repeat; an
     empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession

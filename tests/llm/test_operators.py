@@ -403,6 +403,7 @@ def test_the_cost_decides_in_prose_too():
 
 
 def test_only_a_text_column(spark):
+    assert [s[1:3] for s in secrets.scan("pwd=h$T9k!q")] == [(4, 11)]  # the cost alone decides, whatever the length
     got = secrets.redact_secrets(spark.createDataFrame([("pwd=hRt-QwZp_LmXcVb",), (None,)], "text string")).collect()
     assert [r.text for r in got] == ["pwd=[SECRET]", None]
 

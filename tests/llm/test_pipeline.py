@@ -61,7 +61,6 @@ def test_stages(spark, sf, tmp_path):
         "quality_rules": Counter(kept),
         "line_dedup": Counter(deduped),
     }
-    texts = dict(deduped)
     for n, (name, stage) in enumerate(cp.STAGES):
         out = stage(spark, docs, sf)
         out.write.parquet(f"{tmp_path}/{n}")
@@ -72,11 +71,11 @@ def test_stages(spark, sf, tmp_path):
         if name != "best_fit_packing":
             assert docs.columns == cp.COLUMNS
         if name == "jaccard_join":
-            assert Counter(r.doc_id for r in got) == Counter([*leaders, None])
-            before = {r.doc_id: r.text for r in got}
-            assert all(before[i] in {t for j, t in deduped if j == i} for i in leaders) and texts
+            stay = {(i, t) for i, t in deduped if i in leaders}  # equal rows once, unlike texts under one id all
+            assert Counter((r.doc_id, r.text) for r in got) == Counter([*stay, *((i, t) for i, t in deduped if i is None)]) and len(stay) > len(leaders)
+            before = Counter((r.doc_id, redacted(r.text, scan(r.text))) for r in got)
         if name == "secret_scans":
-            assert all(r.text == redacted(before[r.doc_id], scan(before[r.doc_id])) and r.n_chars == len(r.text) and not base_spans(r.text) for r in got)
+            assert Counter((r.doc_id, r.text) for r in got) == before and all(r.n_chars == len(r.text) and not base_spans(r.text) for r in got)
             packed = [r.text for r in got]
     from tokenizers import Tokenizer
 
@@ -85,6 +84,20 @@ def test_stages(spark, sf, tmp_path):
     assert check_packing([(r.sequence_id, r.offset, r.length) for r in got], 4096) == int(np.ceil(sum(r.length for r in got) / 4096))
 
 
+def test_unlike_texts_under_one_id(spark, tmp_path):
+    """Neither of two texts under one id goes by chance; equal rows go to one; very long texts go through every stage."""
+    rnd = random.Random(8)
+    one, other, long = words(rnd, 90), words(rnd, 95), "\n".join(words(rnd, 12) for _ in range(60_000))
+    rows = [(1, one, "en", "a", 1), (1, other, "en", "b", 2), (1, one, "de", "a", 1), (2, words(rnd, 80), "en", "s", 3), (3, long, "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(map(tuple, cp.jaccard_join(spark, docs.repartition(3), "").collect()))
+    assert got == sorted([(1, one, "de", "a", 1), rows[1], rows[3], rows[4]])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    packed = Counter(r.doc_id for r in cp.run(spark, str(tmp_path)).collect())
+    assert packed[1] == 2 and packed[2] == 1 and packed[3] > 100
+
+
 def test_run(spark, sf):
     assert cp.run(spark, sf).count() > 0 and cp.ORACLE_SQL is None
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "jaccard_join", "secret_scans", "best_fit_packing"]
