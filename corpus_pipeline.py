@@ -36,7 +36,12 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a base rule, or a cutoff certified on ``labels``, go."""
+    """Documents that fail a base rule, or a cutoff certified on ``labels``, go.
+
+    Null and empty texts have no words, so they go. Rows are judged by id and text:
+    repeated rows share a verdict, unlike texts under one id have their own. Without
+    labels the base rules alone decide; no rows, no rows. Other columns are left out.
+    """
     judged = judge_quality(docs, table(spark, sf_dir, "labels"))
     gone = judged.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     gone = Scratch(spark, "rejects").save(gone)
@@ -44,30 +49,45 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in at least ten documents go; a document keeps its row even if no line is left."""
+    """Lines that stand in at least ten documents go; a document keeps its row even if no line is left.
+
+    Null and empty texts become empty; texts of any length are cut at every line; repeated
+    rows are one document in the counts and each keep what is left; no rows, no rows.
+    """
     return _with_text(dedup_lines(docs), F.col("kept_text"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, 80 hundredths) the least doc_id stays; of rows with one doc_id, one."""
+    """Of each group of near copies (five-word shingles, 80 hundredths) the least doc_id stays.
+
+    Rows with one doc_id are judged together: unlike texts under one id all stay
+    or all go. Equal rows of an id stay once, as they are copies of each other. Null ids,
+    null and empty texts are in no group and stay; no rows, no rows.
+    """
     found = near_duplicates(docs, k=5, similarity=80)
     found = Scratch(spark, "groups").save(found)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     out = _without(docs, gone, "doc_id").select(*COLUMNS)
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if again.isEmpty():
         return out
-    repeated = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").unionByName(repeated)
+    again = Scratch(spark, "repeated").save(again)
+    # one row of each id and text: the least of the others' columns, so that it is the same in every run
+    repeated = out.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("least"))
+    return out.join(again, "doc_id", "left_anti").unionByName(repeated.select("doc_id", "text", "least.lang", "least.source", "least.n_chars"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in place; every document stays."""
+    """Secrets are replaced in place; every document stays, whatever its id, text or length. No rows, no rows."""
     return _with_text(redact_secrets(docs.select(*COLUMNS)), F.col("text"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of at most 4096 tokens."""
+    """Pieces of documents and their places in sequences of at most 4096 tokens.
+
+    Null and empty texts are a piece of the end token alone; long ones are cut; every
+    row is packed, repeated ones too. No rows, no sequences.
+    """
     return pack_documents(docs, kept=WORDS_KEPT, batch=TEXT_TOGETHER)
 
 
