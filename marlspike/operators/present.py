@@ -84,8 +84,11 @@ def _shorter(texts: Column) -> Column:
 
 def _grams(text: Column, size: int = GRAM) -> Column:
     """All pieces of ``size`` characters of a text, and all shorter ones."""
-    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n))) for n in range(1, size + 1)]
-    return F.array_distinct(F.flatten(F.array(*pieces)))
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*map(pieces, range(1, size + 1)))))
 
 
 def _holding(outer: DataFrame, inner: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.operators.iterate import shared_folder
 from marlspike.plans.event_queries import limiter_sql
 from marlspike.plans.registry import query
+from marlspike.sources.tables import table
 from marlspike.streaming import events as stream
 
 _CLOSED = "(select max(ts) - interval 10 minute as mark from events)"
@@ -45,3 +49,18 @@ def stream_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(limiter_sql("user_id", {"minute": 1, "hour": 2, "day": 7}))
 def stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.drain(stream.rate_limited(_source(spark, sf_dir), {"minute": 1, "hour": 2, "day": 7}))
+
+
+@query(f"""with d as (select event_id, user_id as path, ts, event_type as kind, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 1 hour then 0 else 1 end as new from events),
+b as (select *, sum(new) over (partition by path order by ts, event_id rows unbounded preceding) as b from d)
+select path, min(ts) as start, count(*) as n, arg_max(kind, struct_pack(a := ts, b := event_id)) as last_kind from b, {_CLOSED} group by path, b, mark having max(ts) + interval 1 hour <= mark""")
+def stream_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of changes by keyed state and timers, over files that come in two runs with a restart between them."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    half = e.agg(F.timestamp_micros(F.expr("percentile_disc(0.5) within group (order by unix_micros(ts))").cast("bigint"))).first()[0]
+    root = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    run = lambda: stream.resumed(stream.watched(spark.readStream.schema(e.schema).parquet(f"{root}/files")), root)
+    e.filter(F.col("ts") <= F.lit(half)).write.parquet(f"{root}/files")
+    run()
+    e.filter(F.col("ts") > F.lit(half)).write.mode("append").parquet(f"{root}/files")
+    return run().withColumn("start", F.col("start").cast("timestamp_ntz"))

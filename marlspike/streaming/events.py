@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marlspike.operators.events import LIMITS, fixed_windows
@@ -97,3 +98,80 @@ def rate_limited(events: DataFrame, limits: dict[str, int] | None = None) -> Dat
 
     d = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), F.unix_millis("ts").alias("ms"))
     return d.groupBy("entity").applyInPandasWithState(run, "id bigint, entity bigint, limit_hit string", "windows string", "append", GroupStateTimeout.NoTimeout)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Batches(StatefulProcessor):
+    """Open batches of changes by path: what has come, and a timer at the end of the quiet time."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start bigint, last bigint, n bigint, kind string")
+
+    def _closed(self, key: tuple, held: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"path": [key[0]], "start": pd.to_datetime([held[0]], unit="us", utc=True), "n": [held[2]], "last_kind": [held[3]]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = self.open.get() if self.open.exists() else None
+        was = held
+        new = pd.concat([r[["us", "id", "kind"]] for r in rows]).sort_values(["us", "id"])
+        for us, kind in zip(new["us"].tolist(), new["kind"].tolist(), strict=True):
+            if held is None or us - held[1] >= self.gap:
+                if held is not None:
+                    yield self._closed(key, held)
+                held = (us, us, 1, kind)
+            else:
+                held = (held[0], max(held[1], us), held[2] + 1, kind)
+        if was is not None:
+            self.handle.deleteTimer(self._due(was[1]))
+        self.open.update(tuple(held))
+        self.handle.registerTimer(self._due(held[1]))
+
+    def _due(self, last: int) -> int:
+        """Milliseconds at which a batch is over; no earlier than it is to the microsecond."""
+        return -(-(last + self.gap) // 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if self.open.exists():
+            held = self.open.get()
+            if self._due(held[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.open.clear()
+                yield self._closed(key, held)
+
+    def close(self) -> None:
+        pass
+
+
+def watched(changes: DataFrame, gap: int = 3600) -> DataFrame:
+    """``path, start, n, last_kind`` of batches of ``changes(id, path, ts, kind)`` closer together than ``gap`` seconds.
+
+    State is a row for each path that has an open batch; a timer of event time
+    closes it, so nothing stays for paths that are quiet. Needs the state store
+    ``ROCKS``.
+    """
+    d = changes.withWatermark("ts", LATE).select("path", "id", "ts", F.unix_micros("ts").alias("us"), "kind")
+    schema = "path bigint, start timestamp, n bigint, last_kind string"
+    return d.groupBy("path").transformWithStateInPandas(_Batches(gap * 1_000_000), schema, "Append", "eventTime")
+
+
+def resumed(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what its source holds now, from where the last run under ``root`` stopped; all that runs have given so far."""
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{n:012d}")
+
+    spark.conf.set(name, ROCKS)
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out/*")
