@@ -43,6 +43,16 @@ def glob_column(glob: Column, dialect: str = "path") -> Column:
     return F.concat(F.lit(("" if case else "(?i)") + ("^" if whole else "")), out, F.lit("$" if whole else ""))
 
 
+def fits(path: Column, glob: str, dialect: str = "path") -> Column:
+    """Whether a path fits a literal glob. Besides ``DIALECTS``: ``exact`` is strict, but a path always fits itself, and both may have backslashes; ``like`` knows ``*`` alone, and SQL's own signs."""
+    if dialect == "like":
+        return path.like(like_pattern(glob))
+    if dialect == "exact":
+        glob = glob.replace("\\", "/")
+        return (normal(path) == glob) | F.rlike(normal(path), F.lit(glob_regex(glob, "strict")))
+    return F.rlike(path, F.lit(glob_regex(glob, dialect)))
+
+
 def like_pattern(key: str) -> str:
     """A key with stars as a LIKE pattern."""
     return key.replace("*", "%")
@@ -67,3 +77,19 @@ def ignore_globs(text: str) -> list[str]:
         else:
             out += [f"**/{line}", f"**/{line}/**"]
     return out
+
+
+def parts(path: Column) -> Column:
+    """``folder, name, stem, extension`` of a path with either slash; the extension in lower case, without its point."""
+    p = normal(path)
+    name = F.substring_index(p, "/", -1)
+    extension = F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1))
+    stem = F.when(extension == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(extension) - 1))
+    folder = F.when(F.contains(p, F.lit("/")), F.substring(p, F.lit(1), F.length(p) - F.length(name) - 1)).otherwise("")
+    return F.struct(folder.alias("folder"), name.alias("name"), stem.alias("stem"), extension.alias("extension"))
+
+
+def relative(path: Column, root: Column) -> Column:
+    """A path below a root as it is seen from there; any other path as it is."""
+    p, r = normal(path), F.concat(F.rtrim(normal(root), F.lit("/")), F.lit("/"))
+    return F.when(p.startswith(r), F.substring(p, F.length(r) + 1, F.length(p))).otherwise(p)

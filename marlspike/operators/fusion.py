@@ -80,3 +80,17 @@ def confidence(results: DataFrame, score: str = "rrf_score", reranked: bool = Fa
     value = F.when(F.size("s") == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), value))
     say = F.when(F.size("s") == 0, "no_matches").when(value < 0.2, "low_confidence").when(value < 0.4, "query_unclear").otherwise("use_results")
     return top.select("n_results", F.round(value, 6).alias("confidence"), say.alias("suggestion"))
+
+
+#: How many times the wanted results each list brings to the fusion.
+OVER_FETCH = 5
+
+
+def response(semantic: DataFrame, lexical: DataFrame, payload: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` of two lists that were asked for ``OVER_FETCH`` times as many, with ``payload(doc_id, ...)`` and the lexical list's ``highlights``.
+
+    A result without a payload goes, after the cut; one that only the semantic list brought has no highlights.
+    """
+    top = ranked(fuse(semantic, lexical), "rrf_score", limit)
+    with_ = top.join(payload, "doc_id").join(lexical.select("doc_id", "highlights"), "doc_id", "left")  # short lists
+    return with_

@@ -37,6 +37,38 @@ def query(entries: DataFrame, now: Column, key=None, types=None, agent=None, vis
     return numbered.filter(F.col("k") <= limit).withColumn("has_more", F.col("n") > limit).drop("k", "n")
 
 
+def newest_first(entries: DataFrame, now: Column, reader: str | None = None, limit: int = 20) -> DataFrame:
+    """Decisions that a reader may see, the newest first."""
+    d = entries.filter((F.col("type") == "decision") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
+    d = d.filter(can_access(reader)) if reader else d
+    return d.orderBy(F.desc("ts"), "key").limit(limit)
+
+
+def snippets(entries: DataFrame, now: Column, language: str | None = None, reader: str | None = None, limit: int = 20) -> DataFrame:
+    return query(entries, now, types=["snippet"], tags=[language] if language else None, reader=reader, limit=limit)
+
+
+def dependencies(entries: DataFrame, now: Column, reader: str | None = None, limit: int = 20) -> DataFrame:
+    return query(entries, now, types=["dependency"], reader=reader, limit=limit)
+
+
+def api_keys(keys: DataFrame, now: Column, workspace=None, agent=None, active_only: bool = True) -> DataFrame:
+    """``keys(workspace, agent, active, expires_at, ...)`` by workspace and agent; unless asked otherwise only those that are active and not expired."""
+    for column, wanted in (("workspace", workspace), ("agent", agent)):
+        keys = keys if wanted is None else keys.filter(F.col(column) == wanted)
+    return keys.filter(F.col("active") & ~expired_at(F.col("expires_at"), now)) if active_only else keys
+
+
+def expired_at(until: Column, now: Column) -> Column:
+    """Whether a time has passed; without one, never."""
+    return F.coalesce(until < now, F.lit(False))
+
+
+def outlived(since: Column, ttl: Column, now: Column) -> Column:
+    """Whether more than ``ttl`` milliseconds have gone since a time; a life of null or 0 never ends."""
+    return F.coalesce((ttl != 0) & (F.unix_micros(now) - F.unix_micros(since) > ttl * 1000), F.lit(False))
+
+
 def encode_cursor(offset: int) -> str:
     """An offset as an opaque string."""
     return base64.urlsafe_b64encode(str(offset).encode()).decode().rstrip("=")

@@ -26,6 +26,14 @@ def compact(results: DataFrame) -> Column:
     return F.format_string("%s:%d-%d [%s] %s (%.3f)", "file_path", "start_line", "end_line", "type", names, "score")
 
 
+def full(results: DataFrame) -> Column:
+    """A result with its place and score, type, language and symbols above its content in a fenced block."""
+    place = F.format_string("## %s:%d-%d (%.1f%% match)", "file_path", "start_line", "end_line", F.col("score") * 100)
+    kind = F.concat(F.lit("Type: "), "type", F.lit(" | Language: "), "language")
+    names = F.when(F.size("symbols") > 0, F.concat(F.lit("Symbols: "), F.array_join("symbols", ", ")))
+    return F.concat_ws("\n", place, kind, names, F.concat(F.lit("```"), "language"), "content", F.lit("```"))
+
+
 def tripwire(content: Column, mark: Column, language: Column) -> Column:
     """Content with a mark behind it in a comment of its language."""
     head, tail = F.lit("/* "), F.lit(" */")

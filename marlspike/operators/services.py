@@ -146,3 +146,21 @@ def current_tools(tools: DataFrame) -> DataFrame:
     best = F.max_by("version", F.struct((~F.col("deprecated")).alias("live"), version_key(F.col("version")).alias("key"), "version"))
     d = tools.groupBy("tool").agg(best.alias("version"), F.count_distinct("version").alias("n_versions"), F.bool_and("deprecated").alias("deprecated"))
     return d.select("tool", "version", "n_versions", "deprecated")
+
+
+#: How deep calls may be made by calls.
+CHAIN_DEPTH = 3
+
+
+def chained_calls(calls: DataFrame, most: int = CHAIN_DEPTH) -> DataFrame:
+    """``id, depth, ran`` of ``calls(id, parent)`` that run or are refused: outer calls have depth 0, and a call that a call of depth ``most - 1`` makes is refused.
+
+    What a refused call would have made never comes up. As many joins as calls may be deep.
+    """
+    level = calls.filter("parent is null").select("id", F.lit(0).alias("depth"), F.lit(True).alias("ran"))
+    out = level
+    for depth in range(1, most + 1):
+        made = calls.join(level.select(F.col("id").alias("parent")), "parent")
+        level = made.select("id", F.lit(depth).alias("depth"), F.lit(depth < most).alias("ran"))
+        out = out.unionByName(level)
+    return out

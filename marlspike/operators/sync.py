@@ -85,3 +85,10 @@ def line_diff(old: Column, new: Column, preview: int = 1200) -> Column:
 
 def shortened(content: Column, limit: int = 1200) -> Column:
     return F.when(F.length(content) > limit, F.concat(F.substring(content, 1, limit), F.lit("..."))).otherwise(content)
+
+
+def without_stale(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows of ``stored(path, hash, ...)`` that a file still has among its ``now(path, hash)``; of files that ``now`` does not name all rows stay."""
+    named = now.select("path").distinct()
+    kept = stored.join(now.select("path", "hash").distinct(), ["path", "hash"], "left_semi")
+    return kept.unionByName(stored.join(named, "path", "left_anti"))

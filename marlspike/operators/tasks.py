@@ -37,6 +37,28 @@ def agent_rollup(runs: DataFrame, key: str = "agent") -> DataFrame:
     )
 
 
+def radar(runs: DataFrame, key: str = "agent") -> DataFrame:
+    """By agent five axes from 0 to 1, the higher the better: ``vi, da``, what is left of ``cvr`` and ``sc``, and the rate of ``btp``."""
+    rest = lambda c: 1 - F.avg(c)
+    return runs.groupBy(key).agg(F.avg("vi").alias("vi"), F.avg("da").alias("da"), rest("cvr").alias("kept_constraints"), rest("sc").alias("kept_scope"), F.avg(F.col("btp").cast("double")).alias("btp_rate"))
+
+
+def with_and_without(runs: DataFrame) -> DataFrame:
+    """Cost, tokens and pass rate of runs with and without the tool, side by side; ``has_data`` if there are both."""
+    sides = [
+        part.alias(f"{name}_{side}")
+        for side, on in (("with", F.col("enabled")), ("without", ~F.col("enabled")))
+        for name, part in (
+            ("total", F.count_if(on)),
+            ("total_cost", F.coalesce(F.sum(F.when(on, F.col("cost"))), F.lit(0.0))),
+            ("avg_tokens", F.coalesce(F.avg(F.when(on, F.col("tokens"))), F.lit(0.0))),
+            ("pass_rate", 100 * ratio(F.count_if(on & F.col("passed")), F.count_if(on), 0.0)),
+        )
+    ]
+    d = runs.agg(*sides)
+    return d.withColumn("has_data", (F.col("total_with") > 0) & (F.col("total_without") > 0))
+
+
 def timeline(runs: DataFrame, agents: list[str]) -> DataFrame:
     """Pass rate by run and agent, 0 where an agent has no trial."""
     d = runs.groupBy("run").pivot("agent", agents).agg(F.avg(F.col("btp").cast("double")))

@@ -16,7 +16,7 @@ class Entry(NamedTuple):
 
 
 #: Modules that register queries when they are imported.
-MODULES = ["search_queries", "risk_queries", "chunk_queries", "eval_queries", "context_queries", "store_queries", "event_queries", "stream_queries", "present_queries", "service_queries", "source_queries"]
+MODULES = ["search_queries", "risk_queries", "chunk_queries", "eval_queries", "context_queries", "store_queries", "event_queries", "stream_queries", "present_queries", "service_queries", "source_queries", "detail_queries"]
 
 _ENTRIES: dict[str, Entry] = {}
 
