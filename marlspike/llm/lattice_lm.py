@@ -25,7 +25,7 @@ WORDS_HELD = 400_000
 #: Words whose scores a worker keeps besides, the longest that it keeps, and words that it counts before it hands on their sums.
 KEPT, LONGEST, HELD = 300_000, 48, 400_000
 #: Passes of expectation over the training words, and the weight of the vocabulary's own scores beside their counts.
-ROUNDS, PRIOR = 1, 32_000.0
+ROUNDS, PRIOR = 4, 32_000.0
 #: Words that a task takes through the lattice.
 WORDS_DEALT = 20_000
 #: Bytes of words that go through the lattice side by side, and distinct words of documents that are looked up together.
