@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlspike.functions.globs import glob_column, normal
-from marlspike.operators.iterate import closure, in_blocks
+from marlspike.operators.iterate import closure, in_blocks, reach_counts
 
 
 def hotspots(changes: DataFrame, k: int = 10) -> DataFrame:
@@ -112,7 +112,7 @@ def preflight(planned: DataFrame, depends: DataFrame, assumptions: DataFrame, dr
     c = conflicts(assumptions, planned).groupBy(F.col("planned_file").alias("file"))
     c = c.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     edges = depends.select(F.col("depends_on").alias("source"), F.col("file").alias("target"))
-    reached = closure(edges, planned.select("start").distinct()).filter("node <> start").groupBy("start").agg(F.count("*").alias("dependents"))
+    reached = reach_counts(edges, planned.select("start")).withColumnRenamed("n", "dependents")
     d = planned.join(c, "file", "left").join(reached, "start", "left").fillna(0, ["errors", "warnings", "dependents"])
     return d.select("file", "errors", "warnings", "dependents", F.lit(not drift.isEmpty()).alias("drift"))
 

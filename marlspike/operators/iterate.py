@@ -49,6 +49,34 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
+#: Starts whose ways are followed together, a bit of a long each.
+BITS = 63
+
+
+def reach_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, n``: how many other nodes each of ``starts(start)`` reaches along ``edges(source, target)``.
+
+    Starts go in groups of ``BITS``, and a node has one number for each group, whose
+    bits say which of it reach the node; a step ors the numbers of a node's
+    predecessors. So there is a row for each node and group, not for each pair of nodes
+    that reach each other.
+    """
+    steps = cut(edges.select(F.col("source").alias("node"), "target").distinct())
+    numbered = starts.select("start").distinct().withColumn("i", F.monotonically_increasing_id())
+    named = cut(numbered.select("start", F.floor(F.col("i") / BITS).alias("group"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("i") % BITS).cast("int")).alias("bit")))
+    seen = cut(named.select("group", F.col("start").alias("node"), F.col("bit").alias("bits")))
+    fresh = seen
+    while not fresh.isEmpty():
+        sent = fresh.join(steps, "node").groupBy("group", F.col("target").alias("node")).agg(F.bit_or("bits").alias("more"))
+        met = sent.join(seen, ["group", "node"], "full_outer").select("group", "node", F.coalesce("bits", F.lit(0).cast("bigint")).alias("had"), F.coalesce("more", F.lit(0).cast("bigint")).alias("more"))
+        met = cut(met.select("group", "node", F.col("had").bitwiseOR(F.col("more")).alias("bits"), F.col("more").bitwiseAND(F.bitwise_not("had")).alias("new")))
+        seen, fresh = met.select("group", "node", "bits"), met.filter("new <> 0").select("group", "node", F.col("new").alias("bits"))
+    held = [F.sum(F.shiftright("bits", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"n{i}") for i in range(BITS)]
+    by = seen.groupBy("group").agg(*held)
+    counts = by.select("group", F.posexplode(F.array(*(f"n{i}" for i in range(BITS)))).alias("i", "n")).select("group", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i")).alias("bit"), "n")
+    return named.join(counts, ["group", "bit"]).select("start", (F.col("n") - 1).alias("n"))  # each reaches itself
+
+
 def folded(df: DataFrame, keys: list[str], order: list[str], step, out: str) -> DataFrame:
     """``df`` through a state machine: each key's rows in order, one after another.
 

@@ -34,7 +34,7 @@ class JsonTable:
         """Only the newest rows, in one folder. What others append meanwhile stays beside it; deletions stay, as an older row may still come."""
         state = self.table.state()
         if len(state.folders) > 1:
-            self.table.replace(list(state.folders), self._newest(state))
+            self.table.replace(list(state.folders), self._newest(state), merged=True)
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:

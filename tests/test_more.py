@@ -114,3 +114,20 @@ def test_subscribers_of_everything(spark, monkeypatch):
     subs = [("c0", 1), ("c1", 2), ("c1", 2), *(("*", k) for k in range(5))]
     got = sorted((r.id, r.channel, r.subscriber) for r in services.delivered(m, spark.createDataFrame(subs, "channel string, subscriber long")).collect())
     assert got == sorted({(i, f"c{i % 2}", s) for i in range(9) for c, s in subs if c in ("*", f"c{i % 2}") and s != i % 4})
+
+
+def test_reach_counts(spark, monkeypatch):
+    from marlspike.operators import iterate
+
+    rnd = random.Random(9)
+    edges = {(rnd.randrange(30), rnd.randrange(30)) for _ in range(40)} | {(i, i + 1) for i in range(40, 60)}
+    monkeypatch.setattr(iterate, "BITS", 7)
+    got = {r.start: r.n for r in iterate.reach_counts(spark.createDataFrame(list(edges), "source int, target int"), spark.createDataFrame([(i,) for i in [*range(60), 5, 99]], "start int").repartition(3)).collect()}
+    for s in [*range(60), 99]:
+        seen, left = {s}, [s]
+        while left:
+            x = left.pop()
+            new = {b for a, b in edges if a == x} - seen
+            seen |= new
+            left += new
+        assert got[s] == len(seen) - 1
