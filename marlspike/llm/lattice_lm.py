@@ -22,8 +22,10 @@ from marlspike.llm.tokens import public_path
 
 #: Training words that every worker holds with their counts and scores: the most frequent ones, at most so many (some 100 MB).
 WORDS_HELD = 400_000
-#: Words whose scores a worker keeps besides, the longest that it keeps, and words that it counts before it hands on their sums.
-KEPT, LONGEST, HELD = 300_000, 48, 400_000
+#: Words whose scores a worker keeps besides, and bytes of the longest word that it keeps or holds.
+KEPT, LONGEST = 300_000, 48
+#: Words that a worker counts, or bytes of text that it has read, before it hands on their sums.
+HELD, HELD_BYTES = 400_000, 64 << 20
 #: Passes of expectation over the training words, and the weight of the vocabulary's own scores beside their counts.
 ROUNDS, PRIOR = 4, 32_000.0
 #: Words that a task takes through the lattice.
@@ -159,10 +161,14 @@ def _words(raw: bytes | None) -> Counter:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
+    size = 0
     for b in batches:
         for raw in b.columns[0]:
-            held.update(_words(raw.as_py()))
-            if len(held) > HELD:
+            text = raw.as_py() or b""
+            held.update(_words(text))
+            size += len(text)
+            if len(held) > HELD or size > HELD_BYTES:
+                size = 0
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
                 held.clear()
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
@@ -272,14 +278,14 @@ def _documents(model, held, whole: bool):
             fresh.update((w, x) for w, x in met.items() if len(w) <= LONGEST)
 
         for b in batches:
-            found, docs, texts, size = [], [], [], 0
+            found, docs, texts, size, read = [], [], [], 0, 0
             for doc, raw in zip(b.columns[0].to_pylist(), b.columns[1], strict=True):
                 docs.append(doc)
-                texts.append(_words(raw.as_py()))
-                size += len(texts[-1])
-                if size > WORDS_TOGETHER:
+                texts.append(_words(text := raw.as_py()))
+                size, read = size + len(texts[-1]), read + len(text or b"")
+                if size > WORDS_TOGETHER or read > HELD_BYTES:
                     found += rows(docs, texts)
-                    docs, texts, size = [], [], 0
+                    docs, texts, size, read = [], [], 0, 0
             found += rows(docs, texts)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
 
@@ -335,7 +341,8 @@ def score_texts(
             logs = np.log((expected + prior * share) / (expected.sum() + prior)).tolist()
 
     # the least power of two from which on there are no more words than are held
-    sizes = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).agg(F.count("*").alias("n")).orderBy(F.col("b").desc()).collect()  # 64 rows at most
+    short = F.length("word") <= LONGEST
+    sizes = counts.filter(short).groupBy(F.floor(F.log2("c")).cast("int").alias("b")).agg(F.count("*").alias("n")).orderBy(F.col("b").desc()).collect()  # 64 rows at most
     bound, n_held = 63, 0
     for r in sizes:
         if n_held + r["n"] > words_held:
@@ -343,7 +350,7 @@ def score_texts(
         bound, n_held = r["b"], n_held + r["n"]
     whole = n_held == distinct
     model = sc.broadcast(Model(path, logs, end))
-    frequent = dealt.filter(F.floor(F.log2("c")).cast("int") >= bound).mapInArrow(_scored(model), "word binary, c bigint, log double").toArrow()
+    frequent = dealt.filter(short & (F.floor(F.log2("c")).cast("int") >= bound)).mapInArrow(_scored(model), "word binary, c bigint, log double").toArrow()
     held = sc.broadcast(Held(scratch.root, frequent))
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     found = scratch.save(given.mapInArrow(_documents(model, held, whole), _ROW))

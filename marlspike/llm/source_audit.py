@@ -30,8 +30,8 @@ LEAST_BITS, MOST_BITS = 16, 24
 CELLS_PER_DOC = 64
 #: Cells of a block, in which sketches are merged.
 BLOCK = 1 << 16
-#: Terms that a worker holds before it hands on their sums.
-HELD = 400_000
+#: Terms that a worker holds, or bytes of text that it has read, before it hands on their sums.
+HELD, HELD_BYTES = 400_000, 64 << 20
 #: Bytes of a text that are cut into terms together.
 SLICE = 1 << 20
 #: Sources that meet for a term in one task, and groups up to which they are broadcast (some 100 bytes each).
@@ -77,7 +77,7 @@ def _sketches(bits: int, need: int):
     """The sketch of a task's texts as blocks ``(block, cells)``; a cell stops counting at ``need``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held = np.zeros(DEPTH << bits, np.uint8), {}
+        sketch, held, size = np.zeros(DEPTH << bits, np.uint8), {}, 0
 
         def add() -> None:
             for lang, c in held.items():
@@ -90,15 +90,17 @@ def _sketches(bits: int, need: int):
 
         for b in batches:
             for lang, _, raw in _rows(b):
-                c = held.get(lang)
-                if c is None:
-                    c = held[lang] = Counter()
                 seen: set[bytes] = set()
                 for part in terms(raw):
                     seen.update(part)
-                c.update(seen)
+                held.setdefault(lang, Counter()).update(seen)
+                size += len(raw)
+                if size > HELD_BYTES:
+                    add()
+                    size = 0
             if sum(map(len, held.values())) > HELD:
                 add()
+                size = 0
         add()
         blocks = sketch.reshape(-1, min(BLOCK, 1 << bits))
         at = np.flatnonzero(blocks.any(1))
@@ -131,6 +133,7 @@ def _counts(bits: int, reached):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(reached.value, np.uint8)
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs) in held.items():
@@ -153,8 +156,13 @@ def _counts(bits: int, reached):
                     n.update(part)
                     seen.update(part)
                 docs.update(seen)
+                size += len(raw)
+                if size > HELD_BYTES:
+                    yield from rows()
+                    size = 0
             if sum(len(c[0]) for c in held.values()) > HELD:
                 yield from rows()
+                size = 0
         yield from rows()
 
     return run
