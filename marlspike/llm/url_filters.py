@@ -109,7 +109,7 @@ def is_listed(host: Column, filters: list[Filter]) -> Column:
 def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages(page_id, url)``.
 
-    The longest rule that fits decides; else hosts of ``listed(host)`` are
+    The longest rule that fits decides, and of equal ones the first in the list; else hosts of ``listed(host)`` are
     blocked and others allowed. Rows may repeat and ids may be null; a null url,
     or one without ``://``, has an empty host and is allowed unless a rule fits.
     Listed hosts that the corpus lacks, nulls and repeats in the listing are
