@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +30,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def temporary(spark: SparkSession, label: str) -> str:
+    """A folder of its own below the shared one, for tables that are read while the session lasts; it is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if the session is still there to do it."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session has ended first
+        return
+
+
 def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 
-from marlspike.operators.iterate import shared_folder
+from marlspike.operators.iterate import removed, temporary
 from marlspike.sources.commits import file_system
 
 _KEPT: dict[tuple[str, str, str], tuple[list, str]] = {}
@@ -32,10 +30,9 @@ def folder_of(spark: SparkSession, path: str, label: str, make) -> str:
     kept = _KEPT.get(key)
     if kept and kept[0] == now:
         return kept[1]
-    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = temporary(spark, label)
     make(folder)
     _KEPT[key] = (now, folder)
     if kept:
-        fs, where = file_system(spark, kept[1])
-        fs.delete(where, True)
+        removed(spark, kept[1])
     return folder

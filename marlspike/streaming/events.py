@@ -8,7 +8,6 @@ bound the state of each.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marlspike.operators.events import LIMITS, fixed_windows
-from marlspike.operators.iterate import shared_folder
+from marlspike.operators.iterate import temporary
 
 LATE = "10 minutes"
 
@@ -36,7 +35,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     A batch that is written twice after a failure overwrites itself.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = temporary(spark, "stream")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/{n:012d}")
