@@ -164,3 +164,43 @@ def chained_calls(calls: DataFrame, most: int = CHAIN_DEPTH) -> DataFrame:
         level = made.select("id", F.lit(depth).alias("depth"), F.lit(depth < most).alias("ran"))
         out = out.unionByName(level)
     return out
+
+
+#: Events that a client keeps for its next session when they could not be sent.
+QUEUE = 200
+
+
+def sent_or_kept(events: DataFrame, sessions: DataFrame, most: int = QUEUE) -> DataFrame:
+    """``client, session, id, state`` of ``events(client, session, id)``: ``sent`` in its session or a later one, ``dropped``, or still ``waiting``.
+
+    ``sessions(client, session, reached)`` says whether a session's batch was
+    delivered. One that was not leaves its events, with what was left before, to
+    the next; the last ``most`` of them stay. So of a run of sessions that failed the
+    last ``most`` events go with the first one that succeeds.
+    """
+    n = events.groupBy("client", "session").agg(F.count("*").alias("n"))
+    all_ = sessions.join(n, ["client", "session"], "left").fillna(0, ["n"])
+    later = Window.partitionBy("client").orderBy(F.desc("session"))  # a row for each session
+    run = all_.withColumn("run", F.sum(F.col("reached").cast("int")).over(later))
+    behind = Window.partitionBy("client", "run").orderBy(F.desc("session")).rowsBetween(Window.unboundedPreceding, -1)
+    run = run.withColumn("after", F.coalesce(F.sum(F.when(~F.col("reached"), F.col("n"))).over(behind), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("client", "session").orderBy(F.desc("id")))
+    met = events.withColumn("place", place).join(run.select("client", "session", "reached", "run", "after"), ["client", "session"])
+    state = F.when(F.col("reached"), "sent").when(F.col("after") + F.col("place") > most, "dropped").when(F.col("run") > 0, "sent").otherwise("waiting")
+    return met.select("client", "session", "id", state.alias("state"))
+
+
+def imported(existing: DataFrame, incoming: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Rows of a registry by ``path`` after an import, with ``origin``: ``kept``, ``added`` or ``replaced``.
+
+    A path that is there is skipped, or with ``overwrite`` takes the incoming row's
+    columns where these are not null. Of incoming rows with one path the last by ``id`` counts.
+    """
+    last = incoming.groupBy("path").agg(F.max_by(F.struct("*"), "id").alias("r")).select("r.*")
+    columns = existing.columns
+    old, new = existing.select(F.col("path").alias("p"), F.struct(*columns).alias("old")), last.select(F.col("path").alias("q"), F.struct(*columns).alias("new"))
+    met = old.join(new, F.col("p") == F.col("q"), "full_outer")
+    here, there = F.col("old").isNotNull(), F.col("new").isNotNull()
+    pick = lambda c: F.when(here & there & F.lit(overwrite), F.coalesce(F.col("new")[c], F.col("old")[c])).when(here, F.col("old")[c]).otherwise(F.col("new")[c])
+    origin = F.when(~here, "added").when(there & F.lit(overwrite), "replaced").otherwise("kept")
+    return met.select(*(pick(c).alias(c) for c in columns), origin.alias("origin"))

@@ -246,3 +246,31 @@ def full_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results with everything about them."""
     d = pq.results(spark, sf_dir).withColumns({"start_line": F.lit(1), "type": F.lit("other"), "score": (F.col("doc_id") % 97) / 97.0, "language": F.col("lang"), "content": F.col("text")})
     return d.select("doc_id", F.md5(present.full(d)).alias("digest"))
+
+
+@query(f"""with s as (select user_id % 20 as client, (epoch_ms(ts) // 86400000)::bigint as session, event_id as id from events),
+d as (select distinct client, session, (session + client) % 3 = 0 as reached from s),
+next as (select *, (select min(e.session) from d e where e.client = d.client and e.session >= d.session and e.reached) as goes from d),
+j as (select s.*, n.reached, n.goes from s join next n using (client, session)),
+k as (select *, row_number() over (partition by client, goes, reached order by session desc, id desc) as place from j)
+select client, session, id, case when reached then 'sent' when place > 40 then 'dropped' when goes is not null then 'sent' else 'waiting' end as state from k""")
+def telemetry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of daily sessions that are sent, wait for the next session, or fall out of a queue of forty."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("client"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 86_400_000).alias("session"), F.col("event_id").alias("id"))
+    sessions = e.select("client", "session").distinct().withColumn("reached", (F.col("session") + F.col("client")) % 3 == 0)
+    return services.sent_or_kept(e, sessions, 40)
+
+
+@query("""with o as (select 'w' || doc_id % 60 as path, min(doc_id) as id, 'old ' || min(doc_id) as name, min(source) as note from documents where doc_id % 60 < 40 group by 1),
+i as (select 'w' || doc_id % 60 as path, max(doc_id) as id, 'new ' || max(doc_id) as name, case when doc_id % 60 % 2 = 0 then arg_max(source, doc_id) end as note from documents where doc_id % 60 >= 25 group by 1, doc_id % 60),
+m as (select coalesce(o.path, i.path) as path, o.path is not null as here, i.path is not null as there, o.id as oid, i.id as iid, o.name as oname, i.name as iname, o.note as onote, i.note as inote from o full outer join i on o.path = i.path)
+select false as overwrite, path, coalesce(oid, iid) as id, coalesce(oname, iname) as name, case when here then onote else inote end as note, case when here then 'kept' else 'added' end as origin from m
+union all select true, path, coalesce(iid, oid), coalesce(iname, oname), coalesce(inote, onote), case when not here then 'added' when there then 'replaced' else 'kept' end from m""")
+def registry_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry after the import of another one, with what is there kept, and with it replaced."""
+    d = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 60).withColumn("path", F.concat(F.lit("w"), F.col("k").cast("string")))
+    old = d.filter("k < 40").groupBy("path").agg(F.min("doc_id").alias("id"), F.min("source").alias("note"))
+    old = old.select("path", "id", F.concat(F.lit("old "), F.col("id").cast("string")).alias("name"), "note")
+    new = d.filter("k >= 25").select("path", F.col("doc_id").alias("id"), F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("k") % 2 == 0, F.col("source")).alias("note"))
+    both = [services.imported(old, new, o).withColumn("overwrite", F.lit(o)) for o in (False, True)]
+    return both[0].unionByName(both[1])

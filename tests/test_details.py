@@ -46,3 +46,28 @@ def test_hashes_and_expiry(spark):
         kvstore.outlived(t("2024-01-01"), F.lit(0), t("2025-01-01")).alias("c"), kvstore.expired_at(F.lit(None).cast("timestamp"), t("2025-01-01")).alias("d"),
     )
     assert tuple(row.first()) == (False, True, False, False)
+
+
+def test_queue_of_a_client(spark):
+    import random
+
+    rnd = random.Random(3)
+    reached = {(c, s): rnd.random() < 0.3 for c in range(4) for s in range(15)}
+    events, i = [], 0
+    for c, s in reached:
+        for _ in range(rnd.randrange(6)):
+            events.append((c, s, i))
+            i += 1
+    want, queue = {}, {c: [] for c in range(4)}
+    for (c, s), ok in sorted(reached.items()):
+        batch = queue[c] + [e for a, b, e in events if (a, b) == (c, s)]
+        if ok:
+            want |= dict.fromkeys(batch, "sent")
+            queue[c] = []
+        else:
+            want |= dict.fromkeys(batch[:-7], "dropped")
+            queue[c] = batch[-7:]
+    want |= {e: "waiting" for q in queue.values() for e in q}
+    e = spark.createDataFrame(events, "client long, session long, id long")
+    s = spark.createDataFrame([(*k, v) for k, v in reached.items()], "client long, session long, reached boolean")
+    assert {r.id: r.state for r in services.sent_or_kept(e, s, 7).collect()} == want and set(want.values()) == {"sent", "dropped", "waiting"}
