@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlspike.functions.times import millis
 from marlspike.operators.iterate import folded
 
 #: Limits by default, and windows in milliseconds.
@@ -204,7 +205,7 @@ def limited(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
         hit, again = admitted(state, ms, lasts, tokens, limits)
         return i, entity, hit, again, len(state["running"]), state["hour"][2]
 
-    d = requests.select("entity", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "id", F.col("lasts").cast("bigint"), F.col("tokens").cast("bigint"))
+    d = requests.select("entity", millis(F.col("ts")).alias("ms"), "id", F.col("lasts").cast("bigint"), F.col("tokens").cast("bigint"))
     return folded(d, ["entity"], ["ms", "id"], step, "id bigint, entity bigint, limit_hit string, retry_after bigint, in_flight bigint, hour_tokens bigint")
 
 
@@ -219,7 +220,7 @@ def bucket(state: dict, now: int, size: float, rate: float, need: float = 1.0) -
 
 def _in_order(requests: DataFrame, one) -> DataFrame:
     """Each entity's requests through a state machine in time order."""
-    d = requests.select("id", "entity", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    d = requests.select("id", "entity", millis(F.col("ts")).alias("ms"))
     return folded(d, ["entity"], ["ms", "id"], lambda state, row: (row[0], row[1], one(state, row[2])), "id bigint, entity bigint, limit_hit string")
 
 

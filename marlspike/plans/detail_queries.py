@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.globs import fits, glob_regex, parts, relative
 from marlspike.functions.text import sql_string
+from marlspike.functions.times import millis
 from marlspike.operators import chunking, fusion, kvstore, present, services, sync, tasks
 from marlspike.plans import chunk_queries as cq
 from marlspike.plans import present_queries as pq
@@ -256,7 +257,7 @@ k as (select *, row_number() over (partition by client, goes, reached order by s
 select client, session, id, case when reached then 'sent' when place > 40 then 'dropped' when goes is not null then 'sent' else 'waiting' end as state from k""")
 def telemetry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of daily sessions that are sent, wait for the next session, or fall out of a queue of forty."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("client"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 86_400_000).alias("session"), F.col("event_id").alias("id"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("client"), F.floor(millis(F.col("ts")) / 86_400_000).alias("session"), F.col("event_id").alias("id"))
     sessions = e.select("client", "session").distinct().withColumn("reached", (F.col("session") + F.col("client")) % 3 == 0)
     return services.sent_or_kept(e, sessions, 40)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marlspike.functions.times import millis
 from marlspike.operators.events import LIMITS, fixed_windows
 from marlspike.operators.iterate import temporary
 
@@ -95,7 +96,7 @@ def rate_limited(events: DataFrame, limits: dict[str, int] | None = None) -> Dat
         state.update((json.dumps(windows),))
         yield pd.DataFrame({"id": pdf["id"].to_numpy(), "entity": [key[0]] * len(pdf), "limit_hit": hit})
 
-    d = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), F.unix_millis("ts").alias("ms"))
+    d = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), millis(F.col("ts")).alias("ms"))
     return d.groupBy("entity").applyInPandasWithState(run, "id bigint, entity bigint, limit_hit string", "windows string", "append", GroupStateTimeout.NoTimeout)
 
 
