@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions.text import terms_sql
+from marlspike.functions.times import millis
 from marlspike.operators import chunking, context, graph, kvstore, risk, services, vector
 from marlspike.operators import events as ev
 from marlspike.operators.iterate import cut
@@ -64,7 +65,7 @@ select id, channel, wait as wait_ms from r""")
 def bandwidth_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as transfers of one to five thousand bytes at a thousand a second."""
     e = table(spark, sf_dir, "events")
-    t = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("channel"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (1 + F.col("event_id") % 5000).alias("size"))
+    t = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("channel"), millis(F.col("ts")).alias("ms"), (1 + F.col("event_id") % 5000).alias("size"))
     return services.throttled(t, 1000)
 
 
@@ -75,7 +76,7 @@ select id, entity, n from r""")
 def shared_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter for a day from its first request on."""
     e = table(spark, sf_dir, "events")
-    return services.window_counts(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), 86_400_000)
+    return services.window_counts(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("entity"), millis(F.col("ts")).alias("ms")), 86_400_000)
 
 
 _SUBS = "select distinct 'ch' || (n_nationkey % 5) as channel, n_regionkey::bigint as subscriber from nation union select '*', 99"
