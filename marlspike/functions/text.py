@@ -10,6 +10,9 @@ SEPARATORS = r"""[\s\.,;:!?\-_'"()\[\]{}|\\/<>@#$%^&*+=`~]+"""
 STOP_WORDS = """a an and are as at be by for from has he in is it its of on or that the to was were will with
 var let const function class return if else this new true false null undefined""".split()
 
+#: The edge of a word of ASCII letters, digits and underscores, as RE2 reads ``\b``; Java counts other letters as parts of words too.
+ASCII_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
 
 def sql_string(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
