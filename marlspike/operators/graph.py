@@ -35,7 +35,8 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None
 
     Relative specifiers meet the files under each candidate ending, the first
     that exists wins, and those that fit none are dropped. An alias replaces the
-    start of a specifier; anything else is an external package.
+    start of a specifier; anything else is an external package. Endings are taken off
+    the files, of which few fit a path, not tried on every import.
     """
     spec = F.col("specifier")
     for start, place in (aliases or {}).items():
@@ -43,14 +44,17 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None
     d = imports.withColumn("spec", spec)
     relative = F.col("spec").startswith(".")
     joined = F.when(relative, F.concat_ws("/", folder(F.col("source")), "spec")).otherwise(F.col("spec"))
-    clean = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"^\./", "")
-    for _ in range(8):  # each step takes out one pair of a folder and what leaves it
-        clean = F.regexp_replace(clean, r"[^/]+/\.\./", "")
+    clean = F.regexp_replace(F.regexp_replace(F.col("path0"), r"/\./", "/"), r"^\./", "")
+    # each of eight steps takes out one pair of a folder and what leaves it
+    step = lambda x, _: F.when(F.contains(x, F.lit("../")), F.regexp_replace(x, r"[^/]+/\.\./", "")).otherwise(x)
+    clean = F.aggregate(F.sequence(F.lit(1), F.lit(8)), clean, step)
     aliased = F.col("spec") != F.col("specifier")
-    d = d.withColumn("path0", clean).withColumn("inside", relative | aliased)
-    tried = d.filter("inside").select("source", "specifier", "path0", F.posexplode(F.array(*map(F.lit, CANDIDATES))).alias("priority", "end"))
-    tried = tried.withColumn("path", F.concat("path0", "end")).join(files.select("path").distinct(), "path")
-    found = tried.groupBy("source", "specifier").agg(F.min_by("path", "priority").alias("target"))
+    d = d.withColumn("path0", joined).withColumn("inside", relative | aliased)
+    met = d.filter("inside").select("source", F.when(F.contains("path0", F.lit("./")), clean).otherwise(F.col("path0")).alias("path0"))
+    ends = [F.when(F.col("path").endswith(e), F.struct(F.substring("path", F.lit(1), F.length("path") - len(e)).alias("path0"), F.lit(i).alias("priority"))) for i, e in enumerate(CANDIDATES)]
+    tried = files.select("path", F.inline(F.filter(F.array(*ends), lambda x: x.isNotNull())))
+    best = tried.groupBy("path0").agg(F.min_by("path", "priority").alias("target"))
+    found = met.join(best, "path0")
     outside = d.filter("not inside").select("source", package(F.col("specifier")).alias("target"), F.lit(True).alias("is_external"))
     return found.select("source", "target", F.lit(False).alias("is_external")).unionByName(outside).distinct()
 

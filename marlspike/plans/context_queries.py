@@ -9,7 +9,7 @@ from marlspike.functions.globs import glob_regex
 from marlspike.functions.text import sql_string
 from marlspike.operators import context, graph
 from marlspike.plans.registry import query
-from marlspike.sources.tables import table
+from marlspike.sources.tables import spread, table
 
 _CH = """ch as (select event_id as id, user_id as run_id, ts, 'src/f' || (json_extract_string(props, '$.k')::int % 40) || '.ts' as file,
   case event_type when 'signup' then 'create' when 'view' then 'read' when 'error' then 'delete' else 'modify' end as operation, 'because of ' || event_type as reason from events)"""
@@ -184,7 +184,7 @@ _EDGES = f"""e(source, target, is_external) as ({_FOUND('p_partkey + 20')} union
 
 
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     files = part.selectExpr(f"{_FILE_OF('p_partkey')} as path").unionByName(spark.range(20).selectExpr("concat('src/m', id, '/index.ts') as path"))
     imports = part.selectExpr(f"{_FILE_OF('p_partkey')} as source", f"explode(array({', '.join(_SPECIFIERS)})) as specifier")
     return graph.resolve(imports, files, {"@/": "src/"})

@@ -61,3 +61,25 @@ def test_edges_of_words_in_rules(spark, both):
     docs = spark.createDataFrame([(i, t, "en", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars long")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
     assert both("headline_metrics", documents=docs, labels=labels) == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_imports_are_not_tried_with_each_ending(spark):
+    from marlspike.operators import graph
+
+    files = spark.createDataFrame([(f,) for f in ("a/x.ts", "a/x.js", "a/x", "a/y/index.ts", "a/y.jsx", "/index.ts", "b.ts")], "path string")
+    asked = [("a/m.ts", "./x"), ("a/m.ts", "./x.js"), ("a/m.ts", "./y"), ("a/m.ts", "../b"), ("a/y/k.ts", "./../../b"), ("a/m.ts", "@/y/"), ("a/m.ts", "./none"), ("a/m.ts", "@s/p/q"), ("a/m.ts", "lib/z")]
+    got = graph.resolve(spark.createDataFrame(asked, "source string, specifier string"), files, {"@/": "a/"})
+    assert "posexplode" not in _plan(got)
+    want = {("a/m.ts", "a/x", False), ("a/m.ts", "a/x.js", False), ("a/m.ts", "a/y.jsx", False), ("a/m.ts", "b.ts", False), ("a/y/k.ts", "b.ts", False), ("a/m.ts", "@s/p", True), ("a/m.ts", "lib", True)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["architecture_objects", "architecture_connections"])
+def test_imports_are_resolved_once(spark, name):
+    from conftest import SF
+
+    assert "Generate" not in _plan(ENTRIES[name].run(spark, str(SF)))
