@@ -190,7 +190,7 @@ r(a, b) as (select source_dir, target_dir from x union select r.a, x.target_dir
 select source_dir, target_dir, exists (select 1 from r where r.a = x.target_dir and r.b = x.source_dir) as circular from x""")
 def architecture_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders that import from each other, and whether the way leads back."""
-    d = graph.folder_edges(cq.import_edges(spark, sf_dir))
+    d = cut(graph.folder_edges(cq.import_edges(spark, sf_dir)))
     tagged = graph.circular(d.select(F.col("source_dir").alias("source"), F.col("target_dir").alias("target")))
     return tagged.select(F.col("source").alias("source_dir"), F.col("target").alias("target_dir"), "circular")
 
