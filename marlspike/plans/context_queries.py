@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlspike.functions.globs import glob_regex
 from marlspike.functions.text import sql_string
 from marlspike.operators import context, graph
+from marlspike.operators.iterate import cut
 from marlspike.plans.registry import query
 from marlspike.sources.tables import spread, table
 
@@ -221,7 +222,7 @@ o as (select name, 'component' as kind, regexp_extract(name, '^(.*)/[^/]*$', 1)
   union all select distinct target, 'external', '' from e where is_external) select * from o""")
 def architecture_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of three levels: files, their folders, and external packages."""
-    e = import_edges(spark, sf_dir)
+    e = cut(import_edges(spark, sf_dir))
     inside = e.select(F.col("source").alias("name")).union(e.filter("not is_external").select("target")).distinct()
     files = inside.select("name", F.lit("component").alias("kind"), graph.folder(F.col("name")).alias("parent"))
     folders = inside.select(graph.folder(F.col("name")).alias("name"), F.lit("container").alias("kind"), F.regexp_extract("name", "^([^/]*)", 1).alias("parent")).distinct()
