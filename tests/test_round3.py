@@ -83,3 +83,24 @@ def test_imports_are_resolved_once(spark, name):
     from conftest import SF
 
     assert "Generate" not in _plan(ENTRIES[name].run(spark, str(SF)))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_neighbours_as_on_the_jvm(spark, metric):
+    import random
+
+    from marlspike.operators import vector
+
+    rnd = random.Random(4)
+    some = [[rnd.choice([-1.0, 0.5, 2.0, 3.25]) for _ in range(5)] for _ in range(60)]  # many ties
+    rows = [(i, v) for i, v in enumerate(some + some[:20])] + [(80, [0.0] * 5), (81, None), (82, [1.0, None, 1.0, 1.0, 1.0]), (83, [1.0]), (84, [float("nan")] * 5)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = v.filter("vec_id % 4 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    got = vector.knn(v, q, 7, metric)
+    assert "PythonMapInArrow" in _plan(got) or "MapInArrow" in _plan(got)
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    want = v.crossJoin(q).select("query_id", "vec_id", vector.SCORES[metric](F.col("embedding"), F.col("query")).alias("score")).withColumn("rank", F.row_number().over(by) - 1).filter("rank < 7")
+    assert sorted(str(tuple(r)) for r in got.select("query_id", "vec_id", "score", "rank").collect()) == sorted(str(tuple(r)) for r in want.collect())
