@@ -9,7 +9,7 @@ from marlspike.functions.text import sql_string
 from marlspike.operators import chunking as c
 from marlspike.operators import sync
 from marlspike.plans.registry import query
-from marlspike.sources.tables import table
+from marlspike.sources.tables import spread, table
 
 # A source file for each part, as text and as a place: what the documents, being prose, do not hold.
 LINES = [
@@ -148,7 +148,7 @@ select doc_id, i as ordinal, u[i + 1].kind as kind, u[i + 1].name as name, u[i +
 def syntax_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five shapes of source text for each part, with brackets in strings, templates, patterns and comments; the SQL says what each shape is."""
     picked = " || chr(10) || chr(10) || ".join(f"element_at(shapes, cast({p} as int) + 1)" for p in _PICKS)
-    parts = table(spark, sf_dir, "part").selectExpr("*", f"array{_SHAPE[0].replace('[', '(')}{_SHAPE[1:-1]}) as shapes")
+    parts = spread(table(spark, sf_dir, "part")).selectExpr("*", f"array{_SHAPE[0].replace('[', '(')}{_SHAPE[1:-1]}) as shapes")
     files = parts.selectExpr("cast(p_partkey as bigint) as doc_id", f"{_JOINED(BROUGHT)} || chr(10) || {picked} as text")
     return c.syntax_units(files).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 

@@ -104,3 +104,24 @@ def test_neighbours_as_on_the_jvm(spark, metric):
     by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     want = v.crossJoin(q).select("query_id", "vec_id", vector.SCORES[metric](F.col("embedding"), F.col("query")).alias("score")).withColumn("rank", F.row_number().over(by) - 1).filter("rank < 7")
     assert sorted(str(tuple(r)) for r in got.select("query_id", "vec_id", "score", "rank").collect()) == sorted(str(tuple(r)) for r in want.collect())
+
+
+def test_few_codes_are_held_at_once(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from marlspike.operators import vector_index
+
+    rnd = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, [float(a) for a in rnd.integers(-3, 4, 8)]) for i in range(600)], "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    x = vector_index.VectorIndex(spark, str(tmp_path / "x")).build(v, 8)
+    found = lambda: sorted(str(tuple(r)) for r in x.search(q, 6).collect())
+    whole = found()
+    monkeypatch.setattr(vector_index, "HELD", 50)
+    assert found() == whole and len(whole) == 720
+
+
+def test_source_texts_go_over_all_cores(spark):
+    from conftest import SF
+
+    assert "Repartition" in _plan(ENTRIES["syntax_units"].run(spark, str(SF)))
