@@ -32,6 +32,8 @@ PARTS, VALUES = 16, 256
 WANTED, ASKING = 0.97, 400
 #: Queries that are sent to all tasks together.
 QUERIES = 1024
+#: Scores by codes that a task holds at once.
+HELD = 1_000_000
 _SCHEMA = "cell int, vec_id bigint, seq bigint, code binary, embedding array<float>"
 
 
@@ -254,21 +256,26 @@ def _ranked(sent, most: int, schema: str):
         parts = _parts(x, len(q.books))
         by_cell: dict[int, np.ndarray] = {int(c): np.flatnonzero((opened == c).any(1)) for c in np.unique(opened)}
         for b in batches:
-            cell = b.column("cell").to_numpy()
+            cell, number = b.column("cell").to_numpy(), b.column("vec_id").to_numpy()
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for c in np.unique(cell):
-                at, who = np.flatnonzero(cell == c), by_cell.get(int(c))
-                if who is None:
+                at, every = np.flatnonzero(cell == c), by_cell.get(int(c))
+                if every is None:
                     continue
+                at = at[np.argsort(number[at], kind="stable")]
                 codes = np.frombuffer(b"".join(b.column("code").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-                near = np.repeat((x[who] @ q.centroids[c])[:, None], len(at), 1)
-                for p, book in enumerate(q.books):
-                    near += (parts[who, p] @ book.T)[:, codes[:, p]]
-                found.append((np.repeat(who, len(at)), np.tile(at, len(who)), near.ravel()))
+                step = max(1, HELD // len(at))
+                for i in range(0, len(every), step):  # some queries at a time, of which only the nearest rows are kept
+                    who = every[i : i + step]
+                    near = np.repeat((x[who] @ q.centroids[c])[:, None], len(at), 1)
+                    for p, book in enumerate(q.books):
+                        near += (parts[who, p] @ book.T)[:, codes[:, p]]
+                    first = np.argsort(-near, 1, kind="stable")[:, :most]
+                    found.append((np.repeat(who, first.shape[1]), at[first].ravel(), np.take_along_axis(near, first, 1).ravel()))
             if not found:
                 continue
             who, at, near = (np.concatenate(f) for f in zip(*found, strict=True))
-            order = np.lexsort((b.column("vec_id").to_numpy()[at], -near, who))
+            order = np.lexsort((number[at], -near, who))
             who, at, near = who[order], at[order], near[order]
             place = np.arange(len(who)) - np.searchsorted(who, who)
             keep = place < most
