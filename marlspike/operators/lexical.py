@@ -72,6 +72,13 @@ def index_stats(index: Index) -> DataFrame:
     return index.totals.crossJoin(counts)  # one row each
 
 
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """The row of :func:`index_stats` from ``docs(doc_id, text)`` themselves: distinct terms are all that is shuffled, and only these are stemmed."""
+    words = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
+    counts = words.agg(F.count("term").alias("raw_terms"), F.count_distinct(stem(F.col("term"))).alias("stem_terms"))
+    return doc_stats(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).crossJoin(counts)  # one row each
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 

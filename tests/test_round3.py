@@ -125,3 +125,11 @@ def test_source_texts_go_over_all_cores(spark):
     from conftest import SF
 
     assert "Repartition" in _plan(ENTRIES["syntax_units"].run(spark, str(SF)))
+
+
+def test_statistics_need_no_index(spark, both, monkeypatch):
+    from marlspike.operators import lexical
+
+    monkeypatch.setattr(lexical, "write_index", lambda *a: pytest.fail("an index was written"))
+    docs = spark.createDataFrame([(1, "Running runs ran, the end"), (2, None), (3, ""), (4, "ending run of x")], "doc_id long, text string")
+    assert both("bm25_doc_stats", documents=docs) == 1
