@@ -20,7 +20,8 @@ from marlspike.functions.times import millis
 from marlspike.operators.events import LIMITS, fixed_windows
 from marlspike.operators.iterate import temporary
 
-LATE = "10 minutes"
+LATE_MINUTES = 10
+LATE = f"{LATE_MINUTES} minutes"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -104,44 +105,65 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class _Batches(StatefulProcessor):
-    """Open batches of changes by path: what has come, and a timer at the end of the quiet time."""
+    """Open batches of changes by path: what has come, and a timer at the end of the first one's quiet time.
 
-    def __init__(self, gap: int):
-        self.gap = gap
+    A change that comes after a batch's quiet time does not close it: the watermark does, as late
+    changes may still lengthen it. What no change in time can lengthen is given at once, so a path has two open batches
+    at most where ``late`` is no longer than the gap.
+    """
+
+    def __init__(self, gap: int, late: int):
+        self.gap, self.late = gap, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start bigint, last bigint, n bigint, kind string")
-
-    def _closed(self, key: tuple, held: tuple) -> pd.DataFrame:
-        return pd.DataFrame({"path": [key[0]], "start": pd.to_datetime([held[0]], unit="us", utc=True), "n": [held[2]], "last_kind": [held[3]]})
+        self.open = handle.getListState("open", "start bigint, last bigint, id bigint, n bigint, kind string")
+
+    def _closed(self, key: tuple, done: list[tuple]) -> pd.DataFrame:
+        start = pd.to_datetime([r[0] for r in done], unit="us", utc=True)
+        return pd.DataFrame({"path": [key[0]] * len(done), "start": start, "n": [r[3] for r in done], "last_kind": [r[4] for r in done]})
+
+    def _joined(self, rows: list[tuple]) -> list[tuple]:
+        """Batches ``(start, last, id, n, kind)`` of parts of them; the kind is that of the last change."""
+        out: list[tuple] = []
+        for start, last, id_, n, kind in sorted(rows, key=lambda r: r[:3]):
+            if out and start - out[-1][1] < self.gap:
+                first, was, of, m, k = out[-1]
+                out[-1] = (first, *((last, id_, n + m, kind) if (last, id_) >= (was, of) else (was, of, n + m, k)))
+            else:
+                out.append((start, last, id_, n, kind))
+        return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = self.open.get() if self.open.exists() else None
-        was = held
-        new = pd.concat([r[["us", "id", "kind"]] for r in rows]).sort_values(["us", "id"])
-        for us, kind in zip(new["us"].tolist(), new["kind"].tolist(), strict=True):
-            if held is None or us - held[1] >= self.gap:
-                if held is not None:
-                    yield self._closed(key, held)
-                held = (us, us, 1, kind)
-            else:
-                held = (held[0], max(held[1], us), held[2] + 1, kind)
-        if was is not None:
-            self.handle.deleteTimer(self._due(was[1]))
-        self.open.update(tuple(held))
-        self.handle.registerTimer(self._due(held[1]))
+        held = [tuple(r) for r in self.open.get()]
+        new = pd.concat([r[["us", "id", "kind"]] for r in rows])
+        us = new["us"].tolist()
+        open_ = self._joined([*held, *zip(us, us, new["id"].tolist(), [1] * len(us), new["kind"].tolist(), strict=True)])
+        sure = open_[-1][1] // 1000 * 1000 - self.late  # the watermark will be there at least
+        done = [r for r in open_ if r[1] + self.gap <= sure]
+        open_ = open_[len(done) :]
+        if held:
+            self.handle.deleteTimer(self._due(held[0][1]))
+        self.open.put(open_)
+        self.handle.registerTimer(self._due(open_[0][1]))
+        if done:
+            yield self._closed(key, done)
 
     def _due(self, last: int) -> int:
         """Milliseconds at which a batch is over; no earlier than it is to the microsecond."""
         return -(-(last + self.gap) // 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.open.exists():
-            held = self.open.get()
-            if self._due(held[1]) <= expiredTimerInfo.getExpiryTimeInMs():
-                self.open.clear()
-                yield self._closed(key, held)
+        mark = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = [tuple(r) for r in self.open.get()]
+        done = [r for r in held if self._due(r[1]) <= mark]
+        if len(done) < len(held):
+            self.open.put(held[len(done) :])
+            self.handle.registerTimer(self._due(held[len(done)][1]))
+        else:
+            self.open.clear()
+        if done:
+            yield self._closed(key, done)
 
     def close(self) -> None:
         pass
@@ -150,13 +172,13 @@ class _Batches(StatefulProcessor):
 def watched(changes: DataFrame, gap: int = 3600) -> DataFrame:
     """``path, start, n, last_kind`` of batches of ``changes(id, path, ts, kind)`` closer together than ``gap`` seconds.
 
-    State is a row for each path that has an open batch; a timer of event time
-    closes it, so nothing stays for paths that are quiet. Needs the state store
+    State is the open batches of each path that has one; a timer of event time
+    closes them, so nothing stays for paths that are quiet. Needs the state store
     ``ROCKS``.
     """
     d = changes.withWatermark("ts", LATE).select("path", "id", "ts", F.unix_micros("ts").alias("us"), "kind")
     schema = "path bigint, start timestamp, n bigint, last_kind string"
-    return d.groupBy("path").transformWithStateInPandas(_Batches(gap * 1_000_000), schema, "Append", "eventTime")
+    return d.groupBy("path").transformWithStateInPandas(_Batches(gap * 1_000_000, LATE_MINUTES * 60_000_000), schema, "Append", "eventTime")
 
 
 def resumed(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:

@@ -133,3 +133,11 @@ def test_statistics_need_no_index(spark, both, monkeypatch):
     monkeypatch.setattr(lexical, "write_index", lambda *a: pytest.fail("an index was written"))
     docs = spark.createDataFrame([(1, "Running runs ran, the end"), (2, None), (3, ""), (4, "ending run of x")], "doc_id long, text string")
     assert both("bm25_doc_stats", documents=docs) == 1
+
+
+def test_watched_batches_wait_for_the_watermark(spark, both):
+    minute, end = 60_000_000, 600
+    # by user: the minutes before the end at which changes come; the first of 2, 3 and 4 are over only for a change that the watermark has not passed
+    before = {1: [600, 595, 0], 2: [500, 66, 2], 3: [69, 5], 4: [66, 30, 3], 5: [71, 9], 6: [300, 130, 65, 1], 7: [80, 15]}
+    events = _events(spark, [(user, (end - m) * minute) for user, ms in before.items() for m in ms])
+    assert both("stream_watch", events=events) == 6
