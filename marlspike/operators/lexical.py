@@ -5,16 +5,22 @@ The index is two kinds of postings over the same terms: ``raw`` (lower-cased) an
 for each kind, sorted by term, so that the few terms of a query, which are pushed
 down to the files, read little beside their own rows; a row for each term with its
 document frequency; a row of totals. A search reads these and never a text.
+Where documents are asked once, an index that is not written (:func:`unwritten`)
+gives the same rows: a filter for the query's terms comes before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.functions.text import stem, terms
+from marlspike.operators.iterate import temporary
 
 K1, B = 1.5, 0.75
 #: Factor for matches of the raw kind, and for terms that the symbols hold.
@@ -29,14 +35,58 @@ class Index(NamedTuple):
     totals: DataFrame
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``kind, term, doc_id, tf, dl`` of ``docs(doc_id, text)``; counts are combined before their shuffle."""
-    words = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term"))
-    raw = words.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    # stems of a document's distinct terms, counted where its rows already are
-    stems = raw.groupBy("doc_id", "dl", stem(F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
-    columns = ["kind", "term", "doc_id", "tf", "dl"]
-    return raw.withColumn("kind", F.lit("raw")).select(*columns).unionByName(stems.withColumn("kind", F.lit("stem")).select(*columns))
+#: Documents whose terms a worker sorts together.
+SORTED = 256
+
+
+def _placed(shared: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, SORTED) for i in range(0, whole.num_rows, SORTED)):
+                ids, *words = b.columns
+                sizes = words[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+                coded = pa.concat_arrays([w.flatten() for w in words]).dictionary_encode()
+                n = max(1, len(coded.dictionary))
+                raw, stems = np.split(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), 2)
+                found = []
+                for codes in (raw, stems):
+                    key = row * n + codes
+                    order = np.argsort(key, kind="stable")
+                    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                    found.append((key[order][first], np.diff(np.append(first, len(key))), order, first))
+                # a term that is its own stem and the only one of it in a document has the same places as both
+                _, i, j = np.intersect1d(found[0][0], found[1][0], assume_unique=True, return_indices=True)
+                at = found[0][2][found[0][3][i]]
+                same = (found[0][1][i] == found[1][1][j]) & (raw[at] == stems[at]) if shared else np.zeros(len(i), bool)
+                for kind, (key, tf, order, first), alike in zip(("raw", "stem"), found, (i[same], j[same]), strict=True):
+                    kinds = np.full(len(key), kind, object)
+                    kinds[alike] = "both"
+                    ends = pa.array(np.append(first, len(order)).astype(np.int32))
+                    columns = [pa.array(kinds, pa.string()), coded.dictionary.take(pa.array(key % n)), ids.take(pa.array(key // n)), pa.array(tf), pa.array(sizes[key // n]), pa.ListArray.from_arrays(ends, pa.array(place[order]))]
+                    out = pa.RecordBatch.from_arrays(columns, ["kind", "term", "doc_id", "tf", "dl", "places"])
+                    if kind == "stem" and len(alike):
+                        out = out.filter(pa.array(kinds != "both"))
+                    yield out
+
+    return run
+
+
+def placed_postings(docs: DataFrame, shared: bool = False) -> DataFrame:
+    """``kind, term, doc_id, tf, dl, places`` of ``docs(doc_id, text)``, whose ids stand once: raw terms and stems with their places among the document's terms, from 0.
+
+    If ``shared``, rows that are the same for a term and its stem stand once, as kind ``both``.
+    A document's terms are grouped where its row is; nothing is shuffled.
+    """
+    words = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), terms(F.col("text")).alias("t"))
+    words = words.select("doc_id", "t", F.transform("t", stem).alias("s"))
+    return words.mapInArrow(_placed(shared), "kind string, term string, doc_id bigint, tf bigint, dl bigint, places array<int>")
+
+
+def by_term(found: DataFrame) -> DataFrame:
+    """Postings in files by term, each sorted; very frequent terms are dealt over several. Rows are made once, as no sample is drawn."""
+    return found.hint("rebalance", "kind", "term").sortWithinPartitions("kind", "term", "doc_id")
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
@@ -47,10 +97,9 @@ def doc_stats(docs: DataFrame) -> DataFrame:
 def write_index(docs: DataFrame, folder: str) -> Index:
     """The index of ``docs(doc_id, text)`` under a folder; an index that is there is replaced.
 
-    A term that is in very many documents is dealt over several files, as files
-    are cut by term and document.
+    Ids stand once. A term that is in very many documents is dealt over several files.
     """
-    found = postings(docs).repartitionByRange("kind", "term", "doc_id").sortWithinPartitions("kind", "term", "doc_id")
+    found = by_term(placed_postings(docs).drop("places"))
     found.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/postings")
     spark = docs.sparkSession
     written = spark.read.parquet(f"{folder}/postings")
@@ -66,6 +115,25 @@ def read_index(spark, folder: str) -> Index:
     return Index(*(spark.read.schema(x).parquet(f"{folder}/{t}") for t, x in zip(Index._fields, schemas, strict=True)))
 
 
+def unwritten(docs: DataFrame, wanted: DataFrame) -> Index:
+    """The index of ``docs(doc_id, text)`` for the few terms of ``wanted(kind, term)``; only their counts are written, once.
+
+    Texts are read once for the postings and once for the lengths.
+    """
+    spark, by = docs.sparkSession, _by_kind(wanted)
+    words = docs.select("doc_id", terms(F.col("text")).alias("t"))
+    # outer, as Spark filters by the size of the exploded list otherwise, and cuts each text twice
+    words = words.select("doc_id", F.size("t").cast("bigint").alias("dl"), F.explode_outer("t").alias("term"))
+    is_raw, is_stem = F.col("term").isin(by.get("raw", [])), stem(F.col("term")).isin(by.get("stem", []))
+    folder = temporary(spark, "asked")
+    words.filter(is_raw | is_stem).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).write.parquet(folder)
+    hit = spark.read.schema("doc_id bigint, dl bigint, term string, tf bigint").parquet(folder)
+    stems = hit.filter(is_stem).groupBy("doc_id", "dl", stem(F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
+    found = hit.filter(is_raw).withColumn("kind", F.lit("raw")).unionByName(stems.withColumn("kind", F.lit("stem")))
+    counts = found.groupBy("kind", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return Index(found.select("kind", "term", "doc_id", "tf", "dl"), counts, doc_stats(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+
+
 def index_stats(index: Index) -> DataFrame:
     """One row: documents, distinct terms of both kinds, mean length."""
     counts = index.vocabulary.agg(F.count_if(F.col("kind") == "raw").alias("raw_terms"), F.count_if(F.col("kind") == "stem").alias("stem_terms"))
@@ -94,13 +162,17 @@ def query_terms(spark, query: str) -> DataFrame:
     return raw.unionByName(row.select(F.lit("stem").alias("kind"), F.explode(F.array_distinct(F.transform("t", stem))).alias("term")))
 
 
-def asked(wanted: DataFrame) -> Column:
-    """A filter for the rows of ``wanted(kind, term)``, the few terms of a query, that can be pushed down to files."""
+def _by_kind(wanted: DataFrame) -> dict[str, list[str]]:
     by: dict[str, list[str]] = {}
     for r in wanted.select("kind", "term").distinct().collect():
         by.setdefault(r["kind"], []).append(r["term"])
+    return by
+
+
+def asked(wanted: DataFrame) -> Column:
+    """A filter for the rows of ``wanted(kind, term)``, the few terms of a query, that can be pushed down to files."""
     out = F.lit(False)
-    for kind, ts in by.items():
+    for kind, ts in _by_kind(wanted).items():
         out = out | ((F.col("kind") == kind) & F.col("term").isin(ts))
     return out
 

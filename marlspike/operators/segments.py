@@ -1,7 +1,8 @@
 """A lexical index that follows its documents: segments in immutable files, removals noted, merged by size.
 
 A segment holds the postings of the documents that were added together, by kind and
-term, with their places, and a row for each document. What is added later with
+term, with their places, and a row for each document; a posting that is the same for a
+term and its stem stands once. What is added later with
 the same id takes the place of what was there; removed ids are rows too. So the last word
 on an id counts, and only ids that changed since the oldest segment have to be asked
 for theirs. Numbers of documents and frequencies follow changes exactly.
@@ -12,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.functions.text import stem, terms
-from marlspike.operators.lexical import Index
+from marlspike.functions.text import terms
+from marlspike.operators.lexical import Index, by_term, placed_postings
 from marlspike.sources.commits import Conflict, Table
 
 #: Segments of one size class that are merged, and how much larger the next class is.
@@ -23,16 +24,8 @@ _SCHEMA = "kind string, term string, doc_id bigint, tf bigint, dl bigint, places
 FAR = 100
 
 
-def placed_postings(docs: DataFrame) -> DataFrame:
-    """``kind, term, doc_id, tf, dl, places`` of ``docs(doc_id, text)``: raw terms and stems with their places among the document's terms, from 0."""
-    words = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("dl"), F.posexplode("t").alias("place", "term"))
-    by = lambda term: words.groupBy("doc_id", "dl", term.alias("term")).agg(F.array_sort(F.collect_list("place")).alias("places"))  # noqa: E731  places of one document
-    raw = by(F.col("term"))
-    # stems of a document's distinct terms, gathered where its rows already are
-    stems = raw.groupBy("doc_id", "dl", stem(F.col("term")).alias("term")).agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-    kinds = [(raw, "raw"), (stems, "stem")]
-    both = [d.select(F.lit(k).alias("kind"), "term", "doc_id", F.size("places").cast("bigint").alias("tf"), "dl", "places") for d, k in kinds]
-    return both[0].unionByName(both[1])
+#: Changed ids up to which they are broadcast: two longs each, some 200 MB at most. With more, the join shuffles.
+BROADCAST_IDS = 4_000_000
 
 
 class SegmentedIndex:
@@ -45,7 +38,7 @@ class SegmentedIndex:
         """Documents ``(doc_id, text)`` that are new or have changed. A null text has no terms; ids are not null and stand once."""
         given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         none = lambda t: F.lit(None).cast(t)
-        found = placed_postings(given)
+        found = placed_postings(given, shared=True)
         rows = given.select(F.lit("doc").alias("kind"), none("string").alias("term"), "doc_id", none("bigint").alias("tf"), F.size(terms(F.col("text"))).cast("bigint").alias("dl"), none("array<int>").alias("places"))
         self._append(found.unionByName(rows))
 
@@ -57,8 +50,7 @@ class SegmentedIndex:
         """A segment under the next number; who is overtaken by another writer writes it anew under a later one."""
         while True:
             seq = self.table.state().properties.get("seq", -1) + 1
-            sorted_ = rows.withColumn("seq", F.lit(seq).cast("bigint")).repartitionByRange("kind", "term", "doc_id").sortWithinPartitions("kind", "term", "doc_id")
-            name = self.table.write(sorted_)
+            name = self.table.write(by_term(rows.withColumn("seq", F.lit(seq).cast("bigint"))))
             notes = self._notes(name)
 
             def make(now, name=name, seq=seq, notes=notes):
@@ -73,12 +65,14 @@ class SegmentedIndex:
         return dict(zip(("rows", "first", "last", "n_docs", "length"), (x or 0 for x in r), strict=True))
 
     def _words(self, state) -> tuple[DataFrame, DataFrame]:
-        """All rows, and ``doc_id, last``: the last number of each id that was added or removed after the oldest segment."""
+        """All rows, and ``doc_id, last``: the last number of each id that was added or removed more than once; broadcast unless there are very many."""
         every = self.table.read(state)
         oldest = min((n["first"] for n in state.folders.values()), default=0)
-        later = [f for f, n in state.folders.items() if n["last"] > oldest]
-        changed = self.table.read(folders=later).filter(F.col("kind").isin("doc", "gone"))
-        return every, changed.groupBy("doc_id").agg(F.max("seq").alias("last"))
+        if all(n["last"] <= oldest for n in state.folders.values()):
+            return every, every.select("doc_id", F.col("seq").alias("last")).limit(0)
+        said = every.filter(F.col("kind").isin("doc", "gone")).groupBy("doc_id").agg(F.max("seq").alias("last"), F.min("seq").alias("first"))
+        changed = said.filter("first < last").select("doc_id", "last")
+        return every, F.broadcast(changed) if changed.count() <= BROADCAST_IDS else changed
 
     def _live(self, rows: DataFrame, last: DataFrame) -> DataFrame:
         return rows.join(last, "doc_id", "left").filter(F.col("last").isNull() | (F.col("seq") >= F.col("last"))).drop("last")
@@ -87,7 +81,8 @@ class SegmentedIndex:
         """What searches take; a filter for terms reaches the files through it."""
         state = self.table.state()
         every, last = self._words(state)
-        postings = self._live(every.filter(F.col("kind").isin("raw", "stem")), last).select("kind", "term", "doc_id", "tf", "dl", "places")
+        of = lambda k: every.filter(F.col("kind").isin(k, "both")).withColumn("kind", F.lit(k))
+        postings = self._live(of("raw").unionByName(of("stem")), last).select("kind", "term", "doc_id", "tf", "dl", "places")
         vocabulary = postings.groupBy("kind", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         # what the segments noted, less the documents that are no longer the last word on their ids
         n, length = (sum(x[k] for x in state.folders.values()) for k in ("n_docs", "length"))
@@ -113,7 +108,7 @@ class SegmentedIndex:
                 # no older segment is left in which a removed id could stand
                 others = self.table.read(folders=[f for f in state.folders if f not in names]).select("doc_id").distinct()
                 kept = kept.filter("kind <> 'gone'").unionByName(kept.filter("kind = 'gone'").join(others, "doc_id", "left_semi"))
-            name = self.table.write(kept.select(*every.columns).repartitionByRange("kind", "term", "doc_id").sortWithinPartitions("kind", "term", "doc_id"))
+            name = self.table.write(by_term(kept.select(*every.columns)))
             notes = self._notes(name)
             try:
                 self.table.commit(lambda _, name=name, notes=notes, names=names: {"add": {name: notes}, "remove": names})

@@ -141,3 +141,41 @@ def test_watched_batches_wait_for_the_watermark(spark, both):
     before = {1: [600, 595, 0], 2: [500, 66, 2], 3: [69, 5], 4: [66, 30, 3], 5: [71, 9], 6: [300, 130, 65, 1], 7: [80, 15]}
     events = _events(spark, [(user, (end - m) * minute) for user, ms in before.items() for m in ms])
     assert both("stream_watch", events=events) == 6
+
+
+_SEARCHES = ["rrf_fusion", "overlay_composite", "multi_workspace_search"]
+
+
+@pytest.mark.parametrize("name", _SEARCHES)
+def test_one_search_needs_no_index(spark, duck, monkeypatch, name):
+    from conftest import SF
+    from marlspike.operators import lexical
+
+    monkeypatch.setattr(lexical, "write_index", lambda *a: pytest.fail("an index was written"))
+    assert compare(ENTRIES[name].run(spark, str(SF)), duck, ENTRIES[name].sql) > 0
+
+
+def test_postings_are_grouped_without_a_shuffle(spark):
+    from marlspike.operators import lexical
+
+    texts = {1: "jumps jump Jumped, a river", 2: None, 3: "", 4: "river rivers x stone stone", 5: "runs run"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for shared in (False, True):
+        found = lexical.placed_postings(docs, shared)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.term, r.doc_id, r.kind): (r.tf, r.dl, r.places) for r in found.collect()}
+        assert rows[("jump", 1, "raw")] == (1, 4, [1]) and rows[("jump", 1, "stem")] == (3, 4, [0, 1, 2])
+        assert rows[("run", 5, "raw")] == (1, 2, [1]) and rows[("run", 5, "stem")] == (2, 2, [0, 1])
+        assert [(k, *v) for (t, i, k), v in sorted(rows.items()) if (t, i) == ("stone", 4)] == ([("both", 2, 4, [2, 3])] if shared else [("raw", 2, 4, [2, 3]), ("stem", 2, 4, [2, 3])])
+
+
+def test_only_ids_that_changed_are_asked_for(spark, tmp_path):
+    from marlspike.operators import segments
+
+    x = segments.SegmentedIndex(spark, str(tmp_path / "x"))
+    for ids in ((1, 2, 3), (4, 5), (2,)):
+        x.add(spark.createDataFrame([(i, f"river stones {i}") for i in ids], "doc_id bigint, text string"))
+    every, last = x._words(x.table.state())
+    assert [tuple(r) for r in last.collect()] == [(2, 2)]
+    plan = x.index().postings._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
