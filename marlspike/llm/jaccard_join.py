@@ -21,7 +21,9 @@ How it stays exact and bounded
 * The question is which documents hang together, so a pair inside one component
   needs no check. Star rounds first compare every member of a bucket (the
   documents that meet) with a leader of that bucket, until all pairs of a bucket
-  that are still in different components are few enough to be candidates. A large
+  that are still in different components are few enough to be candidates. The first
+  leader is the member whose prefix is shared most, as the text that the others were
+  altered from may be the only one that links with all of them. A large
   group of near copies thus costs about its size, not its square, and no
   candidate is left out.
 * The suffix filter bounds the size of the symmetric difference from below by the
@@ -353,7 +355,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
         return met.filter(_possible(similarity)).filter("not arrays_overlap(before, before2)").select("a", "b", "ca", "cb")
 
     def star_pairs() -> DataFrame:
-        lead = posting.groupBy("key").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64(F.col("rid"), F.lit(r), F.pmod("key", F.lit(1 << r)))).alias("lead"))
+        order, ranked = F.xxhash64(F.col("rid"), F.lit(r), F.pmod("key", F.lit(1 << r))), posting
+        if r == 0:  # the nearest to the middle: most of its prefix is shared
+            meets = posting.groupBy("rid").agg((-F.count("*") / F.first(F.expr(f"n - (n * {similarity} + 99) div 100 + 1"))).alias("alone"))
+            order, ranked = F.struct("alone", order.alias("hash")), posting.join(meets, "rid")
+        lead = ranked.groupBy("key").agg(F.min_by(F.struct("rid", "comp"), order).alias("lead"))
         met = posting.join(lead, "key").filter("comp <> lead.comp")
         turned = F.col("rid") > F.col("lead.rid")
         ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(to) for x, y, to in (("rid", "lead.rid", "a"), ("lead.rid", "rid", "b"), ("comp", "lead.comp", "ca"), ("lead.comp", "comp", "cb"))]

@@ -165,6 +165,24 @@ def test_hot_ngrams(spark, monkeypatch, pairs_a_row, rounds, ranked):
     assert {r.doc_id: r.component_id for r in got.collect()} == find(links, range(len(texts)))
 
 
+def test_altered_copies(spark, monkeypatch):
+    """Copies that link with the text they were altered from and hardly with each other: candidates grow with their number."""
+    rnd = random.Random(5)
+    text = [f"w{rnd.randrange(3000)}" for _ in range(150)]
+    texts = [" ".join(text)]
+    for _ in range(400):
+        w = list(text)
+        for at in rnd.sample(range(150), 2):
+            w[at] = f"x{rnd.randrange(10**9)}"
+        texts.append(" ".join(w))
+    rnd.shuffle(texts)
+    compared, verify = [], jj._verify
+    monkeypatch.setattr(jj, "_verify", lambda *a: compared.append(a[3].count()) or verify(*a))
+    got = jj.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 4, 85)
+    assert {r.component_id for r in got.collect()} == {0}
+    assert sum(compared) <= 2 * len(texts)
+
+
 def test_ngram_join_of_nothing(none):
     assert jj.near_duplicates(none).count() == 0
 
