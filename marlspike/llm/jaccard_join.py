@@ -24,8 +24,8 @@ How it stays exact and bounded
   that are still in different components are few enough to be candidates. The first
   leader is the member whose prefix is shared most, as the text that the others were
   altered from may be the only one that links with all of them. A large
-  group of near copies thus costs about its size, not its square, and no
-  candidate is left out.
+  group of near copies with such a text thus costs about its size; without one,
+  pairs that pass the filters may still grow faster. No candidate is left out.
 * The suffix filter bounds the size of the symmetric difference from below by the
   number of bits in which two 512-bit parity sketches differ (each n-gram flips
   one bit). It never removes a pair that reaches the threshold.
