@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from marlspike.llm.common import Scratch, components
+from marlspike.llm.common import Scratch, begins, components
 
 #: N-grams in the table of the most repeated ones: 3 MB in driver and workers at most, whatever the input.
 RANKS = 1 << 18
@@ -113,6 +113,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 def _repeated(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("jaccard_join")
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -157,6 +158,7 @@ def _counts(s: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 def _features(k: int, similarity: int, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("jaccard_join")
         table = ranks.value
         for b in batches:
             ids, texts = b.columns

@@ -21,7 +21,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -166,6 +166,12 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return rows
 
 
+def _longs(spark: SparkSession, names: list[str], rows: list[tuple[int, ...]]) -> DataFrame:
+    """A small table of longs, handed over as Arrow: from a list of rows Spark would start a second set of Python workers."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=names))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """All columns of ``pieces(doc_id, piece, length, ...)`` with ``sequence_id`` and ``offset``, in place of any so named.
 
@@ -181,9 +187,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # at most `capacity` rows and O(capacity log capacity) rows: bounded by the length of a sequence, not by the documents
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     together = max(PART, isqrt(sum(histogram.values())))
-    parts = spark.createDataFrame([(k, v // together + 1) for k, v in histogram.items()], "length bigint, parts bigint")
-    rows = plan_bins(histogram, capacity)
-    plan = spark.createDataFrame(rows, "length bigint, r0 bigint, r1 bigint, per bigint, first bigint, off bigint")
+    parts = _longs(spark, ["length", "parts"], [(k, v // together + 1) for k, v in histogram.items()])
+    plan = _longs(spark, ["length", "r0", "r1", "per", "first", "off"], plan_bins(histogram, capacity))
     dealt = pieces.select(row, pieces["length"].cast("bigint").alias("length"), F.xxhash64("doc_id", "piece").alias("hash")).join(F.broadcast(parts), "length")
     dealt = dealt.withColumn("part", F.pmod("hash", "parts")).drop("hash", "parts")
     counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import bounded_batches
+from marlspike.llm.common import begins, bounded_batches
 from marlspike.llm.tokens import public_path
 
 KINDS = ["assign", "access", "hex", "guess"]
@@ -208,8 +208,14 @@ SPANS = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64())]))
 
 
+def _forget() -> None:
+    _short_cost.cache_clear()
+    ranks.cache_clear()
+
+
 def _scanned(guesses: float, redact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("secret_scans", _forget)
         for b in batches:
             texts = b.column("text")
             found = [scan(t.as_py(), guesses) for t in texts]

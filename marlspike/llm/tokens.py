@@ -13,6 +13,8 @@ from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
+from marlspike.llm.common import begins
+
 #: Chunks whose ids a worker keeps, and the longest that it keeps; beyond, they are encoded again.
 KEPT, LONGEST = 1_000_000, 48
 _WORKERS: dict[tuple, object] = {}
@@ -31,11 +33,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, kept: int = KEPT):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)  # for what is lower case and composed already
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tokenizer.model)  # for what is lower case and composed already; the tables are held once
+        self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
+        self.plain.add_special_tokens([t for _, t in sorted(self.tokenizer.get_added_tokens_decoder().items())])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -123,7 +126,8 @@ class ByteCounter:
 
 
 def worker(kind, path: str, *more):
-    """This worker's one encoder of a kind and a file."""
+    """This worker's one encoder of a kind and a file, until a task of another operator begins here."""
+    begins(kind.__name__, _WORKERS.clear)
     key = (kind.__name__, path, *more)
     if key not in _WORKERS:
         _WORKERS[key] = kind(path, *more)

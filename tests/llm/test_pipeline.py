@@ -5,10 +5,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
 import public_tokenizers as P
+from marlspike.llm import common, packing, quality_rules, secrets, tokens
 from marlspike.llm.secrets import redacted, scan
 from test_operators import base_spans, check_packing, find, grams, plain_counts, words
 
@@ -119,3 +121,36 @@ def test_a_certified_cutoff_takes_effect(spark, tmp_path):
     assert not any(i % 8 == 0 for i in got if i % 2 == 0 and i % 4 == 0), "junk goes where its language is certified"
     assert len([i for i in got if i % 4]) >= 0.95 * 900
     assert all(rows[i][1].count("#") == 0 for i in got if rows[i][2] == "en")
+
+
+def test_batches_hold_few_bytes(spark):
+    """Long texts do not go to Python by thousands; one longer than a batch goes alone."""
+    common.Scratch(spark, "bytes")
+    docs = spark.range(0, 120, 1, 1).selectExpr("repeat('some words ', if(id = 60, 500000, 10000)) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    got = docs.mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r.n for r in got) == 120 and len(got) >= 4
+    assert all(r.size <= common.BATCH_BYTES + 200_000 for r in got if r.size < 5_000_000) and sum(r.size >= 5_000_000 for r in got) == 1
+
+
+def test_a_worker_serves_one_stage():
+    """What packing and scans keep in a worker is gone once the rules begin there."""
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["Ein kurzer Text", "password: Tr0ub4dor&3xyz"]})
+    assert len(list(secrets._scanned(10.0, True)(iter([docs])))) == 1 and secrets.ranks.cache_info().currsize
+    (packed,) = packing._encoded("word_bpe_49k.json", None, 4096, 10, 100)(iter([docs]))
+    assert tokens._WORKERS and not secrets.ranks.cache_info().currsize and packed.num_rows == 2
+    assert sum(b.num_rows for b in quality_rules._counted(iter([docs]))) == 2
+    assert not tokens._WORKERS
+    again = list(packing._encoded("word_bpe_49k.json", None, 4096, 10, 100)(iter([docs])))
+    assert again[0].equals(packed)
+
+
+def test_packing_starts_no_second_workers(spark, sf):
+    """The plan of packing is not dealt out through Python workers of another kind."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = cp.best_fit_packing(spark, docs, sf)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
