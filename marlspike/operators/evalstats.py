@@ -50,6 +50,31 @@ def pass_rates(trials: DataFrame, key: str, k: int) -> DataFrame:
     return d.withColumns({"pass_at_k": pass_at_k(F.col("n"), F.col("c"), k), "pass_hat_k": pass_hat_k(F.col("n"), F.col("c"), k)})
 
 
+#: Ranges that are counted at once on the way to a median.
+RANGES = 1 << 14
+
+
+def lower_median(values: DataFrame, column: str) -> int | None:
+    """The value of rank n / 2, rounded up, among whole numbers without nulls, as ``percentile_disc(0.5)``; None of none.
+
+    Values are counted in ranges, then those of the range that holds the rank in narrower
+    ones. So a task and the driver hold ``RANGES`` counts at most, where the
+    aggregate holds all distinct values in one task.
+    """
+    x = F.col(column)
+    low, high, n = values.agg(F.min(x), F.max(x), F.count(x)).first()
+    rank = (n + 1) // 2
+    while n and low < high:
+        width = (high - low) // RANGES + 1
+        counts = values.filter(x.between(low, high)).groupBy(F.expr(f"(`{column}` - {low}L) div {width}L").alias("i")).count()
+        for i, m in sorted(map(tuple, counts.collect())):
+            if rank <= m:
+                break
+            rank -= m
+        low, high = low + i * width, min(high, low + (i + 1) * width - 1)
+    return low
+
+
 def percentiles(values: DataFrame, key: str, value: str) -> DataFrame:
     """Nearest-rank p50, p95 and p99."""
     pick = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")

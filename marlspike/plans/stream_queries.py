@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.operators.evalstats import lower_median
 from marlspike.operators.iterate import temporary
 from marlspike.plans.event_queries import limiter_sql
 from marlspike.plans.registry import query
@@ -55,10 +56,10 @@ select path, min(ts) as start, count(*) as n, arg_max(kind, struct_pack(a := ts,
 def stream_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of changes by keyed state and timers, over files that come in two runs with a restart between them."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
-    half = e.agg(F.timestamp_micros(F.expr("percentile_disc(0.5) within group (order by unix_micros(ts))").cast("bigint"))).first()[0]
+    half = F.timestamp_micros(F.lit(lower_median(e.select(F.unix_micros("ts").alias("us")), "us")).cast("bigint"))
     root = temporary(spark, "watch")
     run = lambda: stream.resumed(stream.watched(spark.readStream.schema(e.schema).parquet(f"{root}/files")), root)
-    e.filter(F.col("ts") <= F.lit(half)).write.parquet(f"{root}/files")
+    e.filter(F.col("ts") <= half).write.parquet(f"{root}/files")
     run()
-    e.filter(F.col("ts") > F.lit(half)).write.mode("append").parquet(f"{root}/files")
+    e.filter(F.col("ts") > half).write.mode("append").parquet(f"{root}/files")
     return run().withColumn("start", F.col("start").cast("timestamp_ntz"))

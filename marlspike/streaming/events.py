@@ -102,6 +102,8 @@ def rate_limited(events: DataFrame, limits: dict[str, int] | None = None) -> Dat
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Stores of state for each core at most, and MB that all stores of an executor share.
+STORES, ROCKS_MB = 4, 200
 
 
 class _Batches(StatefulProcessor):
@@ -136,9 +138,10 @@ class _Batches(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         held = [tuple(r) for r in self.open.get()]
-        new = pd.concat([r[["us", "id", "kind"]] for r in rows])
-        us = new["us"].tolist()
-        open_ = self._joined([*held, *zip(us, us, new["id"].tolist(), [1] * len(us), new["kind"].tolist(), strict=True)])
+        open_ = held
+        for new in rows:  # frame by frame, so a hot path holds its batches and one frame, not all its changes
+            us = new["us"].tolist()
+            open_ = self._joined([*open_, *zip(us, us, new["id"].tolist(), [1] * len(us), new["kind"].tolist(), strict=True)])
         sure = open_[-1][1] // 1000 * 1000 - self.late  # the watermark will be there at least
         done = [r for r in open_ if r[1] + self.gap <= sure]
         open_ = open_[len(done) :]
@@ -182,18 +185,30 @@ def watched(changes: DataFrame, gap: int = 3600) -> DataFrame:
 
 
 def resumed(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source holds now, from where the last run under ``root`` stopped; all that runs have given so far."""
+    """Run a stream over what its source holds now, from where the last run under ``root`` stopped; all that runs have given so far.
+
+    An executor keeps every store of state open that it has had, with memory outside the heap: so there are ``STORES``
+    for each core at most, however many partitions a shuffle has, and they share ``ROCKS_MB``.
+    """
     spark = stream.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
+    parts = "spark.sql.shuffle.partitions"
+    confs = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(ROCKS_MB),
+        parts: str(min(int(spark.conf.get(parts)), STORES * spark.sparkContext.defaultParallelism)),
+    }
+    before = {k: spark.conf.get(k, None) for k in confs}
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/{n:012d}")
 
-    spark.conf.set(name, ROCKS)
     try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
         q.awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{root}/out/*")
